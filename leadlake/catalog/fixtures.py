@@ -242,7 +242,7 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 
 VIEWS["fx_fact"] = """
 SELECT l_orderkey AS company_key, l_linenumber AS version, l_returnflag AS fact_key, cast(l_quantity AS int) AS value,
-  CASE WHEN l_tax = 0 THEN NULL ELSE (50 + 5 * cast(round(l_discount * 100) AS int)) / 100.0D END AS confidence
+  CASE WHEN l_tax = 0 THEN NULL ELSE (50 + 5 * cast(round(l_discount * 100) AS int)) / cast(100 AS double) END AS confidence
 FROM {lineitem}
 """
 

@@ -39,7 +39,7 @@ def _criteria(profiles: DataFrame) -> DataFrame:
         bare = text.rlike("^[A-Za-z]{2}$")
         state = F.when(bare, text).when(in_parens != "", in_parens).when(after_comma != "", after_comma)
         city = F.when(~bare, F.trim(F.regexp_replace(text, r"\([A-Za-z]{2}\)|,\s*[A-Za-z]{2}\s*$", "")))
-        return F.struct(place_key(state).alias("state"), place_key(city).alias("city"))
+        return F.named_struct(F.lit("state"), place_key(state), F.lit("city"), place_key(city))
 
     return profiles.select(
         "org_id", F.array_contains("company_statuses", "active").alias("active_only"),

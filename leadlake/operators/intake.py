@@ -80,7 +80,7 @@ def location_parse(df: DataFrame, c: str = "location") -> DataFrame:
 
 def tags(c: str):
     """Comma list -> trimmed non-empty tags, in order."""
-    parts = F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 

@@ -62,8 +62,8 @@ def recipient_pick(messages: DataFrame, prospects: DataFrame) -> DataFrame:
 
 def reply_detect(mails: DataFrame, headers: str = "headers") -> DataFrame:
     """Flag replies by headers (names compared in lower case; the last value wins) or subject."""
-    lowered = F.transform(headers, lambda h: F.struct(
-        F.lower(F.coalesce(h["name"], F.lit(""))).alias("name"), F.coalesce(h["value"], F.lit("")).alias("value")))
+    lowered = F.transform(headers, lambda h: F.named_struct(
+        F.lit("name"), F.lower(F.coalesce(h["name"], F.lit(""))), F.lit("value"), F.coalesce(h["value"], F.lit(""))))
 
     def value(name):
         hits = F.filter("__h", lambda h: h["name"] == name)

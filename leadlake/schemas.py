@@ -92,7 +92,11 @@ DDL = {
     ),
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+def schema(name: str) -> StructType:
+    """Declared type of a stored table; needs a running session to parse."""
+    return StructType.fromDDL(DDL[name])
+
 
 # Natural unique keys; the audit in operators.quality reports violations.
 UNIQUE_KEYS = {

@@ -46,13 +46,12 @@ def hydrate(df: DataFrame, phones: str = "cnpj_phones", partners: str = "cnpj_pa
 
 def partners_standardise(qsa: Column) -> Column:
     """Partner structs from the alternative member names; blank members become null."""
-    return F.transform(F.coalesce(qsa, F.array().cast(QSA)), lambda p: F.struct(
-        first_present(p["nome_socio"], p["nome"], p["nome_representante_legal"]).alias("name"),
-        first_present(p["qualificacao_socio"], p["qualificacao"], p["qualificacao_representante_legal"]).alias("qualification"),
-        present(p["pais"]).alias("country"),
-        present(p["faixa_etaria"]).alias("age_range"),
-        present(p["data_entrada_sociedade"]).alias("joined_at"),
-    ))
+    return F.transform(F.coalesce(qsa, F.array().cast(QSA)), lambda p: F.named_struct(
+        F.lit("name"), first_present(p["nome_socio"], p["nome"], p["nome_representante_legal"]),
+        F.lit("qualification"),
+        first_present(p["qualificacao_socio"], p["qualificacao"], p["qualificacao_representante_legal"]),
+        F.lit("country"), present(p["pais"]), F.lit("age_range"), present(p["faixa_etaria"]),
+        F.lit("joined_at"), present(p["data_entrada_sociedade"])))
 
 
 def payload_phones(d: Column) -> Column:
@@ -112,7 +111,7 @@ def unwrap_tool_response(raw: DataFrame, body: str = "body") -> DataFrame:
     candidates = F.when(
         text.contains("\n") & (F.size(lines) > 0), F.transform(lines, lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     ).otherwise(F.array(text))
-    message = F.get(F.filter(F.transform(candidates, F.try_parse_json), lambda v: v.isNotNull()), F.lit(0))
+    message = F.get(F.filter(F.transform(candidates, lambda t: F.try_parse_json(t)), lambda v: v.isNotNull()), F.lit(0))
     parsed = raw.withColumn("__m", message)
     inner = F.coalesce(F.try_variant_get("__m", "$.result", "variant"), F.col("__m"))
     structured = F.try_variant_get("__r", "$.structuredContent", "variant")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.schemas import SCHEMAS
+from leadlake.schemas import DDL, schema
 
 
 def load(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Lazy DataFrames for the stored tables; no schema inference, so no footer scan."""
-    return {n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in (names or SCHEMAS)}
+    return {n: spark.read.schema(DDL[n]).parquet(f"{root}/{n}") for n in (names or DDL)}
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in SCHEMAS[name].fields
+        for f in schema(name).fields
     ])
 
 
