@@ -1 +1,53 @@
-"""Queries."""
+"""Audits."""
+
+from pyspark.sql import functions as F
+
+from leadlake.catalog.core import query, values
+from leadlake.operators import quality as Q
+from leadlake.schemas import VOCABULARY
+
+DOUBLED = """SELECT org_id, cnpj FROM {fx_prospect} a UNION ALL SELECT org_id, cnpj FROM {fx_prospect} b WHERE status = 'closed'
+UNION ALL SELECT org_id, CASE WHEN employees > 0 THEN NULL END FROM {fx_prospect} c"""
+
+
+@query("DQ-01 unique_key_audit", f"SELECT org_id, cnpj, count(*) AS copies FROM ({DOUBLED}) WHERE cnpj IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def _(fx):
+    return Q.unique_key_audit(fx.sql(DOUBLED), ["org_id", "cnpj"])
+
+
+DELETED = "SELECT id FROM {fx_wa_account} a WHERE status = 'DISCONNECTED'"
+RULES = [
+    ("campaign", "wa_account_id", "account", "set_null"),
+    ("conversation", "wa_account_id", "account", "cascade"),
+    ("message", "conversation_id", "conversation", "cascade"),
+]
+
+
+def cascaded(fx):
+    tables = {"account": fx("wa_account"), "campaign": fx("wa_campaign"), "conversation": fx("wa_conversation"),
+              "message": fx("wa_message").withColumn("id", F.col("provider_message_id"))}
+    return Q.cascade_delete(tables, fx.sql(DELETED), "account", RULES)
+
+
+@query("DQ-02 cascade_delete", f"""
+SELECT provider_message_id, conversation_id FROM {{fx_wa_message}} m
+WHERE conversation_id NOT IN (SELECT id FROM {{fx_wa_conversation}} c WHERE wa_account_id IN ({DELETED}))""")
+def _(fx):
+    return cascaded(fx)["message"].select("provider_message_id", "conversation_id")
+
+
+@query("DQ-02 set_null", f"""
+SELECT c.id, c.org_id, c.wa_account_id, t.n FROM (SELECT id, org_id, CASE WHEN wa_account_id IN ({DELETED}) THEN NULL ELSE wa_account_id END AS wa_account_id FROM {{fx_wa_campaign}} k) c
+JOIN (SELECT campaign_id, count(*) AS n FROM {{fx_wa_contact}} x GROUP BY 1) t ON t.campaign_id = c.id""")
+def _(fx):
+    n = fx("wa_contact").groupBy(F.col("campaign_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return cascaded(fx)["campaign"].select("id", "org_id", "wa_account_id").join(n, "id")
+
+
+ALLOWED = VOCABULARY[("prospect", "status")]
+ODD = "SELECT id, CASE WHEN employees > 500 THEN 'lost' WHEN employees > 400 THEN NULL ELSE status END AS status FROM {fx_prospect} p"
+
+
+@query("DQ-03 enum_audit", f"SELECT status, count(*) AS rows FROM ({ODD}) WHERE status IS NULL OR status NOT IN ({values(ALLOWED)}) GROUP BY 1")
+def _(fx):
+    return Q.enum_audit(fx.sql(ODD), "status", ALLOWED)

@@ -1 +1,134 @@
-"""Queries."""
+"""The same answers from streams: tables are replayed as files, batch by batch.
+
+Each query stages its view as a folder of files, runs the stream until the folder is used up and
+reads the tables the stream wrote. The DuckDB statements are those of the batch operators.
+"""
+
+from pyspark.sql import functions as F
+
+from leadlake.catalog import enrich_q, messaging_q, outreach_q, sources_q
+from leadlake.catalog.core import query
+from leadlake.operators import enrich as E
+from leadlake.operators import messaging as M
+from leadlake.operators import outreach as O
+from leadlake.plans.scratch import new_dir
+from leadlake.sources import payloads as P
+from leadlake.streaming import appliers as A
+from leadlake.streaming import readers as R
+
+FILES = 6
+
+
+def ddl(df) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def stage(df, name: str, order: str | None = None) -> str:
+    """Rows as several files; with ``order`` each file covers one range, as a log would."""
+    path = new_dir(df.sparkSession, f"stage-{name}")
+    (df.repartitionByRange(FILES, order) if order else df.repartition(FILES)).write.parquet(path)
+    return path
+
+
+def replay(fx, df, name: str, order: str | None = None):
+    return R.read_stream(fx.spark, stage(df, name, order), ddl(df), files=2)
+
+
+def folded(fx, df, fold, name: str):
+    log, ck = new_dir(fx.spark, f"fold-{name}"), new_dir(fx.spark, f"ck-{name}")
+    A.fold_stream(replay(fx, df, name), fold, ck, log).awaitTermination()
+    return A.read_fold(fx.spark, log, fold)
+
+
+def doubled(df, cond: str):
+    """Redelivered rows on top of the originals."""
+    return df.unionByName(df.filter(cond))
+
+
+@query("src_enrichment_stream", sources_q.GOOD.replace(", body FROM", " FROM"))
+def _(fx):
+    path = stage(fx.sql(sources_q.RESULT_RAW), "results")
+    good, bad = R.read_results(fx.spark, path, files=2)
+    out, dead = new_dir(fx.spark, "results"), new_dir(fx.spark, "dead")
+    A.append_batches(good.select("raw_id", "cnpj", "enrichment_version", "status"), new_dir(fx.spark, "ck-results"), out).awaitTermination()
+    A.append_batches(bad, new_dir(fx.spark, "ck-dead"), dead).awaitTermination()
+    return A.read_batches(fx.spark, out)
+
+
+@query("src_message_stream", f"""
+SELECT w.event_id, a.org_id, CASE body->>'$.event' WHEN 'message' THEN 'message' WHEN 'message.ack' THEN 'ack' ELSE 'session' END AS route, 'm' || w.event_id AS provider_message_id
+FROM ({sources_q.WA_RAW}) w JOIN {{fx_wa_account}} a ON a.session_name = body->>'$.session' WHERE body->>'$.event' <> 'presence'""")
+def _(fx):
+    path = stage(fx.sql(sources_q.WA_RAW), "events")
+    routed = P.route_events(R.read_wa_events(fx.spark, path, files=2), fx("wa_account"))
+    out = new_dir(fx.spark, "routes")
+    cols = ["event_id", "org_id", "route", "provider_message_id"]
+    A.write_routes(routed.select(*cols), new_dir(fx.spark, "ck-routes"), out, ["message", "ack", "session"]).awaitTermination()
+    return A.read_batches(fx.spark, out).select(*cols)
+
+
+@query("enrichment_request_stream", f"SELECT change_id AS event_id, prospect_id, lpad(cast(prospect_id AS string), 14, '0') AS cnpj, changed_at AS requested_at FROM ({enrich_q.ENTRY})")
+def _(fx):
+    requests = E.enrichment_requests(E.stage_entry(fx("stage_change")))
+    again = doubled(requests, "event_id % 2 = 0")
+    once = A.dedupe_stream(replay(fx, again, "requests", "event_id"), ["event_id"], "2 minutes")
+    out = new_dir(fx.spark, "requests")
+    A.write_rows(once, new_dir(fx.spark, "ck-requests"), out).awaitTermination()
+    return fx.spark.read.schema(once.schema).parquet(out).select("event_id", "prospect_id", "cnpj", "requested_at")
+
+
+@query("enrichment_apply_stream", enrich_q.APPLY)
+def _(fx):
+    r = fx("enrichment_result").select("cnpj", "enrichment_version", "status", "commercial_potential", "event_ts", "event_id")
+    kept = E.unfold_results(folded(fx, r, E.result_fold(), "results"))
+    return E.enrichment_apply(fx("prospect"), kept).select("id", "org_id", "enrichment_status", "opportunity_score", "enrichment_version")
+
+
+@query("message_dedupe_stream", "SELECT DISTINCT conversation_id, provider_message_id, turn, direction FROM {fx_wa_delivery} d")
+def _(fx):
+    return M.unfold_messages(folded(fx, fx("wa_delivery"), M.message_fold(), "messages")).select(
+        "conversation_id", "provider_message_id", "turn", "direction")
+
+
+@query("conversation_state_stream", messaging_q.STATE)
+def _(fx):
+    f = folded(fx, fx("wa_delivery"), M.conversation_fold(), "conversations")
+    return M.conversation_state(fx("wa_conversation"), f, folded=True)
+
+
+@query("delivery_status_stream", messaging_q.DELIVERY)
+def _(fx):
+    f = folded(fx, doubled(fx.sql(messaging_q.ACKS), "ack = 2"), M.delivery_fold(), "acks")
+    return M.delivery_status(messaging_q.pending(fx), f, folded=True).drop("org_id")
+
+
+@query("session_status_stream", messaging_q.SESSIONS)
+def _(fx):
+    f = folded(fx, fx.sql(messaging_q.SESSION_EVENTS), M.session_fold(), "sessions")
+    return M.session_status(fx("wa_account"), f, folded=True)
+
+
+@query("outreach_contact_state_stream", outreach_q.STATE)
+def _(fx):
+    f = folded(fx, doubled(fx("outreach_event"), "type = 'email_replied'"), O.contact_fold(), "contacts")
+    return O.outreach_contact_state(fx("outreach_contact"), f, folded=True)
+
+
+@query("first_open_stream", outreach_q.FIRST_OPEN)
+def _(fx):
+    m = fx("outreach_message").select("tracking_token", "contact_id", F.col("id").alias("message_id"))
+    opens = replay(fx, fx.sql(outreach_q.OPENS), "opens").join(m, "tracking_token")
+    log, fold = new_dir(fx.spark, "fold-opens"), O.open_fold()
+    A.fold_stream(opens, fold, new_dir(fx.spark, "ck-opens"), log).awaitTermination()
+    return O.first_open(A.read_fold(fx.spark, log, fold), fx("outreach_message"), fx("outreach_contact"), folded=True)
+
+
+@query("mailbox_increment_stream", """
+SELECT account_id, history_id, 'added' AS kind, messages->>'$.added[0].message.id' AS message_id FROM (@) WHERE messages LIKE '%"added"%'
+UNION ALL SELECT account_id, history_id, 'updated', messages->>'$.updated[0].message.id' FROM (@) WHERE messages LIKE '%"updated"%'
+""".replace("@", sources_q.MAILBOX))
+def _(fx):
+    stream = P.explode_mailbox(replay(fx, fx.sql(sources_q.MAILBOX), "mailbox", "history_id"))
+    out = new_dir(fx.spark, "mailbox")
+    A.append_batches(stream, new_dir(fx.spark, "ck-mailbox"), out).awaitTermination()
+    return A.read_batches(fx.spark, out)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import fixed
 from leadlake.functions.columns import cnpj_valid, digits, first_present, lookup, name_uuid, present
-from leadlake.plans.balance import attach_rows, first_row, previous_value, top_k
+from leadlake.operators.fold import Fold
+from leadlake.plans.balance import attach_rows, first_row, previous_value
 from leadlake.plans.textmatch import substring_pairs
 
 SOURCE = "brasilapi.cnpj.v1"
@@ -192,3 +193,14 @@ def enrichment_requests(entries: DataFrame) -> DataFrame:
     return entries.select(
         F.col("change_id").alias("event_id"), "prospect_id", cnpj.alias("cnpj"), name_uuid(cnpj).alias("company_id"),
         F.col("changed_at").alias("requested_at"))
+
+
+def result_fold() -> Fold:
+    """The kept result per (company, version) as one minimum: completed first, then arrival."""
+    late = (F.col("status") != "COMPLETED").cast("int")
+    return Fold(("cnpj", "enrichment_version"),
+                {"kept": F.struct(late.alias("late"), "event_ts", "event_id", "status", "commercial_potential")}, {})
+
+
+def unfold_results(folded: DataFrame) -> DataFrame:
+    return folded.select("cnpj", "enrichment_version", "kept.event_ts", "kept.event_id", "kept.status", "kept.commercial_potential")

@@ -41,6 +41,16 @@ def message_dedupe(messages: DataFrame) -> DataFrame:
     return once.unionByName(messages.filter(F.col("provider_message_id").isNull()))
 
 
+def message_fold() -> Fold:
+    """The kept delivery per (conversation, provider id); the key stays unique for good."""
+    return Fold(("conversation_id", "provider_message_id"),
+                {"first": F.struct("sent_epoch", "turn", "direction", "content", "org_id", "prospect_id")}, {})
+
+
+def unfold_messages(folded: DataFrame) -> DataFrame:
+    return folded.select("conversation_id", "provider_message_id", "first.*")
+
+
 def _safe(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f\x7f]", ""), 1, 500)
 
@@ -189,10 +199,10 @@ def conversation_history(conversations: DataFrame, messages: DataFrame) -> DataF
 def echo_match(messages: DataFrame, echoes: DataFrame, accounts: DataFrame) -> DataFrame:
     """Echoes of own sends mark the outbound message sent, keeping its first sent time.
 
-    ``echoes``: session, provider_message_id, at.
+    ``echoes``: session, provider_message_id, happened_at.
     """
     org = accounts.select(F.col("session_name").alias("session"), "org_id")
-    first = echoes.join(org, "session").groupBy("org_id", "provider_message_id").agg(F.min("at").alias("__at"))
+    first = echoes.join(org, "session").groupBy("org_id", "provider_message_id").agg(F.min("happened_at").alias("__at"))
     hit = F.col("__at").isNotNull() & (F.col("direction") == "OUTBOUND")
     return messages.join(first, ["org_id", "provider_message_id"], "left").withColumns({
         "sent_at": F.when(hit & (F.col("status") != "SENT"), F.coalesce("sent_at", "__at")).otherwise(F.col("sent_at")),
@@ -202,7 +212,7 @@ def echo_match(messages: DataFrame, echoes: DataFrame, accounts: DataFrame) -> D
 
 def delivery_fold() -> Fold:
     def since(n):
-        return F.when(F.col("ack") >= n, F.col("at"))
+        return F.when(F.col("ack") >= n, F.col("happened_at"))
 
     return Fold(("org_id", "provider_message_id"), {"sent_at": since(1), "delivered_at": since(2), "read_at": since(3)},
                 {"ack": F.col("ack")})
@@ -211,7 +221,7 @@ def delivery_fold() -> Fold:
 def delivery_status(messages: DataFrame, acks: DataFrame, folded: bool = False) -> DataFrame:
     """Highest acknowledgement decides; the first time of each level stays.
 
-    ``acks``: org_id, provider_message_id, ack, at.
+    ``acks``: org_id, provider_message_id, ack, happened_at.
     """
     f = acks if folded else delivery_fold().partial(acks)
     f = f.select("org_id", "provider_message_id", *[F.col(c).alias(f"__{c}") for c in ("sent_at", "delivered_at", "read_at", "ack")])
@@ -226,14 +236,14 @@ def session_fold() -> Fold:
     mapped = lookup(fixed.SESSION_STATUS, F.upper(F.coalesce(F.col("raw_status"), F.lit(""))))
     phone = F.when(F.col("me_id").isNotNull(), present(phone_of_chat("me_id")))
     return Fold(("session",), {}, {
-        "last": F.when(mapped.isNotNull(), F.struct("at", "event_id", mapped.alias("status"), F.col("raw_status").alias("raw_status"))),
-        "last_phone": F.when(mapped.isNotNull() & phone.isNotNull(), F.struct("at", "event_id", phone.alias("phone")))})
+        "last": F.when(mapped.isNotNull(), F.struct("happened_at", "event_id", mapped.alias("status"), F.col("raw_status").alias("raw_status"))),
+        "last_phone": F.when(mapped.isNotNull() & phone.isNotNull(), F.struct("happened_at", "event_id", phone.alias("phone")))})
 
 
 def session_status(accounts: DataFrame, events: DataFrame, folded: bool = False) -> DataFrame:
     """Accounts with the latest known session status and phone, and whether that changed them.
 
-    ``events``: session, event_id, at, raw_status, me_id.
+    ``events``: session, event_id, happened_at, raw_status, me_id.
     """
     f = events if folded else session_fold().partial(events)
     j = accounts.join(f.withColumnRenamed("session", "session_name"), "session_name", "left")
@@ -333,10 +343,10 @@ def campaign_completion(campaigns: DataFrame, contacts: DataFrame) -> DataFrame:
 def campaign_transition(campaigns: DataFrame, contacts: DataFrame, commands: DataFrame) -> dict[str, DataFrame]:
     """Latest command per campaign: pause, resume or cancel; a cancel also cancels running contacts.
 
-    ``commands``: campaign_id, command_id, at, command.
+    ``commands``: campaign_id, command_id, happened_at, command.
     """
     last = commands.groupBy("campaign_id").agg(
-        F.max_by("command", F.struct("at", "command_id")).alias("__cmd"),
+        F.max_by("command", F.struct("happened_at", "command_id")).alias("__cmd"),
         F.max(F.when(F.col("command") == "cancel", 1).otherwise(0)).alias("__cancelled"))
     target = F.create_map(*[F.lit(x) for x in ("pause", "PAUSED", "resume", "RUNNING", "cancel", "CANCELLED")])
     c = campaigns.join(last.select(F.col("campaign_id").alias("id"), "__cmd"), "id", "left").withColumn(
@@ -470,9 +480,9 @@ def wa_send_apply(results: DataFrame, messages: DataFrame, contacts: DataFrame,
                   steps: DataFrame) -> dict[str, DataFrame]:
     """Provider answers -> messages, contacts, conversations and the next steps.
 
-    ``results``: message_id, ok, provider_message_id, error, at.
+    ``results``: message_id, ok, provider_message_id, error, happened_at.
     """
-    r = results.select(F.col("message_id").alias("id"), F.col("ok").alias("__ok"), F.col("at").alias("__at"),
+    r = results.select(F.col("message_id").alias("id"), F.col("ok").alias("__ok"), F.col("happened_at").alias("__at"),
                        F.col("provider_message_id").alias("__pid"), F.col("error").alias("__err"))
     j = messages.join(r, "id", "left")
     ok, failed = F.coalesce("__ok", F.lit(False)), F.coalesce(~F.col("__ok"), F.lit(False))

@@ -96,25 +96,25 @@ def reply_stats(replies: DataFrame) -> DataFrame:
 
 
 def reply_apply(attributed: DataFrame, contacts: DataFrame, messages: DataFrame) -> dict[str, DataFrame]:
-    """Contacts replied, the thread noted on their first sent message, one event per reply."""
-    per = attributed.groupBy("contact_id").agg(
-        F.count(F.lit(1)).alias("__n"), F.max("replied_at").alias("__at"),
-        F.max_by("thread_id", F.struct("replied_at", "reply_id")).alias("__thread"))
-    c = contacts.join(per.withColumnRenamed("contact_id", "id"), "id", "left")
-    hit = F.col("__n").isNotNull()
+    """Contacts replied, the thread noted on their first sent message, one event each.
+
+    The first reply ends a contact, so later ones of the same batch change nothing.
+    """
+    first = attributed.groupBy("contact_id").agg(F.min(F.struct("replied_at", "reply_id", "thread_id")).alias("__r"))
+    c = contacts.join(first.withColumnRenamed("contact_id", "id"), "id", "left")
+    hit = F.col("__r").isNotNull()
     had = F.coalesce("reply_count", F.lit(0)) if "reply_count" in contacts.columns else F.lit(0)
     after = c.withColumns({
         "status": F.when(hit, "REPLIED").otherwise(F.col("status")),
-        "reply_count": had + F.coalesce("__n", F.lit(0)), "last_reply_at": F.col("__at"),
-        "cancel_reason": F.when(hit, "replied")}).drop("__n", "__at", "__thread")
+        "reply_count": had + F.when(hit, 1).otherwise(0), "last_reply_at": F.col("__r.replied_at"),
+        "cancel_reason": F.when(hit, "replied")}).drop("__r")
     first_sent = (messages.filter(F.col("status") == "SENT").groupBy("contact_id")
                   .agg(F.min(F.struct("created_at", "id")).alias("m")).select("contact_id", F.col("m.id").alias("id")))
-    noted = first_sent.join(per, "contact_id").select("id", F.col("__thread").alias("__new_thread"))
-    msgs = (messages.join(noted, "id", "left")
-            .withColumn("thread_id", F.coalesce("__new_thread", "thread_id")).drop("__new_thread"))
-    events = (attributed.join(first_sent.withColumnRenamed("id", "message_id"), "contact_id", "left")
+    noted = first_sent.join(first, "contact_id").select("id", F.col("__r.thread_id").alias("__thread"))
+    msgs = messages.join(noted, "id", "left").withColumn("thread_id", F.coalesce("__thread", "thread_id")).drop("__thread")
+    events = (first.join(first_sent.withColumnRenamed("id", "message_id"), "contact_id", "left")
               .select("contact_id", "message_id", F.lit("email_replied").alias("type"), F.lit("replied").alias("status"),
-                      F.col("replied_at").alias("created_at"), "reply_id"))
+                      F.col("__r.replied_at").alias("created_at"), F.col("__r.reply_id").alias("reply_id")))
     return {"contacts": after, "messages": msgs, "events": events}
 
 
