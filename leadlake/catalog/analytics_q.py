@@ -24,11 +24,19 @@ FROM (SELECT *, (this_month * 115 + 50) // 100 AS next_month
 DEALS = f"""
 SELECT p.*, p.revenue_estimate > 0 IS TRUE AS is_stated,
   CASE WHEN p.revenue_estimate > 0 THEN cast(p.revenue_estimate AS double)
-    ELSE cast(coalesce(nullif(f.quarter, 0), nullif(f.next_month, 0), nullif(f.this_month, 0), 0) * greatest(1, coalesce(p.opportunity_score, 0)) AS double)
+    ELSE cast(coalesce(nullif(f.quarter, 0), nullif(f.next_month, 0), nullif(f.this_month, 0), 0) AS double) * cast(greatest(1, coalesce(p.opportunity_score, 0)) AS double)
       / cast(sum(greatest(1, coalesce(p.opportunity_score, 0))) OVER (PARTITION BY p.org_id) AS double) END AS deal_value
 FROM {{fx_prospect}} p JOIN ({FORECAST}) f ON p.org_id = f.org_id
 """
-CENTS = "cast(floor(deal_value * 100 + 0.5) AS hugeint)"
+# Group values in cents: stated revenue plus the group's share of the tenant's forecast.
+MIX = f"""
+SELECT org_id, status, industry, count, high_intent, stated * 100 + cast(floor(cast(pool AS double) * cast(open AS double) / cast(total AS double) * 100 + 0.5) AS hugeint) AS cents FROM (
+  SELECT g.*, f.quarter AS pool, sum(g.weight) OVER (PARTITION BY g.org_id) AS total FROM (
+    SELECT org_id, status, coalesce(industry, 'Não classificado') AS industry, count(*) AS count, count(*) FILTER (WHERE opportunity_score >= 75) AS high_intent,
+      sum(CASE WHEN revenue_estimate > 0 THEN revenue_estimate ELSE 0 END) AS stated, sum(greatest(1, coalesce(opportunity_score, 0))) AS weight,
+      sum(CASE WHEN revenue_estimate > 0 THEN 0 ELSE greatest(1, coalesce(opportunity_score, 0)) END) AS open
+    FROM {{fx_prospect}} p GROUP BY 1, 2, 3) g JOIN ({FORECAST}) f ON f.org_id = g.org_id)
+"""
 
 
 @query("pipeline_summary", f"""
@@ -76,63 +84,57 @@ def _(fx):
     return A.plan_usage(fx("organization"), fx("prospect"))
 
 
-def deals(fx):
-    p = fx("prospect")
-    return A.deal_value_impute(p, A.revenue_forecast(p))
-
-
 @query("deal_value_impute", f"SELECT org_id, id, is_stated, deal_value FROM ({DEALS})")
 def _(fx):
-    return deals(fx).select("org_id", "id", "is_stated", "deal_value")
+    return A.deal_value_impute(fx("prospect")).select("org_id", "id", "is_stated", "deal_value")
+
+
+def mix(fx):
+    return A.deal_mix(fx("prospect"))
 
 
 @query("industry_breakdown", f"""
 SELECT org_id, industry, count, value_cents, rank FROM (
   SELECT *, cast(row_number() OVER (PARTITION BY org_id ORDER BY count DESC, industry) AS int) AS rank FROM (
-    SELECT org_id, coalesce(industry, 'Não classificado') AS industry, count(*) AS count, cast(sum({CENTS}) AS bigint) AS value_cents
-    FROM ({DEALS}) GROUP BY 1, 2)) WHERE rank <= 4""")
+    SELECT org_id, industry, cast(sum(count) AS bigint) AS count, cast(sum(cents) AS bigint) AS value_cents FROM ({MIX}) GROUP BY 1, 2)) WHERE rank <= 4""")
 def _(fx):
-    return A.industry_breakdown(deals(fx))
+    return A.industry_breakdown(mix(fx))
 
 
 STAGE_ROWS = ", ".join(f"('{s}', '{label}', {w})" for s, (label, w) in fixed.STAGES.items())
 
 
 @query("pipeline_stages", f"""
-WITH d AS ({DEALS}), per AS (SELECT org_id, status, count(*) AS n, cast(sum({CENTS}) AS bigint) AS v FROM d GROUP BY 1, 2),
+WITH per AS (SELECT org_id, status, cast(sum(count) AS bigint) AS n, cast(sum(cents) AS bigint) AS v FROM ({MIX}) GROUP BY 1, 2),
  tot AS (SELECT org_id, sum(n) AS total FROM per GROUP BY 1), st(status, label, w) AS (VALUES {STAGE_ROWS})
 SELECT tot.org_id, st.status, st.label, coalesce(per.n, 0) AS count, coalesce(per.v, 0) AS value_cents,
   cast((200 * coalesce(per.n, 0) + total) // (2 * total) AS bigint) AS pct
 FROM tot CROSS JOIN st LEFT JOIN per ON per.org_id = tot.org_id AND per.status = st.status
 WHERE coalesce(per.n, 0) > 0 OR st.status IN ('qualified', 'prospect', 'lead')""")
 def _(fx):
-    return A.pipeline_stages(deals(fx))
+    return A.pipeline_stages(mix(fx))
 
 
-KPIS = f"""
-WITH d AS ({DEALS}), st(status, label, w) AS (VALUES {STAGE_ROWS}), s AS ({SUMMARY}),
-k AS (SELECT d.org_id, count(*) AS deals, cast(sum({CENTS}) AS bigint) AS total_cents, cast(sum({CENTS} * coalesce(w, 38)) AS bigint) AS weighted,
-  count(*) FILTER (WHERE opportunity_score >= 75) AS high_intent FROM d LEFT JOIN st ON st.status = d.status GROUP BY d.org_id)
+@query("portfolio_kpis", f"""
+WITH st(status, label, w) AS (VALUES {STAGE_ROWS}), s AS ({SUMMARY}),
+k AS (SELECT m.org_id, cast(sum(count) AS bigint) AS deals, cast(sum(cents) AS bigint) AS total_cents, cast(sum(cents * coalesce(w, 38)) AS bigint) AS weighted,
+  cast(sum(high_intent) AS bigint) AS high_intent FROM ({MIX}) m LEFT JOIN st ON st.status = m.status GROUP BY m.org_id)
 SELECT k.org_id, deals, total_cents, cast(total_cents AS double) / cast(deals AS double) AS avg_ticket_cents, weighted, high_intent,
   least(100, (200 * s.qualified + s.total) // (2 * s.total)) AS target_progress, (200 * s.qualified + s.total) // (2 * s.total) AS rate_pct
-FROM k JOIN s ON s.org_id = k.org_id"""
-
-
-@query("portfolio_kpis", KPIS)
+FROM k JOIN s ON s.org_id = k.org_id""")
 def _(fx):
-    return A.portfolio_kpis(deals(fx), A.pipeline_summary(fx("prospect")))
+    return A.portfolio_kpis(mix(fx))
 
 
 @query("revenue_series", f"""
-WITH f AS ({FORECAST}), s AS ({SUMMARY}), k AS (SELECT org_id, count(*) AS deals, cast(sum({CENTS}) AS bigint) AS total_cents FROM ({DEALS}) GROUP BY 1),
+WITH f AS ({FORECAST}), s AS ({SUMMARY}), k AS (SELECT org_id, cast(sum(count) AS bigint) AS deals, cast(sum(cents) AS bigint) AS total_cents FROM ({MIX}) GROUP BY 1),
 j AS (SELECT k.*, f.this_month, f.next_month, f.quarter, s.qualified, s.prospects, s.leads FROM k JOIN f USING (org_id) JOIN s USING (org_id))
 SELECT org_id, 0 AS pos, 'Hoje' AS label, total_cents AS value_cents, deals FROM j
 UNION ALL SELECT org_id, 1, 'Mês atual', this_month * 100, greatest(qualified, 1) FROM j
 UNION ALL SELECT org_id, 2, 'Próx. mês', next_month * 100, greatest(qualified + prospects, 1) FROM j
 UNION ALL SELECT org_id, 3, 'Q3', quarter * 100, greatest(deals + leads, 1) FROM j""")
 def _(fx):
-    p, s = fx("prospect"), A.pipeline_summary(fx("prospect"))
-    return A.revenue_series(A.portfolio_kpis(deals(fx), s), A.revenue_forecast(p), s)
+    return A.revenue_series(mix(fx))
 
 
 @query("kanban_totals", """

@@ -196,9 +196,10 @@ def _(fx):
 
 
 @query("recipient_pick_documents", r"""
-SELECT doc_id, nullif(regexp_extract(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'), '') AS recipient FROM {documents}""")
+SELECT doc_id, coalesce(p.cnpj_email, nullif(regexp_extract(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'), '')) AS recipient
+FROM {documents} d LEFT JOIN {fx_prospect} p ON p.id = 4 * d.doc_id""")
 def _(fx):
-    docs = fx.table("documents").select("doc_id", F.col("text").alias("body"), F.lit(-1).cast("long").alias("prospect_id"))
+    docs = fx.table("documents").select("doc_id", F.col("text").alias("body"), (F.col("doc_id") * 4).alias("prospect_id"))
     return O.recipient_pick(docs, fx("prospect")).select("doc_id", "recipient")
 
 

@@ -70,104 +70,121 @@ def plan_usage(orgs: DataFrame, prospects: DataFrame) -> DataFrame:
         F.coalesce(leads >= limit, F.lit(False)).alias("at_limit"), premium.alias("can_export"))
 
 
-def deal_value_impute(prospects: DataFrame, forecast: DataFrame) -> DataFrame:
+def deal_value_impute(prospects: DataFrame) -> DataFrame:
     """Deal value: stated revenue if positive, else a score-weighted share of the forecast.
 
-    The share stays exact as ``pool * weight / weight_sum``; the weight sum is a tenant total
-    joined back, not a window over the tenant.
+    The quarter forecast is zero only when all forecasts are, so it is the pool. Pool and weight
+    sum are one tenant aggregation joined back, not a window over the tenant.
     """
-    pool = F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in ("quarter", "next_month", "this_month")], F.lit(0))
-    pools = forecast.select("org_id", pool.cast("long").alias("pool"))
     weight = F.greatest(F.lit(1), F.coalesce(F.col("opportunity_score"), F.lit(0))).cast("long")
-    weighted = with_totals(prospects.withColumn("weight", weight), ["org_id"], weight_sum=F.sum("weight"))
-    stated = F.col("revenue_estimate") > 0
-    share = (F.col("pool") * F.col("weight")).cast("double") / F.col("weight_sum").cast("double")
-    return (weighted.join(pools, "org_id", "left")
-            .withColumn("pool", F.coalesce("pool", F.lit(0).cast("long")))
-            .withColumn("is_stated", F.coalesce(stated, F.lit(False)))
+    weighted = with_totals(prospects.withColumn("weight", weight), ["org_id"], weight_sum=F.sum("weight"),
+                           qualified=F.count_if(F.col("status") == "qualified"))
+    pool = F.expr(f"(qualified * {TICKET} * 25 + 5) div 10")
+    share = pool.cast("double") * F.col("weight").cast("double") / F.col("weight_sum").cast("double")
+    return (weighted.withColumn("is_stated", F.coalesce(F.col("revenue_estimate") > 0, F.lit(False)))
             .withColumn("deal_value", F.when(F.col("is_stated"), F.col("revenue_estimate").cast("double")).otherwise(share))
-            .drop("weight", "weight_sum", "pool"))
+            .drop("weight", "weight_sum", "qualified"))
 
 
-def _cents(c: str) -> Column:
-    """Whole cents as a decimal, so sums do not depend on row order."""
-    return F.floor(F.col(c) * 100 + 0.5).cast("decimal(28,0)")
+def deal_mix(prospects: DataFrame) -> DataFrame:
+    """Deal figures by tenant, stage and segment in one pass over the leads.
 
+    Imputed values are shares of the tenant's forecast in proportion to the score weight, so
+    group values follow from sums of weights; no lead has to be joined with its tenant's total.
+    Values are whole cents.
+    """
+    weight = F.greatest(F.lit(1), F.coalesce(F.col("opportunity_score"), F.lit(0))).cast("long")
+    stated = F.coalesce(F.col("revenue_estimate") > 0, F.lit(False))
+    mix = prospects.groupBy("org_id", "status", F.coalesce(present("industry"), F.lit(fixed.UNCLASSIFIED)).alias("industry")).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.sum(F.when(stated, F.col("revenue_estimate")).otherwise(0).cast("decimal(28,0)")).alias("__stated"),
+        F.sum(F.when(~stated, weight).otherwise(0)).alias("__open"), F.sum(weight).alias("__weight"),
+        F.count_if(F.col("opportunity_score") >= 75).alias("high_intent"))
+    tenant = mix.groupBy("org_id").agg(
+        F.sum(F.when(F.col("status") == "qualified", F.col("count")).otherwise(0)).cast("long").alias("__qualified"),
+        F.sum("__weight").alias("__all"))
+    pool = F.expr(f"(__qualified * {TICKET} * 25 + 5) div 10")
+    share = pool.cast("double") * F.col("__open").cast("double") / F.col("__all").cast("double")
+    cents = F.col("__stated") * 100 + half_up(share * 100).cast("decimal(28,0)")
+    return (mix.join(tenant, "org_id").withColumn("value_cents", cents.cast("decimal(38,0)"))
+            .drop("__stated", "__open", "__weight", "__qualified", "__all"))
 
-def industry_breakdown(deals: DataFrame, k: int = 4) -> DataFrame:
+
+def industry_breakdown(mix: DataFrame, k: int = 4) -> DataFrame:
     """Largest segments per tenant: count and value in cents."""
-    per = (deals.groupBy("org_id", F.coalesce(present("industry"), F.lit(fixed.UNCLASSIFIED)).alias("industry"))
-           .agg(F.count(F.lit(1)).alias("count"), F.sum(_cents("deal_value")).cast("long").alias("value_cents")))
+    per = mix.groupBy("org_id", "industry").agg(
+        F.sum("count").alias("count"), F.sum("value_cents").cast("long").alias("value_cents"))
     return top_k(per, ["org_id"], [F.col("count").desc(), F.col("industry")], k)
 
 
-def _stage_frame(df: DataFrame, stages: list[str]) -> DataFrame:
-    """Tenants of ``df`` expanded by a fixed stage list."""
-    return df.select("org_id").distinct().withColumn("status", F.explode(F.array(*[F.lit(s) for s in stages])))
+def pipeline_stages(mix: DataFrame) -> DataFrame:
+    """Funnel rows: label, count, value and whole percent; empty extra stages are hidden.
 
+    One aggregation per tenant with a pair of columns per stage, then an unpivot.
+    """
+    def of(s, c):
+        return F.sum(F.when(F.col("status") == s, F.col(c)).otherwise(0))
 
-def pipeline_stages(deals: DataFrame) -> DataFrame:
-    """Funnel rows: label, count, value and whole percent; empty extra stages are hidden."""
-    per = deals.groupBy("org_id", "status").agg(
-        F.count(F.lit(1)).alias("count"), F.sum(_cents("deal_value")).cast("long").alias("value_cents"))
-    totals = per.groupBy("org_id").agg(F.sum("count").alias("__all"))
-    frame = _stage_frame(per, list(fixed.STAGES)).join(per, ["org_id", "status"], "left").join(totals, "org_id")
-    zero = F.lit(0).cast("long")
-    labels = F.create_map(*[F.lit(x) for s, (label, _) in fixed.STAGES.items() for x in (s, label)])
-    return (frame.select("org_id", "status", labels[F.col("status")].alias("label"),
-                         F.coalesce("count", zero).alias("count"), F.coalesce("value_cents", zero).alias("value_cents"),
-                         F.expr("coalesce((200 * count + __all) div (2 * __all), 0L)").alias("pct"))
-            .filter((F.col("count") > 0) | F.col("status").isin(fixed.BASE_STAGES)))
+    wide = mix.groupBy("org_id").agg(
+        F.sum("count").alias("__all"), *[of(s, "count").alias(f"n_{s}") for s in fixed.STAGES],
+        *[of(s, "value_cents").cast("long").alias(f"v_{s}") for s in fixed.STAGES])
+    rows = F.array(*[
+        F.struct(F.lit(s).alias("status"), F.lit(label).alias("label"), F.col(f"n_{s}").cast("long").alias("count"),
+                 F.col(f"v_{s}").alias("value_cents"), F.expr(f"(200 * n_{s} + __all) div (2 * __all)").alias("pct"))
+        for s, (label, _) in fixed.STAGES.items()])
+    return wide.select("org_id", F.inline(rows)).filter((F.col("count") > 0) | F.col("status").isin(fixed.BASE_STAGES))
 
 
-def portfolio_kpis(deals: DataFrame, summary: DataFrame) -> DataFrame:
+def portfolio_kpis(mix: DataFrame) -> DataFrame:
     """Totals per tenant; values in cents, weighted pipeline in hundredths of a cent."""
     weight = None
     for s, (_, w) in fixed.STAGES.items():
         weight = F.when(F.col("status") == s, w) if weight is None else weight.when(F.col("status") == s, w)
     weight = weight.otherwise(fixed.UNKNOWN_STAGE_WEIGHT)
-    cents = _cents("deal_value")
-    per = deals.groupBy("org_id").agg(
-        F.count(F.lit(1)).alias("deals"), F.sum(cents).cast("long").alias("total_cents"),
-        F.sum(cents * weight).cast("long").alias("weighted"),
-        F.count_if(F.col("opportunity_score") >= 75).alias("high_intent"))
-    s = summary.select("org_id", "qualified", F.col("total").alias("__total"), "qualification_pct")
-    return per.join(s, "org_id", "left").select(
+    per = mix.groupBy("org_id").agg(
+        F.sum("count").alias("deals"), F.sum("value_cents").cast("long").alias("total_cents"),
+        F.sum(F.col("value_cents") * weight).cast("long").alias("weighted"), F.sum("high_intent").alias("high_intent"),
+        F.sum(F.when(F.col("status") == "qualified", F.col("count")).otherwise(0)).cast("long").alias("__q"))
+    rate = F.expr("(200 * __q + deals) div (2 * deals)")
+    return per.select(
         "org_id", "deals", "total_cents",
         (F.col("total_cents").cast("double") / F.col("deals").cast("double")).alias("avg_ticket_cents"),
-        "weighted", "high_intent",
-        F.least(F.lit(100).cast("long"), F.expr(
-            "(200 * coalesce(qualified, 0L) + greatest(coalesce(__total, 1L), 1L)) div (2 * greatest(coalesce(__total, 1L), 1L))"
-        )).alias("target_progress"),
-        F.coalesce("qualification_pct", F.lit(0).cast("long")).alias("rate_pct"))
+        "weighted", "high_intent", F.least(F.lit(100).cast("long"), rate).alias("target_progress"), rate.alias("rate_pct"))
 
 
-def revenue_series(kpis: DataFrame, forecast: DataFrame, summary: DataFrame) -> DataFrame:
-    """Four labelled points per tenant with their deal counts."""
-    j = (kpis.select("org_id", "total_cents", "deals")
-         .join(forecast.select("org_id", "this_month", "next_month", "quarter"), "org_id")
-         .join(summary.select("org_id", "qualified", "prospects", "leads"), "org_id"))
-    one = F.lit(1).cast("long")
+def revenue_series(mix: DataFrame) -> DataFrame:
+    """Four labelled points per tenant with their deal counts, from the same one pass."""
+    def n(s):
+        return F.sum(F.when(F.col("status") == s, F.col("count")).otherwise(0)).cast("long").alias(s)
+
+    j = mix.groupBy("org_id").agg(F.sum("count").alias("deals"), F.sum("value_cents").cast("long").alias("total_cents"),
+                                  n("qualified"), n("prospect"), n("lead"))
+    j = j.withColumn("this_month", F.col("qualified") * F.lit(TICKET).cast("long"))
+    j = j.withColumns({"next_month": F.expr("(this_month * 115 + 50) div 100"), "quarter": F.expr("(this_month * 25 + 5) div 10")})
+    one, c = F.lit(1).cast("long"), F.col
 
     def point(i, label, cents, deals):
         return F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), cents.alias("value_cents"), deals.alias("deals"))
 
-    c = F.col
     series = F.array(
         point(0, "Hoje", c("total_cents"), c("deals")),
         point(1, "Mês atual", c("this_month") * 100, F.greatest(c("qualified"), one)),
-        point(2, "Próx. mês", c("next_month") * 100, F.greatest(c("qualified") + c("prospects"), one)),
-        point(3, "Q3", c("quarter") * 100, F.greatest(c("deals") + c("leads"), one)))
+        point(2, "Próx. mês", c("next_month") * 100, F.greatest(c("qualified") + c("prospect"), one)),
+        point(3, "Q3", c("quarter") * 100, F.greatest(c("deals") + c("lead"), one)))
     return j.select("org_id", F.inline(series))
 
 
 def kanban_totals(prospects: DataFrame) -> DataFrame:
     """Count and revenue of the four board columns, empty ones included."""
-    per = prospects.groupBy("org_id", "status").agg(
-        F.count(F.lit(1)).alias("count"), F.sum(F.coalesce(F.col("revenue_estimate"), F.lit(0)).cast("long")).alias("revenue"))
-    zero = F.lit(0).cast("long")
-    return (_stage_frame(per, fixed.KANBAN_COLUMNS).join(per, ["org_id", "status"], "left")
-            .select("org_id", "status", F.coalesce("count", zero).alias("count"), F.coalesce("revenue", zero).alias("revenue")))
+    def of(s, e):
+        return F.sum(F.when(F.col("status") == s, e).otherwise(0)).cast("long")
+
+    revenue = F.coalesce(F.col("revenue_estimate"), F.lit(0)).cast("long")
+    wide = prospects.groupBy("org_id").agg(
+        *[of(s, F.lit(1)).alias(f"n_{s}") for s in fixed.KANBAN_COLUMNS], *[of(s, revenue).alias(f"v_{s}") for s in fixed.KANBAN_COLUMNS])
+    rows = F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"n_{s}").alias("count"), F.col(f"v_{s}").alias("revenue"))
+                     for s in fixed.KANBAN_COLUMNS])
+    return wide.select("org_id", F.inline(rows))
 
 
 def contact_coverage(contacts: DataFrame, phones: DataFrame, partners: DataFrame) -> DataFrame:

@@ -30,28 +30,26 @@ def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes``: company_key, pos, id, type. ``edges``: company_key, pos, source_id, target_id,
     type. Adds the number of visible nodes.
     """
-    company = first_row(nodes.filter(F.col("type") == "COMPANY"), ["company_key"], [F.col("pos")]).select(
-        "company_key", F.col("id").alias("__company"))
+    company = (nodes.filter(F.col("type") == "COMPANY").groupBy("company_key")
+               .agg(F.min_by("id", "pos").alias("__company")))
     shown = nodes.join(company, "company_key", "left")
     with_company = shown.filter(F.col("__company").isNotNull() & (F.col("id") != F.col("__company")))
     without = top_k(shown.filter(F.col("__company").isNull()), ["company_key"], [F.col("pos")], MAX_NODES, "__r").drop("__r")
-    visible = with_company.unionByName(without).select("company_key", F.col("id").alias("__id"))
-    counts = visible.groupBy("company_key").agg(F.count(F.lit(1)).alias("visible_nodes"))
+    visible = with_company.unionByName(without).groupBy("company_key", "id").agg(F.count(F.lit(1)).alias("__n"))
+    counts = visible.groupBy("company_key").agg(F.sum("__n").alias("visible_nodes"))
     drawn = top_k(edges, ["company_key"], [F.col("pos")], MAX_EDGES, "edge_rank").join(company, "company_key", "left")
-    from_company = F.coalesce(F.col("source_id") == F.col("__company"), F.lit(False)) | (F.col("source_id") == "source")
-    to_company = F.coalesce(F.col("target_id") == F.col("__company"), F.lit(False))
-    marked = drawn.withColumns({"__sc": from_company, "__tc": to_company})
-    ids = visible.distinct()
-    src = ids.select("company_key", F.col("__id").alias("source_id"), F.lit(True).alias("__sv"))
-    dst = ids.select("company_key", F.col("__id").alias("target_id"), F.lit(True).alias("__tv"))
-    company_name = F.lit("__company__")
-    return (marked.join(src, ["company_key", "source_id"], "left").join(dst, ["company_key", "target_id"], "left")
-            .filter((F.col("__sc") | F.col("__sv")) & (F.col("__tc") | F.col("__tv")))
+    is_company = {"source": F.coalesce(F.col("source_id") == F.col("__company"), F.lit(False)) | (F.col("source_id") == "source"),
+                  "target": F.coalesce(F.col("target_id") == F.col("__company"), F.lit(False))}
+    ends = F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}_id").alias("id"), c.alias("here")) for e, c in is_company.items()])
+    placed = (drawn.select("company_key", "edge_rank", "type", F.inline(ends))
+              .join(visible.select("company_key", "id", F.lit(True).alias("__seen")), ["company_key", "id"], "left")
+              .withColumn("place", F.when(F.col("here"), F.lit("__company__")).when(F.col("__seen"), F.col("id"))))
+    edges_out = placed.groupBy("company_key", "edge_rank", "type").agg(
+        F.max(F.when(F.col("end") == "source", F.col("place"))).alias("source"),
+        F.max(F.when(F.col("end") == "target", F.col("place"))).alias("target"))
+    return (edges_out.filter(F.col("source").isNotNull() & F.col("target").isNotNull())
             .join(counts, "company_key", "left")
-            .select("company_key", "edge_rank",
-                    F.when(F.col("__sc"), company_name).otherwise(F.col("source_id")).alias("source"),
-                    F.when(F.col("__tc"), company_name).otherwise(F.col("target_id")).alias("target"),
-                    "type", F.coalesce("visible_nodes", F.lit(0)).cast("long").alias("visible_nodes")))
+            .withColumn("visible_nodes", F.coalesce("visible_nodes", F.lit(0)).cast("long")))
 
 
 def graph_value_extract(facts: DataFrame, value: str = "value_json") -> DataFrame:

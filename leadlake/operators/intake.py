@@ -172,10 +172,11 @@ def lead_intake(incoming: DataFrame, prospects: DataFrame, orgs: DataFrame) -> D
     plans = orgs.select(F.col("id").alias("org_id"), (F.col("plan") == "premium").alias("__premium"))
     marked = (fresh.join(plans, "org_id", "left").join(used, "org_id", "left")
               .withColumn("__left", F.greatest(F.lit(0), F.lit(fixed.TRIAL_LEAD_LIMIT) - F.coalesce("__used", F.lit(0)))))
-    premium = marked.filter(F.coalesce("__premium", F.lit(False)))
-    trial = top_k(marked.filter(~F.coalesce("__premium", F.lit(False)) & (F.col("__left") > 0)),
-                  ["org_id"], [F.col("arrival"), F.col("cnpj")], fixed.TRIAL_LEAD_LIMIT, "__rank")
-    admitted = premium.unionByName(trial.filter(F.col("__rank") <= F.col("__left")).drop("__rank"))
+    premium = F.coalesce("__premium", F.lit(False))
+    # Premium leads get a slot of their own each, so one ranking serves both plans.
+    ranked = top_k(marked.withColumn("__slot", F.when(premium, F.col("cnpj")).otherwise("")), ["org_id", "__slot"],
+                   [F.col("arrival"), F.col("cnpj")], fixed.TRIAL_LEAD_LIMIT, "__rank")
+    admitted = ranked.filter(premium | (F.col("__rank") <= F.col("__left")))
     manual = F.col("kind") == "manual"
     return admitted.select(
         "org_id", "cnpj", "arrival", "kind", F.trim("company_name").alias("company_name"),

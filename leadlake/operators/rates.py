@@ -37,20 +37,27 @@ def rate_audit(sends: DataFrame, cfg: RateConfig) -> DataFrame:
     built over seconds and days, so one busy account does not land in one task. A send counts
     into the rolling hour at its instant and out of it one hour later.
     """
-    local = F.unix_micros(F.from_utc_timestamp(F.col("sent_at").cast("timestamp"), cfg.zone))
-    s = sends.withColumns({"__t": micros("sent_at"), "__local": local})
-    s = s.withColumn("__lday", F.floor(F.col("__local") / F.lit(DAY)).cast("long"))
-    daily = running_before(s, ["account_id", "__lday"], "__t", by_day=False).select(
-        "account_id", "__lday", "__t", F.col("before").alias("sent_today"))
-    enter = s.select("account_id", "__t", F.lit(1).alias("__d"), F.lit(True).alias("__real"))
-    leave = s.select("account_id", (F.col("__t") + F.lit(HOUR)).alias("__t"), F.lit(-1).alias("__d"), F.lit(False).alias("__real"))
-    rolling = running_before(enter.unionByName(leave), ["account_id"], "__t", "__d", "__real").select(
-        "account_id", "__t", F.col("before").alias("sent_last_hour"), F.col("previous_at").alias("__prev"))
-    out = s.join(daily, ["account_id", "__lday", "__t"]).join(rolling, ["account_id", "__t"])
+    def local(t):
+        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(t), cfg.zone))
+
+    def local_day(t):
+        return F.floor(local(t) / F.lit(DAY)).cast("long")
+
+    s = sends.withColumn("__t", micros("sent_at"))
+    enter = s.select("account_id", "__t", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
+    leave = s.select("account_id", (F.col("__t") + F.lit(HOUR)).alias("__t"), F.lit(0).alias("n"), F.lit(-1).alias("hour"),
+                     F.lit(False).alias("__real"))
+    moves = enter.unionByName(leave).withColumn("__day", local_day(F.col("__t")))
+    counts = running_before(moves, ["account_id"], "__t", "__day", ["n", "hour"], "__real").select(
+        "account_id", "__t", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
+        F.col("previous_at").alias("__prev"))
+    out = s.join(counts, ["account_id", "__t"])
     if cfg.recipient_daily is not None:
-        per_recipient = running_before(s, ["recipient_id", "__lday"], "__t", by_day=False).select(
-            "recipient_id", "__lday", "__t", F.col("before").alias("recipient_today"))
-        out = out.join(per_recipient, ["recipient_id", "__lday", "__t"])
+        per = s.select("recipient_id", "__t", F.lit(1).alias("n")).withColumn("__day", local_day(F.col("__t")))
+        per_recipient = running_before(per, ["recipient_id"], "__t", "__day", ["n"], across=False).select(
+            "recipient_id", "__t", F.col("n_in_scope").alias("recipient_today"))
+        out = out.join(per_recipient, ["recipient_id", "__t"])
+    out = out.withColumn("__local", local(F.col("__t")))
     gap_ms = F.floor((F.col("__t") - F.col("__prev")) / F.lit(1000)).cast("long")
     of_day = F.pmod(F.col("__local"), F.lit(DAY))
     opens, closes = cfg.opens * HOUR, cfg.closes * HOUR
@@ -71,7 +78,7 @@ def rate_audit(sends: DataFrame, cfg: RateConfig) -> DataFrame:
         retry = F.when(broken, wait) if retry is None else retry.when(broken, wait)
     return (out.withColumns({"gap_ms": gap_ms, "in_hours": open_now, "rule": rule, "retry_ms": retry})
             .withColumn("allowed", F.col("rule").isNull())
-            .drop("__t", "__local", "__lday", "__prev"))
+            .drop("__t", "__local", "__prev"))
 
 
 def email_rate_audit(sends: DataFrame, cfg: RateConfig = EMAIL) -> DataFrame:

@@ -36,26 +36,30 @@ def taxonomy_search(queries: DataFrame, flat: DataFrame) -> DataFrame:
     else only the matching ones. A blank query keeps everything.
     """
     q = queries.select(F.lower(F.trim("q")).alias("q")).distinct()
-    some = q.filter(F.col("q") != "")
-    sections = flat.select("section", "section_name", "section_official").distinct()
-    s_text = sections.select("section", F.lower("section_name").alias("t")).unionByName(
-        sections.select("section", F.lower("section_official").alias("t")))
-    s_hit = substring_pairs(some, "q", s_text, "t", [], ["section"]).unionByName(
-        some.join(sections.select(F.lower("section").alias("q"), "section"), "q")).distinct()
-    divisions = flat.select("section", "division", "division_name").distinct()
-    d_hit = substring_pairs(some, "q", divisions.withColumn("t", F.lower("division_name")), "t", [], ["section", "division"])
-    d_hit = (d_hit.unionByName(some.join(divisions.select(F.col("division").alias("q"), "section", "division"), "q"))
-             .distinct().join(s_hit, ["q", "section"], "left_anti"))
-    a_text = flat.select("section", "division", "code", F.lower("activity").alias("t")).unionByName(
-        flat.select("section", "division", "code", F.col("dotted").alias("t"))).unionByName(
-        flat.select("section", "division", "code", F.col("code").alias("t")))
-    a_hit = (substring_pairs(some, "q", a_text, "t", [], ["section", "division", "code"]).distinct()
-             .join(s_hit, ["q", "section"], "left_anti").join(d_hit, ["q", "section", "division"], "left_anti"))
-    leaves = flat.select("section", "division", "code").distinct()
-    parts = [s_hit.join(leaves, "section"), d_hit.join(leaves, ["section", "division"]), a_hit]
-    blank = leaves.withColumn("q", F.lit("")).join(q.filter(F.col("q") == ""), "q", "left_semi")
+
+    def texts(kind, ids, *cols):
+        null = F.lit(None).cast("string")
+        keys = [(F.col(c) if c in ids else null).alias(c) for c in ("section", "division", "code")]
+        rows = [flat.select(F.lit(kind).alias("kind"), *keys, F.lower(c).alias("t")) for c in cols]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return out.distinct() if kind != "activity" else out
+
+    searched = (texts("section", ["section"], "section_name", "section_official")
+                .unionByName(texts("division", ["section", "division"], "division_name"))
+                .unionByName(texts("activity", ["section", "division", "code"], "activity", "dotted", "code")))
+    hits = substring_pairs(q, "q", searched, "t", [], ["kind", "section", "division", "code"])
+    sections, divisions = flat.select("section").distinct(), flat.select("section", "division").distinct()
+    # A blank query counts as a match of every section.
+    named = sections.select(F.lower("section").alias("q"), "section").unionByName(sections.select(F.lit("").alias("q"), "section"))
+    s_hit = (hits.filter("kind = 'section'").select("q", "section")
+             .unionByName(named.join(q, "q", "left_semi")).distinct())
+    d_hit = (hits.filter("kind = 'division'").select("q", "section", "division")
+             .unionByName(divisions.select(F.col("division").alias("q"), "section", "division").join(q, "q", "left_semi")).distinct())
+    leaves = flat.select("section", "division", "code")
     cols = ["q", "section", "division", "code"]
-    out = blank.select(*cols)
-    for p in parts:
-        out = out.unionByName(p.select(*cols))
-    return out
+    # A section keeps its divisions and a division its activities, so the cascade is a union.
+    return (s_hit.join(leaves, "section").select(*cols)
+            .unionByName(d_hit.join(leaves, ["section", "division"]).select(*cols))
+            .unionByName(hits.filter("kind = 'activity'").select(*cols)).distinct())

@@ -43,45 +43,43 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "__rank").drop("__rank")
 
 
-def running_before(df: DataFrame, keys: list[str], at: str, total: str | None = None,
-                   real: str | None = None, by_day: bool = True) -> DataFrame:
-    """For every (keys, instant): the sum of ``total`` and the latest instant strictly earlier.
+def running_before(df: DataFrame, keys: list[str], at: str, scope: str, sums: list[str], real: str | None = None,
+                   across: bool = True) -> DataFrame:
+    """For every (keys, instant): sums over strictly earlier instants, and the latest such instant.
 
-    With ``real`` (a boolean column) only instants having such a row count as the latest one.
+    ``at`` is microseconds since the epoch and ``scope`` a coarser bucket that grows with it,
+    such as a day. Rows of one instant collapse first; then prefixes are built inside a second,
+    over the seconds of a scope and, with ``across``, over scopes. No task sees more than the
+    distinct instants of one second, the seconds of one scope or the scopes of one key. With
+    ``real`` (boolean) only instants having such a row count as the latest one.
 
-    ``at`` is microseconds since the epoch. Rows of one instant collapse first; then a prefix
-    is built inside each second, over the seconds of each day and over days. No task sees more
-    than the distinct instants of one second, the seconds of one day or the days of one key.
-    Output: keys, at, before, previous_at.
+    Output: keys, at, ``<sum>_in_scope`` and, with ``across``, ``<sum>_before`` and previous_at.
     """
-    amount = F.sum(total) if total else F.count(F.lit(1))
     mark = F.max(F.when(F.col(real), F.col(at))) if real else F.max(at)
-    base = (df.groupBy(*keys, at).agg(amount.alias("__n"), mark.alias("__p"))
-            .withColumn("__sec", F.floor(F.col(at) / F.lit(SECOND)).cast("long"))
-            .withColumn("__day", F.floor(F.col(at) / F.lit(DAY)).cast("long") if by_day else F.lit(0).cast("long")))
-
-    def strictly_before(order):
-        return order.rowsBetween(Window.unboundedPreceding, -1)
-
-    in_sec = strictly_before(Window.partitionBy(*keys, "__day", "__sec").orderBy(at))
-    inner = (base.withColumn("__n0", F.sum("__n").over(in_sec))
-             .withColumn("__p0", F.max("__p").over(in_sec)))
-    secs = base.groupBy(*keys, "__day", "__sec").agg(F.sum("__n").alias("__n"), F.max("__p").alias("__p"))
-    over_secs = strictly_before(Window.partitionBy(*keys, "__day").orderBy("__sec"))
-    sec_carry = secs.select(*keys, "__day", "__sec", F.sum("__n").over(over_secs).alias("__n1"),
-                            F.max("__p").over(over_secs).alias("__p1"))
-    out = inner.join(sec_carry, [*keys, "__day", "__sec"])
-    n, p = [F.col("__n0"), F.col("__n1")], [F.col("__p0"), F.col("__p1")]
-    if by_day:
-        days = secs.groupBy(*keys, "__day").agg(F.sum("__n").alias("__n"), F.max("__p").alias("__p"))
-        over_days = strictly_before(Window.partitionBy(*keys).orderBy("__day"))
-        day_carry = days.select(*keys, "__day", F.sum("__n").over(over_days).alias("__n2"),
-                                F.max("__p").over(over_days).alias("__p2"))
-        out = out.join(day_carry, [*keys, "__day"])
-        n.append(F.col("__n2"))
-        p.append(F.col("__p2"))
-    before = sum((F.coalesce(c, F.lit(0)) for c in n[1:]), F.coalesce(n[0], F.lit(0)))
-    return out.select(*keys, at, before.cast("long").alias("before"), F.greatest(*p).alias("previous_at"))
+    base = (df.groupBy(*keys, scope, at).agg(*[F.sum(c).alias(c) for c in sums], mark.alias("__p"))
+            .withColumn("__sec", F.floor(F.col(at) / F.lit(SECOND)).cast("long")))
+
+    def before(partition, order):
+        w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return {**{c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long") for c in sums}, "__p": F.max("__p").over(w)}
+
+    def totals(rows, by):
+        return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], F.max("__p").alias("__p"))
+
+    second = [*keys, scope, "__sec"]
+    secs = totals(base, second)
+    inner = base.select(*second, at, *[e.alias(f"{n}0") for n, e in before(second, at).items()])
+    carry = secs.select(*second, *[e.alias(f"{n}1") for n, e in before([*keys, scope], "__sec").items()])
+    if across:
+        scopes = totals(secs, [*keys, scope])
+        far = scopes.select(*keys, scope, *[e.alias(f"{n}2") for n, e in before(keys, scope).items()])
+        carry = carry.join(far, [*keys, scope])
+    out = inner.join(carry, second)
+    cols = [(F.col(f"{c}0") + F.col(f"{c}1")).alias(f"{c}_in_scope") for c in sums]
+    if across:
+        cols += [(F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")).alias(f"{c}_before") for c in sums]
+        cols.append(F.greatest("__p0", "__p1", "__p2").alias("previous_at"))
+    return out.select(*keys, at, *cols)
 
 
 def running_number(df: DataFrame, keys: list[str], order: list[str], number: str, blocks: Column) -> DataFrame:
