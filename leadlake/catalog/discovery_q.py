@@ -7,6 +7,7 @@ from leadlake.operators import discovery as D
 from leadlake.operators import intake as I
 from leadlake.operators import places as P
 from leadlake.operators import taxonomy as T
+from leadlake.plans.scratch import cut
 
 
 def profiles(fx):
@@ -121,4 +122,4 @@ m AS (SELECT qs.q, f.*, contains(lower(section_name), qs.q) OR contains(lower(se
 w AS (SELECT *, bool_or(sm) OVER (PARTITION BY q, section) AS s_any FROM m)
 SELECT q, section, division, code FROM w WHERE s_any OR (NOT s_any AND (dm OR am))""")
 def _(fx):
-    return T.taxonomy_search(fx("tax_query"), T.taxonomy_flatten(fx("tree")))
+    return T.taxonomy_search(fx("tax_query"), cut(T.taxonomy_flatten(fx("tree")), "taxonomy"))

@@ -1,12 +1,13 @@
 """Business views over the driver tables.
 
-The statements are portable: Spark runs them over the parquet files and DuckDB as common table
-expressions, so both sides start from the same rows. ``{name}`` is a driver table,
+The statements are portable: Spark runs them over views of the parquet files and DuckDB as common
+table expressions, so both sides start from the same rows. ``{name}`` is a driver table,
 ``{fx_name}`` another view.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -305,11 +306,19 @@ SELECT DISTINCT q FROM (
 PLACEHOLDER = re.compile(r"\{(fx_\w+|" + "|".join(TABLES) + r")\}")
 
 
-def view_sql(spark_dir: str, sql: str) -> str:
-    """Statement over the parquet files of ``spark_dir``."""
+def used_tables(sql: str) -> set[str]:
+    """Driver tables a statement reads, directly or through views."""
+    out: set[str] = set()
+    for name in PLACEHOLDER.findall(sql):
+        out |= used_tables(VIEWS[name]) if name in VIEWS else {name}
+    return out
+
+
+def view_sql(prefix: str, sql: str) -> str:
+    """Statement over the temporary views named ``<prefix>_<table>``."""
     def fill(m):
         name = m.group(1)
-        return f"({view_sql(spark_dir, VIEWS[name])})" if name in VIEWS else f"parquet.`{spark_dir}/{name}.parquet`"
+        return f"({view_sql(prefix, VIEWS[name])})" if name in VIEWS else f"{prefix}_{name}"
 
     return PLACEHOLDER.sub(fill, sql)
 
@@ -341,11 +350,21 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
+    @property
+    def prefix(self) -> str:
+        return "sf_" + hashlib.md5(self.dir.encode()).hexdigest()[:12]
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """Driver table behind a temporary view, so its files are inspected once per session."""
+        view = f"{self.prefix}_{name}"
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(f"{self.dir}/{name}.parquet").createOrReplaceTempView(view)
+        return self.spark.table(view)
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(view_sql(self.dir, text))
+        for name in used_tables(text):
+            self.table(name)
+        return self.spark.sql(view_sql(self.prefix, text))
 
     def __call__(self, name: str) -> DataFrame:
         return self.sql(VIEWS[f"fx_{name}"])

@@ -70,7 +70,7 @@ def _(fx):
 @query("enrichment_request_stream", f"SELECT change_id AS event_id, prospect_id, lpad(cast(prospect_id AS string), 14, '0') AS cnpj, changed_at AS requested_at FROM ({enrich_q.ENTRY})")
 def _(fx):
     requests = E.enrichment_requests(E.stage_entry(fx("stage_change")))
-    again = doubled(requests, "event_id % 2 = 0")
+    again = doubled(requests, "requested_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'")
     once = A.dedupe_stream(replay(fx, again, "requests", "event_id"), ["event_id"], "2 minutes")
     out = new_dir(fx.spark, "requests")
     A.write_rows(once, new_dir(fx.spark, "ck-requests"), out).awaitTermination()

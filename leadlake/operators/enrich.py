@@ -124,10 +124,12 @@ def company_name_resolve(names: DataFrame, prospects: DataFrame) -> DataFrame:
     key = F.lower(F.trim("name"))
     asked = names.withColumn("key", key).filter(F.col("key") != "")
     wanted = asked.select("org_id", "key").distinct()
-    legal = prospects.select("org_id", "id", F.lower("company_name").alias("text"))
-    trade = prospects.filter(F.col("trade_name").isNotNull()).select("org_id", "id", F.lower("trade_name").alias("text"))
-    equal = wanted.join(legal.withColumnRenamed("text", "key"), ["org_id", "key"]).withColumn("tier", F.lit(0))
-    parts = substring_pairs(wanted, "key", legal.unionByName(trade), "text", ["org_id"], ["id"]).withColumn("tier", F.lit(1))
+    equal = wanted.join(prospects.select("org_id", "id", F.lower("company_name").alias("key")), ["org_id", "key"])
+    rest = wanted.join(equal.select("org_id", "key").distinct(), ["org_id", "key"], "left_anti")
+    texts = prospects.select("org_id", "id", F.explode(F.array_compact(F.array(
+        F.lower("company_name"), F.lower("trade_name")))).alias("text"))
+    parts = substring_pairs(rest, "key", texts, "text", ["org_id"], ["id"]).withColumn("tier", F.lit(1))
+    equal = equal.withColumn("tier", F.lit(0))
     best = (equal.unionByName(parts).groupBy("org_id", "key")
             .agg(F.min(F.struct("tier", "id")).alias("m"))
             .select("org_id", "key", F.col("m.tier").alias("tier"), F.col("m.id").alias("prospect_id")))

@@ -54,10 +54,10 @@ def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_value_extract(facts: DataFrame, value: str = "value_json") -> DataFrame:
     """Display text of a JSON fact value and its confidence in whole percent."""
-    v = F.try_parse_json(value)
+    v, kind = F.col("__v"), F.col("__kind")
     members = [F.try_variant_get(v, f"$.{m}", "string") for m in ("value", "url", "domain", "name", "label")]
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    shown = (F.when(v.isNull() | (F.schema_of_variant(v) == "VOID"), F.lit("—"))
-             .when(is_object, F.coalesce(*members, F.to_json(v)))
+    shown = (F.when(kind.isNull() | (kind == "VOID"), F.lit("—"))
+             .when(kind.startswith("OBJECT"), F.coalesce(*members, F.to_json(v)))
              .otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
-    return facts.withColumns({"display": shown, "percent": half_up(F.col("confidence") * 100).cast("int")})
+    return (facts.withColumn("__v", F.try_parse_json(value)).withColumn("__kind", F.schema_of_variant("__v"))
+            .withColumns({"display": shown, "percent": half_up(F.col("confidence") * 100).cast("int")}).drop("__v", "__kind"))

@@ -37,18 +37,16 @@ def taxonomy_search(queries: DataFrame, flat: DataFrame) -> DataFrame:
     """
     q = queries.select(F.lower(F.trim("q")).alias("q")).distinct()
 
-    def texts(kind, ids, *cols):
-        null = F.lit(None).cast("string")
-        keys = [(F.col(c) if c in ids else null).alias(c) for c in ("section", "division", "code")]
-        rows = [flat.select(F.lit(kind).alias("kind"), *keys, F.lower(c).alias("t")) for c in cols]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out.distinct() if kind != "activity" else out
+    null = F.lit(None).cast("string")
 
-    searched = (texts("section", ["section"], "section_name", "section_official")
-                .unionByName(texts("division", ["section", "division"], "division_name"))
-                .unionByName(texts("activity", ["section", "division", "code"], "activity", "dotted", "code")))
+    def text(kind, c, division=null, code=null):
+        return F.struct(F.lit(kind).alias("kind"), F.col("section").alias("section"), division.alias("division"),
+                        code.alias("code"), F.lower(c).alias("t"))
+
+    d, c = F.col("division"), F.col("code")
+    searched = flat.select(F.inline(F.array(
+        text("section", "section_name"), text("section", "section_official"), text("division", "division_name", d),
+        text("activity", "activity", d, c), text("activity", "dotted", d, c), text("activity", "code", d, c)))).distinct()
     hits = substring_pairs(q, "q", searched, "t", [], ["kind", "section", "division", "code"])
     sections, divisions = flat.select("section").distinct(), flat.select("section", "division").distinct()
     # A blank query counts as a match of every section.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadlake.plans.balance import top_k
 
 QUERIES_PER_PASS = 4096
+BLOCK = 256
 
 
 def _unit(rows) -> np.ndarray:
@@ -18,26 +19,32 @@ def _unit(rows) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
+def _keep(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best k columns of each row, ties to the smaller key."""
+    by_key = np.argsort(keys, axis=1, kind="stable")
+    sims, keys = np.take_along_axis(sims, by_key, 1), np.take_along_axis(keys, by_key, 1)
+    by_sim = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(sims, by_sim, 1), np.take_along_axis(keys, by_sim, 1)
+
+
 def _one_pass(queries: list, vectors: DataFrame, k: int, id_type: str, q_type: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(([q[0] for q in queries], _unit([q[1] for q in queries])))
 
     def nearest(batches):
         ids, mat = shared.value
-        sims = np.empty((len(ids), 0))
-        keys = np.empty((len(ids), 0), dtype="int64")
+        blocks = [(ids[i:i + BLOCK], mat[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+        best = [(np.empty((len(b), 0)), np.empty((len(b), 0), dtype="int64")) for b, _ in blocks]
         for pdf in batches:
             if not len(pdf):
                 continue
-            new = pdf["vec_id"].to_numpy()
-            sims = np.hstack([sims, mat @ _unit(pdf["embedding"]).T])
-            keys = np.hstack([keys, np.broadcast_to(new, (len(ids), len(new)))])
-            keep = np.argsort(keys, axis=1, kind="stable")
-            sims, keys = np.take_along_axis(sims, keep, 1), np.take_along_axis(keys, keep, 1)
-            keep = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            sims, keys = np.take_along_axis(sims, keep, 1), np.take_along_axis(keys, keep, 1)
-        n = keys.shape[1]
-        if n:
-            yield pd.DataFrame({"query_id": np.repeat(np.asarray(ids), n), "vec_id": keys.ravel(), "similarity": sims.ravel()})
+            keys, unit = pdf["vec_id"].to_numpy(), _unit(pdf["embedding"]).T
+            for i, (b, m) in enumerate(blocks):
+                best[i] = _keep(np.hstack([best[i][0], m @ unit]),
+                                np.hstack([best[i][1], np.broadcast_to(keys, (len(b), len(keys)))]), k)
+        for (b, _), (sims, keys) in zip(blocks, best):
+            if keys.shape[1]:
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(b), keys.shape[1]), "vec_id": keys.ravel(),
+                                    "similarity": sims.ravel()})
 
     return vectors.select("vec_id", "embedding").mapInPandas(
         nearest, f"query_id {q_type}, vec_id {id_type}, similarity double")

@@ -8,18 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by the cluster; a private one only in a local session that names none."""
-    base = spark.conf.get(SETTING, None)
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if base:
-        return base
+        return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="leadlake-")
-    spark.conf.set(SETTING, base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="leadlake-")
+    return _local[app]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

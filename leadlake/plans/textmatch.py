@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _grams(c: Column, size: int) -> Column:
-    last = F.length(c) - size + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(size)))),
-    ).otherwise(F.array().cast("array<string>"))
+def _with_grams(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """One row per distinct piece of the given sizes, in ``__gram``.
+
+    A piece counts where it first occurs, which drops repeats without a shuffle.
+    """
+    t, at = F.col(text), F.col("__at")
+    spots = df.withColumn("__at", F.explode(F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t)))))
+    pieces = spots.withColumn("__gram", F.explode(F.array(*[
+        F.when(at + (n - 1) <= F.length(t), F.substr(t, at, F.lit(n))) for n in sizes])))
+    return pieces.filter(F.instr(t, F.col("__gram")) == at).drop("__at")
 
 
 def substring_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str,
                     scope: list[str], text_id: list[str]) -> DataFrame:
-    """Pairs (scope, needle, text_id) where the text contains the needle.
+    """Pairs (scope, needle, text_id) where the text contains the needle. Exact.
 
-    Texts are indexed by their 1- to 3-character grams that some needle uses; each distinct
-    needle probes with its rarest gram only, then the match is verified. Exact.
+    Texts are indexed by the pieces of up to three characters that some needle uses. Each
+    distinct needle probes with its rarest piece only (a shorter needle is its own piece) and
+    the match is verified, so a piece shared by most texts is not what drives the join.
     """
     wanted = needles.select(*scope, needle).filter(F.length(needle) > 0).distinct()
-    probe = F.when(F.length(needle) >= GRAM, _grams(F.col(needle), GRAM)).otherwise(F.array(F.col(needle)))
-    probes = wanted.withColumn("__gram", F.explode(probe))
-    sizes = [_grams(F.col(text), s) for s in range(1, GRAM + 1)]
-    index = (texts.select(*scope, *text_id, F.col(text).alias("__text"), F.explode(F.concat(*sizes)).alias("__gram"))
+    probes = _with_grams(wanted, needle, [1, 2, 3]).filter(F.length("__gram") == F.least(F.lit(GRAM), F.length(needle)))
+    index = (_with_grams(texts.select(*scope, *text_id, F.col(text).alias("__text")), "__text", [1, 2, 3])
              .join(probes.select(*scope, "__gram").distinct(), [*scope, "__gram"], "left_semi"))
     weights = index.groupBy(*scope, "__gram").agg(F.count(F.lit(1)).alias("__df"))
     rarest = (probes.join(weights, [*scope, "__gram"], "left")
