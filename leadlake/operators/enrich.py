@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlake.functions import fixed
 from leadlake.functions.columns import cnpj_valid, digits, first_present, lookup, name_uuid, present
 from leadlake.operators.fold import Fold
-from leadlake.plans.balance import attach_rows, first_row, previous_value
+from leadlake.plans.balance import attach_rows, first_row, join_hot, previous_value
 from leadlake.plans.textmatch import substring_pairs
 
 SOURCE = "brasilapi.cnpj.v1"
@@ -133,7 +133,7 @@ def company_name_resolve(names: DataFrame, prospects: DataFrame) -> DataFrame:
     best = (equal.unionByName(parts).groupBy("org_id", "key")
             .agg(F.min(F.struct("tier", "id")).alias("m"))
             .select("org_id", "key", F.col("m.tier").alias("tier"), F.col("m.id").alias("prospect_id")))
-    return asked.join(best, ["org_id", "key"], "left").select("name_id", "org_id", "prospect_id", "tier")
+    return join_hot(asked, best, ["org_id", "key"]).select("name_id", "org_id", "prospect_id", "tier")
 
 
 def _kept_results(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.columns import half_up
-from leadlake.plans.balance import first_row, top_k
+from leadlake.plans.balance import attach_rows, first_row, join_hot, top_k
 
 MAX_EDGES = 16
 MAX_NODES = 8
@@ -21,7 +21,7 @@ def company_graph_latest(snapshots: DataFrame, facts: DataFrame) -> DataFrame:
     latest = first_row(snapshots, ["company_key"], [F.col("enriched_at").desc_nulls_last(), F.col("version").desc()])
     label = (F.when(F.col("confidence") >= 0.85, "alta").when(F.col("confidence") >= 0.65, "média")
              .when(F.col("confidence").isNotNull(), "baixa"))
-    return latest.join(facts, ["company_key", "version"], "left").withColumn("confidence_label", label)
+    return attach_rows(latest, facts, ["company_key", "version"]).withColumn("confidence_label", label)
 
 
 def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     company = (nodes.filter(F.col("type") == "COMPANY").groupBy("company_key")
                .agg(F.min_by("id", "pos").alias("__company")))
-    shown = nodes.join(company, "company_key", "left")
+    shown = join_hot(nodes, company, ["company_key"])
     with_company = shown.filter(F.col("__company").isNotNull() & (F.col("id") != F.col("__company")))
     without = top_k(shown.filter(F.col("__company").isNull()), ["company_key"], [F.col("pos")], MAX_NODES, "__r").drop("__r")
     visible = with_company.unionByName(without).groupBy("company_key", "id").agg(F.count(F.lit(1)).alias("__n"))

@@ -10,7 +10,7 @@ from leadlake.functions.columns import (
     chat_id, clamp, cnpj_format, cnpj_valid, digits, name_uuid, phone_normalise, phone_of_chat, present, short_key,
     trimmed,
 )
-from leadlake.plans.balance import first_row, top_k, with_totals
+from leadlake.plans.balance import first_row, join_hot, top_k, with_totals
 
 
 def org_scope(df: DataFrame, orgs: DataFrame, org_col: str = "org_id") -> DataFrame:
@@ -170,7 +170,9 @@ def lead_intake(incoming: DataFrame, prospects: DataFrame, orgs: DataFrame) -> D
                       ["org_id", "cnpj"], [F.col("arrival"), F.col("kind")])
     used = prospects.groupBy("org_id").agg(F.count(F.lit(1)).alias("__used"))
     plans = orgs.select(F.col("id").alias("org_id"), (F.col("plan") == "premium").alias("__premium"))
-    marked = (fresh.join(plans, "org_id", "left").join(used, "org_id", "left")
+    tenants = plans.join(used, "org_id", "full")
+    arriving = incoming.groupBy("org_id").agg(F.count(F.lit(1)).alias("__n"))
+    marked = (join_hot(fresh, tenants, ["org_id"], counts=arriving)
               .withColumn("__left", F.greatest(F.lit(0), F.lit(fixed.TRIAL_LEAD_LIMIT) - F.coalesce("__used", F.lit(0)))))
     premium = F.coalesce("__premium", F.lit(False))
     # Premium leads get a slot of their own each, so one ranking serves both plans.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import fixed
-from leadlake.plans.balance import top_k, with_totals
+from leadlake.plans.balance import join_hot, top_k, with_totals
 
 LIST_COLUMNS = [
     "id", "cnpj", "company_name", "status", "opportunity_score", "revenue_estimate", "employees", "industry", "city",
@@ -50,7 +50,7 @@ def plan_redact(df: DataFrame, orgs: DataFrame, org_col: str = "org_id") -> Data
     plans = orgs.select(F.col("id").alias(org_col), F.col("plan").alias("__plan"))
     premium = F.coalesce(F.col("__plan") == "premium", F.lit(False))
     hidden = {c: F.when(F.col("__premium"), F.col(c)) for c in fixed.RESTRICTED_FIELDS if c in df.columns}
-    return (df.join(plans, org_col, "left").withColumn("__premium", premium)
+    return (join_hot(df, plans, [org_col]).withColumn("__premium", premium)
             .withColumns({**hidden, "data_restricted": ~F.col("__premium")})
             .drop("__plan", "__premium"))
 

@@ -9,7 +9,7 @@ from leadlake.functions import fixed
 from leadlake.functions.columns import is_opt_out, lookup, phone_normalise, phone_of_chat, present
 from leadlake.operators.fold import Fold
 from leadlake.operators.outreach import campaign_stagger
-from leadlake.plans.balance import first_row, running_number
+from leadlake.plans.balance import first_row, join_hot, running_number
 from leadlake.sources.upsert import upsert
 
 CHANNEL = "whatsapp"
@@ -275,10 +275,10 @@ def optout_propagate(optouts: DataFrame, state: DataFrame, conversations: DataFr
     by_lead = (optouts.filter(F.col("phone").isNull() & F.col("prospect_id").isNotNull())
                .select("prospect_id").distinct().withColumn("__l", F.lit(True)))
     phones = by_phone.select("phone_number").distinct().withColumn("__p", F.lit(True))
-    conv = conversations.join(by_phone.withColumn("__p", F.lit(True)), ["org_id", "phone_number"], "left")
+    conv = join_hot(conversations, by_phone.withColumn("__p", F.lit(True)), ["org_id", "phone_number"])
     conv = conv.withColumn("status", F.when(F.col("__p"), "OPTED_OUT").otherwise(F.col("status"))).drop("__p")
     hit = F.coalesce("__p", "__l", F.lit(False)) & ~F.col("status").isin("COMPLETED", "CANCELLED")
-    c = (contacts.join(phones, "phone_number", "left").join(by_lead, "prospect_id", "left")
+    c = (join_hot(join_hot(contacts, phones, ["phone_number"]), by_lead, ["prospect_id"])
          .withColumn("__hit", hit)
          .withColumn("status", F.when(F.col("__hit"), "OPTED_OUT").otherwise(F.col("status")))
          .withColumn("cancel_reason", F.when(F.col("__hit"), "opted_out")).drop("__p", "__l", "__hit"))
@@ -405,9 +405,11 @@ def sequence_decide(due: DataFrame, contacts: DataFrame, campaigns: DataFrame, p
     n = steps.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("__steps"))
     done = messages.select(F.col("campaign_contact_id").alias("contact_id"), "step_index", F.lit(True).alias("__done")).distinct()
     r = rate.select("contact_id", F.col("allowed").alias("__ok"), "retry_ms")
-    j = (due.join(c, "contact_id", "left").join(k, "campaign_id", "left").join(a, "wa_account_id", "left")
-         .join(p, "prospect_id", "left").join(n, "campaign_id", "left").join(s, ["campaign_id", "step_index"], "left")
-         .join(done, ["contact_id", "step_index"], "left").join(r, "contact_id", "left"))
+    tenant = k.join(a, "wa_account_id", "left").join(n, "campaign_id", "left")
+    j = due.join(c, "contact_id", "left").join(done, ["contact_id", "step_index"], "left").join(r, "contact_id", "left")
+    crowd = contacts.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("__n"))
+    j = (join_hot(j, tenant, ["campaign_id"], counts=crowd).join(s, ["campaign_id", "step_index"], "left")
+         .join(p, "prospect_id", "left"))
     j = contactable(j, state, "prospect_id")
     j = j.withColumns({"content": render(F.col("message_template"), _lead_values()), "phone": phone_normalise("phone_number")})
 

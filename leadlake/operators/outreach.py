@@ -10,7 +10,7 @@ from leadlake.functions.columns import present, short_key
 from leadlake.operators.fold import Fold
 from leadlake.operators.intake import owned_ids_check
 from leadlake.operators.rates import EMAIL, RateConfig, send_jitter
-from leadlake.plans.balance import top_k
+from leadlake.plans.balance import join_hot, top_k
 
 EMAIL_PATTERN = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 LATEST_EVENTS = 50
@@ -85,9 +85,9 @@ def reply_attribution(replies: DataFrame, messages: DataFrame, contacts: DataFra
     live = contacts.filter(~_is_terminal()).select(F.col("id").alias("contact_id"))
     threads = (messages.filter(F.col("thread_id").isNotNull()).select("thread_id", "contact_id")
                .join(live, "contact_id", "left_semi").groupBy("thread_id").agg(F.min("contact_id").alias("contact_id")))
-    return (replies.join(own, "account_id", "left")
-            .filter(F.col("__own").isNull() | ~F.contains(F.col("from_email"), F.col("__own")))
-            .drop("__own").join(threads, "thread_id"))
+    others = (join_hot(replies, own, ["account_id"])
+              .filter(F.col("__own").isNull() | ~F.contains(F.col("from_email"), F.col("__own"))).drop("__own"))
+    return join_hot(others, threads, ["thread_id"], "inner")
 
 
 def reply_stats(replies: DataFrame) -> DataFrame:

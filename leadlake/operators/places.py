@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.columns import place_key
-from leadlake.plans.balance import top_k
+from leadlake.plans.balance import join_hot, top_k
 from leadlake.plans.textmatch import near_pairs
 
 
@@ -15,7 +15,7 @@ def location_resolve(labels: DataFrame, gazetteer: DataFrame) -> DataFrame:
     by_label = gazetteer.select("code", place_key(F.concat("n", F.lit(", "), "uf")).alias("key"))
     by_code = gazetteer.select("code", F.col("code").cast("string").alias("key"))
     keys = by_label.unionByName(by_code).groupBy("key").agg(F.min("code").alias("code"))
-    return labels.withColumn("key", place_key("label")).join(keys, "key", "left").drop("key")
+    return join_hot(labels.withColumn("key", place_key("label")), keys, ["key"]).drop("key")
 
 
 def location_fuzzy(queries: DataFrame, gazetteer: DataFrame, k: int = 8) -> DataFrame:
@@ -46,4 +46,4 @@ def location_fuzzy(queries: DataFrame, gazetteer: DataFrame, k: int = 8) -> Data
     ).select("__q", "code", "score", "distance")
     ranked = top_k(prefix_hits.unionByName(near_hits), ["__q"],
                    [(F.col("distance") > 0), F.col("score").desc(), F.col("code")], k)
-    return asked.select("qid", "q", "__q").join(ranked, "__q").drop("__q")
+    return join_hot(asked.select("qid", "q", "__q"), ranked, ["__q"], "inner").drop("__q")

@@ -11,14 +11,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD = 64
-SECOND = 1_000_000
-DAY = 86_400 * SECOND
+MINUTE = 60_000_000
+DAY = 86_400_000_000
+HOT_KEYS = 20_000
+HOT_ROWS = 1_000_000
+ONE_TASK_BYTES = 256 << 20
 
 
-def with_totals(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    """Attach group aggregates: partial aggregation, then a join AQE may broadcast or split."""
-    totals = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return df.join(totals, keys, "left")
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's own size estimate of a plan's output."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def needs_spreading(left: DataFrame, right: DataFrame) -> bool:
+    """Not if the right side may be broadcast anyway, or all of the left side suits one task."""
+    limit = int(left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return planned_bytes(right) > limit and planned_bytes(left) > ONE_TASK_BYTES
+
+
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, counts: DataFrame,
+                 hot_rows: int) -> DataFrame:
+    """Join after salting the keys that hold many rows of ``left`` (``counts``: keys, __n).
+
+    Keys with more than one row in HOT_KEYS of all rows are hot, so there are fewer than HOT_KEYS
+    of them however large the data: that list is broadcast. Their rows spread over SPREAD
+    buckets and their right-hand rows are copied to each. Rows with a null key match nothing
+    and spread too.
+    """
+    rows = counts.agg(F.sum("__n")).scalar()
+    hot = counts.filter(F.col("__n") > F.greatest(rows / F.lit(HOT_KEYS), F.lit(hot_rows))).select(
+        *keys, F.lit(True).alias("__hot"))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    plain = [n for n, t in left.dtypes if not t.startswith(("map", "variant"))]
+    salt = F.when(F.coalesce("__hot", no_key), F.pmod(F.xxhash64(*plain), F.lit(SPREAD))).otherwise(0)
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return salted.join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
+             counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join a large side, any key of which may be crowded, with a side of few rows per key.
+
+    Crowded keys are salted unless the sides are small: AQE cannot split them where the right
+    side is an aggregate or a chain of joins on one key. ``counts`` (keys, __n) may name a
+    cheaper table that has the same crowded keys; else the left side is counted.
+    """
+    if not needs_spreading(left, right):
+        return left.join(right, keys, how)
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return _spread_join(left, right, keys, how, counts, hot_rows)
+
+
+def with_totals(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, **aggs: Column) -> DataFrame:
+    """Attach group aggregates: partial aggregation, then a join that spreads crowded keys."""
+    totals = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()], F.count(F.lit(1)).alias("__n"))
+    right = totals.drop("__n")
+    if not needs_spreading(df, right):
+        return df.join(right, keys, "left")
+    return _spread_join(df, right, keys, "left", totals.select(*keys, "__n"), hot_rows)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
@@ -48,16 +103,16 @@ def running_before(df: DataFrame, keys: list[str], at: str, scope: str, sums: li
     """For every (keys, instant): sums over strictly earlier instants, and the latest such instant.
 
     ``at`` is microseconds since the epoch and ``scope`` a coarser bucket that grows with it,
-    such as a day. Rows of one instant collapse first; then prefixes are built inside a second,
-    over the seconds of a scope and, with ``across``, over scopes. No task sees more than the
-    distinct instants of one second, the seconds of one scope or the scopes of one key. With
+    such as a day. Rows of one instant collapse first; then prefixes are built inside a minute,
+    over the minutes of a scope and, with ``across``, over scopes. No task sees more than the
+    distinct instants of one minute, the minutes of one scope or the scopes of one key. With
     ``real`` (boolean) only instants having such a row count as the latest one.
 
     Output: keys, at, ``<sum>_in_scope`` and, with ``across``, ``<sum>_before`` and previous_at.
     """
     mark = F.max(F.when(F.col(real), F.col(at))) if real else F.max(at)
     base = (df.groupBy(*keys, scope, at).agg(*[F.sum(c).alias(c) for c in sums], mark.alias("__p"))
-            .withColumn("__sec", F.floor(F.col(at) / F.lit(SECOND)).cast("long")))
+            .withColumn("__slot", F.floor(F.col(at) / F.lit(MINUTE)).cast("long")))
 
     def before(partition, order):
         w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -66,15 +121,15 @@ def running_before(df: DataFrame, keys: list[str], at: str, scope: str, sums: li
     def totals(rows, by):
         return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], F.max("__p").alias("__p"))
 
-    second = [*keys, scope, "__sec"]
-    secs = totals(base, second)
-    inner = base.select(*second, at, *[e.alias(f"{n}0") for n, e in before(second, at).items()])
-    carry = secs.select(*second, *[e.alias(f"{n}1") for n, e in before([*keys, scope], "__sec").items()])
+    slot = [*keys, scope, "__slot"]
+    slots = totals(base, slot)
+    inner = base.select(*slot, at, *[e.alias(f"{n}0") for n, e in before(slot, at).items()])
+    carry = slots.select(*slot, *[e.alias(f"{n}1") for n, e in before([*keys, scope], "__slot").items()])
     if across:
-        scopes = totals(secs, [*keys, scope])
+        scopes = totals(slots, [*keys, scope])
         far = scopes.select(*keys, scope, *[e.alias(f"{n}2") for n, e in before(keys, scope).items()])
         carry = carry.join(far, [*keys, scope])
-    out = inner.join(carry, second)
+    out = inner.join(carry, slot)
     cols = [(F.col(f"{c}0") + F.col(f"{c}1")).alias(f"{c}_in_scope") for c in sums]
     if across:
         cols += [(F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")).alias(f"{c}_before") for c in sums]
@@ -122,5 +177,5 @@ def attach_rows(parents: DataFrame, children: DataFrame, keys: list[str]) -> Dat
     parents; a left outer join could only split the parent side.
     """
     matched = parents.join(children, keys)
-    childless = parents.join(children.select(*keys), keys, "left_anti")
+    childless = parents.join(children.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(childless, allowMissingColumns=True)
