@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.columns import half_up, micros
-from leadlake.plans.balance import DAY, running_before
+from leadlake.plans.balance import DAY, HOT_ROWS, running_before, split_hot
 
 HOUR = 3_600_000_000
 
@@ -30,34 +30,55 @@ EMAIL = RateConfig(daily=30, hourly=5, min_gap=60, max_gap=600, opens=9, closes=
 MESSAGING = RateConfig(daily=50, hourly=10, min_gap=45, max_gap=180, opens=8, closes=20, recipient_daily=4)
 
 
-def rate_audit(sends: DataFrame, cfg: RateConfig) -> DataFrame:
-    """Earlier sends that local day and hour, gap to the last one, first failing rule, retry delay.
+def _account_counts(s: DataFrame, hot_rows: int) -> DataFrame:
+    """Adds sent_today, sent_last_hour and __prev.
 
-    ``sends``: send_id, account_id, recipient_id, sent_at (UTC). Counters come from prefixes
-    built over seconds and days, so one busy account does not land in one task. A send counts
-    into the rolling hour at its instant and out of it one hour later.
+    Ordinary accounts use windows of one account. Crowded ones use prefixes built over minutes
+    and days; there a send counts into the rolling hour at its instant and out one hour later.
     """
-    def local(t):
-        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(t), cfg.zone))
-
-    def local_day(t):
-        return F.floor(local(t) / F.lit(DAY)).cast("long")
-
-    s = sends.withColumn("__t", micros("sent_at"))
-    enter = s.select("account_id", "__t", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
-    leave = s.select("account_id", (F.col("__t") + F.lit(HOUR)).alias("__t"), F.lit(0).alias("n"), F.lit(-1).alias("hour"),
-                     F.lit(False).alias("__real"))
-    moves = enter.unionByName(leave).withColumn("__day", local_day(F.col("__t")))
-    counts = running_before(moves, ["account_id"], "__t", "__day", ["n", "hour"], "__real").select(
-        "account_id", "__t", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
+    cold, hot = split_hot(s, ["account_id"], hot_rows)
+    timeline = Window.partitionBy("account_id").orderBy("__t")
+    out = cold.withColumns({
+        "sent_today": F.count(F.lit(1)).over(
+            Window.partitionBy("account_id", "__day").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)),
+        "sent_last_hour": F.count(F.lit(1)).over(timeline.rangeBetween(-HOUR, -1)),
+        "__prev": F.max("__t").over(timeline.rangeBetween(Window.unboundedPreceding, -1))})
+    if hot is None:
+        return out
+    enter = hot.select("account_id", "__t", "__day", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
+    later = F.col("__t") + F.lit(HOUR)
+    leave = hot.select("account_id", later.alias("__t"), F.floor((F.col("__local") + F.lit(HOUR)) / F.lit(DAY)).cast("long").alias("__day"),
+                       F.lit(0).alias("n"), F.lit(-1).alias("hour"), F.lit(False).alias("__real"))
+    counts = running_before(enter.unionByName(leave), ["account_id"], "__t", "__day", ["n", "hour"], "__real").select(
+        "account_id", "__t", "__day", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
         F.col("previous_at").alias("__prev"))
-    out = s.join(counts, ["account_id", "__t"])
+    return out.unionByName(hot.join(counts, ["account_id", "__t", "__day"]))
+
+
+def _recipient_counts(s: DataFrame, hot_rows: int) -> DataFrame:
+    """recipient_today per (recipient, day, instant), from the sends alone."""
+    rows = s.select("recipient_id", "__t", "__day", F.lit(1).alias("n"))
+    cold, hot = split_hot(rows, ["recipient_id"], hot_rows)
+    day = Window.partitionBy("recipient_id", "__day").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    out = cold.groupBy("recipient_id", "__day", "__t").agg(F.sum("n").alias("n")).select(
+        "recipient_id", "__day", "__t", F.coalesce(F.sum("n").over(day), F.lit(0)).alias("recipient_today"))
+    if hot is None:
+        return out
+    counts = running_before(hot, ["recipient_id"], "__t", "__day", ["n"], across=False)
+    return out.unionByName(counts.withColumnRenamed("n_in_scope", "recipient_today"))
+
+
+def rate_audit(sends: DataFrame, cfg: RateConfig, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Earlier sends that local day and hour, gap to the last one, first failing rule, retry delay.
+
+    ``sends``: send_id, account_id, recipient_id, sent_at (UTC).
+    """
+    s = sends.withColumn("__t", micros("sent_at")).withColumn(
+        "__local", F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("__t"), cfg.zone)))
+    s = s.withColumn("__day", F.floor(F.col("__local") / F.lit(DAY)).cast("long"))
+    out = _account_counts(s, hot_rows)
     if cfg.recipient_daily is not None:
-        per = s.select("recipient_id", "__t", F.lit(1).alias("n")).withColumn("__day", local_day(F.col("__t")))
-        per_recipient = running_before(per, ["recipient_id"], "__t", "__day", ["n"], across=False).select(
-            "recipient_id", "__t", F.col("n_in_scope").alias("recipient_today"))
-        out = out.join(per_recipient, ["recipient_id", "__t"])
-    out = out.withColumn("__local", local(F.col("__t")))
+        out = out.join(_recipient_counts(s, hot_rows), ["recipient_id", "__day", "__t"])
     gap_ms = F.floor((F.col("__t") - F.col("__prev")) / F.lit(1000)).cast("long")
     of_day = F.pmod(F.col("__local"), F.lit(DAY))
     opens, closes = cfg.opens * HOUR, cfg.closes * HOUR
@@ -78,7 +99,7 @@ def rate_audit(sends: DataFrame, cfg: RateConfig) -> DataFrame:
         retry = F.when(broken, wait) if retry is None else retry.when(broken, wait)
     return (out.withColumns({"gap_ms": gap_ms, "in_hours": open_now, "rule": rule, "retry_ms": retry})
             .withColumn("allowed", F.col("rule").isNull())
-            .drop("__t", "__local", "__prev"))
+            .drop("__t", "__local", "__day", "__prev"))
 
 
 def email_rate_audit(sends: DataFrame, cfg: RateConfig = EMAIL) -> DataFrame:

@@ -15,7 +15,7 @@ MINUTE = 60_000_000
 DAY = 86_400_000_000
 HOT_KEYS = 20_000
 HOT_ROWS = 1_000_000
-ONE_TASK_BYTES = 256 << 20
+ONE_TASK_BYTES = 64 << 20
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -29,26 +29,41 @@ def needs_spreading(left: DataFrame, right: DataFrame) -> bool:
     return planned_bytes(right) > limit and planned_bytes(left) > ONE_TASK_BYTES
 
 
-def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, counts: DataFrame,
-                 hot_rows: int) -> DataFrame:
-    """Join after salting the keys that hold many rows of ``left`` (``counts``: keys, __n).
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than one row in HOT_KEYS of all rows (``counts``: keys, __n).
 
-    Keys with more than one row in HOT_KEYS of all rows are hot, so there are fewer than HOT_KEYS
-    of them however large the data: that list is broadcast. Their rows spread over SPREAD
-    buckets and their right-hand rows are copied to each. Rows with a null key match nothing
-    and spread too.
+    There are fewer than HOT_KEYS of them however large the data, so the list may be broadcast.
     """
     rows = counts.agg(F.sum("__n")).scalar()
-    hot = counts.filter(F.col("__n") > F.greatest(rows / F.lit(HOT_KEYS), F.lit(hot_rows))).select(
+    return counts.filter(F.col("__n") > F.greatest(rows / F.lit(HOT_KEYS), F.lit(hot_rows))).select(
         *keys, F.lit(True).alias("__hot"))
+
+
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys and rows of crowded ones; small inputs are not split."""
+    if hot_rows == HOT_ROWS and planned_bytes(df) <= ONE_TASK_BYTES:
+        return df, None
+    hot = F.broadcast(hot_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, hot_rows))
+    marked = df.join(hot, keys, "left")
+    return marked.filter(F.col("__hot").isNull()).drop("__hot"), marked.filter(F.col("__hot")).drop("__hot")
+
+
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, counts: DataFrame,
+                 hot_rows: int) -> DataFrame:
+    """Join after salting the crowded keys of ``left``.
+
+    Their rows spread over SPREAD buckets and their right-hand rows are copied to each. Rows
+    with a null key match nothing and spread too.
+    """
+    hot = F.broadcast(hot_keys(counts, keys, hot_rows))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     plain = [n for n, t in left.dtypes if not t.startswith(("map", "variant"))]
     salt = F.when(F.coalesce("__hot", no_key), F.pmod(F.xxhash64(*plain), F.lit(SPREAD))).otherwise(0)
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    salted = left.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return salted.join(copied, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -108,7 +123,7 @@ def running_before(df: DataFrame, keys: list[str], at: str, scope: str, sums: li
     distinct instants of one minute, the minutes of one scope or the scopes of one key. With
     ``real`` (boolean) only instants having such a row count as the latest one.
 
-    Output: keys, at, ``<sum>_in_scope`` and, with ``across``, ``<sum>_before`` and previous_at.
+    Output: keys, scope, at, ``<sum>_in_scope`` and, with ``across``, ``<sum>_before`` and previous_at.
     """
     mark = F.max(F.when(F.col(real), F.col(at))) if real else F.max(at)
     base = (df.groupBy(*keys, scope, at).agg(*[F.sum(c).alias(c) for c in sums], mark.alias("__p"))
@@ -134,7 +149,7 @@ def running_before(df: DataFrame, keys: list[str], at: str, scope: str, sums: li
     if across:
         cols += [(F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")).alias(f"{c}_before") for c in sums]
         cols.append(F.greatest("__p0", "__p1", "__p2").alias("previous_at"))
-    return out.select(*keys, at, *cols)
+    return out.select(*keys, scope, at, *cols)
 
 
 def running_number(df: DataFrame, keys: list[str], order: list[str], number: str, blocks: Column) -> DataFrame:
