@@ -50,7 +50,7 @@ def taxonomy_search(queries: DataFrame, flat: DataFrame) -> DataFrame:
     hits = substring_pairs(q, "q", searched, "t", [], ["kind", "section", "division", "code"])
     sections, divisions = flat.select("section").distinct(), flat.select("section", "division").distinct()
     # A blank query counts as a match of every section.
-    named = sections.select(F.lower("section").alias("q"), "section").unionByName(sections.select(F.lit("").alias("q"), "section"))
+    named = sections.select(F.explode(F.array(F.lower("section"), F.lit(""))).alias("q"), "section")
     s_hit = (hits.filter("kind = 'section'").select("q", "section")
              .unionByName(named.join(q, "q", "left_semi")).distinct())
     d_hit = (hits.filter("kind = 'division'").select("q", "section", "division")
