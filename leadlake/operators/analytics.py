@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions import fixed
@@ -100,13 +100,15 @@ def deal_mix(prospects: DataFrame) -> DataFrame:
         F.sum(F.when(stated, F.col("revenue_estimate")).otherwise(0).cast("decimal(28,0)")).alias("__stated"),
         F.sum(F.when(~stated, weight).otherwise(0)).alias("__open"), F.sum(weight).alias("__weight"),
         F.count_if(F.col("opportunity_score") >= 75).alias("high_intent"))
-    tenant = mix.groupBy("org_id").agg(
-        F.sum(F.when(F.col("status") == "qualified", F.col("count")).otherwise(0)).cast("long").alias("__qualified"),
-        F.sum("__weight").alias("__all"))
+    # A window here sees the distinct (stage, segment) pairs of a tenant, not its leads, and
+    # spares a second pass over the leads.
+    tenant = Window.partitionBy("org_id")
+    qualified = F.sum(F.when(F.col("status") == "qualified", F.col("count")).otherwise(0)).over(tenant).cast("long")
+    mix = mix.withColumns({"__qualified": qualified, "__all": F.sum("__weight").over(tenant)})
     pool = F.expr(f"(__qualified * {TICKET} * 25 + 5) div 10")
     share = pool.cast("double") * F.col("__open").cast("double") / F.col("__all").cast("double")
     cents = F.col("__stated") * 100 + half_up(share * 100).cast("decimal(28,0)")
-    return (mix.join(tenant, "org_id").withColumn("value_cents", cents.cast("decimal(38,0)"))
+    return (mix.withColumn("value_cents", cents.cast("decimal(38,0)"))
             .drop("__stated", "__open", "__weight", "__qualified", "__all"))
 
 
