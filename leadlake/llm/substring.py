@@ -27,9 +27,13 @@ def difference_cover(period: int) -> tuple[int, ...]:
     return tuple(sorted(cover))
 
 
+#: Of a key, messages carry the lower 48 bits; the bucket tells of the upper ones. Of the other hash of a window they carry 32.
+SENT = U64((1 << 48) - 1)
+
+
 def _deal(keys: np.ndarray, parts: int):
     """(part, rows) for each part that gets any of the keys."""
-    part = (keys >> U64(17)) % U64(parts)
+    part = (keys >> U64(40)) % U64(parts)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for rows in np.split(order, cuts) if len(order) else []:
@@ -45,6 +49,17 @@ def _array(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype=dtype)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _keys(column) -> np.ndarray:
+    six = _array(column, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(U64).ravel()
+
+
 class _Words:
     """The word hashes of one unit's texts, slice by slice."""
 
@@ -72,7 +87,7 @@ class _Words:
         """(first word, two hashes) of every whole window."""
         keep = np.flatnonzero(within(at, self.window))
         other = word_hashes(data, starts, ends, seed=12)
-        return keep, gram_hashes(words, self.window)[keep], gram_hashes(other, self.window, seed=12)[keep]
+        return keep, gram_hashes(words, self.window)[keep], (gram_hashes(other, self.window, seed=12)[keep] >> U64(32)).astype(np.uint32)
 
 
 def _unique(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray):
@@ -95,7 +110,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     1. Texts are dealt into units by a hash of the id. Each unit sends every distinct anchor hash with
        its smallest id to a bucket of the hash; the bucket answers, to the units concerned, which
        anchors occur in more than one document.
-    2. Anchors that answered are extended: the unit hashes (128 bits) the whole windows around them and
+    2. Anchors that answered are extended: the unit hashes (96 bits) the whole windows around them and
        sends each distinct one with its smallest id; the bucket answers with the smallest id of all.
     3. The unit removes the words of windows that start in a smaller id.
 
@@ -116,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         rows = []
         for bucket, r in _deal(keys, buckets):
             r = r[np.argsort(low[r], kind="stable")]
-            rows.append((bucket, unit, keys[r].tobytes(), other[r].tobytes() if len(other) else b"", low[r].tobytes(), np.packbits(low[r] != high[r]).tobytes()))
+            rows.append((bucket, unit, _pack(keys[r]), other[r].tobytes() if len(other) else b"", low[r].tobytes(), np.packbits(low[r] != high[r]).tobytes()))
         return _bytes_table(message, rows)
 
     def gather(parts):
@@ -133,13 +148,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             parts.append((np.concatenate((u[0], u[0][u[1] != u[2]])), np.concatenate((u[1], u[2][u[1] != u[2]]))))
         keys, ids = gather(parts)
         keys, low, high = _unique(keys, ids)
-        return send(int(table.column("unit")[0].as_py()), keys, np.empty(0, U64), low, high)
+        return send(int(table.column("unit")[0].as_py()), keys, np.empty(0, np.uint32), low, high)
 
     def answer(table: pa.Table) -> pa.Table:
-        """Which keys occur in several documents, and the smallest, to each unit that sent them."""
-        sizes = np.array([len(k.as_py()) // 8 for k in table.column("keys")])
-        keys, ids = _array(table.column("keys"), U64), _array(table.column("ids"), np.int64)
-        other = _array(table.column("other"), U64)
+        """Which keys occur in several documents, and the smallest, to each unit that sent them.
+
+        Of a whole window, a unit whose only document with it is the smallest needs no answer.
+        """
+        sizes = np.array([len(k.as_py()) // 6 for k in table.column("keys")])
+        keys, ids = _keys(table.column("keys")), _array(table.column("ids"), np.int64)
+        other = _array(table.column("other"), np.uint32)
         many = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=n) for m, n in zip(table.column("many"), sizes)])
         unit = np.repeat(table.column("unit").to_numpy(), sizes)
         order = np.lexsort((other, keys)) if len(other) else np.argsort(keys, kind="stable")
@@ -153,22 +171,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         low = np.minimum.reduceat(ids[order], first) if len(k) else ids
         high = np.maximum.reduceat(ids[order], first) if len(k) else ids
         shared = (low != high) | (np.maximum.reduceat(many[order], first) > 0) if len(k) else np.empty(0, bool)
-        pick = np.flatnonzero(shared[group]) if len(k) else np.empty(0, np.int64)
-        pick = pick[np.argsort(unit[order[pick]], kind="stable")]
+        wanted = shared[group] if len(k) else np.empty(0, bool)
+        if len(other):
+            wanted &= (low[group] < ids[order]) | (many[order] > 0)
+        pick = np.flatnonzero(wanted)
+        pick = pick[np.lexsort((low[group[pick]], unit[order[pick]]))]
         rows, to = [], unit[order[pick]]
         for r in np.split(pick, np.flatnonzero(np.diff(to)) + 1) if len(pick) else []:
-            rows.append((0, int(unit[order[r[0]]]), k[r].tobytes(), other[order[r]].tobytes() if len(other) else b"", low[group[r]].tobytes(), b""))
+            rows.append((0, int(unit[order[r[0]]]), _pack(k[r]), other[order[r]].tobytes() if len(other) else b"", low[group[r]].tobytes(), b""))
         return _bytes_table(message, rows)
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return _bytes_table(message, [])
         known = table.filter(pa.compute.is_valid(table.column("doc_id")))
-        shared = np.sort(_array(answers.column("keys"), U64))
+        shared = np.sort(_keys(answers.column("keys")))
         w, parts = _Words(known, window), []
         for first, data, starts, ends, at, words in w.slices():
             keep, keys = w.anchors(words, at)
-            hit = keep[_member(keys, shared)]
+            hit = keep[_member(keys & SENT, shared)]
             if not len(hit):
                 continue
             near = np.zeros(len(words) + 1, dtype=np.int64)  # window starts from which a window covers a shared anchor
@@ -194,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         valid = np.asarray(pa.compute.is_valid(table.column("doc_id")))
         if not n:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
-        a0, b0, low = (_array(answers.column(c), t) for c, t in (("keys", U64), ("other", U64), ("ids", np.int64)))
+        a0, b0, low = _keys(answers.column("keys")), _array(answers.column("other"), np.uint32), _array(answers.column("ids"), np.int64)
         order = np.argsort(a0, kind="stable")
         a0, b0, low = a0[order], b0[order], low[order]
         n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
@@ -204,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             if len(a0) and len(words):
                 start, a, b = w.windows(data, starts, ends, at, words)
                 doc = np.repeat(np.arange(rows), np.diff(at))[start]
-                which = _find(a, b, a0, b0)
+                which = _find(a & SENT, b, a0, b0)
                 bad = (which >= 0) & valid[first + doc]
                 bad[bad] = low[which[bad]] < w.ids[first + doc[bad]]
                 np.add.at(gone, start[bad], 1)
@@ -235,7 +256,7 @@ def _find(a: np.ndarray, b: np.ndarray, a0: np.ndarray, b0: np.ndarray) -> np.nd
     """Where the pair (a, b) stands among the pairs (a0, b0), which are sorted by a0; -1 if nowhere."""
     low, high = np.searchsorted(a0, a, side="left"), np.searchsorted(a0, a, side="right")
     out = np.full(len(a), -1, dtype=np.int64)
-    for k in range(int((high - low).max()) if len(a) else 0):  # more than one turn only where 64-bit hashes collide
+    for k in range(int((high - low).max()) if len(a) else 0):  # more than one turn only where keys collide
         at = np.minimum(low + k, len(a0) - 1)
         hit = (low + k < high) & (b0[at] == b) & (out < 0)
         out[hit] = at[hit]
