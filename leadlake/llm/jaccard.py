@@ -327,6 +327,26 @@ def _edges_in(members: DataFrame, tested: DataFrame | None, similar: int, turn:
     return members.groupBy("pack").cogroup(tested.groupBy("pack")).applyInArrow(solve, schema)
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose folded sketches are not too far apart, compared in the band of the larger set."""
+    def test(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            size = [batch.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1")]
+            x_band, y_band = bands(n, similar), bands(m, similar)
+            keep = np.zeros(len(n), dtype=bool)
+            for i, (x0, x1, y0, y1) in enumerate(zip(*size)):
+                x, y = (x0, y0) if x_band[i] == y_band[i] else (x1, y0) if x_band[i] < y_band[i] else (x0, y1)
+                if len(x) == len(y):
+                    d = int(np.bitwise_count(np.frombuffer(x, U64) ^ np.frombuffer(y, U64)).sum())
+                    keep[i] = d <= most_apart(n[i] + m[i], similar)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    x = sketches.select(F.col("sid").alias("a"), "n", F.col("fold0").alias("x0"), F.col("fold1").alias("x1"))
+    y = sketches.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("fold0").alias("y0"), F.col("fold1").alias("y1"))
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "n", "m", "x0", "x1", "y0", "y1").mapInArrow(test, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """(a, b, linked) by the exact sets."""
     def test(batches):
@@ -340,7 +360,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
     x = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR):
@@ -377,27 +397,36 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:])],
                                              names=["sid", "n", "grams", "fold0", "fold1"])
 
-    kept = texts.join(chosen, "doc_id").select("sid", "text")
+    # Texts, sketches and sets are exchanged at every size (the hints), so that the plan does not change with the input.
+    kept = texts.join(chosen.hint("merge"), "doc_id").select("sid", "text")
     sets = cut(kept.mapInArrow(load, "sid long, n long, grams binary, fold0 binary, fold1 binary"), "grams")
-    links = cut(_verify(small, sets, similar), "links").filter("linked").select("a", "b")
-
-    if members.limit(1).count():
-        pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
-        folds = sets.select("sid", "n", "fold0", "fold1")
-        members = members.join(folds, "sid").select(pack.alias("pack"), "key", "unit", "sid", "n", F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold"))
-        members = cut(members, "crowded")
-        known, turn = None, 0
-        while True:
-            offered = cut(_edges_in(members, known, similar, turn), "forest")
-            tested = cut(_verify(offered.select("a", "b").distinct(), sets, similar), "tested")
-            tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
-            links = links.union(tested.filter("linked").select("a", "b"))
-            failed = tested.filter("not linked").select("key", "unit").distinct()
-            known = tested if known is None else known.unionByName(tested)
-            known = cut(known.join(failed, ["key", "unit"], "left_semi"), "known")
-            turn += 1
-            if not known.limit(1).count():
-                break
+    folds = sets.select("sid", "n", "fold0", "fold1")
+    near = cut(_close(small, folds, similar), "near")
+
+    pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
+    members = members.join(folds.hint("merge"), "sid").select(pack.alias("pack"), "key", "unit", "sid", "n", F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold"))
+    members = cut(members, "crowded")
+    offered = cut(_edges_in(members, None, similar, 0), "forest")
+    pairs = near.unionByName(offered.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    # Every set with a partner within the bound is in the first forest, so later turns need no other sets.
+    sets = cut(sets.select("sid", "grams").join(wanted.hint("merge"), "sid", "left_semi"), "verified")
+    links = cut(_verify(pairs.distinct(), sets, similar), "links")
+    tested = offered.join(links, ["a", "b"]).withColumn("pack", pack)
+    links = links.filter("linked").select("a", "b")
+    known, turn = None, 0
+    while True:
+        failed = tested.filter("not linked").select("key", "unit").distinct()
+        known = tested if known is None else known.unionByName(tested)
+        known = cut(known.join(failed, ["key", "unit"], "left_semi"), "known")
+        if not known.limit(1).count():
+            break
+        turn += 1
+        members = cut(members.join(failed, ["key", "unit"], "left_semi"), "crowded")
+        offered = cut(_edges_in(members, known, similar, turn), "forest")
+        tested = cut(_verify(offered.select("a", "b").distinct(), sets, similar), "tested")
+        links = links.union(tested.filter("linked").select("a", "b"))
+        tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
     return classes, links
 
 
@@ -412,9 +441,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ in shingles. Sizes fall into bands such that linked sets lie in one band or in neighbours;
     a set takes part in its own band and the next. There its sketch has d + 1 segments of 64 bits, d
     taken at the largest sizes, so two linked sets agree in one whole segment (pigeonhole): the hash
-    of band, place and segment is the join key. Up to 8 sets of one key name all their pairs. The sets
-    of a more crowded key meet in blocks of at most 1,024, where pairs whose folded sketches are too
-    far apart fall out and of the rest a spanning forest is offered, not all pairs. Every offered pair
+    of band, place and segment is the join key. Up to 8 sets of one key name all their pairs, and pairs
+    whose folded sketches are too far apart fall out. The sets of a more crowded key meet in blocks of
+    at most 1,024, where of the pairs within the bound a spanning forest is offered. Every offered pair
     is verified on the exact sets; where one fails, its block offers further pairs until none is left
     that could join two parts. So no link that joins classes is lost, and equal sets are compared once.
 
