@@ -164,3 +164,52 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     star = e.groupBy("u").agg(F.min("v").alias("component"))
     return star.select(F.col("u").alias("node"), "component").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+# ---- bounded samples of labelled rows ---------------------------------------------------------
+
+#: Longest text, in bytes, that a training sample takes; longer ones are scored but not learned from.
+SAMPLE_TEXT = 128 << 10
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int) -> list[tuple[str, object]]:
+    """At most ``per_class`` (text, label) rows of each class, chosen by hash, from rows outside the held-out fold.
+
+    Rows whose id or label is null take no part; of several labels of one id the largest counts, and of
+    several texts of one id the first in code-point order.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.pmod(crc(F.col("doc_id")), F.lit(folds)) != held_out))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label"))
+    order = [F.xxhash64("_id", F.lit(label)), F.col("_id")]
+    classes = [r[0] for r in known.select("_label").distinct().limit(1000).collect()]
+    ids = None
+    for c in sorted(classes):
+        some = known.filter(F.col("_label") == F.lit(c)).orderBy(*order).limit(per_class)
+        ids = some if ids is None else ids.union(some)
+    if ids is None:
+        return []
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").filter(F.octet_length("text") <= SAMPLE_TEXT)
+    rows = rows.join(F.broadcast(ids), "_id")  # at most per_class ids of each class
+    rows = rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("_label").alias("label"))
+    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: r._id)]
+
+
+def class_counts(labels: DataFrame, label: str, folds: int, held_out: int) -> dict:
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.pmod(crc(F.col("doc_id")), F.lit(folds)) != held_out))
+    return {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the first column of x is the constant and is not penalised."""
+    w = np.zeros(x.shape[1])
+    pen = np.full(x.shape[1], ridge)
+    pen[0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + pen * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pen) + 1e-9 * np.eye(x.shape[1])
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
