@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -20,6 +21,7 @@ WINDOW = 64
 TOXIC_BYTES, ORDINARY_BYTES = 8 << 10, 110_000
 #: Ordinary windows of several words that train the ordinary dictionary, at most.
 ORDINARY_SAMPLES = 80_000
+SIGNIFICANT = 20
 #: Zeros behind each window: what they save makes zstandard write a compressed block for any window.
 PAD = bytes(32)
 #: Bytes saved from which a window counts, for each of the counts that the calibration weighs.
@@ -130,23 +132,28 @@ def _letters(word: bytes) -> bytes:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
-    """(toxic, ordinary) dictionaries, or None if no word sets the classes apart.
+    """(toxic, ordinary) dictionaries, or None if nothing sets the classes apart.
 
-    Toxic text is mostly ordinary, so the toxic dictionary trains on those of its words that toxic texts
-    use at least 8 times as often as ordinary ones. A word is counted once for each word it follows, as
-    copies of one text would else make its words look toxic. The ordinary dictionary trains on whole
+    Toxic text is mostly ordinary, so the toxic dictionary trains on those of its words of which the
+    whole or a beginning is significantly more frequent than in ordinary texts (a log likelihood ratio
+    of SIGNIFICANT or more, and 8 times the rate). A beginning is counted once for each word it follows,
+    as copies of one text would else make its words look toxic. The ordinary dictionary trains on whole
     lines of words.
     """
     after: list[dict[bytes, set]] = [defaultdict(set), defaultdict(set)]
-    used = [list(_words(toxic)), list(_words(ordinary))]
-    for words_after, texts in zip(after, used):
+    used = [[list(map(_letters, words)) for words in _words(texts)] for texts in (toxic, ordinary)]
+    for follows, texts in zip(after, used):
         for words in texts:
-            words = [_letters(w) for w in words]
             for last, w in zip([b"", *words], words):
-                words_after[w].add(last)
-    all_t, all_o = (max(1, sum(map(len, a.values()))) for a in after)
-    own = {w for w, x in after[0].items() if w and len(x) >= 3 and len(x) / all_t >= 8 * (len(after[1].get(w, ())) + 1) / all_o}
-    samples = [(b" " + w) * 3 + b" " for words in used[0] for w in map(_letters, words) if w in own]
+                for k in range(4, min(len(w), 12) + 1):
+                    follows[w[:k]].add(hash(last))
+    n, m = (max(1, sum(map(len, texts))) for texts in used)
+    own = set()
+    for w, x in after[0].items():
+        x, expected = len(x), n * (len(after[1].get(w, ())) + 1) / m
+        if x >= 8 * expected and x * math.log(x / expected) - (x - expected) >= SIGNIFICANT:
+            own.add(w)
+    samples = [(b" " + w) * 3 + b" " for words in used[0] for w in words if any(w[:k] in own for k in range(4, min(len(w), 12) + 1))]
     lines = [b" ".join(words[i:i + 7]) + b" " for words in used[1] for i in range(0, len(words), 7)]
     if not samples or not lines:
         return None
