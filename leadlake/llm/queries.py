@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import jaccard, mixing, sharding, substring, toxicity
+from leadlake.llm import jaccard, language, mixing, quality, sharding, substring, toxicity
 from leadlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_quality")
+def _(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_language")
+def _(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op4_substring_dedup", r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
