@@ -246,7 +246,7 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
     """Pairs within the Hamming bound that join parts of a unit not known to hang together: the nearest of each part.
 
     ``tested`` holds pairs verified before; those that failed are left out, the others already join.
-    Later turns offer twice as many pairs for each part, so the number of turns stays small.
+    Later turns offer four times as many pairs for each part, so the number of turns stays small.
     """
     sid, n = members.column("sid").to_numpy(), members.column("n").to_numpy()
     order = np.unique(sid, return_index=True)[1]
@@ -289,7 +289,7 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
             i = rows[near[rows].argmin()]
             picked.append((i, best[i]))
             if turn and first:
-                spots = np.argsort(cross[rows], axis=None, kind="stable")[:2 ** turn]
+                spots = np.argsort(cross[rows], axis=None, kind="stable")[:4 ** turn]
                 spots = spots[cross[rows].ravel()[spots] < none]
                 out.update((min(sid[rows[p // m]], sid[p % m]), max(sid[rows[p // m]], sid[p % m])) for p in spots)
         first = False
@@ -422,7 +422,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not known.limit(1).count():
             break
         turn += 1
-        members = cut(members.join(failed, ["key", "unit"], "left_semi"), "crowded")
+        if turn == 1:  # the units that have to offer more; later turns leave out those that are done
+            members = cut(members.join(failed, ["key", "unit"], "left_semi"), "crowded")
         offered = cut(_edges_in(members, known, similar, turn), "forest")
         tested = cut(_verify(offered.select("a", "b").distinct(), sets, similar), "tested")
         links = links.union(tested.filter("linked").select("a", "b"))
