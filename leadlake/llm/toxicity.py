@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leadlake.llm.common import _LOWER, class_counts, crc, labelled_sample, logistic, spans, text_slices, word_hashes
 
 #: Labelled rows of each class that training takes.
-PER_CLASS = 1500
+PER_CLASS = 1200
 FOLDS, HELD_OUT = 5, 0
 #: Longest window; a longer word gives several.
 WINDOW = 64
@@ -142,11 +142,13 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] |
     """
     after: list[dict[bytes, set]] = [defaultdict(set), defaultdict(set)]
     used = [[list(map(_letters, words)) for words in _words(texts)] for texts in (toxic, ordinary)]
-    for follows, texts in zip(after, used):
+    for i, texts in enumerate(used):
         for words in texts:
             for last, w in zip([b"", *words], words):
                 for k in range(4, min(len(w), 12) + 1):
-                    follows[w[:k]].add(hash(last))
+                    if i == 0 or w[:k] in after[0]:
+                        after[i][w[:k]].add(hash(last))
+        after[0] = {w: x for w, x in after[0].items() if len(x) > 2}  # fewer are never significant
     n, m = (max(1, sum(map(len, texts))) for texts in used)
     own = set()
     for w, x in after[0].items():
