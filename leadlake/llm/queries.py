@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import jaccard, language, mixing, quality, sharding, substring, toxicity
+from leadlake.llm import contamination, jaccard, language, mixing, quality, sharding, substring, tokens, toxicity, voronoi
 from leadlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def _(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_token_counts")
+def _(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language")
 def _(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
@@ -54,6 +59,11 @@ def _(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@query("op6_decontamination")
+def _(spark, sf_dir):
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_parity_join")
 def _(spark, sf_dir):
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
@@ -64,6 +74,18 @@ def _(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_voronoi_knn", """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def _(spark, sf_dir):
+    return voronoi.top_products(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_mixing", r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
