@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +131,24 @@ def _letters(word: bytes) -> bytes:
     return word.strip(b".,;:!?*$%&#|\"'()[]{}<>-")
 
 
+def _beginnings(texts: list[list[bytes]], among: set[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each beginning of 4 to 12 bytes of a word, and how many different words it follows."""
+    keys, lasts = array("q"), array("q")
+    for words in texts:
+        for last, w in zip([b"", *words], words):
+            for k in range(4, min(len(w), 12) + 1):
+                key = hash(w[:k])
+                if among is None or key in among:
+                    keys.append(key)
+                    lasts.append(hash(last))
+    keys, lasts = np.array(keys, np.int64), np.array(lasts, np.int64)
+    order = np.lexsort((lasts, keys))
+    keys, lasts = keys[order], lasts[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (lasts[1:] != lasts[:-1])
+    return np.unique(keys[new], return_counts=True)
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
     """(toxic, ordinary) dictionaries, or None if nothing sets the classes apart.
 
@@ -140,22 +158,18 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] |
     as copies of one text would else make its words look toxic. The ordinary dictionary trains on whole
     lines of words.
     """
-    after: list[dict[bytes, set]] = [defaultdict(set), defaultdict(set)]
     used = [[list(map(_letters, words)) for words in _words(texts)] for texts in (toxic, ordinary)]
-    for i, texts in enumerate(used):
-        for words in texts:
-            for last, w in zip([b"", *words], words):
-                for k in range(4, min(len(w), 12) + 1):
-                    if i == 0 or w[:k] in after[0]:
-                        after[i][w[:k]].add(hash(last))
-        after[0] = {w: x for w, x in after[0].items() if len(x) > 2}  # fewer are never significant
     n, m = (max(1, sum(map(len, texts))) for texts in used)
+    keys, counts = _beginnings(used[0], None)
+    keys, counts = keys[counts > 2], counts[counts > 2]  # fewer are never significant
+    others, found = _beginnings(used[1], set(keys.tolist()))
     own = set()
-    for w, x in after[0].items():
-        x, expected = len(x), n * (len(after[1].get(w, ())) + 1) / m
+    known = dict(zip(others.tolist(), found.tolist()))
+    for key, x in zip(keys.tolist(), counts.tolist()):
+        expected = n * (known.get(key, 0) + 1) / m
         if x >= 8 * expected and x * math.log(x / expected) - (x - expected) >= SIGNIFICANT:
-            own.add(w)
-    samples = [(b" " + w) * 3 + b" " for words in used[0] for w in words if any(w[:k] in own for k in range(4, min(len(w), 12) + 1))]
+            own.add(key)
+    samples = [(b" " + w) * 3 + b" " for words in used[0] for w in words if any(hash(w[:k]) in own for k in range(4, min(len(w), 12) + 1))]
     lines = [b" ".join(words[i:i + 7]) + b" " for words in used[1] for i in range(0, len(words), 7)]
     if not samples or not lines:
         return None
