@@ -126,7 +126,7 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
     """A hash of the n words from each word on; the last n - 1 entries mean nothing."""
     out = np.zeros(len(words), U64)
     for k, c in enumerate(stream(n, seed + 200)):
-        out[:len(words) - k] += words[k:] * c
+        out[:max(len(words) - k, 0)] += words[k:] * c
     return _mix(out)
 
 

@@ -25,7 +25,7 @@ def valid(col: Column) -> Column:
 
 
 def _vectors(blobs, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(b.as_py() for b in blobs), np.int64).reshape(-1, dim)
+    return np.frombuffer(b"".join(b.as_py() for b in blobs), np.int64).reshape(len(blobs), dim)
 
 
 def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def top_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: in
             out = []
             for dim, q_ids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("dim", "q_ids", "q", "ids", "x"))):
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                s = scores(np.frombuffer(q, np.int64).reshape(-1, dim), np.frombuffer(x, np.int64).reshape(-1, dim))
+                s = scores(np.frombuffer(q, np.int64).reshape(len(q_ids), dim), np.frombuffer(x, np.int64).reshape(len(ids), dim))
                 for i, own in enumerate(q_ids):
                     at = best(s[i], ids, own, k)
                     out.append((np.full(len(at), own), ids[at], s[i][at]))
