@@ -25,15 +25,13 @@ CANDIDATES = f"""
 prof AS (SELECT org_id, onboarding_step % 3 <> 0 AS active_only, {LIST.format('target_cnaes')} AS codes, {LIST.format('target_segments')} AS segs,
   lower(regexp_extract(target_locations, '\\(([A-Za-z]{{2}})\\)', 1)) AS st, lower(trim(regexp_replace(target_locations, '\\([A-Za-z]{{2}}\\)', ''))) AS ct, target_locations
   FROM {{fx_profile}} p),
-terms AS (SELECT *, i - 1 AS pos, l[i] AS term FROM (SELECT *, unnest(range(1, least(6, len(l)) + 1)) AS i FROM (SELECT *, CASE WHEN len(codes) > 0 THEN codes ELSE segs END AS l FROM prof))),
+terms AS (SELECT *, i - 1 AS pos, l[i] AS term FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, CASE WHEN len(codes) > 0 THEN codes ELSE segs END AS l FROM prof))),
 firm AS (SELECT *, coalesce(is_active, upper(registration_status) IN ('ATIVA', 'ATIVO', 'ACTIVE')) AS act FROM {{fx_registry}} r),
 hit AS (SELECT t.org_id, t.pos, f.cnpj, regexp_matches(t.term, '^[0-9]+$') AS num FROM terms t JOIN firm f ON
   ((regexp_matches(t.term, '^[0-9]+$') AND f.cnae = t.term) OR (NOT regexp_matches(t.term, '^[0-9]+$') AND t.pos = 0 AND contains(lower(f.cnae_description), lower(t.term))))
   AND (t.target_locations = '' OR ((t.st = '' OR t.st = lower(f.state)) AND (t.ct = '' OR t.ct = lower(f.city)))) AND (NOT t.active_only OR f.act)),
-lim AS (SELECT *, CASE WHEN num THEN 0 ELSE 1 END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY org_id, pos, num ORDER BY cnpj) AS rn FROM hit)
-  WHERE (num AND rn <= 100) OR (NOT num AND rn <= 50)),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY tier, pos, cnpj) AS k FROM lim) WHERE k <= 400),
-uniq AS (SELECT org_id, cnpj, tier, pos FROM (SELECT *, row_number() OVER (PARTITION BY org_id, cnpj ORDER BY tier, pos) AS d FROM pool) WHERE d = 1)
+tiers AS (SELECT *, CASE WHEN num THEN 0 ELSE 1 END AS tier FROM hit),
+uniq AS (SELECT org_id, cnpj, tier, pos FROM (SELECT *, row_number() OVER (PARTITION BY org_id, cnpj ORDER BY tier, pos) AS d FROM tiers) WHERE d = 1)
 """
 NEW = "SELECT u.* FROM uniq u WHERE NOT EXISTS (SELECT 1 FROM {fx_prospect} p WHERE p.org_id = u.org_id AND p.cnpj = u.cnpj)"
 

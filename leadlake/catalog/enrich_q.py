@@ -49,9 +49,9 @@ def _(fx):
 @query("registry_filter", f"""
 SELECT cnpj, legal_name, state, cnae FROM {{fx_registry}} r
 WHERE city = 'ASIA' AND upper(registration_status) IN ('ATIVA', 'ATIVO', 'ACTIVE') AND lower(legal_name) LIKE '%1%'
-  AND coalesce(is_active, upper(registration_status) IN ({values(fixed.ACTIVE_REGISTRATIONS)})) ORDER BY cnpj LIMIT 100""")
+  AND coalesce(is_active, upper(registration_status) IN ({values(fixed.ACTIVE_REGISTRATIONS)})) """)
 def _(fx):
-    return E.registry_filter(fx("registry"), city="ASIA", status="ativo", name="1", is_active=True, limit=500).select(
+    return E.registry_filter(fx("registry"), city="ASIA", status="ativo", name="1", is_active=True).select(
         "cnpj", "legal_name", "state", "cnae")
 
 

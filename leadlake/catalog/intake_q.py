@@ -171,7 +171,13 @@ def _(fx):
         "id", "step_key", "session_key")
 
 
-@query("company_ids")
+HASH = "sha1(unhex('6f4c1a2e9b7d4e3a8c5f1d2e3a4b5c6d') || encode(coalesce(cnpj, '')))"
+
+
+@query("company_ids", f"""
+SELECT id, cnpj, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-',
+  substr('89ab', cast(cast(concat('0x', substr(h, 17, 1)) AS int) % 4 + 1 AS int), 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS company_id
+FROM (SELECT id, cnpj, {HASH} AS h FROM {{fx_prospect}} p)""")
 def _(fx):
     p = fx("prospect")
     return I.idempotency_keys(p, ["id"], "cnpj", "cnpj").select("id", "cnpj", "company_id")

@@ -287,6 +287,9 @@ def _(fx):
     return R.wa_rate_audit(fx.sql(SENDS).withColumn("account_id", F.col("recipient_id") % 40)).drop("recipient_id", "sent_at")
 
 
-@query("send_jitter")
+@query("send_jitter", """
+SELECT id AS message_id, contact_id,
+  cast(floor(60 + cast(concat('0x', substr(md5(cast(id AS string)), 1, 8)) AS bigint) % 10000 / 10000.0::DOUBLE * 540 + 0.5) AS bigint) AS delay_seconds
+FROM {fx_outreach_message} m""")
 def _(fx):
     return R.send_jitter(fx("outreach_message").select(F.col("id").alias("message_id"), "contact_id"))

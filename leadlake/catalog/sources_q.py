@@ -13,13 +13,12 @@ from leadlake.sources import tables as T
 
 
 @query("src_tables", """
-SELECT p.id, p.cnpj, p.status, cast(p.revenue_estimate AS int) AS revenue_estimate, p.opportunity_score, o.name AS org_name
-FROM (SELECT cast(id AS string) AS id, cnpj, status, CASE WHEN revenue_estimate < 2000000000 THEN revenue_estimate END AS revenue_estimate, opportunity_score, org_id FROM {fx_prospect} x) p
+SELECT p.id, p.cnpj, p.status, p.revenue_estimate, p.opportunity_score, o.name AS org_name
+FROM (SELECT cast(id AS string) AS id, cnpj, status, cast(revenue_estimate AS bigint) AS revenue_estimate, opportunity_score, org_id FROM {fx_prospect} x) p
 LEFT JOIN {fx_organization} o ON o.id = p.org_id""")
 def _(fx):
     root = new_dir(fx.spark, "tables")
-    small = F.when(F.col("revenue_estimate") < 2_000_000_000, F.col("revenue_estimate"))
-    T.save(fx("prospect").withColumn("revenue_estimate", small), root, "prospect")
+    T.save(fx("prospect"), root, "prospect")
     T.save(fx("organization"), root, "organization")
     t = T.load(fx.spark, root, ["prospect", "organization"])
     orgs = t["organization"].select(F.col("id").alias("org_id"), F.col("name").alias("org_name"))

@@ -76,7 +76,7 @@ def cnpj_format(c) -> Column:
 def phone_normalise(c) -> Column:
     """Digits with the country prefix 55 for national numbers; blank -> null."""
     d = digits(c)
-    national = F.when(d.startswith("55") & (F.length(d) >= 12), F.substring(d, 3, 64)).otherwise(d)
+    national = F.when(d.startswith("55") & (F.length(d) >= 12), F.substr(d, F.lit(3))).otherwise(d)
     return F.when(
         d != "",
         F.when(F.length(national).between(10, 11), F.concat(F.lit("55"), national)).otherwise(national),

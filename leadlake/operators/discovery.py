@@ -10,8 +10,6 @@ from leadlake.functions.columns import digits, place_key
 from leadlake.plans.balance import first_row, top_k, with_totals
 from leadlake.plans.textmatch import substring_pairs
 
-CODES, PER_CODE, PER_SEARCH, POOL = 6, 100, 50, 400
-
 
 def candidate_union(*pools: DataFrame) -> DataFrame:
     """First occurrence of each (org_id, cnpj) over the pools, earlier pools first."""
@@ -29,7 +27,7 @@ def exclude_existing_leads(pool: DataFrame, prospects: DataFrame) -> DataFrame:
     return pool.withColumn("__d", digits("cnpj")).join(known, ["org_id", "__d"], "left_anti").drop("__d")
 
 
-def _criteria(profiles: DataFrame) -> DataFrame:
+def _criteria(profiles: DataFrame, most_terms: int | None) -> DataFrame:
     """One row per tenant and search term; locations parsed to (state, city) pairs."""
     terms = F.when(F.size("target_cnaes") > 0, F.col("target_cnaes")).otherwise(F.col("target_segments"))
 
@@ -44,7 +42,7 @@ def _criteria(profiles: DataFrame) -> DataFrame:
     return profiles.select(
         "org_id", F.array_contains("company_statuses", "active").alias("active_only"),
         F.transform("target_locations", place).alias("places"),
-        F.posexplode(F.slice(terms, 1, CODES)).alias("pos", "term"))
+        F.posexplode(terms if most_terms is None else F.slice(terms, 1, most_terms)).alias("pos", "term"))
 
 
 def _fits(df: DataFrame) -> DataFrame:
@@ -54,26 +52,31 @@ def _fits(df: DataFrame) -> DataFrame:
     return df.filter(((F.size("places") == 0) | here) & (~F.col("active_only") | F.col("__active")))
 
 
+def _first(hits: DataFrame, k: int | None) -> DataFrame:
+    return hits if k is None else top_k(hits, ["org_id", "pos"], [F.col("cnpj")], k, "__r", spread=["cnpj"]).drop("__r")
+
+
 def discovery_candidates(profiles: DataFrame, registry: DataFrame, prospects: DataFrame,
-                         wanted: DataFrame | None = None) -> DataFrame:
+                         wanted: DataFrame | None = None, most_terms: int | None = None, per_term: int | None = None,
+                         per_tenant: int | None = None) -> DataFrame:
     """Companies matching each tenant's profile, new to the tenant.
 
-    Numeric terms among the first six match the activity code (100 each); a non-numeric first
-    term matches the activity description (50). ``wanted`` (org_id, cnpj) adds exact hits and
-    narrows those tenants to keys containing the given digits. At most 400 hits per tenant.
+    Numeric terms match the activity code; a non-numeric first term matches the activity
+    description. ``wanted`` (org_id, cnpj) adds exact hits and narrows those tenants to keys that
+    contain any of the given digits. Nothing is limited unless the caller asks: ``most_terms`` of a
+    profile, ``per_term`` companies by key, and ``per_tenant`` results, which are counted after the
+    narrowing and without leads the tenant already has.
     """
-    c = _criteria(profiles)
+    c = _criteria(profiles, most_terms)
     active = F.coalesce("is_active", F.upper(F.coalesce("registration_status", F.lit(""))).isin(fixed.ACTIVE_REGISTRATIONS))
     firms = registry.select("cnpj", "cnae", "cnae_description", place_key("state").alias("__state"),
                             place_key("city").alias("__city"), active.alias("__active"))
     numeric = F.col("term").rlike("^[0-9]+$")
-    coded = top_k(_fits(c.filter(numeric).join(firms, F.col("term") == F.col("cnae"))),
-                  ["org_id", "pos"], [F.col("cnpj")], PER_CODE, "__r", spread=["cnpj"])
+    coded = _first(_fits(c.filter(numeric).join(firms, F.col("term") == F.col("cnae"))), per_term)
     text = c.filter(~numeric & (F.col("pos") == 0)).withColumn("__t", F.lower("term"))
     kinds = firms.select("cnae_description", F.lower("cnae_description").alias("__d")).distinct()
     kind_hits = substring_pairs(text, "__t", kinds, "__d", [], ["cnae_description"])
-    searched = top_k(_fits(text.join(kind_hits, "__t").join(firms, "cnae_description")),
-                     ["org_id", "pos"], [F.col("cnpj")], PER_SEARCH, "__r", spread=["cnpj"])
+    searched = _first(_fits(text.join(kind_hits, "__t").join(firms, "cnae_description")), per_term)
     cols = ["org_id", "cnpj", "tier", "pos"]
     hits = (coded.withColumn("tier", F.lit(0)).select(*cols)
             .unionByName(searched.withColumn("tier", F.lit(1)).select(*cols)))
@@ -82,18 +85,20 @@ def discovery_candidates(profiles: DataFrame, registry: DataFrame, prospects: Da
         hits = hits.unionByName(asked.join(firms.select("cnpj"), "cnpj", "left_semi")
                                 .select("org_id", "cnpj", F.lit(2).alias("tier"), F.lit(0).alias("pos")))
     order = [F.col("tier"), F.col("pos"), F.col("cnpj")]
-    pool = top_k(hits, ["org_id"], order, POOL, "__r")
-    unique = first_row(pool, ["org_id", "cnpj"], order).drop("__r")
+    unique = first_row(hits, ["org_id", "cnpj"], order)
     if wanted is not None:
-        part = asked.select("org_id", F.col("cnpj").alias("__part"))
-        unique = unique.join(part, "org_id", "left").filter(
-            F.col("__part").isNull() | F.contains(F.col("cnpj"), F.col("__part"))).drop("__part")
-    return exclude_existing_leads(unique, prospects)
+        part = asked.select(F.col("org_id").alias("__org"), F.col("cnpj").alias("__part")).distinct()
+        mine = F.col("org_id") == F.col("__org")
+        unique = unique.join(part, mine & F.contains(F.col("cnpj"), F.col("__part")), "left_semi").unionByName(
+            unique.join(part, mine, "left_anti"))
+    fresh = exclude_existing_leads(unique, prospects)
+    return fresh if per_tenant is None else top_k(fresh, ["org_id"], order, per_tenant, "__r").drop("__r")
 
 
 def seeded_page(pool: DataFrame, seed: str = "default", page: int = 1, size: int = 12) -> DataFrame:
     """One page per tenant of the pool in an order fixed by the seed, with paging totals."""
-    page, size = max(1, page), max(1, min(size, 25))
+    if page < 1 or size < 1:
+        raise ValueError("page and size must be positive")
     key = F.md5(F.concat(F.lit(seed + ":"), F.col("cnpj")))
     counted = with_totals(pool, ["org_id"], total=F.count(F.lit(1)))
     ranked = top_k(counted.withColumn("__key", key), ["org_id"], [F.col("__key"), F.col("cnpj")], page * size,

@@ -17,10 +17,18 @@ REGISTRY_FIELDS = ["legal_name", "trade_name", "cnae_description", "city", "stat
 
 
 def _with_registry(prospects: DataFrame, registry: DataFrame) -> DataFrame:
-    """Left join on the digits-only key; registry columns get an ``r_`` prefix."""
-    r = registry.select(digits("cnpj").alias("__key"), F.lit(True).alias("__found"),
-                        *[F.col(c).alias(f"r_{c}") for c in registry.columns if c != "cnpj"])
-    return prospects.withColumn("__key", digits("cnpj")).join(r, "__key", "left")
+    """Left join on the 14-digit key; registry columns get an ``r_`` prefix.
+
+    Registry rows without a whole key match nothing, and of several rows of one key the first in column
+    order counts. Leads without a whole key get keys of their own, so they do not meet in one task.
+    """
+    cols = [c for c in registry.columns if c != "cnpj"]
+    r = (registry.filter(cnpj_valid("cnpj")).groupBy(digits("cnpj").alias("__key"))
+         .agg(F.min(F.struct(*cols)).alias("__r"))
+         .select("__key", F.lit(True).alias("__found"), *[F.col(f"__r.{c}").alias(f"r_{c}") for c in cols]))
+    own = F.concat(F.lit("!"), F.xxhash64("id" if "id" in prospects.columns else "company_name").cast("string"))
+    key = F.when(cnpj_valid("cnpj"), digits("cnpj")).otherwise(own)
+    return prospects.withColumn("__key", key).join(r, "__key", "left")
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def enrich_registry_overwrite(prospects: DataFrame, registry: DataFrame, now: st
 def registry_filter(registry: DataFrame, state: str | None = None, city: str | None = None, status: str | None = None,
                     cnae: str | None = None, name: str | None = None, is_active: bool | None = None,
                     limit: int | None = None) -> DataFrame:
-    """Structured company filter, ordered by key, 1 to 100 rows."""
+    """Structured company filter, ordered by key; ``limit`` bounds the rows, nothing does by default."""
     rows = registry
     if state:
         rows = rows.filter(F.col("state") == state)
@@ -98,7 +106,8 @@ def registry_filter(registry: DataFrame, state: str | None = None, city: str | N
     if is_active is not None:
         reg_active = F.upper(F.coalesce("registration_status", F.lit(""))).isin(fixed.ACTIVE_REGISTRATIONS)
         rows = rows.filter(F.coalesce("is_active", reg_active) == F.lit(is_active))
-    return rows.orderBy("cnpj").limit(max(1, min(limit or 20, 100)))
+    rows = rows.orderBy("cnpj")
+    return rows if limit is None else rows.limit(limit)
 
 
 def registry_lookup(keys: DataFrame, registry: DataFrame) -> DataFrame:
@@ -157,29 +166,33 @@ def enrichment_history(prospects: DataFrame, results: DataFrame) -> DataFrame:
         "org_id", "prospect_id", F.col("enrichment_version").desc_nulls_last(), F.col("event_ts").desc_nulls_last(), "event_id")
 
 
-def result_outcome(results: DataFrame) -> DataFrame:
-    """Per company: the version and status to apply, and the score to take over."""
-    kept = _kept_results(results).filter(F.col("status") != "DISCARDED")
+def _outcome(kept: DataFrame, by: list[str]) -> DataFrame:
+    """The version and status to apply, and the score to take over."""
     usable = F.col("status").isin("COMPLETED", "PARTIAL") & F.col("commercial_potential").isNotNull()
-    return kept.groupBy("cnpj").agg(
+    return kept.groupBy(*by).agg(
         F.max("enrichment_version").alias("new_version"),
         F.max_by("status", "enrichment_version").alias("new_status"),
         F.max_by("commercial_potential", F.when(usable, F.col("enrichment_version"))).alias("new_score"))
 
 
 def enrichment_apply(prospects: DataFrame, results: DataFrame) -> DataFrame:
-    """Leads after all results: highest version decides status, every tracking tenant is updated."""
-    o = result_outcome(results)
-    j = prospects.withColumn("__key", digits("cnpj")).join(o.withColumnRenamed("cnpj", "__key"), "__key", "left")
+    """Leads after all results: highest version decides status, every tracking tenant is updated.
+
+    Results up to the version a lead already has are left out before anything is chosen.
+    """
     seen = F.coalesce(F.col("enrichment_version"), F.lit(0)) if "enrichment_version" in prospects.columns else F.lit(0)
-    newer = F.coalesce(F.col("new_version") > seen, F.lit(False))
+    p = prospects.withColumns({"__key": digits("cnpj"), "__seen": seen.cast("long")})
+    kept = _kept_results(results).filter(F.col("status") != "DISCARDED").withColumnRenamed("cnpj", "__key")
+    due = kept.join(p.select("__key", "__seen").distinct(), "__key").filter(F.col("enrichment_version") > F.col("__seen"))
+    j = p.join(_outcome(due, ["__key", "__seen"]), ["__key", "__seen"], "left")
+    newer = F.col("new_version").isNotNull()
     status = (F.when(F.col("new_status") == "COMPLETED", "enriched").when(F.col("new_status") == "PARTIAL", "partial")
               .when(F.col("new_status") == "FAILED", "error"))
     return j.withColumns({
         "enrichment_status": F.when(newer & status.isNotNull(), status).otherwise(F.col("enrichment_status")),
         "opportunity_score": F.when(newer, F.coalesce("new_score", "opportunity_score")).otherwise(F.col("opportunity_score")),
         "enrichment_version": F.when(newer, F.col("new_version")).otherwise(seen),
-    }).drop("__key", "new_version", "new_status", "new_score")
+    }).drop("__key", "__seen", "new_version", "new_status", "new_score")
 
 
 def stage_entry(changes: DataFrame, stage: str = "prospect") -> DataFrame:

@@ -24,8 +24,8 @@ def company_graph_latest(snapshots: DataFrame, facts: DataFrame) -> DataFrame:
     return attach_rows(latest, facts, ["company_key", "version"]).withColumn("confidence_label", label)
 
 
-def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Drawable edges of each company: first 16, endpoints resolved, dangling ones dropped.
+def graph_neighbourhood(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Drawable edges of each company: the first ``max_edges``, endpoints resolved, dangling ones dropped.
 
     ``nodes``: company_key, pos, id, type. ``edges``: company_key, pos, source_id, target_id,
     type. Adds the number of visible nodes.
@@ -34,10 +34,10 @@ def graph_neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                .agg(F.min_by("id", "pos").alias("__company")))
     shown = join_hot(nodes, company, ["company_key"])
     with_company = shown.filter(F.col("__company").isNotNull() & (F.col("id") != F.col("__company")))
-    without = top_k(shown.filter(F.col("__company").isNull()), ["company_key"], [F.col("pos")], MAX_NODES, "__r").drop("__r")
+    without = top_k(shown.filter(F.col("__company").isNull()), ["company_key"], [F.col("pos")], max_nodes, "__r").drop("__r")
     visible = with_company.unionByName(without).groupBy("company_key", "id").agg(F.count(F.lit(1)).alias("__n"))
     counts = visible.groupBy("company_key").agg(F.sum("__n").alias("visible_nodes"))
-    drawn = top_k(edges, ["company_key"], [F.col("pos")], MAX_EDGES, "edge_rank").join(company, "company_key", "left")
+    drawn = top_k(edges, ["company_key"], [F.col("pos")], max_edges, "edge_rank").join(company, "company_key", "left")
     is_company = {"source": F.coalesce(F.col("source_id") == F.col("__company"), F.lit(False)) | (F.col("source_id") == "source"),
                   "target": F.coalesce(F.col("target_id") == F.col("__company"), F.lit(False))}
     ends = F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}_id").alias("id"), c.alias("here")) for e, c in is_company.items()])

@@ -91,12 +91,15 @@ def enriched_contact_list(prospects: DataFrame, frm: str | None = None, to: str
 
 def enrichment_backlog(prospects: DataFrame, frm: str | None = None, to: str | None = None, refresh: bool = False,
                        limit: int | None = None) -> DataFrame:
-    """Newest leads per tenant that still need enrichment, at most 50 each."""
+    """Newest leads per tenant that still need enrichment; ``limit`` bounds each tenant's rows, none does by default."""
     rows = prospects.filter(_between("created_at", frm, to))
     if not refresh:
         rows = rows.filter(F.col("enrichment_status").isin("pending", "error", "unavailable") | F.col("enriched_at").isNull())
-    k = max(1, min(limit or 25, 50))
-    return top_k(rows, ["org_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], k, spread=["id"])
+    if limit is None:
+        return rows
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    return top_k(rows, ["org_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], limit, spread=["id"])
 
 
 def prospect_facets(prospects: DataFrame, as_of: str, text: str = "", status: str = "all", industry: str = "all",

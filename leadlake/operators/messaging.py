@@ -47,19 +47,23 @@ def message_fold() -> Fold:
                 {"first": F.struct("sent_epoch", "turn", "direction", "content", "org_id", "prospect_id")}, {})
 
 
+LONGEST_VALUE = 500
+
+
 def unfold_messages(folded: DataFrame) -> DataFrame:
     return folded.select("conversation_id", "provider_message_id", "first.*")
 
 
-def _safe(c: Column) -> Column:
-    return F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f\x7f]", ""), 1, 500)
+def _safe(c: Column, longest: int | None) -> Column:
+    clean = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f\x7f]", "")
+    return clean if longest is None else F.substring(clean, 1, longest)
 
 
-def render(template: Column, values: dict[str, Column]) -> Column:
-    """Fill ``{{name}}`` marks with cleaned values; unknown marks vanish."""
+def render(template: Column, values: dict[str, Column], longest: int | None = LONGEST_VALUE) -> Column:
+    """Fill ``{{name}}`` marks with cleaned values of at most ``longest`` characters; unknown marks vanish."""
     out = F.coalesce(template, F.lit(""))
     for name, value in values.items():
-        literal = F.replace(F.replace(_safe(value), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        literal = F.replace(F.replace(_safe(value, longest), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         out = F.regexp_replace(out, F.lit(r"\{\{\s*" + name + r"\s*\}\}"), literal)
     return F.regexp_replace(F.regexp_replace(out, r"\{\{\s*[\w.]+\s*\}\}", ""), r"^\s+|\s+$", "")
 

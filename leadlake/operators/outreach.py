@@ -168,8 +168,9 @@ def outreach_timeline(events: DataFrame, contacts: DataFrame, messages: DataFram
             .orderBy("prospect_id", F.col("created_at").desc(), F.col("event_id").desc()))
 
 
-def outreach_status(contacts: DataFrame, campaigns: DataFrame, messages: DataFrame, events: DataFrame) -> DataFrame:
-    """Contacts with campaign, message count, event total and their latest 50 events, one row each.
+def outreach_status(contacts: DataFrame, campaigns: DataFrame, messages: DataFrame, events: DataFrame,
+                    latest_events: int = LATEST_EVENTS) -> DataFrame:
+    """Contacts with campaign, message count, event total and their latest events, one row each.
 
     Messages themselves stay in their own table; they are counted before the join.
     """
@@ -177,7 +178,7 @@ def outreach_status(contacts: DataFrame, campaigns: DataFrame, messages: DataFra
     n_msgs = messages.groupBy("contact_id").agg(F.count(F.lit(1)).alias("messages"))
     n_events = events.groupBy("contact_id").agg(F.count(F.lit(1)).alias("events"))
     latest = top_k(events.select("contact_id", F.col("id").alias("event_id"), "type", "created_at"), ["contact_id"],
-                   [F.col("created_at").desc(), F.col("event_id").desc()], LATEST_EVENTS, "event_rank", spread=["event_id"])
+                   [F.col("created_at").desc(), F.col("event_id").desc()], latest_events, "event_rank", spread=["event_id"])
     zero = F.lit(0).cast("long")
     return (contacts.select(F.col("id").alias("contact_id"), "prospect_id", "campaign_id", "status")
             .join(camp, "campaign_id", "left").join(n_msgs, "contact_id", "left").join(n_events, "contact_id", "left")

@@ -30,7 +30,16 @@ EMAIL = RateConfig(daily=30, hourly=5, min_gap=60, max_gap=600, opens=9, closes=
 MESSAGING = RateConfig(daily=50, hourly=10, min_gap=45, max_gap=180, opens=8, closes=20, recipient_daily=4)
 
 
-def _account_counts(s: DataFrame, hot_rows: int) -> DataFrame:
+def _local(t, zone: str):
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(t), zone))
+
+
+def _local_day(t, zone: str):
+    """The day in the zone of an instant in microseconds."""
+    return F.floor(_local(t, zone) / F.lit(DAY)).cast("long")
+
+
+def _account_counts(s: DataFrame, hot_rows: int, zone: str) -> DataFrame:
     """Adds sent_today, sent_last_hour and __prev.
 
     Ordinary accounts use windows of one account. Crowded ones use prefixes built over minutes
@@ -47,7 +56,7 @@ def _account_counts(s: DataFrame, hot_rows: int) -> DataFrame:
         return out
     enter = hot.select("account_id", "__t", "__day", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
     later = F.col("__t") + F.lit(HOUR)
-    leave = hot.select("account_id", later.alias("__t"), F.floor((F.col("__local") + F.lit(HOUR)) / F.lit(DAY)).cast("long").alias("__day"),
+    leave = hot.select("account_id", later.alias("__t"), _local_day(later, zone).alias("__day"),
                        F.lit(0).alias("n"), F.lit(-1).alias("hour"), F.lit(False).alias("__real"))
     counts = running_before(enter.unionByName(leave), ["account_id"], "__t", "__day", ["n", "hour"], "__real").select(
         "account_id", "__t", "__day", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
@@ -74,11 +83,16 @@ def rate_audit(sends: DataFrame, cfg: RateConfig, hot_rows: int = HOT_ROWS) -> D
     ``sends``: send_id, account_id, recipient_id, sent_at (UTC).
     """
     s = sends.withColumn("__t", micros("sent_at")).withColumn(
-        "__local", F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("__t"), cfg.zone)))
-    s = s.withColumn("__day", F.floor(F.col("__local") / F.lit(DAY)).cast("long"))
-    out = _account_counts(s, hot_rows)
+        "__local", _local(F.col("__t"), cfg.zone))
+    s = s.withColumn("__day", _local_day(F.col("__t"), cfg.zone))
+    out = _account_counts(s, hot_rows, cfg.zone)
     if cfg.recipient_daily is not None:
-        out = out.join(_recipient_counts(s, hot_rows), ["recipient_id", "__day", "__t"])
+        # A send without recipient has sent nothing to it before; a key of its own keeps such sends apart.
+        nobody = F.concat(F.lit("!"), F.xxhash64("account_id", "__t").cast("string"))
+        counts = _recipient_counts(s.filter(F.col("recipient_id").isNotNull()), hot_rows).withColumn(
+            "__to", F.col("recipient_id").cast("string")).drop("recipient_id")
+        out = out.withColumn("__to", F.coalesce(F.col("recipient_id").cast("string"), nobody)).join(counts, ["__to", "__day", "__t"], "left")
+        out = out.withColumn("recipient_today", F.coalesce("recipient_today", F.lit(0).cast("long"))).drop("__to")
     gap_ms = F.floor((F.col("__t") - F.col("__prev")) / F.lit(1000)).cast("long")
     of_day = F.pmod(F.col("__local"), F.lit(DAY))
     opens, closes = cfg.opens * HOUR, cfg.closes * HOUR
@@ -112,5 +126,5 @@ def wa_rate_audit(sends: DataFrame, cfg: RateConfig = MESSAGING) -> DataFrame:
 
 def send_jitter(messages: DataFrame, cfg: RateConfig = EMAIL, id_col: str = "message_id") -> DataFrame:
     """Delay in whole seconds between the configured bounds, fixed by the message id."""
-    u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(10_000)) / F.lit(10_000.0)
+    u = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 / F.lit(10_000.0)
     return messages.withColumn("delay_seconds", half_up(F.lit(cfg.min_gap) + u * (cfg.max_gap - cfg.min_gap)))

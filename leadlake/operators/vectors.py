@@ -51,12 +51,13 @@ def _one_pass(queries: list, vectors: DataFrame, k: int, id_type: str, q_type: s
 
 
 def registry_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Top k vectors per query, k kept within 1 to 50.
+    """Top k vectors per query.
 
     A pass ships at most a few thousand query vectors to the tasks; more queries are split by
     hash into several passes. Each task keeps only its own k best per query.
     """
-    k = max(1, min(k, 50))
+    if k < 1:
+        raise ValueError("k must be positive")
     passes = max(1, -(-queries.count() // (QUERIES_PER_PASS // 2)))
     id_type, q_type = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query_id"]
     found = None

@@ -22,7 +22,7 @@ DDL = {
     "user": "id string, org_id string, email string, name string, role string, created_at timestamp",
     "prospect": (
         "id string, cnpj string, company_name string, trade_name string, status string, opportunity_score int, "
-        "revenue_estimate int, employees int, industry string, city string, state string, cnpj_email string, "
+        "revenue_estimate bigint, employees int, industry string, city string, state string, cnpj_email string, "
         f"cnpj_phones array<string>, cnpj_partners array<{PARTNER}>, cnpj_raw_data string, "
         "cnpj_opened_at timestamp, cnpj_legal_nature string, enrichment_status string, enrichment_source string, "
         f"enrichment_error string, enrichment_version int, enrichment_summary {SUMMARY}, enriched_at timestamp, "
