@@ -87,14 +87,18 @@ UNION ALL SELECT org_id, raw_phone FROM {fx_phone} b UNION ALL SELECT org_id, ''
 """
 
 
+PHONE_OWNERS = """k AS (SELECT org_id, phone_number AS phone, prospect_id, 0 AS tier FROM {fx_wa_conversation} x WHERE prospect_id IS NOT NULL
+  UNION ALL SELECT g.org_id, t.phone_number, t.prospect_id, 1 FROM {fx_wa_contact} t JOIN {fx_wa_campaign} g ON g.id = t.campaign_id WHERE t.phone_number IS NOT NULL
+  UNION ALL SELECT org_id, phone, prospect_id, 2 FROM lp),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_id, phone ORDER BY tier, prospect_id) AS rn FROM k) WHERE rn = 1)
+"""
+
+
 @query("phone_resolve", f"""
 WITH lp AS ({LEAD_PHONES}),
 asked AS (SELECT DISTINCT org_id, CASE WHEN length(nat) BETWEEN 10 AND 11 THEN '55' || nat ELSE nat END AS phone
   FROM (SELECT *, CASE WHEN d LIKE '55%' AND length(d) >= 12 THEN substr(d, 3) ELSE d END AS nat FROM (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM ({ASKED}))) WHERE d <> ''),
-k AS (SELECT org_id, phone_number AS phone, prospect_id, 0 AS tier FROM {{fx_wa_conversation}} x WHERE prospect_id IS NOT NULL
-  UNION ALL SELECT g.org_id, t.phone_number, t.prospect_id, 1 FROM {{fx_wa_contact}} t JOIN {{fx_wa_campaign}} g ON g.id = t.campaign_id WHERE t.phone_number IS NOT NULL
-  UNION ALL SELECT org_id, phone, prospect_id, 2 FROM lp),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_id, phone ORDER BY tier, prospect_id) AS rn FROM k) WHERE rn = 1)
+{PHONE_OWNERS}
 SELECT a.org_id, a.phone, b.prospect_id, b.tier FROM asked a LEFT JOIN b ON b.org_id = a.org_id AND b.phone = a.phone""")
 def _(fx):
     lead_phones = I.phone_standardise(fx("phone")).select("org_id", "prospect_id", "phone")
@@ -183,7 +187,8 @@ SELECT concat('org_', cast(o_custkey % 20 AS string)) AS org_id, CASE WHEN o_ord
 
 
 def optouts(fx):
-    return M.optout_propagate(fx.sql(OPTOUTS), fx("channel_state"), fx("wa_conversation"), fx("wa_contact"))
+    lead_phones = I.phone_standardise(fx("phone")).select("org_id", "prospect_id", "phone")
+    return M.optout_propagate(fx.sql(OPTOUTS), fx("channel_state"), fx("wa_conversation"), fx("wa_contact"), fx("wa_campaign"), lead_phones)
 
 
 @query("optout_propagate", f"""
@@ -196,8 +201,12 @@ def _(fx):
 
 
 @query("optout_propagate_state", f"""
+WITH lp AS ({LEAD_PHONES}),
+{PHONE_OWNERS}, outs AS ({OPTOUTS}),
+named AS (SELECT prospect_id FROM outs WHERE prospect_id IS NOT NULL
+  UNION SELECT b.prospect_id FROM outs o JOIN b ON b.org_id = o.org_id AND b.phone = o.phone WHERE o.prospect_id IS NULL)
 SELECT coalesce(s.prospect_id, o.prospect_id) AS prospect_id, 'whatsapp' AS channel, CASE WHEN o.prospect_id IS NOT NULL THEN 'opted_out' ELSE s.status END AS status
-FROM {{fx_channel_state}} s FULL JOIN (SELECT DISTINCT prospect_id FROM ({OPTOUTS}) WHERE prospect_id IS NOT NULL) o ON o.prospect_id = s.prospect_id""")
+FROM {{fx_channel_state}} s FULL JOIN named o ON o.prospect_id = s.prospect_id""")
 def _(fx):
     return optouts(fx)["state"]
 

@@ -16,7 +16,7 @@ from leadlake.sources import payloads as P
 from leadlake.streaming import appliers as A
 from leadlake.streaming import readers as R
 
-FILES = 6
+LEAST_FILES = 6
 
 
 def ddl(df) -> str:
@@ -26,7 +26,8 @@ def ddl(df) -> str:
 def stage(df, name: str, order: str | None = None) -> str:
     """Rows as several files; with ``order`` each file covers one range, as a log would."""
     path = new_dir(df.sparkSession, f"stage-{name}")
-    (df.repartitionByRange(FILES, order) if order else df.repartition(FILES)).write.parquet(path)
+    files = max(LEAST_FILES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (df.repartitionByRange(files, order) if order else df.repartition(files)).write.parquet(path)
     return path
 
 

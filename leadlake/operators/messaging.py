@@ -268,13 +268,19 @@ def _set_channel(state: DataFrame, leads: DataFrame, status: str) -> DataFrame:
     return upsert(state, updates, ["prospect_id", "channel"], ["status"])
 
 
-def optout_propagate(optouts: DataFrame, state: DataFrame, conversations: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
+def optout_propagate(optouts: DataFrame, state: DataFrame, conversations: DataFrame, contacts: DataFrame,
+                     campaigns: DataFrame | None = None, lead_phones: DataFrame | None = None) -> dict[str, DataFrame]:
     """Opt-outs -> channel state, conversations and running campaign contacts.
 
     ``optouts``: org_id, phone (normalised or null), prospect_id (or null). A contact is matched
-    by phone where the opt-out has one, else by lead.
+    by phone where the opt-out has one, else by lead. With ``campaigns`` and ``lead_phones`` an
+    opt-out that names no lead reaches the one :func:`phone_resolve` finds.
     """
     leads = optouts.filter(F.col("prospect_id").isNotNull()).select("prospect_id").distinct()
+    if campaigns is not None and lead_phones is not None:
+        unnamed = optouts.filter(F.col("prospect_id").isNull()).select("org_id", "phone")
+        found = phone_resolve(unnamed, conversations, contacts, campaigns, lead_phones).filter(F.col("prospect_id").isNotNull())
+        leads = leads.unionByName(found.select("prospect_id")).distinct()
     by_phone = optouts.filter(F.col("phone").isNotNull()).select("org_id", F.col("phone").alias("phone_number")).distinct()
     by_lead = (optouts.filter(F.col("phone").isNull() & F.col("prospect_id").isNotNull())
                .select("prospect_id").distinct().withColumn("__l", F.lit(True)))
