@@ -17,6 +17,13 @@ def _(fx):
     return O.outreach_timeline(fx("outreach_event"), fx("outreach_contact"), fx("outreach_message"))
 
 
+@query("outreach_messages", """
+SELECT m.id AS message_id, c.id AS contact_id, c.prospect_id, c.campaign_id, g.name AS campaign_name, m.subject, m.status AS message_status, m.created_at
+FROM {fx_outreach_message} m JOIN {fx_outreach_contact} c ON c.id = m.contact_id LEFT JOIN {fx_outreach_campaign} g ON g.id = c.campaign_id""")
+def _(fx):
+    return O.outreach_messages(fx("outreach_contact"), fx("outreach_campaign"), fx("outreach_message"))
+
+
 @query("outreach_status", """
 WITH e AS (SELECT *, cast(row_number() OVER (PARTITION BY contact_id ORDER BY created_at DESC, id DESC) AS int) AS event_rank, count(*) OVER (PARTITION BY contact_id) AS n FROM {fx_outreach_event} x)
 SELECT c.id AS contact_id, c.prospect_id, c.campaign_id, c.status, k.name AS campaign_name, coalesce(m.n, 0) AS messages, e.n AS events,

@@ -187,6 +187,14 @@ def outreach_status(contacts: DataFrame, campaigns: DataFrame, messages: DataFra
             .orderBy("prospect_id", "contact_id", "event_rank"))
 
 
+def outreach_messages(contacts: DataFrame, campaigns: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every message of every lead with its contact and campaign, newest first per lead; the rows beside outreach_status."""
+    camp = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
+    c = contacts.select(F.col("id").alias("contact_id"), "prospect_id", "campaign_id").join(camp, "campaign_id", "left")
+    m = messages.select(F.col("id").alias("message_id"), "contact_id", "subject", F.col("status").alias("message_status"), "created_at")
+    return m.join(c, "contact_id").orderBy("prospect_id", F.col("created_at").desc(), F.col("message_id").desc())
+
+
 def _progress() -> Column:
     return (F.when(F.col("type") == "email_scheduled", "SCHEDULED").when(F.col("type") == "email_sent", "SENT")
             .when(F.col("type") == "email_opened_inferred", "OPENED_INFERRED"))
