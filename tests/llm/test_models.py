@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import SF, by_id
+from edge_rows import SF, by_id
 
 from leadlake.llm import language, quality, tokens, toxicity
 from leadlake.llm.queries import QUERIES

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from conftest import SF
+from edge_rows import SF
 from test_text import classes
 
 from leadlake.llm import mixing, toxicity
