@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions import fixed
 from leadlake.functions.columns import digits, place_key
-from leadlake.plans.balance import first_row, top_k, with_totals
+from leadlake.plans.balance import first_row, top_k
 from leadlake.plans.textmatch import substring_pairs
 
+BUCKET_DIGITS = 4
+
 
 def candidate_union(*pools: DataFrame) -> DataFrame:
     """First occurrence of each (org_id, cnpj) over the pools, earlier pools first."""
@@ -96,13 +98,27 @@ def discovery_candidates(profiles: DataFrame, registry: DataFrame, prospects: Da
 
 
 def seeded_page(pool: DataFrame, seed: str = "default", page: int = 1, size: int = 12) -> DataFrame:
-    """One page per tenant of the pool in an order fixed by the seed, with paging totals."""
+    """One page per tenant of the pool in an order fixed by the seed, with paging totals.
+
+    The order is a hash, so its first bits are even buckets. Buckets are counted, and only rows of
+    the buckets that the page touches are ranked, however deep the page or crowded the tenant.
+    """
     if page < 1 or size < 1:
         raise ValueError("page and size must be positive")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.col("cnpj")))
-    counted = with_totals(pool, ["org_id"], total=F.count(F.lit(1)))
-    ranked = top_k(counted.withColumn("__key", key), ["org_id"], [F.col("__key"), F.col("cnpj")], page * size,
-                   "position", spread=["cnpj"])
+    first, last = (page - 1) * size, page * size
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce("cnpj", F.lit(""))))
+    keyed = pool.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
+    buckets = keyed.groupBy("org_id", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy("org_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    touched = (buckets.withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
+               .withColumn("total", F.sum("__n").over(Window.partitionBy("org_id")))
+               .filter((F.col("__before") < last) & (F.col("__before") + F.col("__n") > first)))
+    inside = Window.partitionBy("org_id", "__bucket").orderBy("__key", "cnpj")
+    here = (keyed.withColumnRenamed("org_id", "__org")
+            .join(touched.withColumnRenamed("__bucket", "__b"), F.col("__org").eqNullSafe(F.col("org_id")) & (F.col("__bucket") == F.col("__b")))
+            .drop("__org", "__b"))
+    ranked = (here.withColumn("position", (F.row_number().over(inside) + F.col("__before")).cast("int"))
+              .filter(F.col("position") <= last))
     pages = F.expr(f"greatest(1L, (total + {size} - 1) div {size})")
-    return (ranked.filter(F.col("position") > (page - 1) * size).drop("__key")
+    return (ranked.filter(F.col("position") > first).drop("__key", "__bucket", "__before", "__n")
             .withColumn("total_pages", pages).withColumn("has_more", F.lit(page) < F.col("total_pages")))

@@ -99,7 +99,7 @@ def enrichment_backlog(prospects: DataFrame, frm: str | None = None, to: str | N
         return rows
     if limit < 1:
         raise ValueError("limit must be positive")
-    return top_k(rows, ["org_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], limit, spread=["id"])
+    return top_k(rows, ["org_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], limit, spread=True)
 
 
 def prospect_facets(prospects: DataFrame, as_of: str, text: str = "", status: str = "all", industry: str = "all",

@@ -52,8 +52,6 @@ def _account_counts(s: DataFrame, hot_rows: int, zone: str) -> DataFrame:
             Window.partitionBy("account_id", "__day").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)),
         "sent_last_hour": F.count(F.lit(1)).over(timeline.rangeBetween(-HOUR, -1)),
         "__prev": F.max("__t").over(timeline.rangeBetween(Window.unboundedPreceding, -1))})
-    if hot is None:
-        return out
     enter = hot.select("account_id", "__t", "__day", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
     later = F.col("__t") + F.lit(HOUR)
     leave = hot.select("account_id", later.alias("__t"), _local_day(later, zone).alias("__day"),
@@ -71,8 +69,6 @@ def _recipient_counts(s: DataFrame, hot_rows: int) -> DataFrame:
     day = Window.partitionBy("recipient_id", "__day").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
     out = cold.groupBy("recipient_id", "__day", "__t").agg(F.sum("n").alias("n")).select(
         "recipient_id", "__day", "__t", F.coalesce(F.sum("n").over(day), F.lit(0)).alias("recipient_today"))
-    if hot is None:
-        return out
     counts = running_before(hot, ["recipient_id"], "__t", "__day", ["n"], across=False)
     return out.unionByName(counts.withColumnRenamed("n_in_scope", "recipient_today"))
 

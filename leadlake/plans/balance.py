@@ -7,63 +7,55 @@ map tasks times k.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPREAD = 64
 MINUTE = 60_000_000
 DAY = 86_400_000_000
 HOT_KEYS = 20_000
 HOT_ROWS = 1_000_000
-ONE_TASK_BYTES = 64 << 20
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The planner's own size estimate of a plan's output."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def needs_spreading(left: DataFrame, right: DataFrame) -> bool:
-    """Not if the right side may be broadcast anyway, or all of the left side suits one task."""
-    limit = int(left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return planned_bytes(right) > limit and planned_bytes(left) > ONE_TASK_BYTES
+def row_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than one row in HOT_KEYS of all rows (``counts``: keys, __n).
+    """Crowded keys and their salts, one for every ``hot_rows`` rows (``counts``: keys, __n).
 
-    There are fewer than HOT_KEYS of them however large the data, so the list may be broadcast.
+    Only the HOT_KEYS largest keys are taken, which bounds the list for a broadcast; any key
+    beyond them holds less than one row in HOT_KEYS.
     """
-    rows = counts.agg(F.sum("__n")).scalar()
-    return counts.filter(F.col("__n") > F.greatest(rows / F.lit(HOT_KEYS), F.lit(hot_rows))).select(
-        *keys, F.lit(True).alias("__hot"))
+    return (counts.filter(F.col("__n") > hot_rows).orderBy(F.col("__n").desc(), *keys).limit(HOT_KEYS)
+            .select(*keys, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")))
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys and rows of crowded ones; small inputs are not split."""
-    if hot_rows == HOT_ROWS and planned_bytes(df) <= ONE_TASK_BYTES:
-        return df, None
-    hot = F.broadcast(hot_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, hot_rows))
-    marked = df.join(hot, keys, "left")
-    return marked.filter(F.col("__hot").isNull()).drop("__hot"), marked.filter(F.col("__hot")).drop("__hot")
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of crowded ones."""
+    hot = F.broadcast(hot_keys(row_counts(df, keys), keys, hot_rows).select(*keys))
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
 def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, counts: DataFrame,
                  hot_rows: int) -> DataFrame:
     """Join after salting the crowded keys of ``left``.
 
-    Their rows spread over SPREAD buckets and their right-hand rows are copied to each. Rows
-    with a null key match nothing and spread too.
+    Their rows spread over as many salts as their count asks for, and their right-hand rows are
+    copied to each. Rows with a null key match nothing and spread over all tasks.
     """
-    hot = F.broadcast(hot_keys(counts, keys, hot_rows))
+    hot = F.broadcast(hot_keys(counts.dropna(subset=keys), keys, hot_rows))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     plain = [n for n, t in left.dtypes if not t.startswith(("map", "variant"))]
-    salt = F.when(F.coalesce("__hot", no_key), F.pmod(F.xxhash64(*plain), F.lit(SPREAD))).otherwise(0)
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
-    copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    row = F.xxhash64(*plain)
+    salt = F.when(no_key, F.pmod(row, F.lit(HOT_KEYS))).otherwise(
+        F.coalesce(F.pmod(row, F.col("__salts")), F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    salted = left.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__salts")
+    copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
     return salted.join(copied, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -71,37 +63,31 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
              counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a large side, any key of which may be crowded, with a side of few rows per key.
 
-    Crowded keys are salted unless the sides are small: AQE cannot split them where the right
-    side is an aggregate or a chain of joins on one key. ``counts`` (keys, __n) may name a
-    cheaper table that has the same crowded keys; else the left side is counted.
+    Crowded keys are salted, as AQE cannot split them where the right side is an aggregate or a
+    chain of joins on one key. Rows are counted per key; ``counts`` (keys, __n) may name a cheaper
+    table that has the same crowded keys.
     """
-    if not needs_spreading(left, right):
-        return left.join(right, keys, how)
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return _spread_join(left, right, keys, how, counts, hot_rows)
+    return _spread_join(left, right, keys, how, row_counts(left, keys) if counts is None else counts, hot_rows)
 
 
 def with_totals(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, **aggs: Column) -> DataFrame:
     """Attach group aggregates: partial aggregation, then a join that spreads crowded keys."""
     totals = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()], F.count(F.lit(1)).alias("__n"))
-    right = totals.drop("__n")
-    if not needs_spreading(df, right):
-        return df.join(right, keys, "left")
-    return _spread_join(df, right, keys, "left", totals.select(*keys, "__n"), hot_rows)
+    return _spread_join(df, totals.drop("__n"), keys, "left", totals.select(*keys, "__n"), hot_rows)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
-          spread: list[str] | None = None) -> DataFrame:
+          spread: bool = False) -> DataFrame:
     """First k rows of each group with their rank.
 
     The rank filter becomes a group limit inside every map task, so a hot group sends at most
-    k rows per task. With ``spread`` a salted round cuts that again before the final task.
+    k rows per task. With ``spread`` a round by groups of map tasks, about the root of the shuffle
+    partitions in number, cuts that to k rows per group of tasks before the final one.
     """
     if spread:
-        salt = F.pmod(F.xxhash64(*spread), F.lit(SPREAD))
+        rounds = isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
         local = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = (df.withColumn("__salt", salt)
+        df = (df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(rounds)))
               .withColumn("__r", F.row_number().over(local))
               .filter(F.col("__r") <= k).drop("__r", "__salt"))
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -23,12 +23,15 @@ def test_spread_join_and_totals(spark):
         got = B._spread_join(df, right, ["k"], how, counts, 100).select("k", "id", "v", "name").collect()
         want = [(k, i, v, None if k is None else f"n{k}") for k, i, v in rows if how == "left" or k is not None]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    assert B.hot_keys(counts, ["k"], 100).filter("k = 0").count() == 1
+    n = sum(k == 0 for k, _, _ in rows)
+    salts = lambda counts, unit: B.hot_keys(counts, ["k"], unit).filter("k = 0").first()["__salts"]
+    assert salts(counts, 100) == -(-n // 100)
+    assert salts(counts.withColumn("__n", F.col("__n") * 2), 100) == -(-2 * n // 100)
 
 
 def test_top_k_spread(spark):
     rows, df = crowded(spark)
-    got = B.top_k(df, ["k"], [F.col("v").desc(), F.col("id")], 7, spread=["id"]).collect()
+    got = B.top_k(df, ["k"], [F.col("v").desc(), F.col("id")], 7, spread=True).collect()
     want = set()
     for key in {r[0] for r in rows}:
         best = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], r[1]))[:7]

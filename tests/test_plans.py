@@ -26,7 +26,7 @@ def test_no_pairwise_joins_or_python(spark, name):
 
 
 def test_ranked_queries_limit_groups_early(spark):
-    for name in ("top_leads", "enrichment_latest", "seeded_page"):
+    for name in ("top_leads", "enrichment_latest"):
         assert "WindowGroupLimit" in plan(spark, name)
 
 
