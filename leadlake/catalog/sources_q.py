@@ -131,8 +131,11 @@ FROM {fx_result_once} r
 """
 
 
-@query("dlq_split", f"""
-SELECT raw_id, body, CASE WHEN raw_id % 10 = 0 THEN 'malformed_json' ELSE 'invalid_cnpj' END AS reason FROM ({RESULT_RAW}) WHERE raw_id % 10 <= 1""")
+DEAD = f"""
+SELECT raw_id, body, CASE WHEN raw_id % 10 = 0 THEN 'malformed_json' ELSE 'invalid_cnpj' END AS reason FROM ({RESULT_RAW}) WHERE raw_id % 10 <= 1"""
+
+
+@query("dlq_split", DEAD)
 def _(fx):
     return P.dlq_split(fx.sql(RESULT_RAW))[1]
 

@@ -37,7 +37,7 @@ def replay(fx, df, name: str, order: str | None = None):
 
 def folded(fx, df, fold, name: str):
     log, ck = new_dir(fx.spark, f"fold-{name}"), new_dir(fx.spark, f"ck-{name}")
-    A.fold_stream(replay(fx, df, name), fold, ck, log).awaitTermination()
+    A.fold_stream(replay(fx, df, name), fold, ck, log, every=3).awaitTermination()
     return A.read_fold(fx.spark, log, fold)
 
 
@@ -46,14 +46,22 @@ def doubled(df, cond: str):
     return df.unionByName(df.filter(cond))
 
 
+def results(fx, part: int, cols: list[str]):
+    """Usable results (part 0) or dead letters (part 1) as the stream leaves them."""
+    path, out = stage(fx.sql(sources_q.RESULT_RAW), "results"), new_dir(fx.spark, "results")
+    rows = R.read_results(fx.spark, path, files=2)[part].select(*cols)
+    A.append_batches(rows, new_dir(fx.spark, "ck-results"), out).awaitTermination()
+    return A.read_batches(fx.spark, out)
+
+
 @query("src_enrichment_stream", sources_q.GOOD.replace(", body FROM", " FROM"))
 def _(fx):
-    path = stage(fx.sql(sources_q.RESULT_RAW), "results")
-    good, bad = R.read_results(fx.spark, path, files=2)
-    out, dead = new_dir(fx.spark, "results"), new_dir(fx.spark, "dead")
-    A.append_batches(good.select("raw_id", "cnpj", "enrichment_version", "status"), new_dir(fx.spark, "ck-results"), out).awaitTermination()
-    A.append_batches(bad, new_dir(fx.spark, "ck-dead"), dead).awaitTermination()
-    return A.read_batches(fx.spark, out)
+    return results(fx, 0, ["raw_id", "cnpj", "enrichment_version", "status"])
+
+
+@query("src_enrichment_stream dead letters", sources_q.DEAD)
+def _(fx):
+    return results(fx, 1, ["raw_id", "body", "reason"])
 
 
 @query("src_message_stream", f"""

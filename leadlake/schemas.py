@@ -11,7 +11,7 @@ SUMMARY = (
 )
 
 DDL = {
-    "organization": "id string, name string, plan string, created_at timestamp, updated_at timestamp",
+    "organization": "id string, name string, cnpj string, plan string, created_at timestamp, updated_at timestamp",
     "commercial_settings": (
         "id string, org_id string, onboarding_completed boolean, onboarding_step int, company_name string, "
         "sales_team_size string, target_segments array<string>, target_cnaes array<string>, "
@@ -28,7 +28,7 @@ DDL = {
         f"enrichment_error string, enrichment_version int, enrichment_summary {SUMMARY}, enriched_at timestamp, "
         "credit_risk_score int, credit_risk_level string, created_at timestamp, updated_at timestamp, org_id string"
     ),
-    "activity": "id string, prospect_id string, type string, description string, created_at timestamp",
+    "activity": "id string, org_id string, prospect_id string, type string, description string, created_at timestamp",
     "workflow": "id string, org_id string, name string, trigger string, actions string, active boolean",
     "cnpj_enrichment": (
         "id string, company_id string, cnpj string, enrichment_version int, request_event_id string, status string, "
@@ -100,6 +100,7 @@ def schema(name: str) -> StructType:
 
 # Natural unique keys; the audit in operators.quality reports violations.
 UNIQUE_KEYS = {
+    "organization": [["cnpj"]],
     "prospect": [["cnpj"], ["org_id", "cnpj"]],
     "cnpj_enrichment": [["company_id", "enrichment_version"]],
     "outreach_contact": [["prospect_id", "campaign_id"]],
@@ -114,6 +115,25 @@ UNIQUE_KEYS = {
     "wa_account": [["session_name"]],
 }
 
+# What deleting a parent does to its children: child, column, parent, action. Parents come before their children.
+DELETE_RULES = [
+    ("commercial_settings", "org_id", "organization", "cascade"),
+    ("user", "org_id", "organization", "cascade"),
+    ("prospect", "org_id", "organization", "cascade"),
+    ("activity", "org_id", "organization", "cascade"),
+    ("activity", "prospect_id", "prospect", "cascade"),
+    ("workflow", "org_id", "organization", "cascade"),
+    ("outreach_contact", "campaign_id", "outreach_campaign", "cascade"),
+    ("outreach_message", "contact_id", "outreach_contact", "cascade"),
+    ("outreach_event", "contact_id", "outreach_contact", "cascade"),
+    ("outreach_event", "message_id", "outreach_message", "cascade"),
+    ("wa_campaign", "wa_account_id", "wa_account", "set_null"),
+    ("wa_step", "campaign_id", "wa_campaign", "cascade"),
+    ("wa_campaign_contact", "campaign_id", "wa_campaign", "cascade"),
+    ("wa_conversation", "wa_account_id", "wa_account", "set_null"),
+    ("wa_message", "conversation_id", "wa_conversation", "cascade"),
+]
+
 VOCABULARY = {
     ("prospect", "status"): ["lead", "prospect", "qualified", "closed", "contacted", "proposal"],
     ("prospect", "enrichment_status"): ["pending", "enriched", "partial", "unavailable", "error"],

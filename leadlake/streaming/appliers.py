@@ -3,6 +3,8 @@
 Folds (minima and maxima of time-stamped values) need no state store: every micro-batch appends
 its partial fold under its batch number and readers merge the partials. A retried batch rewrites
 its own folder, so the result is exactly once; duplicates and late rows cannot change a fold.
+Every so many batches the partials are merged into the base of the next generation, so readers
+never merge more than one base and those batches.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from leadlake.operators.fold import Fold
 
 BATCH = "__batch"
+GENERATION = "__generation"
+BATCHES_PER_GENERATION = 50
 
 
 def start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -33,9 +37,21 @@ def append_batches(stream: DataFrame, checkpoint: str, path: str,
     return start(stream, checkpoint, each)
 
 
-def fold_stream(stream: DataFrame, fold: Fold, checkpoint: str, path: str) -> StreamingQuery:
-    """Append the partial fold of every batch."""
-    return append_batches(stream, checkpoint, path, fold.partial)
+def fold_stream(stream: DataFrame, fold: Fold, checkpoint: str, path: str,
+                every: int = BATCHES_PER_GENERATION) -> StreamingQuery:
+    """Append the partial fold of every batch; after ``every`` batches start a merged generation.
+
+    Generation and folder follow from the batch number, so a replay writes the same files. Older
+    generations are not read again and may be removed.
+    """
+    def each(df: DataFrame, batch_id: int) -> None:
+        current = batch_id // every
+        fold.partial(df).write.mode("overwrite").parquet(f"{path}/{GENERATION}={current}/{BATCH}={batch_id}")
+        if (batch_id + 1) % every == 0:
+            partials = df.sparkSession.read.parquet(f"{path}/{GENERATION}={current}").drop(BATCH)
+            fold.merge(partials).write.mode("overwrite").parquet(f"{path}/{GENERATION}={current + 1}/{BATCH}=-1")
+
+    return start(stream, checkpoint, each)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -43,13 +59,10 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fold(spark: SparkSession, path: str, fold: Fold) -> DataFrame:
-    """Current fold over all batches written so far."""
-    return fold.merge(read_batches(spark, path))
-
-
-def compact(spark: SparkSession, path: str, fold: Fold, target: str) -> None:
-    """Merge the partials into one folder of a new log; later batches may be appended beside it."""
-    read_fold(spark, path, fold).write.mode("errorifexists").parquet(f"{target}/{BATCH}=-1")
+    """Current fold over all batches written so far, read from the newest generation."""
+    log = spark.read.option("basePath", path).parquet(path)
+    newest = log.agg(F.max(GENERATION)).scalar()
+    return fold.merge(log.filter(F.col(GENERATION) == newest).drop(BATCH, GENERATION))
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], window: str, arrived: str = "arrived_at") -> DataFrame:
