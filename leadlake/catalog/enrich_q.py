@@ -190,3 +190,21 @@ def _(fx):
     v = fx.table("embeddings")
     q = v.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     return V.registry_search(q, v, 20).select("query_id", "vec_id", "rank")
+
+
+@query("registry_search filtered", """
+WITH v AS (SELECT *, concat('S', cast(vec_id % 5 AS varchar)) AS state, CASE WHEN vec_id % 7 > 0 THEN concat('C', cast(vec_id % 3 AS varchar)) END AS city, vec_id % 4 AS code FROM {embeddings}),
+q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS e, CASE WHEN label % 2 = 0 THEN concat('S', cast(label % 5 AS varchar)) END AS state,
+  CASE WHEN label % 3 = 0 THEN 'C1' END AS city, CASE WHEN label % 5 = 1 THEN cast(2 AS bigint) END AS code FROM {embeddings} GROUP BY label),
+s AS (SELECT q.query_id, v.vec_id, list_cosine_similarity(cast(q.e AS double[]), cast(v.embedding AS double[])) AS sim FROM q JOIN v
+  ON coalesce(q.state = v.state, q.state IS NULL) AND (q.city IS NULL OR coalesce(q.city = v.city, FALSE)) AND (q.code IS NULL OR q.code = v.code))
+SELECT query_id, vec_id, rank FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS int) AS rank FROM s) WHERE rank <= 20""")
+def _(fx):
+    number = lambda name, c, by: F.concat(F.lit(name), (F.col(c) % by).cast("string"))
+    v = fx.table("embeddings")
+    q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
+        F.col("label").alias("query_id"), "embedding", F.when(F.col("label") % 2 == 0, number("S", "label", 5)).alias("state"),
+        F.when(F.col("label") % 3 == 0, F.lit("C1")).alias("city"), F.when(F.col("label") % 5 == 1, F.lit(2).cast("long")).alias("code"))
+    firms = v.select("vec_id", "embedding", number("S", "vec_id", 5).alias("state"), F.when(F.col("vec_id") % 7 > 0, number("C", "vec_id", 3)).alias("city"),
+                     (F.col("vec_id") % 4).alias("code"))
+    return V.registry_search(q, firms, 20).select("query_id", "vec_id", "rank")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.plans.balance import top_k
 
-QUERIES_PER_PASS = 4096
-BLOCK = 256
+BLOCK = 1024
+FILTERS = ("state", "city", "code")
 
 
-def _unit(rows) -> np.ndarray:
-    m = np.asarray([np.asarray(r, dtype="float64") for r in rows])
+def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
+    m = np.asarray(flat, dtype="float64").reshape(rows, -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, 1.0, norms)
 
@@ -27,46 +27,57 @@ def _keep(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(sims, by_sim, 1), np.take_along_axis(keys, by_sim, 1)
 
 
-def _one_pass(queries: list, vectors: DataFrame, k: int, id_type: str, q_type: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(([q[0] for q in queries], _unit([q[1] for q in queries])))
+def _blocks(df: DataFrame) -> Column:
+    """Number of blocks for the rows that have a vector."""
+    held = df.filter(F.col("embedding").isNotNull())
+    return held.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.lit(1)).cast("long")).scalar()
 
-    def nearest(batches):
-        ids, mat = shared.value
-        blocks = [(ids[i:i + BLOCK], mat[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-        best = [(np.empty((len(b), 0)), np.empty((len(b), 0), dtype="int64")) for b, _ in blocks]
+
+def _packed(df: DataFrame, key: str, side: str, filters: list[str]) -> DataFrame:
+    """Rows as blocks of about BLOCK, numbered from 0: parallel arrays of keys, vectors end to end and filter values."""
+    rows = df.filter(F.col("embedding").isNotNull()).select(
+        key, "embedding", *[F.col(c).cast("string").alias(c) for c in filters])
+    packed = (rows.withColumn("__block", F.pmod(F.xxhash64(key), _blocks(df)))
+              .groupBy("__block").agg(F.collect_list(F.struct(key, "embedding", *filters)).alias("__rows")))
+    return packed.select(
+        F.col("__block").alias(f"{side}block"),
+        F.col(f"__rows.{key}").alias(f"{side}key"), F.flatten("__rows.embedding").alias(f"{side}flat"),
+        *[F.col(f"__rows.{c}").alias(f"{side}{c}") for c in filters])
+
+
+def _nearest(k: int, filters: list[str]):
+    """Best k of each query of a block in another block; every filter a query names must be equal."""
+    def score(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            keys, unit = pdf["vec_id"].to_numpy(), _unit(pdf["embedding"]).T
-            for i, (b, m) in enumerate(blocks):
-                best[i] = _keep(np.hstack([best[i][0], m @ unit]),
-                                np.hstack([best[i][1], np.broadcast_to(keys, (len(b), len(keys)))]), k)
-        for (b, _), (sims, keys) in zip(blocks, best):
-            if keys.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(b), keys.shape[1]), "vec_id": keys.ravel(),
-                                    "similarity": sims.ravel()})
+            for r in pdf.to_dict("records"):
+                ids, keys = np.asarray(r["qkey"]), np.asarray(r["vkey"])
+                sims = _unit(r["qflat"], len(ids)) @ _unit(r["vflat"], len(keys)).T
+                for c in filters:
+                    asked, held = np.asarray(r[f"q{c}"], dtype=object), np.asarray(r[f"v{c}"], dtype=object)
+                    free = np.asarray([a is None for a in asked])
+                    sims[~(free[:, None] | (asked[:, None] == held[None, :]))] = -np.inf
+                sims, keys = _keep(sims, np.broadcast_to(keys, sims.shape), k)
+                fits = np.isfinite(sims)
+                yield pd.DataFrame({"query_id": np.repeat(ids, fits.sum(axis=1)), "vec_id": keys[fits], "similarity": sims[fits]})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(
-        nearest, f"query_id {q_type}, vec_id {id_type}, similarity double")
+    return score
 
 
 def registry_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Top k vectors per query.
+    """Top k vectors per query (query_id, embedding), ties to the smaller vec_id; exact.
 
-    A pass ships at most a few thousand query vectors to the tasks; more queries are split by
-    hash into several passes. Each task keeps only its own k best per query.
+    Where both sides have a column state, city or code, a query that names a value gets only
+    vectors with that value; null asks for any. Queries and vectors are packed into blocks whose
+    number follows from lazily counted rows; every block of queries meets every block of vectors
+    in some task, which sends on k rows per query. Rows without a vector take no part.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    passes = max(1, -(-queries.count() // (QUERIES_PER_PASS // 2)))
+    filters = [c for c in FILTERS if c in queries.columns and c in vectors.columns]
+    v = _packed(vectors, "vec_id", "v", filters)
+    q = _packed(queries, "query_id", "q", filters).withColumn(
+        "vblock", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(vectors) - 1)))
     id_type, q_type = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query_id"]
-    found = None
-    for i in range(passes):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        part = _one_pass([(r[0], r[1]) for r in rows], vectors, k, id_type, q_type)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {q_type}, vec_id {id_type}, similarity double, rank int")
-    return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k)
+    found = q.join(v, "vblock").mapInPandas(
+        _nearest(k, filters), f"query_id {q_type}, vec_id {id_type}, similarity double")
+    return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k, spread=True)
