@@ -47,19 +47,18 @@ LEFT JOIN (SELECT o_custkey, min(cast(floor(o_totalprice) AS bigint)) AS rev_min
 """
 
 VIEWS["fx_organization"] = """
-SELECT concat('org_', cast(n_nationkey AS string)) AS id, concat('Org ', n_name) AS name,
+SELECT concat(CASE WHEN n_name = 'NATION_19' THEN 'left_' ELSE 'org_' END, cast(n_nationkey AS string)) AS id, concat('Org ', n_name) AS name,
   CASE n_nationkey % 3 WHEN 0 THEN 'premium' WHEN 1 THEN 'trial' ELSE NULL END AS plan
-FROM {nation} WHERE n_name <> 'NATION_19'
+FROM {nation}
 """
 
 VIEWS["fx_phone"] = """
-SELECT c_custkey AS prospect_id, concat('org_', cast(c_custkey % 20 AS string)) AS org_id, cast(p AS int) AS pos,
+SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey ELSE -c_custkey END AS prospect_id, concat('org_', cast(c_custkey % 20 AS string)) AS org_id, cast(p AS int) AS pos,
   CASE c_custkey % 3
     WHEN 0 THEN concat('(', cast(11 + c_custkey % 80 AS string), ') 9', lpad(cast((c_custkey * 7919 + p) % 10000 AS string), 4, '0'), '-', lpad(cast((c_custkey * 104729) % 10000 AS string), 4, '0'))
     WHEN 1 THEN concat('+55 ', cast(11 + c_custkey % 80 AS string), ' 9', lpad(cast((c_custkey * 7919) % 10000 AS string), 4, '0'), lpad(cast((c_custkey * 104729) % 10000 AS string), 4, '0'))
     ELSE lpad(cast((c_custkey * 31 + p) % 1000 AS string), 3, '0') END AS raw_phone
 FROM (SELECT c_custkey, c_acctbal, 0 AS p FROM {customer} UNION ALL SELECT c_custkey, c_acctbal, 1 AS p FROM {customer}) x
-WHERE c_acctbal >= 0
 """
 
 VIEWS["fx_partner"] = """
@@ -69,7 +68,7 @@ FROM {supplier}
 """
 
 VIEWS["fx_registry"] = """
-SELECT lpad(cast(c_custkey AS string), 14, '0') AS cnpj, c_name AS legal_name,
+SELECT concat(CASE WHEN c_acctbal < 9000 THEN '0' ELSE '9' END, lpad(cast(c_custkey AS string), 13, '0')) AS cnpj, c_name AS legal_name,
   CASE WHEN c_custkey % 6 = 0 THEN '' ELSE concat('Reg ', c_name) END AS trade_name,
   cast(1000 + c_custkey % 50 AS string) AS cnae, c_mktsegment AS cnae_description,
   r.r_name AS city, n.n_name AS state,
@@ -77,7 +76,6 @@ SELECT lpad(cast(c_custkey AS string), 14, '0') AS cnpj, c_name AS legal_name,
   CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 ELSE NULL END AS is_active,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat('reg', cast(c_custkey AS string), '@corp.com') END AS email
 FROM {customer} c JOIN {nation} n ON c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
-WHERE c_acctbal < 9000
 """
 
 VIEWS["fx_profile"] = """
@@ -164,9 +162,9 @@ FROM {events} WHERE event_type = 'purchase'
 
 VIEWS["fx_suppression"] = """
 SELECT DISTINCT concat('org_', cast(c_custkey % 20 AS string)) AS tenant_id,
-  concat('contact@co', cast(c_custkey AS string), '.com.br') AS email,
+  concat(CASE WHEN c_acctbal < 1000 THEN 'contact' ELSE 'office' END, '@co', cast(c_custkey AS string), '.com.br') AS email,
   CASE c_custkey % 3 WHEN 0 THEN 'unsubscribed' WHEN 1 THEN 'bounce' ELSE 'manual' END AS reason
-FROM {customer} WHERE c_acctbal < 1000
+FROM {customer}
 """
 
 VIEWS["fx_wa_message"] = """
@@ -197,9 +195,10 @@ FROM {conversations} GROUP BY conv_id
 """
 
 VIEWS["fx_wa_account"] = """
-SELECT cast(n_nationkey AS int) AS id, concat('org_', cast(n_nationkey % 20 AS string)) AS org_id, concat('sess_', cast(n_nationkey AS string)) AS session_name,
+SELECT cast(n_nationkey + CASE WHEN n_name = 'NATION_24' THEN 1000 ELSE 0 END AS int) AS id, concat('org_', cast(n_nationkey % 20 AS string)) AS org_id,
+  concat(CASE WHEN n_name = 'NATION_24' THEN 'spare_' ELSE 'sess_' END, cast(n_nationkey AS string)) AS session_name,
   CASE WHEN n_nationkey % 4 = 3 THEN 'DISCONNECTED' ELSE 'CONNECTED' END AS status
-FROM {nation} WHERE n_name <> 'NATION_24'
+FROM {nation}
 """
 
 VIEWS["fx_wa_campaign"] = """
@@ -224,9 +223,9 @@ FROM (SELECT n_nationkey, 0 AS i FROM {nation} UNION ALL SELECT n_nationkey, 1 A
 """
 
 VIEWS["fx_channel_state"] = """
-SELECT c_custkey AS prospect_id, 'whatsapp' AS channel,
+SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey ELSE -c_custkey END AS prospect_id, 'whatsapp' AS channel,
   CASE c_custkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'opted_out' ELSE 'do_not_contact' END AS status
-FROM {customer} WHERE c_mktsegment = 'BUILDING'
+FROM {customer}
 """
 
 VIEWS["fx_lead"] = """
@@ -260,7 +259,7 @@ VIEWS["fx_node"] = """
 SELECT l_suppkey AS company_key, l_partkey % 30 AS pos, concat('P', cast(l_partkey % 30 AS string)) AS id, 'PART' AS type
 FROM {lineitem} GROUP BY l_suppkey, l_partkey % 30
 UNION ALL
-SELECT s_suppkey, -1, concat('C', cast(s_suppkey AS string)), 'COMPANY' FROM {supplier} WHERE s_acctbal >= 3000
+SELECT s_suppkey, -1, concat('C', cast(s_suppkey AS string)), CASE WHEN s_acctbal >= 3000 THEN 'COMPANY' ELSE 'BRANCH' END FROM {supplier}
 """
 
 VIEWS["fx_place"] = """
