@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from leadlake.plans.scratch import cut
 
-#: Longest template window, in tokens, and the fewest tokens an item must have to be looked for.
-WINDOW = 8
+#: Longest and shortest template window, in tokens, and the fewest words an item must have to be looked for.
+WINDOW, LEAST = 8, 3
 FEWEST = 6
 #: Share of an item's tokens that must agree with the document.
 AGREE = 0.5
 #: Template windows of the benchmark that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 BLANK = r"\x20\x09-\x0D"
-MARK = "\x01"
+#: Behind a token's type; between the words of one value; before a word that begins a sentence; behind a name while marking.
+MARK, JOIN, START, END = "\x01", "\x02", "\x03", "\x04"
 # Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "pound",
          "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds",
@@ -25,19 +26,24 @@ UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "y
 
 
 def marked(text: Column) -> Column:
-    """The text's tokens; a name, number or unit reads as its type, a mark and its value.
+    """The text's tokens; a name or number reads as its type, a mark and its value.
 
-    A name is a word of an upper-case letter and lower-case ones; a number is digits with separators
-    inside; a unit is a word of UNITS behind a number. The rest is lower-cased and loses its signs.
+    A name is a run of words of an upper-case letter and lower-case ones, with only blanks between them and
+    within a sentence; a number is digits with separators inside and the unit behind it, spaced or not. The
+    rest is lower-cased and loses its signs.
     """
-    out = F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{BLANK}.,:/%]+", "")
+    out = F.regexp_replace(text, f"[{MARK}-{END}]+", "")
+    out = F.regexp_replace(out, rf"(^[{BLANK}]*|[.!?:][^\p{{L}}\p{{N}}{BLANK}]*[{BLANK}]+)(?=\p{{Lu}}\p{{Ll}})", f"$1{START}")
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{BLANK}.,:/%{START}]+", "")
+    out = F.regexp_replace(out, rf"{START}?\p{{Lu}}\p{{Ll}}+", f"<name>{MARK}$0{END}")
+    out = F.regexp_replace(out, rf"{END}[{BLANK}]*<name>{MARK}(?!{START})", JOIN)
+    out = F.regexp_replace(out, END, "")
     out = F.regexp_replace(out, rf"[.,:/%]+([{BLANK}]|$)", "$1")
     out = F.regexp_replace(out, rf"(^|[{BLANK}])[.,:/%]+", "$1")
-    out = F.regexp_replace(out, r"\p{Lu}\p{Ll}+", f"<name>{MARK}$0")
     out = F.regexp_replace(out, r"[0-9](?:[0-9.,:/]*[0-9])?", f"<num>{MARK}$0")
     out = F.lower(out)
-    out = F.regexp_replace(out, rf"(<num>{MARK}[0-9.,:/]+%?)([{BLANK}]*)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([{BLANK}]|$)",
-                           f"$1$2<unit>{MARK}$3$4")
+    out = F.regexp_replace(out, rf"(<num>{MARK}[0-9.,:/]+%?)[{BLANK}]*({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?=[{BLANK}]|$)",
+                           f"$1{JOIN}$2")
     return F.filter(F.split(F.coalesce(out, F.lit("")), rf"[{BLANK}]+"), lambda t: t != "")
 
 
@@ -45,64 +51,119 @@ def _type(token: Column) -> Column:
     return F.substring_index(token, MARK, 1)
 
 
-def _windows(tokens: Column, width: Column | int, every: Column | int) -> Column:
-    """(at, hash) of each window of ``width`` types that starts at a multiple of ``every``; those mostly of placeholders are left out."""
-    width, every = (F.lit(x) if isinstance(x, int) else x for x in (width, every))
-    last = F.size(tokens) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, every)).otherwise(F.array().cast("array<int>"))
-    cuts = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(tokens, i + 1, width).alias("w")))
-    cuts = F.filter(cuts, lambda c: F.size(F.filter(c["w"], lambda t: ~t.startswith("<"))) * 2 >= width)
-    return F.transform(cuts, lambda c: F.struct(c["at"].alias("at"), F.xxhash64(c["w"]).alias("hash")))
+def _windows(types: Column, width: Column | int) -> Column:
+    """(at, hash, words) of each window of ``width`` types; ``words``: whether at least half are no placeholders."""
+    width = F.lit(width) if isinstance(width, int) else width
+    last = F.size(types) - width
+    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(width, F.slice(types, i + 1, width)).alias("hash"),
+                                              (F.size(F.filter(F.slice(types, i + 1, width), lambda t: ~t.startswith("<"))) * 2 >= width).alias("words")))
+
+
+def _places(types: Column, width: int) -> Column:
+    """(at, hash) of each window, as :func:`_windows`."""
+    last = F.size(types) - width
+    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice(types, i + 1, width)).alias("hash")))
+
+
+def _agreeing() -> Column:
+    """(i, d, edge, firm) for each item token that agrees with the document along ``at`` or another of ``ats`` near it.
+
+    Along another alignment a token agrees only beside one that does too. A token is ``firm`` if both beside it
+    agree or are outside the item or the document. ``edge`` is -1 for the item's first token and 1 for its last.
+    """
+    n, at = F.col("n_tokens"), F.col("at")
+    i, d = (lambda j: F.get("i_tokens", j)), (lambda s, j: F.get("tokens", s + j))
+    same = lambda s, j: F.coalesce(_type(i(j)) == _type(d(s, j)), F.lit(False))
+    fits = lambda s, j: (j < 0) | (j >= n) | d(s, j).isNull() | same(s, j)
+    near = F.concat(F.array(at), F.filter("ats", lambda s: (s != at) & (F.abs(s - at) <= F.expr("n_tokens div 2"))))
+
+    def one(j: Column) -> Column:
+        beside = F.get(F.filter(near, lambda s: same(s, j) & (same(s, j - 1) | same(s, j + 1))), F.lit(0))
+        s = F.coalesce(beside, F.when(same(at, j), at))
+        edge = F.when(j == 0, -1).when(j == n - 1, 1).otherwise(0)
+        return F.struct(i(j).alias("i"), d(s, j).alias("d"), edge.alias("edge"), (fits(s, j - 1) & fits(s, j + 1)).alias("firm"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), one), lambda x: x["d"].isNotNull())
+
+
+def _slots(x: Column) -> Column:
+    """(i, d, firm) for each word of an agreeing placeholder; values of unlike many words stand whole. Words that begin a sentence are not firm."""
+    plain = lambda v: F.translate(v, START, "")
+    i, d = x["i"], x["d"]
+    value = F.substring_index(plain(i), MARK, -1)
+    shown = F.substring_index(plain(d), MARK, -1)
+    shown = F.when((x["edge"] == -1) & shown.endswith(F.concat(F.lit(JOIN), value)) | (x["edge"] == 1) & shown.startswith(F.concat(value, F.lit(JOIN))), value).otherwise(shown)
+    pair = F.arrays_zip(F.split(value, JOIN).alias("i"), F.split(shown, JOIN).alias("d"), F.split(F.substring_index(i, MARK, -1), JOIN).alias("o"))
+    alike = F.size(F.split(value, JOIN)) == F.size(F.split(shown, JOIN))
+    begins = d.contains(START)
+    each = F.transform(pair, lambda p, k: F.struct(p["i"].alias("i"), p["d"].alias("d"), (x["firm"] & ~p["o"].contains(START) & ~(begins & (k == 0))).alias("firm")))
+    whole = F.array(F.struct(value.alias("i"), shown.alias("d"), (x["firm"] & ~i.contains(START) & ~begins).alias("firm")))
+    return F.when(~i.startswith("<"), F.array().cast("array<struct<i:string,d:string,firm:boolean>>")).when(alike, each).otherwise(whole)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, at, n_tokens, n_agree, n_slots, n_changed, row): one row per document row and item found in it.
 
-    Texts become templates (:func:`marked`). An item of n tokens has windows of w = min(8, (n + 1) / 2)
-    types at every token; a document has windows at every w-th token, so an item standing in it whole
-    shares one. Windows meet by hash; each hit fixes an alignment, along which all of the item's tokens
-    are compared. A leak needs ``agree`` of them equal in type and word, and consistent slots: along the
-    equal placeholders, each value of the item always stands for the same value of the document, and the
-    other way round. ``n_changed`` counts slots whose value differs: above 0, the question was
-    re-parameterised. Of several alignments the one with most agreement counts, then the first.
-
-    Items of fewer than FEWEST tokens, or without a window at least half of words, are not looked for.
-    Null and empty texts hold nothing. ``row`` hashes id and text, so rows with a null or a repeated id
-    are told apart; equal rows are found alike, once. Null item ids are kept. Other columns are not
-    looked at. Benchmark windows are broadcast if counted to be at most BROADCAST_ROWS.
+    Texts become templates (:func:`marked`). An item of n tokens has windows of w = n / 3 types (3 to 8) at
+    every token, of which those at least half of words are taken, or all if there are none; a document has
+    windows at every token, so an item standing in it whole, or in thirds with words between, is met.
+    Windows meet by hash; each hit fixes an alignment, and the item's tokens are compared along it and
+    along those within n / 2 tokens of it, so that agreement before and behind inserted or left-out words
+    adds up. A leak needs ``agree`` of the tokens equal in type and word, of which as many as half a window
+    of min(8, (n + 1) / 2) tokens are words or values that did not change. Slots must be consistent: each
+    value of the item always stands for the same value of the document, and the other way round. A slot
+    that contradicts others is left out of ``n_agree`` if it begins a sentence or the tokens beside it do
+    not agree; otherwise the question is another one. ``n_changed`` counts slots whose value differs: above
+    0, the question was re-parameterised. Of several alignments the one with most agreement counts, then
+    the first.
+
+    Items of fewer than FEWEST words are not looked for. Null and empty texts hold nothing. ``row`` hashes
+    id and text, so rows with a null or a repeated id are told apart; equal rows are found alike, once.
+    Null item ids are kept. Other columns are not looked at. Benchmark windows are broadcast if counted to
+    be at most BROADCAST_ROWS.
     """
     items = benchmark.select("item_id", marked(F.col("text")).alias("i_tokens"), F.xxhash64("item_id", "text").alias("item")).dropDuplicates(["item"])
-    items = items.withColumn("n_tokens", F.size("i_tokens")).filter(F.col("n_tokens") >= FEWEST)
-    items = cut(items.withColumn("w", F.least(F.lit(WINDOW), F.expr("(n_tokens + 1) div 2"))), "items")
-    keys = items.select("item", "w", F.explode(_windows(F.transform("i_tokens", _type), F.col("w"), 1)).alias("x")).select("item", "w", F.col("x.at").alias("i_at"), "x.hash")
+    words = F.size(F.flatten(F.transform("i_tokens", lambda t: F.split(t, JOIN))))
+    items = items.withColumn("n_tokens", F.size("i_tokens")).filter(words >= FEWEST)
+    width = F.least(F.col("n_tokens"), F.greatest(F.lit(LEAST), F.least(F.lit(WINDOW), F.expr("n_tokens div 3"))))
+    items = cut(items.withColumn("w", width.cast("int")), "items")
+    cuts = items.select("item", "w", _windows(F.transform("i_tokens", _type), F.col("w")).alias("x"))
+    cuts = cuts.withColumn("own", F.filter("x", lambda c: c["words"]))
+    keys = cuts.select("item", "w", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("x"))).alias("x")).select("item", "w", F.col("x.at").alias("i_at"), "x.hash")
     keys = cut(keys, "item-windows")
     widths = [r.w for r in keys.select("w").distinct().collect()]  # at most WINDOW
     row = F.xxhash64("doc_id", "text")
+    empty = "doc_id {}, item_id {}, at int, n_tokens int, n_agree int, n_slots int, n_changed int, row long".format(dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
+    if not widths:
+        return docs.sparkSession.createDataFrame([], empty)
+    few = keys.count() <= BROADCAST_ROWS
     pages = docs.select(row.alias("row"), F.transform(marked(F.col("text")), _type).alias("types"))
     found = None
-    few = keys.count() <= BROADCAST_ROWS
     for w in sorted(widths):
         own = keys.filter(F.col("w") == w).drop("w")
-        seen = pages.select("row", F.explode(_windows(F.col("types"), w, w)).alias("x")).select("row", F.col("x.at").alias("at"), "x.hash")
+        seen = pages.select("row", F.explode(_places(F.col("types"), w)).alias("x")).select("row", F.col("x.at").alias("at"), "x.hash")
         hits = seen.join(F.broadcast(own) if few else own, "hash").select("row", "item", (F.col("at") - F.col("i_at")).alias("at"))
         found = hits if found is None else found.union(hits)
-    empty = "doc_id {}, item_id {}, at int, n_tokens int, n_agree int, n_slots int, n_changed int, row long".format(dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
-    if found is None:
-        return docs.sparkSession.createDataFrame([], empty)
     hits = cut(found.distinct(), "hits")
-    per_row = hits.groupBy("row", "item").agg(F.collect_set("at").alias("ats"))  # at most one per item window and document window
+    per_row = hits.groupBy("row", "item").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # at most one per item window and document window
     texts = docs.select("doc_id", row.alias("row"), "text").join(hits.select("row").distinct().hint("merge"), "row", "left_semi")
     texts = texts.dropDuplicates(["row"]).select("row", "doc_id", marked(F.col("text")).alias("tokens"))
     items = F.broadcast(items) if few else items
     pairs = per_row.join(texts, "row").join(items, "item").withColumn("at", F.explode("ats"))
-    token = F.transform("i_tokens", lambda t, j: F.struct(t.alias("i"), F.get("tokens", j + F.col("at")).alias("d")))
-    same = F.filter(token, lambda x: _type(x["i"]) == _type(x["d"]))
-    slots = F.filter(F.col("same"), lambda x: x["i"].startswith("<"))
-    pairs = pairs.withColumn("same", same).withColumn("slots", F.array_distinct(slots)).withColumn("n_agree", F.size("same"))
-    consistent = (F.size(F.array_distinct(F.transform("slots", lambda x: x["i"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["d"]))) == F.size("slots"))
-    pairs = pairs.filter(consistent & (F.col("n_agree") >= F.lit(agree) * F.col("n_tokens")))
+    pairs = pairs.withColumn("same", _agreeing()).filter(F.size("same") >= F.lit(agree) * F.col("n_tokens"))
+    pairs = pairs.drop("tokens", "i_tokens", "ats").withColumn("slots", F.transform("same", _slots)).withColumn("all", F.array_distinct(F.flatten("slots")))
+    against = lambda p, q: (p["i"] == q["i"]) != (p["d"] == q["d"])
+    pairs = pairs.filter(~F.exists("all", lambda p: p["firm"] & F.exists("all", lambda q: q["firm"] & against(p, q))))
+    pairs = pairs.withColumn("off", F.filter("all", lambda p: ~p["firm"] & F.exists("all", lambda q: against(p, q))))
+    held = F.filter("slots", lambda s: ~F.arrays_overlap(s, F.col("off")))
+    kept = F.filter("all", lambda p: ~F.array_contains("off", p))
+    pairs = pairs.withColumn("held", held).withColumn("kept", F.array_distinct(F.transform(kept, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))).withColumn("n_agree", F.size("held"))
+    literal = F.size(F.filter("held", lambda s: ~F.exists(s, lambda p: p["i"] != p["d"])))
+    pairs = pairs.filter((F.col("n_agree") >= F.lit(agree) * F.col("n_tokens")) & (literal * 2 >= F.least(F.lit(WINDOW), F.expr("(n_tokens + 1) div 2"))))
     pairs = pairs.select("row", "doc_id", "item_id", "item", "n_tokens", F.struct(
-        "n_agree", (-F.col("at")).alias("back"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda x: x["i"] != x["d"])).alias("n_changed")).alias("x"))
+        "n_agree", (-F.col("at")).alias("back"), F.size("kept").alias("n_slots"), F.size(F.filter("kept", lambda x: x["i"] != x["d"])).alias("n_changed")).alias("x"))
     top = pairs.groupBy("row", "doc_id", "item_id", "item", "n_tokens").agg(F.max("x").alias("x"))
     return top.select("doc_id", "item_id", (-F.col("x.back")).alias("at"), "n_tokens", "x.n_agree", "x.n_slots", "x.n_changed", "row")
 
