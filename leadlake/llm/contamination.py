@@ -77,7 +77,8 @@ def _agreeing() -> Column:
     i, d = (lambda j: F.get("i_tokens", j)), (lambda s, j: F.get("tokens", s + j))
     same = lambda s, j: F.coalesce(_type(i(j)) == _type(d(s, j)), F.lit(False))
     fits = lambda s, j: (j < 0) | (j >= n) | d(s, j).isNull() | same(s, j)
-    near = F.concat(F.array(at), F.filter("ats", lambda s: (s != at) & (F.abs(s - at) <= F.expr("n_tokens div 2"))))
+    near = F.filter("ats", lambda s: F.abs(s - at) <= F.expr("n_tokens div 2"))
+    near = F.transform(F.array_sort(F.transform(near, lambda s: F.struct(F.abs(s - at).alias("far"), s.alias("s")))), lambda x: x["s"])
 
     def one(j: Column) -> Column:
         beside = F.get(F.filter(near, lambda s: same(s, j) & (same(s, j - 1) | same(s, j + 1))), F.lit(0))
@@ -110,12 +111,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFr
     every token, of which those at least half of words are taken, or all if there are none; a document has
     windows at every token, so an item standing in it whole, or in thirds with words between, is met.
     Windows meet by hash; each hit fixes an alignment, and the item's tokens are compared along it and
-    along those within n / 2 tokens of it, so that agreement before and behind inserted or left-out words
+    along those within n / 2 tokens of it, the nearest first, so that agreement before and behind inserted or left-out words
     adds up. A leak needs ``agree`` of the tokens equal in type and word, of which as many as half a window
     of min(8, (n + 1) / 2) tokens are words or values that did not change. Slots must be consistent: each
-    value of the item always stands for the same value of the document, and the other way round. A slot
-    that contradicts others is left out of ``n_agree`` if it begins a sentence or the tokens beside it do
-    not agree; otherwise the question is another one. ``n_changed`` counts slots whose value differs: above
+    value of the item always stands for the same value of the document, and the other way round. A
+    changed slot that contradicts others is left out of ``n_agree`` if it begins a sentence or the tokens
+    beside it do not agree; otherwise the question is another one. ``n_changed`` counts slots whose value differs: above
     0, the question was re-parameterised. Of several alignments the one with most agreement counts, then
     the first.
 
@@ -156,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFr
     pairs = pairs.drop("tokens", "i_tokens", "ats").withColumn("slots", F.transform("same", _slots)).withColumn("all", F.array_distinct(F.flatten("slots")))
     against = lambda p, q: (p["i"] == q["i"]) != (p["d"] == q["d"])
     pairs = pairs.filter(~F.exists("all", lambda p: p["firm"] & F.exists("all", lambda q: q["firm"] & against(p, q))))
-    pairs = pairs.withColumn("off", F.filter("all", lambda p: ~p["firm"] & F.exists("all", lambda q: against(p, q))))
+    pairs = pairs.withColumn("off", F.filter("all", lambda p: ~p["firm"] & (p["i"] != p["d"]) & F.exists("all", lambda q: against(p, q))))
     held = F.filter("slots", lambda s: ~F.arrays_overlap(s, F.col("off")))
     kept = F.filter("all", lambda p: ~F.array_contains("off", p))
     pairs = pairs.withColumn("held", held).withColumn("kept", F.array_distinct(F.transform(kept, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))).withColumn("n_agree", F.size("held"))

@@ -23,3 +23,22 @@ def test_every_offset(spark):
 def test_mostly_placeholders(spark):
     item = "Tom 5 Anna 7 Paul 9 Rita 11"
     assert set(found(spark, [" ".join([*FILLER[:k], item, *FILLER]) for k in range(4)], [item])) == {(k, 0) for k in range(4)}
+
+
+def test_shifts_add_up(spark):
+    w = ITEM.split()
+    thirds = " ".join([*w[:8], "quietly", *w[8:17], "slowly", *w[17:]])
+    names = ITEM.replace("Tom", "Mary Ann").replace("Anna", "Rita Lee Gray").replace("60 km", "75km")
+    apart = " ".join([*w[:5], *FILLER * 3, *w[5:9]])
+    got = found(spark, [" ".join([*FILLER[:k], t, *FILLER]) for t in (thirds, names) for k in range(8)] + [apart], [ITEM])
+    assert set(got) == {(k, 0) for k in range(16)}
+    assert [got[(k, 0)].n_agree >= 14 for k in range(8)] == [True] * 8
+    assert [(got[(k, 0)].n_agree, got[(k, 0)].n_changed) for k in range(8, 16)] == [(19, 4)] * 8  # If Tom, Tom, Anna, 60
+
+
+def test_loose_slots_are_left_out(spark):
+    item = "The boat leaves the quay at noon. The crew counts the crates on deck. The captain writes the total of them down for Paul"
+    changed = item.replace("The crew", "Our crew")
+    cut_off = " ".join(item.split()[:18]) + " yesterday Rome Paul"
+    got = found(spark, [changed, cut_off], [item])
+    assert set(got) == {(0, 0), (1, 0)} and got[(0, 0)].n_agree == got[(0, 0)].n_tokens - 1
