@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from leadlake.llm.common import _LOWER, class_counts, crc, labelled_sample, logistic, spans, text_slices, word_hashes
 
@@ -202,21 +203,13 @@ def fit(rows: list[tuple[str, int]], share: float) -> tuple[bytes, bytes, np.nda
     return *whole, weights
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row; predicted is 1 from a score of 0.5.
-
-    A window is a word between blanks (A-Z lowered), coded with the toxic dictionary, with the ordinary
-    one and with none; its distance is the shorter ordinary coding less the toxic one. Every word of the
-    whole text is a window; equal words are coded once per task. Dictionaries and thresholds are fitted
-    on at most ``per_class`` rows of each class from outside the held-out fold (FOLDS, HELD_OUT). Null
-    and empty texts have no windows and get the score of a text without any. A null id counts as held
-    out. Without rows of both classes the score is the share of toxic labels. Repeated rows are scored
-    alike; other columns, labels among them, are not looked at.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, carried: list[str], per_class: int = PER_CLASS) -> DataFrame:
+    """The columns ``carried``, then __score and __predicted, one row per input row."""
     counts = class_counts(labels, "toxic", FOLDS, HELD_OUT)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     model = fit(labelled_sample(docs, labels, "toxic", per_class, FOLDS, HELD_OUT), share)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 118 KB
+    text = "text" if "text" in carried else "__text"
 
     def run(batches):
         model = shared.value
@@ -225,16 +218,31 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
             if distance is None:
                 p = np.full(batch.num_rows, model)
             else:
-                p = 1 / (1 + np.exp(-np.clip(distance.features(batch.column("text")) @ model[2], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                                             names=["doc_id", "held_out", "score", "predicted"])
+                p = 1 / (1 + np.exp(-np.clip(distance.features(batch.column(text)) @ model[2], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                                             names=[*carried, "__score", "__predicted"])
+
+    rows = docs.select(*carried) if text in carried else docs.select(*carried, F.col("text").alias(text))
+    out = StructType([*rows.select(*carried).schema.fields, StructField("__score", DoubleType()), StructField("__predicted", IntegerType())])
+    return rows.mapInArrow(run, out)
 
+
+def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per input row; predicted is 1 from a score of 0.5.
+
+    A window is a word between blanks (A-Z lowered), coded with the toxic dictionary, with the ordinary
+    one and with none; its distance is the shorter ordinary coding less the toxic one. Every word of the
+    whole text is a window; equal words are coded once per task. Dictionaries and thresholds are fitted
+    on at most ``per_class`` rows of each class from outside the held-out fold (FOLDS, HELD_OUT). Null
+    and empty texts have no windows and get the score of a text without any. A null id counts as held
+    out. Without rows of both classes the score is the share of toxic labels. Repeated rows are scored
+    alike; other columns, labels among them, are not looked at.
+    """
     held = F.coalesce(F.pmod(crc(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = _scored(docs, labels, ["doc_id"], per_class)
+    return rows.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents not predicted toxic, with their own columns. Rows of one id share the verdict on the worst of them."""
-    bad = score(docs, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents not predicted toxic, with their own columns, each row by the verdict on its own text."""
+    return _scored(docs, labels, docs.columns, **how).filter("__predicted = 0").select(*docs.columns)
