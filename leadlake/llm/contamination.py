@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from leadlake.plans.scratch import cut
 
-#: Longest and shortest template window, in tokens, and the fewest words an item must have to be looked for.
-WINDOW, LEAST = 8, 3
+#: Fewest tokens of an item -> types in its template windows, a third of them at most; and the fewest words an item must have.
+WIDTHS = {24: 8, 15: 5, 0: 3}
 FEWEST = 6
+#: Of the tokens that agree, so many must be words or unchanged values: half of the item's half, or half of this.
+WINDOW = 8
 #: Share of an item's tokens that must agree with the document.
 AGREE = 0.5
 #: Template windows of the benchmark that are broadcast, at most; more are joined by a shuffle.
@@ -51,24 +53,20 @@ def _type(token: Column) -> Column:
     return F.substring_index(token, MARK, 1)
 
 
-def _windows(types: Column, width: Column | int) -> Column:
-    """(at, hash, words) of each window of ``width`` types; ``words``: whether at least half are no placeholders."""
-    width = F.lit(width) if isinstance(width, int) else width
-    last = F.size(types) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(width, F.slice(types, i + 1, width)).alias("hash"),
-                                              (F.size(F.filter(F.slice(types, i + 1, width), lambda t: ~t.startswith("<"))) * 2 >= width).alias("words")))
+def _hashes(types: Column) -> Column:
+    return F.transform(types, lambda t: F.xxhash64(t))
 
 
-def _places(types: Column, width: int) -> Column:
-    """(at, hash) of each window, as :func:`_windows`."""
-    last = F.size(types) - width
+def _places(hashes: Column, width: Column | int) -> Column:
+    """(at, hash) of each window of ``width`` types."""
+    width = F.lit(width) if isinstance(width, int) else width
+    last = F.size(hashes) - width
     at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice(types, i + 1, width)).alias("hash")))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(width, F.slice(hashes, i + 1, width)).alias("hash")))
 
 
 def _agreeing() -> Column:
-    """(i, d, edge, firm) for each item token that agrees with the document along ``at`` or another of ``ats`` near it.
+    """(i, d, edge, firm) for each item token that agrees with the document along ``at`` or another alignment of ``near``.
 
     Along another alignment a token agrees only beside one that does too. A token is ``firm`` if both beside it
     agree or are outside the item or the document. ``edge`` is -1 for the item's first token and 1 for its last.
@@ -77,11 +75,9 @@ def _agreeing() -> Column:
     i, d = (lambda j: F.get("i_tokens", j)), (lambda s, j: F.get("tokens", s + j))
     same = lambda s, j: F.coalesce(_type(i(j)) == _type(d(s, j)), F.lit(False))
     fits = lambda s, j: (j < 0) | (j >= n) | d(s, j).isNull() | same(s, j)
-    near = F.filter("ats", lambda s: F.abs(s - at) <= F.expr("n_tokens div 2"))
-    near = F.transform(F.array_sort(F.transform(near, lambda s: F.struct(F.abs(s - at).alias("far"), s.alias("s")))), lambda x: x["s"])
 
     def one(j: Column) -> Column:
-        beside = F.get(F.filter(near, lambda s: same(s, j) & (same(s, j - 1) | same(s, j + 1))), F.lit(0))
+        beside = F.get(F.filter("near", lambda s: same(s, j) & (same(s, j - 1) | same(s, j + 1))), F.lit(0))
         s = F.coalesce(beside, F.when(same(at, j), at))
         edge = F.when(j == 0, -1).when(j == n - 1, 1).otherwise(0)
         return F.struct(i(j).alias("i"), d(s, j).alias("d"), edge.alias("edge"), (fits(s, j - 1) & fits(s, j + 1)).alias("firm"))
@@ -107,9 +103,10 @@ def _slots(x: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, at, n_tokens, n_agree, n_slots, n_changed, row): one row per document row and item found in it.
 
-    Texts become templates (:func:`marked`). An item of n tokens has windows of w = n / 3 types (3 to 8) at
-    every token, of which those at least half of words are taken, or all if there are none; a document has
-    windows at every token, so an item standing in it whole, or in thirds with words between, is met.
+    Texts become templates (:func:`marked`). An item of n tokens has windows of 8 types (5 below 24
+    tokens, 3 below 15) at every token, of which those about half of words are taken, or all if there are
+    none; a document has windows at every token, so an item standing in it whole, or from 9 tokens in
+    thirds with words between, is met.
     Windows meet by hash; each hit fixes an alignment, and the item's tokens are compared along it and
     along those within n / 2 tokens of it, the nearest first, so that agreement before and behind inserted or left-out words
     adds up. A leak needs ``agree`` of the tokens equal in type and word, of which as many as half a window
@@ -128,33 +125,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFr
     items = benchmark.select("item_id", marked(F.col("text")).alias("i_tokens"), F.xxhash64("item_id", "text").alias("item")).dropDuplicates(["item"])
     words = F.size(F.flatten(F.transform("i_tokens", lambda t: F.split(t, JOIN))))
     items = items.withColumn("n_tokens", F.size("i_tokens")).filter(words >= FEWEST)
-    width = F.least(F.col("n_tokens"), F.greatest(F.lit(LEAST), F.least(F.lit(WINDOW), F.expr("n_tokens div 3"))))
-    items = cut(items.withColumn("w", width.cast("int")), "items")
-    cuts = items.select("item", "w", _windows(F.transform("i_tokens", _type), F.col("w")).alias("x"))
-    cuts = cuts.withColumn("own", F.filter("x", lambda c: c["words"]))
-    keys = cuts.select("item", "w", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("x"))).alias("x")).select("item", "w", F.col("x.at").alias("i_at"), "x.hash")
-    keys = cut(keys, "item-windows")
-    widths = [r.w for r in keys.select("w").distinct().collect()]  # at most WINDOW
+    width = F.lit(WIDTHS[0])
+    for least in sorted(WIDTHS)[1:]:
+        width = F.when(F.col("n_tokens") >= least, WIDTHS[least]).otherwise(width)
+    items = cut(items.withColumn("w", F.least("n_tokens", width)), "items")
+    cuts = items.select("item", "w", F.transform("i_tokens", _type).alias("types"))
+    cuts = cuts.select("item", "w", "types", F.explode(_places(_hashes(F.col("types")), F.col("w"))).alias("x"))
+    some = F.size(F.filter(F.slice("types", F.col("x.at") + 1, F.col("w")), lambda t: ~t.startswith("<"))) * 2 >= F.col("w") - 1
+    keys = cut(cuts.select("item", "w", F.col("x.at").alias("i_at"), "x.hash", some.alias("some")), "item-windows")
+    wordy = keys.filter("some").select("item").distinct()
+    keys = cut(keys.filter("some").unionByName(keys.join(wordy, "item", "left_anti")).drop("some"), "item-keys")
+    widths = sorted(r.w for r in keys.select("w").distinct().collect())  # at most those of WIDTHS, and 1 and 2
     row = F.xxhash64("doc_id", "text")
     empty = "doc_id {}, item_id {}, at int, n_tokens int, n_agree int, n_slots int, n_changed int, row long".format(dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
     if not widths:
         return docs.sparkSession.createDataFrame([], empty)
     few = keys.count() <= BROADCAST_ROWS
-    pages = docs.select(row.alias("row"), F.transform(marked(F.col("text")), _type).alias("types"))
-    found = None
-    for w in sorted(widths):
-        own = keys.filter(F.col("w") == w).drop("w")
-        seen = pages.select("row", F.explode(_places(F.col("types"), w)).alias("x")).select("row", F.col("x.at").alias("at"), "x.hash")
-        hits = seen.join(F.broadcast(own) if few else own, "hash").select("row", "item", (F.col("at") - F.col("i_at")).alias("at"))
-        found = hits if found is None else found.union(hits)
+    pages = docs.select(row.alias("row"), _hashes(F.transform(marked(F.col("text")), _type)).alias("hashes"))
+    seen = pages.select("row", F.explode(F.concat(*[_places(F.col("hashes"), w) for w in widths])).alias("x")).select("row", F.col("x.at").alias("at"), "x.hash")
+    own = keys.drop("w")
+    found = seen.join(F.broadcast(own) if few else own, "hash").select("row", "item", (F.col("at") - F.col("i_at")).alias("at"))
     hits = cut(found.distinct(), "hits")
     per_row = hits.groupBy("row", "item").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # at most one per item window and document window
     texts = docs.select("doc_id", row.alias("row"), "text").join(hits.select("row").distinct().hint("merge"), "row", "left_semi")
     texts = texts.dropDuplicates(["row"]).select("row", "doc_id", marked(F.col("text")).alias("tokens"))
     items = F.broadcast(items) if few else items
-    pairs = per_row.join(texts, "row").join(items, "item").withColumn("at", F.explode("ats"))
+    pairs = per_row.join(texts, "row").join(items, "item")
+
+    def near(at: Column) -> Column:
+        others = F.filter("ats", lambda s: F.abs(s - at) <= F.expr("n_tokens div 2"))
+        return F.transform(F.array_sort(F.transform(others, lambda s: F.struct(F.abs(s - at).alias("far"), s.alias("s")))), lambda x: x["s"])
+
+    pairs = pairs.withColumn("x", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), near(at).alias("near"))))).select("*", "x.at", "x.near").drop("x")
     pairs = pairs.withColumn("same", _agreeing()).filter(F.size("same") >= F.lit(agree) * F.col("n_tokens"))
-    pairs = pairs.drop("tokens", "i_tokens", "ats").withColumn("slots", F.transform("same", _slots)).withColumn("all", F.array_distinct(F.flatten("slots")))
+    pairs = pairs.drop("tokens", "i_tokens", "ats", "near").withColumn("slots", F.transform("same", _slots)).withColumn("all", F.array_distinct(F.flatten("slots")))
     against = lambda p, q: (p["i"] == q["i"]) != (p["d"] == q["d"])
     pairs = pairs.filter(~F.exists("all", lambda p: p["firm"] & F.exists("all", lambda q: q["firm"] & against(p, q))))
     pairs = pairs.withColumn("off", F.filter("all", lambda p: ~p["firm"] & (p["i"] != p["d"]) & F.exists("all", lambda q: against(p, q))))
