@@ -208,3 +208,22 @@ def _(fx):
     firms = v.select("vec_id", "embedding", number("S", "vec_id", 5).alias("state"), F.when(F.col("vec_id") % 7 > 0, number("C", "vec_id", 3)).alias("city"),
                      (F.col("vec_id") % 4).alias("code"))
     return V.registry_search(q, firms, 20).select("query_id", "vec_id", "rank")
+
+
+def _twentieth(v):
+    """As queries every vector whose id is divisible by 20."""
+    return v.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+
+
+@query("registry_search every 20th")  # against brute force in tests/test_search_all.py, as the pairs are too many for SQL
+def _(fx):
+    v = fx.table("embeddings").select("vec_id", "embedding")
+    return V.registry_search(_twentieth(v), v, 20).select("query_id", "vec_id", "rank")
+
+
+@query("registry_search filtered every 20th")
+def _(fx):
+    number = lambda name, c, by: F.concat(F.lit(name), (F.col(c) % by).cast("string"))
+    v = fx.table("embeddings").select("vec_id", "embedding", number("S", "vec_id", 5).alias("state"), F.when(F.col("vec_id") % 7 > 0, number("C", "vec_id", 3)).alias("city"))
+    asked = _twentieth(v).withColumn("state", F.when(F.col("query_id") % 40 == 0, F.col("state")))
+    return V.registry_search(asked, v, 20).select("query_id", "vec_id", "rank")
