@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import contamination, jaccard, language, mixing, quality, sharding, substring, tokens, toxicity, voronoi
+from leadlake.llm import contamination, conversations, jaccard, language, mixing, quality, sharding, substring, tokens, toxicity, voronoi
 from leadlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ SELECT doc_id, size, source_size, target,
 """)
 def _(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.repair(conversations.damage(rows)), rows)
