@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import contamination, conversations, jaccard, language, mixing, quality, sharding, substring, tokens, toxicity, voronoi
+from leadlake.llm import contamination, conversations, jaccard, language, mixing, packing, quality, sharding, substring, tokens, toxicity, voronoi
 from leadlake.llm.common import table
+from leadlake.llm.encoders import TOKENIZERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +109,11 @@ def _(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op12_packing")
+def _(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{packing.VOCABULARY}")
+
+
 @query("op13_conversation_repair")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
