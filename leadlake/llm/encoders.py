@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 TOKENIZERS = "/opt/tokenizers"
 RUN_BYTES = 2 << 20
+#: What a text counts besides its bytes, so that a run has at most RUN_BYTES / TEXT_BYTES of them.
+TEXT_BYTES = 64
 #: Distinct words a worker remembers before it starts afresh, and the longest that it remembers.
 WORDS, WORD_BYTES = 1 << 19, 128
 _caches: dict[tuple, WordCache] = {}
@@ -27,7 +30,7 @@ def text_runs(column, limit: int = RUN_BYTES):
     for i, value in enumerate(column):
         data = value.as_buffer()
         held.append(data.to_pybytes() if data is not None else b"")
-        size += len(held[-1])
+        size += len(held[-1]) + TEXT_BYTES
         if size >= limit:
             yield first, held
             first, held, size = i + 1, [], 0
@@ -49,17 +52,65 @@ class WordCache(dict):
             _caches[cls, path] = cls(path)
         return _caches[cls, path]
 
+    def split(self, text: bytes) -> list:
+        return text.split()
+
+    def look_up(self, words: list) -> list[bytes]:
+        found = self.model.encode_batch_fast([w if isinstance(w, str) else w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as unsigned 32-bit numbers, little-endian."""
-        words = [t.split() for t in texts]
+        words = [self.split(t) for t in texts]
         if len(self) > WORDS:
             self.clear()
-        new = set().union(*words).difference(self)
-        new = list(new)
-        found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        new = list(set().union(*words).difference(self))
+        self.update(zip(new, self.look_up(new)))
         out = [b"".join(map(self.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > WORD_BYTES:
                 del self[w]
         return out
+
+
+class ChunkCache(WordCache):
+    """Ids of texts by a byte-level tokenizer that cuts before a blank and between white space and what follows.
+
+    Such a tokenizer takes one blank with the word behind it, leaves the last sign of a longer run of white space for that
+    word, and never joins two words; so the chunks below are encoded alone as they are inside the text.
+    """
+
+    #: White space as the tokenizer's pattern has it.
+    WHITE = "\t-\r \x85\xa0  -     　"
+    CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model.encode_special_tokens = True
+
+    def split(self, text: bytes) -> list[str]:
+        return self.CHUNK.findall(text.decode("utf-8", "replace"))
+
+
+class PieceCache(WordCache):
+    """Ids of texts by a model whose pieces have blanks at their beginning only (``of`` refuses others).
+
+    Such pieces never reach from a word into the blanks behind it, so blanks and the word that follows are encoded alone as
+    inside the text. The model adds the blank before a text; here it stands in the text and is taken off each chunk instead.
+    """
+
+    CHUNK = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        dict.__init__(self)
+        self.model = SentencePieceProcessor(model_file=path)
+        if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
+            raise ValueError(f"{path} has pieces with blanks inside")
+
+    def split(self, text: bytes) -> list[str]:
+        return self.CHUNK.findall(text.decode("utf-8", "replace"))
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self.model.encode([w[1:] for w in words], num_threads=1)]

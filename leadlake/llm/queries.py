@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import contamination, conversations, jaccard, language, mixing, packing, quality, sharding, substring, tokens, toxicity, voronoi
+from leadlake.llm import alignment, contamination, conversations, jaccard, language, mixing, packing, quality, sharding, substring, tokens, toxicity, voronoi
 from leadlake.llm.common import table
 from leadlake.llm.encoders import TOKENIZERS
 
@@ -109,6 +109,11 @@ def _(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op11_tokenizer_alignment")
+def _(spark, sf_dir):
+    return alignment.agreement(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{alignment.A_FILE}", f"{TOKENIZERS}/{alignment.B_FILE}")
+
+
 @query("op12_packing")
 def _(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{packing.VOCABULARY}")
