@@ -216,6 +216,48 @@ SELECT c_custkey AS id, c_custkey % 25 AS campaign_id, c_custkey AS prospect_id,
 FROM {customer}
 """
 
+VIEWS["fx_wa_member"] = """
+SELECT id, campaign_id, prospect_id, phone_number, status, step_index,
+  CASE status WHEN 'REPLIED' THEN 'replied' WHEN 'OPTED_OUT' THEN 'opted_out' WHEN 'CANCELLED' THEN 'no_phone' END AS cancel_reason,
+  CASE WHEN status IN ('SENT', 'REPLIED', 'COMPLETED') THEN make_timestamp(2023, 12, cast(1 + id % 28 AS int), 9, 0, 0) END AS last_sent_at
+FROM {fx_wa_contact} k
+"""
+
+VIEWS["fx_wa_stored"] = """
+SELECT org_id, provider_message_id, conversation_id, direction,
+  CASE (conversation_id + turn) % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'SENT' WHEN 2 THEN 'DELIVERED' WHEN 3 THEN 'READ' WHEN 4 THEN 'FAILED' ELSE 'SENT' END AS status,
+  CASE WHEN (conversation_id + turn) % 6 IN (1, 2, 3) THEN sent_epoch - 50 END AS sent_at,
+  CASE WHEN (conversation_id + turn) % 6 IN (2, 3) THEN sent_epoch - 40 END AS delivered_at,
+  CASE WHEN (conversation_id + turn) % 6 = 3 THEN sent_epoch - 30 END AS read_at
+FROM {fx_wa_message} w
+"""
+
+VIEWS["fx_wa_outbox"] = """
+SELECT id, id AS campaign_contact_id, campaign_id, id % 97 AS conversation_id, step_index,
+  CASE id % 7 WHEN 1 THEN 'SENT' WHEN 2 THEN 'READ' WHEN 3 THEN 'FAILED' ELSE 'PENDING' END AS status,
+  CASE WHEN id % 7 IN (1, 2) THEN concat('old', cast(id AS string)) END AS provider_message_id,
+  CASE WHEN id % 7 IN (1, 2) THEN make_timestamp(2023, 11, cast(1 + id % 28 AS int), 8, 0, 0) END AS sent_at,
+  CASE id % 7 WHEN 3 THEN 'timeout' WHEN 4 THEN 'account_not_connected' END AS error,
+  CASE WHEN id % 7 = 3 THEN make_timestamp(2023, 11, cast(1 + id % 28 AS int), 8, 30, 0) END AS failed_at
+FROM {fx_wa_contact} k
+"""
+
+VIEWS["fx_outreach_member"] = """
+SELECT id, prospect_id, campaign_id, tenant_id, outreach_sequence, status, email_account_id, created_at,
+  CASE WHEN status = 'REPLIED' OR id % 5 = 0 THEN cast(1 + id % 3 AS int) END AS reply_count,
+  CASE WHEN status = 'REPLIED' OR id % 5 = 0 THEN make_timestamp(2023, 10, cast(1 + id % 28 AS int), 8, 0, 0) END AS last_reply_at,
+  CASE status WHEN 'REPLIED' THEN 'replied' WHEN 'CANCELLED' THEN 'manual' WHEN 'SCHEDULED' THEN 'moved' END AS cancel_reason,
+  CASE WHEN status IN ('SENT', 'REPLIED') THEN make_timestamp(2023, 9, cast(1 + id % 28 AS int), 8, 0, 0) WHEN id % 11 = 3 THEN make_timestamp(2034, 1, 1, 0, 0, 0) END AS sent_at
+FROM {fx_outreach_contact} o
+"""
+
+VIEWS["fx_outreach_mail"] = """
+SELECT id, contact_id, created_at, tracking_token, thread_id, status, subject, body,
+  CASE WHEN status = 'SENT' THEN concat('old', cast(id AS string)) END AS provider_message_id,
+  CASE WHEN status = 'SENT' THEN created_at END AS sent_at
+FROM {fx_outreach_message} o
+"""
+
 VIEWS["fx_wa_step"] = """
 SELECT cast(n_nationkey AS bigint) AS campaign_id, i AS order_index, cast(i * 1440 AS int) AS delay_minutes,
   CASE WHEN i = 2 AND n_nationkey % 5 = 0 THEN '{{unknown}}' ELSE 'Hi {{firstName}} of {{ companyName }} in {{city}} {{jobTitle}}' END AS message_template

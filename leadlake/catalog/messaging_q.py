@@ -123,17 +123,17 @@ def _(fx):
     return M.conversation_upsert(fx.sql(STORED), fx.sql(INBOUND))
 
 
-OUT = "SELECT provider_message_id, conversation_id, org_id, direction, CASE WHEN turn % 3 = 0 THEN 'SENT' ELSE 'PENDING' END AS status, CASE WHEN turn % 2 = 0 THEN sent_epoch END AS sent_at FROM {fx_wa_message} m"
 ECHO = "SELECT concat('sess_', cast(conv_id % 20 AS string)) AS session, concat('msg_', cast(conv_id AS string), '_', cast(turn AS string)) AS provider_message_id, cast(1704067200 + turn AS bigint) AS happened_at FROM {conversations} WHERE turn > 1"
 
 
 @query("echo_match", f"""
-SELECT m.provider_message_id, m.conversation_id, m.org_id, m.direction, CASE WHEN e.happened_at IS NOT NULL AND direction = 'OUTBOUND' THEN 'SENT' ELSE m.status END AS status,
-  CASE WHEN e.happened_at IS NOT NULL AND direction = 'OUTBOUND' AND m.status <> 'SENT' THEN coalesce(m.sent_at, e.happened_at) ELSE m.sent_at END AS sent_at
-FROM ({OUT}) m LEFT JOIN (SELECT a.org_id, x.provider_message_id, min(x.happened_at) AS happened_at FROM ({ECHO}) x JOIN {{fx_wa_account}} a ON a.session_name = x.session GROUP BY 1, 2) e
-  ON e.org_id = m.org_id AND e.provider_message_id = m.provider_message_id""")
+SELECT m.provider_message_id, m.conversation_id, m.org_id, m.direction, CASE WHEN h AND status IN ('PENDING', 'FAILED') THEN 'SENT' ELSE status END AS status,
+  CASE WHEN h THEN coalesce(m.sent_at, m.at) ELSE m.sent_at END AS sent_at, m.delivered_at, m.read_at
+FROM (SELECT w.*, e.at, e.at IS NOT NULL AND w.direction = 'OUTBOUND' AS h FROM {{fx_wa_stored}} w
+  LEFT JOIN (SELECT a.org_id, x.provider_message_id, min(x.happened_at) AS at FROM ({ECHO}) x JOIN {{fx_wa_account}} a ON a.session_name = x.session GROUP BY 1, 2) e
+  ON e.org_id = w.org_id AND e.provider_message_id = w.provider_message_id) m""")
 def _(fx):
-    return M.echo_match(fx.sql(OUT), fx.sql(ECHO), fx("wa_account"))
+    return M.echo_match(fx("wa_stored"), fx.sql(ECHO), fx("wa_account"))
 
 
 ACKS = """
@@ -156,6 +156,26 @@ def _(fx):
     return M.delivery_status(pending(fx), fx.sql(ACKS)).drop("org_id")
 
 
+KEPT = f"""
+WITH a AS (SELECT org_id, provider_message_id, max(ack) AS ack, min(happened_at) FILTER (WHERE ack >= 1) AS s, min(happened_at) FILTER (WHERE ack >= 2) AS d, min(happened_at) FILTER (WHERE ack >= 3) AS r FROM ({ACKS}) GROUP BY 1, 2)
+SELECT m.provider_message_id, m.conversation_id, m.direction,
+  CASE WHEN m.status = 'READ' OR a.ack >= 3 THEN 'READ' WHEN m.status = 'DELIVERED' OR a.ack >= 2 THEN 'DELIVERED' WHEN m.status = 'SENT' OR a.ack >= 1 THEN 'SENT' ELSE m.status END AS status,
+  least(m.sent_at, a.s) AS sent_at, least(m.delivered_at, a.d) AS delivered_at, least(m.read_at, a.r) AS read_at
+FROM {{fx_wa_stored}} m LEFT JOIN a ON a.org_id = m.org_id AND a.provider_message_id = m.provider_message_id"""
+
+
+@query("delivery_status over stored messages", KEPT)
+def _(fx):
+    return M.delivery_status(fx("wa_stored"), fx.sql(ACKS)).drop("org_id")
+
+
+@query("delivery_status in two batches", KEPT)
+def _(fx):
+    early = F.col("happened_at") % 7 < 3
+    acks = fx.sql(ACKS)
+    return M.delivery_status(M.delivery_status(fx("wa_stored"), acks.filter(~early)), acks.filter(early)).drop("org_id")
+
+
 SESSION_EVENTS = """
 SELECT concat('sess_', cast(user_id % 30 AS string)) AS session, event_id, ts AS happened_at, CASE event_id % 7 WHEN 0 THEN 'WORKING' WHEN 1 THEN 'Stopped' WHEN 2 THEN 'SCAN_QR_CODE' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'DISCONNECTED' ELSE 'WEIRD' END AS raw_status,
   CASE WHEN event_type = 'view' THEN concat('55119', cast(event_id AS string), '@c.us') END AS me_id FROM {events}
@@ -180,24 +200,25 @@ def _(fx):
     return M.contactable(fx("lead").select("id", "org_id"), fx("channel_state"))
 
 
-OPTOUTS = f"""
-SELECT concat('org_', cast(o_custkey % 20 AS string)) AS org_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('55119', lpad(cast(o_custkey AS string), 8, '0')) END AS phone,
-  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS prospect_id FROM {{orders}} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+OPTOUTS = """
+SELECT concat('org_', cast(o_custkey % 20 AS string)) AS org_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat(missing, '55119', lpad(cast(o_custkey AS string), 8, '0')) END AS phone,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN missing = '' THEN o_custkey ELSE o_custkey + 1000000000 END AS prospect_id
+FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN '' ELSE '00' END AS missing FROM {orders}) o
 """
 
 
 def optouts(fx):
     lead_phones = I.phone_standardise(fx("phone")).select("org_id", "prospect_id", "phone")
-    return M.optout_propagate(fx.sql(OPTOUTS), fx("channel_state"), fx("wa_conversation"), fx("wa_contact"), fx("wa_campaign"), lead_phones)
+    return M.optout_propagate(fx.sql(OPTOUTS), fx("channel_state"), fx("wa_conversation"), fx("wa_member"), fx("wa_campaign"), lead_phones)
 
 
 @query("optout_propagate", f"""
 WITH o AS ({OPTOUTS})
-SELECT c.id, c.campaign_id, c.prospect_id, CASE WHEN h THEN 'OPTED_OUT' ELSE c.status END AS status, CASE WHEN h THEN 'opted_out' END AS cancel_reason
+SELECT c.id, c.campaign_id, c.prospect_id, CASE WHEN h THEN 'OPTED_OUT' ELSE c.status END AS status, CASE WHEN h THEN 'opted_out' ELSE c.cancel_reason END AS cancel_reason, c.last_sent_at
 FROM (SELECT c.*, c.status NOT IN ('COMPLETED', 'CANCELLED') AND (coalesce(c.phone_number IN (SELECT phone FROM o WHERE phone IS NOT NULL), FALSE)
-  OR c.prospect_id IN (SELECT prospect_id FROM o WHERE phone IS NULL AND prospect_id IS NOT NULL)) AS h FROM {{fx_wa_contact}} c) c""")
+  OR c.prospect_id IN (SELECT prospect_id FROM o WHERE phone IS NULL AND prospect_id IS NOT NULL)) AS h FROM {{fx_wa_member}} c) c""")
 def _(fx):
-    return optouts(fx)["contacts"].select("id", "campaign_id", "prospect_id", "status", "cancel_reason")
+    return optouts(fx)["contacts"].select("id", "campaign_id", "prospect_id", "status", "cancel_reason", "last_sent_at")
 
 
 @query("optout_propagate_state", f"""
@@ -217,22 +238,31 @@ def _(fx):
     return optouts(fx)["conversations"].select("id", "status")
 
 
-BLOCKS = "SELECT DISTINCT o_custkey AS prospect_id FROM {orders} WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'O'"
+BLOCKS = "SELECT DISTINCT CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN o_custkey ELSE o_custkey + 1000000000 END AS prospect_id FROM {orders}"
 
 
 @query("do_not_contact", f"""
-SELECT id, campaign_id, CASE WHEN h AND status NOT IN ('COMPLETED', 'CANCELLED') THEN 'CANCELLED' ELSE status END AS status,
-  CASE WHEN h AND status NOT IN ('COMPLETED', 'CANCELLED') THEN 'do_not_contact' END AS cancel_reason
-FROM (SELECT c.*, prospect_id IN ({BLOCKS}) AS h FROM {{fx_wa_contact}} c)""")
+SELECT id, campaign_id, CASE WHEN h THEN 'CANCELLED' ELSE status END AS status, CASE WHEN h THEN 'do_not_contact' ELSE cancel_reason END AS cancel_reason, last_sent_at
+FROM (SELECT c.*, prospect_id IN ({BLOCKS}) AND status NOT IN ('COMPLETED', 'CANCELLED') AS h FROM {{fx_wa_member}} c)""")
+def _(fx):
+    return M.do_not_contact(fx.sql(BLOCKS), fx("channel_state"), fx("wa_member"))["contacts"].select("id", "campaign_id", "status", "cancel_reason", "last_sent_at")
+
+
+STOPPED = f"""
+SELECT id, campaign_id, CASE WHEN h THEN 'REPLIED' ELSE status END AS status, CASE WHEN h THEN 'replied' ELSE cancel_reason END AS cancel_reason, last_sent_at
+FROM (SELECT c.*, prospect_id IN ({BLOCKS}) AND status IN ({ACTIVE}) AS h FROM {{fx_wa_member}} c)"""
+
+
+@query("automation_stop", STOPPED)
 def _(fx):
-    return M.do_not_contact(fx.sql(BLOCKS), fx("channel_state"), fx("wa_contact"))["contacts"].select("id", "campaign_id", "status", "cancel_reason")
+    return M.automation_stop(fx.sql(BLOCKS), fx("wa_member")).select("id", "campaign_id", "status", "cancel_reason", "last_sent_at")
 
 
-@query("automation_stop", f"""
-SELECT id, campaign_id, CASE WHEN h AND status IN ({ACTIVE}) THEN 'REPLIED' ELSE status END AS status, CASE WHEN h AND status IN ({ACTIVE}) THEN 'replied' END AS cancel_reason
-FROM (SELECT c.*, prospect_id IN ({BLOCKS}) AS h FROM {{fx_wa_contact}} c)""")
+@query("automation_stop in two batches", STOPPED)
 def _(fx):
-    return M.automation_stop(fx.sql(BLOCKS), fx("wa_contact")).select("id", "campaign_id", "status", "cancel_reason")
+    blocks, odd = fx.sql(BLOCKS), F.col("prospect_id") % 2 == 1
+    return M.automation_stop(blocks.filter(~odd), M.automation_stop(blocks.filter(odd), fx("wa_member"))).select(
+        "id", "campaign_id", "status", "cancel_reason", "last_sent_at")
 
 
 # --- campaigns ------------------------------------------------------------------------------
@@ -273,7 +303,10 @@ def _(fx):
     return M.campaign_completion(fx("wa_campaign"), fx("wa_contact").withColumn("status", done)).select("campaign_id", "org_id", "active", "complete")
 
 
-COMMANDS = "SELECT o_custkey % 25 AS campaign_id, o_orderkey AS command_id, o_orderdate AS happened_at, CASE o_orderstatus WHEN 'F' THEN 'pause' WHEN 'O' THEN 'resume' ELSE 'cancel' END AS command FROM {orders} WHERE o_orderstatus <> 'P' OR o_totalprice > 495000"
+COMMANDS = """
+SELECT CASE WHEN o_orderstatus <> 'P' OR o_totalprice > 495000 THEN o_custkey % 25 ELSE o_custkey + 1000 END AS campaign_id, o_orderkey AS command_id, o_orderdate AS happened_at,
+  CASE o_orderstatus WHEN 'F' THEN 'pause' WHEN 'O' THEN 'resume' ELSE 'cancel' END AS command FROM {orders}
+"""
 
 
 @query("campaign_transition", f"""
@@ -284,10 +317,10 @@ def _(fx):
 
 
 @query("campaign_transition_contacts", f"""
-SELECT id, campaign_id, CASE WHEN h THEN 'CANCELLED' ELSE status END AS status, CASE WHEN h THEN 'cancelled' END AS cancel_reason
-FROM (SELECT t.*, status IN ({ACTIVE}) AND campaign_id IN (SELECT campaign_id FROM ({COMMANDS}) WHERE command = 'cancel') AS h FROM {{fx_wa_contact}} t)""")
+SELECT id, campaign_id, CASE WHEN h THEN 'CANCELLED' ELSE status END AS status, CASE WHEN h THEN 'cancelled' ELSE cancel_reason END AS cancel_reason, last_sent_at
+FROM (SELECT t.*, status IN ({ACTIVE}) AND campaign_id IN (SELECT campaign_id FROM ({COMMANDS}) WHERE command = 'cancel') AS h FROM {{fx_wa_member}} t)""")
 def _(fx):
-    return M.campaign_transition(fx("wa_campaign"), fx("wa_contact"), fx.sql(COMMANDS))["contacts"].select("id", "campaign_id", "status", "cancel_reason")
+    return M.campaign_transition(fx("wa_campaign"), fx("wa_member"), fx.sql(COMMANDS))["contacts"].select("id", "campaign_id", "status", "cancel_reason", "last_sent_at")
 
 
 SELECTION = """
@@ -330,8 +363,8 @@ def _(fx):
 DUE = """
 SELECT CASE WHEN c_acctbal < 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS contact_id, cast(c_custkey % 4 AS int) AS step_index FROM {customer}
 """
-LEADS = "SELECT * FROM {fx_lead} l WHERE industry IS NOT NULL"
-EXISTING = "SELECT c_custkey AS campaign_contact_id, cast(0 AS int) AS step_index FROM {customer} WHERE c_acctbal > 5000"
+LEADS = "SELECT CASE WHEN industry IS NULL THEN -id ELSE id END AS id, org_id, company_name, trade_name, city, industry, partner_name, partner_role FROM {fx_lead} l"
+EXISTING = "SELECT CASE WHEN c_acctbal > 5000 THEN c_custkey ELSE -c_custkey END AS campaign_contact_id, cast(0 AS int) AS step_index FROM {customer}"
 RATE = "SELECT c_custkey AS contact_id, c_acctbal < 8000 AS allowed, cast(45000 AS bigint) AS retry_ms FROM {customer}"
 FIRST_NAME = "regexp_extract(coalesce(nullif(trim(l.partner_name), ''), nullif(trim(l.trade_name), ''), l.company_name), '^\\s*(\\S+)', 1)"
 RENDERED = f"""trim(CASE WHEN s.message_template = '{{{{unknown}}}}' THEN '' ELSE 'Hi ' || {FIRST_NAME} || ' of ' || l.company_name || ' in ' || l.city || ' ' || coalesce(l.partner_role, '') END)"""
@@ -386,26 +419,61 @@ def _(fx):
     return M.wa_send_gate(fx.sql(GATE), fx("wa_contact"), fx("wa_account")).select("message_id", "status", "outcome", "error")
 
 
-SENT_MSGS = "SELECT c.id, c.id AS campaign_contact_id, c.campaign_id, c.id % 97 AS conversation_id, c.step_index, 'PENDING' AS status FROM {fx_wa_contact} c"
 ANSWERS = """
-SELECT c_custkey AS message_id, c_acctbal > 0 AS ok, concat('p', cast(c_custkey AS string)) AS provider_message_id, CASE WHEN c_acctbal <= 0 THEN 'boom' END AS error, TIMESTAMP '2024-01-01 00:00:00' AS happened_at
-FROM {customer} WHERE c_mktsegment <> 'BUILDING'
+SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey ELSE c_custkey END AS message_id, c_acctbal > 0 AS ok, CASE WHEN c_acctbal > 0 THEN concat('p', cast(c_custkey AS string)) END AS provider_message_id,
+  CASE WHEN c_acctbal <= 0 THEN 'boom' END AS error, TIMESTAMP '2024-01-01 00:00:00' AS happened_at FROM {customer} a
+UNION ALL SELECT c_custkey, TRUE, concat('q', cast(c_custkey AS string)), NULL, TIMESTAMP '2024-01-01 01:00:00' FROM {customer} b WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, FALSE, NULL, 'busy', TIMESTAMP '2023-12-31 23:00:00' FROM {customer} c WHERE c_custkey % 5 = 0
 """
+ANSWERED = f"""
+r AS (SELECT message_id, min(happened_at) FILTER (WHERE ok) AS good_at, arg_min(provider_message_id, happened_at) FILTER (WHERE ok) AS pid,
+  max(happened_at) FILTER (WHERE NOT ok) AS bad_at, arg_max(error, happened_at) FILTER (WHERE NOT ok) AS err FROM ({ANSWERS}) GROUP BY 1),
+m AS (SELECT w.*, r.good_at, r.pid, r.bad_at, r.err, w.status NOT IN ('SENT', 'DELIVERED', 'READ') AND r.good_at IS NOT NULL AS sends,
+  w.status NOT IN ('SENT', 'DELIVERED', 'READ') AND r.good_at IS NULL AND r.bad_at IS NOT NULL AS fails FROM {{fx_wa_outbox}} w LEFT JOIN r ON r.message_id = w.id),
+n AS (SELECT m.*, s.order_index AS next_index, s.campaign_id IS NULL AS complete FROM m LEFT JOIN {{fx_wa_step}} s ON s.campaign_id = m.campaign_id AND s.order_index = m.step_index + 1 WHERE sends)"""
+
+
+def applied(fx, keep=None):
+    answers = fx.sql(ANSWERS.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    state = [fx("wa_outbox"), fx("wa_member"), fx("wa_conversation").withColumn("last_message_at", F.lit(None).cast("timestamp_ntz"))]
+    for part in keep or [F.lit(True)]:
+        out = M.wa_send_apply(answers.filter(part), *state, fx("wa_step"))
+        state = [out["messages"], out["contacts"], out["conversations"]]
+    return out
 
 
-def applied(fx):
-    return M.wa_send_apply(fx.sql(ANSWERS.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")), fx.sql(SENT_MSGS), fx("wa_contact"), fx("wa_conversation"), fx("wa_step"))
+SENT_STATE = f"""
+WITH {ANSWERED}
+SELECT id, CASE WHEN sends THEN 'SENT' WHEN fails THEN 'FAILED' ELSE status END AS status, CASE WHEN sends THEN pid ELSE provider_message_id END AS provider_message_id,
+  CASE WHEN sends THEN NULL WHEN fails THEN err ELSE error END AS error, CASE WHEN sends THEN good_at ELSE sent_at END AS sent_at,
+  CASE WHEN sends OR fails THEN CASE WHEN bad_at IS NULL OR bad_at > good_at THEN failed_at ELSE bad_at END ELSE failed_at END AS failed_at FROM m"""
 
 
-@query("wa_send_apply", f"""
-SELECT m.id, CASE WHEN r.ok THEN 'SENT' WHEN NOT r.ok THEN 'FAILED' ELSE m.status END AS status, CASE WHEN r.ok THEN r.provider_message_id END AS provider_message_id,
-  CASE WHEN NOT r.ok THEN r.error END AS error, CASE WHEN r.ok THEN r.happened_at END AS sent_at, CASE WHEN NOT r.ok THEN r.happened_at END AS failed_at FROM ({SENT_MSGS}) m LEFT JOIN ({ANSWERS}) r ON r.message_id = m.id""")
+@query("wa_send_apply", SENT_STATE)
 def _(fx):
     return applied(fx)["messages"].select("id", "status", "provider_message_id", "error", "sent_at", "failed_at")
 
 
-@query("wa_send_apply_next", f"""
-SELECT m.campaign_contact_id AS contact_id, m.step_index, s.order_index AS next_step_index, s.campaign_id IS NULL AS complete
-FROM ({SENT_MSGS}) m JOIN ({ANSWERS}) r ON r.message_id = m.id AND r.ok LEFT JOIN {{fx_wa_step}} s ON s.campaign_id = m.campaign_id AND s.order_index = m.step_index + 1""")
+@query("wa_send_apply in two batches", SENT_STATE)
+def _(fx):
+    late = F.col("happened_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return applied(fx, [~late, late])["messages"].select("id", "status", "provider_message_id", "error", "sent_at", "failed_at")
+
+
+@query("wa_send_apply contacts", f"""
+WITH {ANSWERED}
+SELECT c.id, CASE WHEN c.status NOT IN ('QUEUED', 'SENDING', 'SENT') OR n.id IS NULL THEN c.status WHEN n.complete THEN 'COMPLETED' ELSE 'SENT' END AS status, c.cancel_reason,
+  CASE WHEN n.id IS NULL THEN c.last_sent_at ELSE greatest(n.good_at, c.last_sent_at) END AS last_sent_at FROM {{fx_wa_member}} c LEFT JOIN n ON n.campaign_contact_id = c.id""")
+def _(fx):
+    return applied(fx)["contacts"].select("id", "status", "cancel_reason", "last_sent_at")
+
+
+@query("wa_send_apply conversations", f"""
+WITH {ANSWERED} SELECT c.id, s.at AS last_message_at FROM {{fx_wa_conversation}} c LEFT JOIN (SELECT conversation_id, max(good_at) AS at FROM n GROUP BY 1) s ON s.conversation_id = c.id""")
+def _(fx):
+    return applied(fx)["conversations"].select("id", "last_message_at")
+
+
+@query("wa_send_apply_next", f"WITH {ANSWERED} SELECT campaign_contact_id AS contact_id, step_index, next_index AS next_step_index, complete FROM n")
 def _(fx):
     return applied(fx)["next_steps"].select("contact_id", "step_index", "next_step_index", "complete")

@@ -69,13 +69,26 @@ def _(fx):
     return O.reply_stats(fx("outreach_event").filter("type = 'email_replied'").withColumnRenamed("created_at", "replied_at"))
 
 
-@query("reply_apply", f"""
-WITH a AS ({ATTRIBUTED}), s AS (SELECT contact_id, 1 AS n, min(replied_at) AS at FROM a GROUP BY 1)
-SELECT c.id, CASE WHEN s.n IS NOT NULL THEN 'REPLIED' ELSE c.status END AS status, coalesce(s.n, 0) AS reply_count, s.at AS last_reply_at,
-  CASE WHEN s.n IS NOT NULL THEN 'replied' END AS cancel_reason FROM {{fx_outreach_contact}} c LEFT JOIN s ON s.contact_id = c.id""")
+REPLIED = f"""
+WITH a AS ({ATTRIBUTED}), s AS (SELECT contact_id, min(replied_at) AS at FROM a GROUP BY 1)
+SELECT c.id, CASE WHEN s.at IS NOT NULL THEN 'REPLIED' ELSE c.status END AS status, coalesce(c.reply_count, 0) + CASE WHEN s.at IS NOT NULL THEN 1 ELSE 0 END AS reply_count,
+  CASE WHEN s.at IS NULL THEN c.last_reply_at ELSE greatest(s.at, c.last_reply_at) END AS last_reply_at, CASE WHEN s.at IS NOT NULL THEN 'replied' ELSE c.cancel_reason END AS cancel_reason, c.sent_at
+FROM {{fx_outreach_member}} c LEFT JOIN s ON s.contact_id = c.id AND c.status NOT IN ({TERMINAL})"""
+
+
+@query("reply_apply", REPLIED)
+def _(fx):
+    out = O.reply_apply(attributed(fx), fx("outreach_member"), fx("outreach_message"))
+    return out["contacts"].select("id", "status", "reply_count", "last_reply_at", "cancel_reason", "sent_at")
+
+
+@query("reply_apply in two batches", REPLIED)
 def _(fx):
-    out = O.reply_apply(attributed(fx), fx("outreach_contact"), fx("outreach_message"))
-    return out["contacts"].select("id", "status", "reply_count", "last_reply_at", "cancel_reason")
+    """The earlier half first; replies to contacts that it ended change nothing."""
+    replies, half = attributed(fx), F.col("replied_at") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    first = O.reply_apply(replies.filter(half), fx("outreach_member"), fx("outreach_message"))
+    out = O.reply_apply(replies.filter(~half), first["contacts"], first["messages"])
+    return out["contacts"].select("id", "status", "reply_count", "last_reply_at", "cancel_reason", "sent_at")
 
 
 @query("reply_apply_messages", f"""
@@ -108,6 +121,14 @@ def _(fx):
     return O.followup_cancel(plan, replies, fx("outreach_contact"))[0].select("contact_id", "next_sequence", "due_at")
 
 
+@query("followup_cancel contacts", """
+SELECT id, status, CASE WHEN id IN (SELECT contact_id FROM {fx_outreach_event} e WHERE type = 'email_replied' AND created_at < TIMESTAMP '2024-01-03 00:00:00') THEN 'replied' ELSE cancel_reason END AS cancel_reason
+FROM {fx_outreach_member} c""")
+def _(fx):
+    replies = fx("outreach_event").filter("type = 'email_replied' AND created_at < TIMESTAMP_NTZ '2024-01-03 00:00:00'")
+    return O.followup_cancel(O.followup_plan(fx("outreach_member"), fx.sql(SENT)), replies, fx("outreach_member"))[1].select("id", "status", "cancel_reason")
+
+
 STATE = f"""
 WITH e AS (SELECT contact_id, min(created_at) FILTER (WHERE type = 'email_replied') AS rep, max(created_at) FILTER (WHERE type = 'email_sent') AS sent,
   arg_max(type, (created_at, id)) FILTER (WHERE type IN ('email_scheduled', 'email_sent', 'email_opened_inferred')) AS last FROM {{fx_outreach_event}} x GROUP BY 1)
@@ -228,21 +249,57 @@ def _(fx):
     return g.select("id", "contact_id", "recipient", "outcome", "reason", "retry_ms")
 
 
-RESULTS = "SELECT id AS message_id, concat('g', cast(id AS string)) AS provider_message_id, concat('nt', cast(id AS string)) AS thread_id, created_at AS sent_at FROM {fx_outreach_message} m WHERE status = 'SCHEDULED'"
+RESULTS = """
+SELECT id AS message_id, concat('g', cast(id AS string)) AS provider_message_id, concat('nt', cast(id AS string)) AS thread_id, created_at + INTERVAL 1 DAY AS sent_at FROM {fx_outreach_message} m WHERE id % 5 <> 4
+UNION ALL SELECT id, concat('again', cast(id AS string)), NULL, created_at + INTERVAL 2 DAY FROM {fx_outreach_message} n WHERE id % 4 = 0
+"""
+MAILED = f"""
+r AS (SELECT message_id, min(sent_at) AS went, arg_min(provider_message_id, sent_at) AS pid, arg_min(coalesce(thread_id, '-'), sent_at) AS th FROM ({RESULTS}) GROUP BY 1),
+m AS (SELECT w.*, r.went, r.pid, nullif(r.th, '-') AS th FROM {{fx_outreach_mail}} w LEFT JOIN r ON r.message_id = w.id AND w.status <> 'SENT')"""
+
+
+def mailed(fx, *parts):
+    state = [fx("outreach_mail"), fx("outreach_member")]
+    for part in parts or [F.lit(True)]:
+        out = O.email_send_apply(fx.sql(RESULTS).filter(part), *state)
+        state = [out["messages"], out["contacts"]]
+    return out
 
 
 @query("email_send_apply", f"""
-SELECT m.contact_id, r.message_id, r.sent_at AS created_at, k.type, k.status FROM ({RESULTS}) r JOIN {{fx_outreach_message}} m ON m.id = r.message_id
-CROSS JOIN (VALUES ('email_sent', 'sent'), ('email_delivered_inferred', 'delivered')) k(type, status)""")
+WITH {MAILED} SELECT m.contact_id, m.id AS message_id, m.went AS created_at, k.type, k.status FROM m
+CROSS JOIN (VALUES ('email_sent', 'sent'), ('email_delivered_inferred', 'delivered')) k(type, status) WHERE m.went IS NOT NULL""")
+def _(fx):
+    return mailed(fx)["events"]
+
+
+@query("email_send_apply messages", f"""
+WITH {MAILED} SELECT id, CASE WHEN went IS NOT NULL THEN 'SENT' ELSE status END AS status, coalesce(pid, provider_message_id) AS provider_message_id, coalesce(th, thread_id) AS thread_id, coalesce(sent_at, went) AS sent_at FROM m""")
+def _(fx):
+    return mailed(fx)["messages"].select("id", "status", "provider_message_id", "thread_id", "sent_at")
+
+
+MAILED_CONTACTS = f"""
+WITH {MAILED} SELECT c.id, CASE WHEN s.went IS NOT NULL AND c.status NOT IN ({TERMINAL}) THEN 'SENT' ELSE c.status END AS status, CASE WHEN s.went IS NULL THEN c.sent_at ELSE greatest(s.went, c.sent_at) END AS sent_at,
+  c.reply_count, c.cancel_reason FROM {{fx_outreach_member}} c LEFT JOIN (SELECT contact_id, max(went) AS went FROM m WHERE went IS NOT NULL GROUP BY 1) s ON s.contact_id = c.id"""
+
+
+@query("email_send_apply_contacts", MAILED_CONTACTS)
+def _(fx):
+    return mailed(fx)["contacts"].select("id", "status", "sent_at", "reply_count", "cancel_reason")
+
+
+@query("email_send_apply_contacts in two batches", MAILED_CONTACTS)
 def _(fx):
-    return O.email_send_apply(fx.sql(RESULTS), fx("outreach_message"), fx("outreach_contact"))["events"]
+    again = F.col("provider_message_id").startswith("again")
+    return mailed(fx, ~again, again)["contacts"].select("id", "status", "sent_at", "reply_count", "cancel_reason")
 
 
-@query("email_send_apply_contacts", f"""
-SELECT c.id, CASE WHEN s.at IS NOT NULL THEN 'SENT' ELSE c.status END AS status, s.at AS sent_at FROM {{fx_outreach_contact}} c
-LEFT JOIN (SELECT m.contact_id, max(r.sent_at) AS at FROM ({RESULTS}) r JOIN {{fx_outreach_message}} m ON m.id = r.message_id GROUP BY 1) s ON s.contact_id = c.id""")
+@query("email_send_apply followups", f"""
+WITH {MAILED} SELECT c.id AS contact_id, s.went AS last_sent_at, c.outreach_sequence + 1 AS next_sequence, s.went + to_days(([3, 5, 7])[c.outreach_sequence]) AS due_at FROM {{fx_outreach_member}} c
+JOIN (SELECT contact_id, max(went) AS went FROM m WHERE went IS NOT NULL GROUP BY 1) s ON s.contact_id = c.id WHERE c.status NOT IN ({TERMINAL}) AND c.outreach_sequence < 4""")
 def _(fx):
-    return O.email_send_apply(fx.sql(RESULTS), fx("outreach_message"), fx("outreach_contact"))["contacts"].select("id", "status", "sent_at")
+    return mailed(fx)["followups"].select("contact_id", "last_sent_at", "next_sequence", "due_at")
 
 
 RECIPIENTS = "SELECT id, org_id AS tenant_id, cnpj_email AS email FROM {fx_prospect} p WHERE cnpj_email IS NOT NULL"

@@ -55,7 +55,7 @@ def _fits(df: DataFrame) -> DataFrame:
 
 
 def _first(hits: DataFrame, k: int | None) -> DataFrame:
-    return hits if k is None else top_k(hits, ["org_id", "pos"], [F.col("cnpj")], k, "__r", spread=["cnpj"]).drop("__r")
+    return hits if k is None else top_k(hits, ["org_id", "pos"], [F.col("cnpj")], k, "__r", spread=True).drop("__r")
 
 
 def discovery_candidates(profiles: DataFrame, registry: DataFrame, prospects: DataFrame,

@@ -9,6 +9,7 @@ from leadlake.functions import fixed
 from leadlake.functions.columns import is_opt_out, lookup, phone_normalise, phone_of_chat, present
 from leadlake.operators.fold import Fold
 from leadlake.operators.outreach import campaign_stagger
+from leadlake.operators.state import MESSAGE, SEQUENCE, merge
 from leadlake.plans.balance import first_row, join_hot, running_number
 from leadlake.sources.upsert import upsert
 
@@ -76,13 +77,14 @@ def _lead_values() -> dict[str, Column]:
             "city": F.col("city"), "industry": F.col("industry")}
 
 
-def template_render(leads: DataFrame, templates: DataFrame, on: list[str], template: str = "message_template") -> DataFrame:
-    """Leads x the templates of their campaign, rendered into ``content``.
+def template_render(leads: DataFrame, templates: DataFrame, on: list[str], template: str = "message_template",
+                    longest: int | None = LONGEST_VALUE) -> DataFrame:
+    """Leads x the templates of their campaign, rendered into ``content`` with values of at most ``longest`` characters (None: whole).
 
     ``leads`` has company_name, trade_name, city, industry and the first partner's
     partner_name and partner_role.
     """
-    return leads.join(templates, on).withColumn("content", render(F.col(template), _lead_values()))
+    return leads.join(templates, on).withColumn("content", render(F.col(template), _lead_values(), longest))
 
 
 def campaign_steps_normalise(campaigns: DataFrame, steps: str = "steps") -> DataFrame:
@@ -201,17 +203,14 @@ def conversation_history(conversations: DataFrame, messages: DataFrame) -> DataF
 
 
 def echo_match(messages: DataFrame, echoes: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Echoes of own sends mark the outbound message sent, keeping its first sent time.
+    """Echoes of own sends mark the outbound message sent, keeping its first sent time; delivered and read ones stay so.
 
     ``echoes``: session, provider_message_id, happened_at.
     """
     org = accounts.select(F.col("session_name").alias("session"), "org_id")
-    first = echoes.join(org, "session").groupBy("org_id", "provider_message_id").agg(F.min("happened_at").alias("__at"))
-    hit = F.col("__at").isNotNull() & (F.col("direction") == "OUTBOUND")
-    return messages.join(first, ["org_id", "provider_message_id"], "left").withColumns({
-        "sent_at": F.when(hit & (F.col("status") != "SENT"), F.coalesce("sent_at", "__at")).otherwise(F.col("sent_at")),
-        "status": F.when(hit, "SENT").otherwise(F.col("status")),
-    }).drop("__at")
+    first = echoes.join(org, "session").groupBy("org_id", "provider_message_id").agg(F.min("happened_at").alias("sent_at"))
+    said = first.withColumns({"direction": F.lit("OUTBOUND"), "status": F.lit("SENT")})
+    return merge(messages, said, ["org_id", "provider_message_id", "direction"], MESSAGE, fill=("sent_at",))
 
 
 def delivery_fold() -> Fold:
@@ -223,17 +222,16 @@ def delivery_fold() -> Fold:
 
 
 def delivery_status(messages: DataFrame, acks: DataFrame, folded: bool = False) -> DataFrame:
-    """Highest acknowledgement decides; the first time of each level stays.
+    """Highest acknowledgement so far decides; the first time of each level stays.
 
-    ``acks``: org_id, provider_message_id, ack, happened_at.
+    ``acks``: org_id, provider_message_id, ack, happened_at. ``messages`` may hold status and times of earlier batches.
     """
     f = acks if folded else delivery_fold().partial(acks)
-    f = f.select("org_id", "provider_message_id", *[F.col(c).alias(f"__{c}") for c in ("sent_at", "delivered_at", "read_at", "ack")])
-    level = F.col("__ack")
-    status = (F.when(level >= 3, "READ").when(level >= 2, "DELIVERED").when(level >= 1, "SENT").otherwise(F.col("status")))
-    return messages.join(f, ["org_id", "provider_message_id"], "left").withColumns({
-        "status": status, "sent_at": F.col("__sent_at"), "delivered_at": F.col("__delivered_at"), "read_at": F.col("__read_at"),
-    }).drop("__sent_at", "__delivered_at", "__read_at", "__ack")
+    level = F.col("ack")
+    status = F.when(level >= 3, "READ").when(level >= 2, "DELIVERED").when(level >= 1, "SENT")
+    times = ("sent_at", "delivered_at", "read_at")
+    return merge(messages, f.select("org_id", "provider_message_id", status.alias("status"), *times), ["org_id", "provider_message_id"],
+                 MESSAGE, first=times)
 
 
 def session_fold() -> Fold:
@@ -282,38 +280,29 @@ def optout_propagate(optouts: DataFrame, state: DataFrame, conversations: DataFr
         found = phone_resolve(unnamed, conversations, contacts, campaigns, lead_phones).filter(F.col("prospect_id").isNotNull())
         leads = leads.unionByName(found.select("prospect_id")).distinct()
     by_phone = optouts.filter(F.col("phone").isNotNull()).select("org_id", F.col("phone").alias("phone_number")).distinct()
-    by_lead = (optouts.filter(F.col("phone").isNull() & F.col("prospect_id").isNotNull())
-               .select("prospect_id").distinct().withColumn("__l", F.lit(True)))
-    phones = by_phone.select("phone_number").distinct().withColumn("__p", F.lit(True))
+    by_lead = optouts.filter(F.col("phone").isNull() & F.col("prospect_id").isNotNull()).select("prospect_id").distinct()
+    out = {"status": F.lit("OPTED_OUT"), "cancel_reason": F.lit("opted_out")}
     conv = join_hot(conversations, by_phone.withColumn("__p", F.lit(True)), ["org_id", "phone_number"])
     conv = conv.withColumn("status", F.when(F.col("__p"), "OPTED_OUT").otherwise(F.col("status"))).drop("__p")
-    hit = F.coalesce("__p", "__l", F.lit(False)) & ~F.col("status").isin("COMPLETED", "CANCELLED")
-    c = (join_hot(join_hot(contacts, phones, ["phone_number"]), by_lead, ["prospect_id"])
-         .withColumn("__hit", hit)
-         .withColumn("status", F.when(F.col("__hit"), "OPTED_OUT").otherwise(F.col("status")))
-         .withColumn("cancel_reason", F.when(F.col("__hit"), "opted_out")).drop("__p", "__l", "__hit"))
+    c = merge(contacts, by_phone.select("phone_number").distinct().withColumns(out), ["phone_number"], SEQUENCE, take=("cancel_reason",), crowded=True)
+    c = merge(c, by_lead.withColumns(out), ["prospect_id"], SEQUENCE, take=("cancel_reason",), crowded=True)
     return {"state": _set_channel(state, leads, "opted_out"), "conversations": conv, "contacts": c}
 
 
-def _stop_contacts(contacts: DataFrame, leads: DataFrame, cond: Column, status: str, reason: str) -> DataFrame:
-    hit = F.coalesce("__l", F.lit(False)) & cond
-    return (contacts.join(leads.select("prospect_id").distinct().withColumn("__l", F.lit(True)), "prospect_id", "left")
-            .withColumn("__hit", hit)
-            .withColumn("status", F.when(F.col("__hit"), status).otherwise(F.col("status")))
-            .withColumn("cancel_reason", F.when(F.col("__hit"), reason)).drop("__l", "__hit"))
+def _stop_contacts(contacts: DataFrame, leads: DataFrame, status: str, reason: str, only_from: list[str] | None = None) -> DataFrame:
+    said = leads.select("prospect_id").distinct().withColumns({"status": F.lit(status), "cancel_reason": F.lit(reason)})
+    return merge(contacts, said, ["prospect_id"], SEQUENCE, only_from, take=("cancel_reason",))
 
 
 def do_not_contact(blocks: DataFrame, state: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
     """Manual blocks -> channel state, and unfinished contacts cancelled."""
     leads = blocks.select("prospect_id").distinct()
-    open_ = ~F.col("status").isin("COMPLETED", "CANCELLED")
-    return {"state": _set_channel(state, leads, "do_not_contact"),
-            "contacts": _stop_contacts(contacts, leads, open_, "CANCELLED", "do_not_contact")}
+    return {"state": _set_channel(state, leads, "do_not_contact"), "contacts": _stop_contacts(contacts, leads, "CANCELLED", "do_not_contact")}
 
 
 def automation_stop(handoffs: DataFrame, contacts: DataFrame, reason: str = "replied") -> DataFrame:
     """A handoff ends the lead's running sequences."""
-    return _stop_contacts(contacts, handoffs, F.col("status").isin(fixed.ACTIVE_SEQUENCE), "REPLIED", reason)
+    return _stop_contacts(contacts, handoffs, "REPLIED", reason, fixed.ACTIVE_SEQUENCE)
 
 
 # --- campaigns and sequences ----------------------------------------------------------------
@@ -361,11 +350,8 @@ def campaign_transition(campaigns: DataFrame, contacts: DataFrame, commands: Dat
     target = F.create_map(*[F.lit(x) for x in ("pause", "PAUSED", "resume", "RUNNING", "cancel", "CANCELLED")])
     c = campaigns.join(last.select(F.col("campaign_id").alias("id"), "__cmd"), "id", "left").withColumn(
         "status", F.coalesce(target[F.col("__cmd")], "status")).drop("__cmd")
-    stop = last.filter(F.col("__cancelled") == 1).select("campaign_id", F.lit(True).alias("__stop"))
-    hit = F.coalesce("__stop", F.lit(False)) & F.col("status").isin(fixed.ACTIVE_SEQUENCE)
-    k = (contacts.join(stop, "campaign_id", "left").withColumn("__hit", hit)
-         .withColumn("status", F.when(F.col("__hit"), "CANCELLED").otherwise(F.col("status")))
-         .withColumn("cancel_reason", F.when(F.col("__hit"), "cancelled")).drop("__stop", "__hit"))
+    stop = last.filter(F.col("__cancelled") == 1).select("campaign_id", F.lit("CANCELLED").alias("status"), F.lit("cancelled").alias("cancel_reason"))
+    k = merge(contacts, stop, ["campaign_id"], SEQUENCE, fixed.ACTIVE_SEQUENCE, take=("cancel_reason",), crowded=True)
     return {"campaigns": c, "contacts": k}
 
 
@@ -399,7 +385,8 @@ def campaign_start(campaigns: DataFrame, steps: DataFrame, accounts: DataFrame,
 
 
 def sequence_decide(due: DataFrame, contacts: DataFrame, campaigns: DataFrame, prospects: DataFrame, accounts: DataFrame,
-                    steps: DataFrame, state: DataFrame, messages: DataFrame, rate: DataFrame) -> DataFrame:
+                    steps: DataFrame, state: DataFrame, messages: DataFrame, rate: DataFrame,
+                    longest: int | None = LONGEST_VALUE) -> DataFrame:
     """First matching outcome of each due (contact, step), and what it does to the contact.
 
     ``due``: contact_id, step_index. ``prospects`` carries the first partner's partner_name and
@@ -421,7 +408,7 @@ def sequence_decide(due: DataFrame, contacts: DataFrame, campaigns: DataFrame, p
     j = (join_hot(j, tenant, ["campaign_id"], counts=crowd).join(s, ["campaign_id", "step_index"], "left")
          .join(p, "prospect_id", "left"))
     j = contactable(j, state, "prospect_id")
-    j = j.withColumns({"content": render(F.col("message_template"), _lead_values()), "phone": phone_normalise("phone_number")})
+    j = j.withColumns({"content": render(F.col("message_template"), _lead_values(), longest), "phone": phone_normalise("phone_number")})
 
     def outcome(name, status=None, reason=None, wait=None):
         return F.struct(F.lit(name).alias("outcome") if isinstance(name, str) else name.alias("outcome"),
@@ -492,23 +479,29 @@ def wa_send_apply(results: DataFrame, messages: DataFrame, contacts: DataFrame,
                   steps: DataFrame) -> dict[str, DataFrame]:
     """Provider answers -> messages, contacts, conversations and the next steps.
 
-    ``results``: message_id, ok, provider_message_id, error, happened_at.
+    ``results``: message_id, ok, provider_message_id, error, happened_at; a message may have several, of which a first
+    success counts, else the last failure. A message that was sent before keeps its id and time and moves nothing on.
+    Contacts that ended stay so; the last step completes the others.
     """
-    r = results.select(F.col("message_id").alias("id"), F.col("ok").alias("__ok"), F.col("happened_at").alias("__at"),
-                       F.col("provider_message_id").alias("__pid"), F.col("error").alias("__err"))
-    j = messages.join(r, "id", "left")
-    ok, failed = F.coalesce("__ok", F.lit(False)), F.coalesce(~F.col("__ok"), F.lit(False))
-    after = j.withColumns({
-        "status": F.when(ok, "SENT").when(failed, "FAILED").otherwise(F.col("status")),
-        "provider_message_id": F.when(ok, F.col("__pid")), "sent_at": F.when(ok, F.col("__at")),
-        "failed_at": F.when(failed, F.col("__at")), "error": F.when(failed, F.col("__err"))})
-    sent = after.filter(ok)
-    per_contact = sent.groupBy(F.col("campaign_contact_id").alias("id")).agg(F.max("__at").alias("__last"))
-    c = contacts.join(per_contact, "id", "left").withColumns({
-        "status": F.when(F.col("__last").isNotNull(), "SENT").otherwise(F.col("status")), "last_sent_at": F.col("__last")}).drop("__last")
-    per_conv = sent.groupBy(F.col("conversation_id").alias("id")).agg(F.max("__at").alias("__last"))
-    v = conversations.join(per_conv, "id", "left").withColumn("last_message_at", F.col("__last")).drop("__last")
+    at = F.col("happened_at")
+    r = results.groupBy(F.col("message_id").alias("id")).agg(
+        F.min(F.when(F.col("ok"), F.struct(at, "provider_message_id"))).alias("good"), F.max(F.when(~F.col("ok"), F.struct(at, "error"))).alias("bad"))
+    done = F.col("good").isNotNull()
+    said = r.select("id", F.when(done, "SENT").otherwise("FAILED").alias("status"), F.col("good.provider_message_id").alias("provider_message_id"),
+                    F.col("good.happened_at").alias("sent_at"), F.when(~done, F.col("bad.error")).alias("error"),
+                    F.when(~done | (F.col("bad.happened_at") < F.col("good.happened_at")), F.col("bad.happened_at")).alias("failed_at"))
+    before = messages.filter(F.coalesce(MESSAGE.rung(F.col("status")) < MESSAGE.rung(F.lit("SENT")), F.lit(True)))
+    said = said.join(before.select("id"), "id", "left_semi")
+    sent = before.join(said.filter(F.col("status") == "SENT").select("id", F.col("sent_at").alias("__at")), "id")
+    after = merge(messages, said, ["id"], MESSAGE, take=("error", "failed_at"), fill=("provider_message_id", "sent_at"))
+    after = after.withColumn("error", F.when(~F.col("status").isin("SENT", "DELIVERED", "READ"), F.col("error")))
     steps_due = sequence_next_step(
         sent.filter(F.col("campaign_contact_id").isNotNull()).select(
             F.col("campaign_contact_id").alias("contact_id"), "campaign_id", "step_index", F.col("__at").alias("sent_at")), steps)
-    return {"messages": after.drop("__ok", "__at", "__pid", "__err"), "contacts": c, "conversations": v, "next_steps": steps_due}
+    per_contact = sent.groupBy(F.col("campaign_contact_id").alias("id")).agg(F.max("__at").alias("last_sent_at")).withColumn("status", F.lit("SENT"))
+    c = merge(contacts, per_contact, ["id"], SEQUENCE, last=("last_sent_at",))
+    ended = steps_due.filter("complete").select(F.col("contact_id").alias("id"), F.lit("COMPLETED").alias("status")).distinct()
+    c = merge(c, ended, ["id"], SEQUENCE, fixed.ACTIVE_SEQUENCE)
+    per_conv = sent.groupBy(F.col("conversation_id").alias("id")).agg(F.max("__at").alias("last_message_at"))
+    v = merge(conversations, per_conv, ["id"], last=("last_message_at",))
+    return {"messages": after, "contacts": c, "conversations": v, "next_steps": steps_due}

@@ -10,6 +10,7 @@ from leadlake.functions.columns import present, short_key
 from leadlake.operators.fold import Fold
 from leadlake.operators.intake import owned_ids_check
 from leadlake.operators.rates import EMAIL, RateConfig, send_jitter
+from leadlake.operators.state import MAIL, OUTREACH, merge
 from leadlake.plans.balance import join_hot, top_k
 
 EMAIL_PATTERN = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
@@ -98,16 +99,14 @@ def reply_stats(replies: DataFrame) -> DataFrame:
 def reply_apply(attributed: DataFrame, contacts: DataFrame, messages: DataFrame) -> dict[str, DataFrame]:
     """Contacts replied, the thread noted on their first sent message, one event each.
 
-    The first reply ends a contact, so later ones of the same batch change nothing.
+    The first reply ends a contact, so later ones of this or another batch change nothing.
     """
-    first = attributed.groupBy("contact_id").agg(F.min(F.struct("replied_at", "reply_id", "thread_id")).alias("__r"))
-    c = contacts.join(first.withColumnRenamed("contact_id", "id"), "id", "left")
-    hit = F.col("__r").isNotNull()
-    had = F.coalesce("reply_count", F.lit(0)) if "reply_count" in contacts.columns else F.lit(0)
-    after = c.withColumns({
-        "status": F.when(hit, "REPLIED").otherwise(F.col("status")),
-        "reply_count": had + F.when(hit, 1).otherwise(0), "last_reply_at": F.col("__r.replied_at"),
-        "cancel_reason": F.when(hit, "replied")}).drop("__r")
+    live = contacts.filter(~OUTREACH.final(F.col("status"))).select(F.col("id").alias("contact_id"))
+    first = (attributed.groupBy("contact_id").agg(F.min(F.struct("replied_at", "reply_id", "thread_id")).alias("__r"))
+             .join(live, "contact_id", "left_semi"))
+    said = first.select(F.col("contact_id").alias("id"), F.lit("REPLIED").alias("status"), F.lit(1).alias("reply_count"),
+                        F.col("__r.replied_at").alias("last_reply_at"), F.lit("replied").alias("cancel_reason"))
+    after = merge(contacts, said, ["id"], OUTREACH, take=("cancel_reason",), last=("last_reply_at",), add=("reply_count",))
     first_sent = (messages.filter(F.col("status") == "SENT").groupBy("contact_id")
                   .agg(F.min(F.struct("created_at", "id")).alias("m")).select("contact_id", F.col("m.id").alias("id")))
     noted = first_sent.join(first, "contact_id").select("id", F.col("__r.thread_id").alias("__thread"))
@@ -136,9 +135,8 @@ def followup_plan(contacts: DataFrame, sent: DataFrame) -> DataFrame:
 def followup_cancel(schedule: DataFrame, replies: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scheduled follow-ups that stay, and contacts with the cancel reason stamped."""
     replied = replies.select("contact_id").distinct()
-    stamped = contacts.join(replied.select(F.col("contact_id").alias("id"), F.lit("replied").alias("__why")), "id", "left")
-    return (schedule.join(replied, "contact_id", "left_anti"),
-            stamped.withColumn("cancel_reason", F.col("__why")).drop("__why"))
+    said = replied.select(F.col("contact_id").alias("id"), F.lit("replied").alias("cancel_reason"))
+    return schedule.join(replied, "contact_id", "left_anti"), merge(contacts, said, ["id"], take=("cancel_reason",))
 
 
 def open_fold() -> Fold:
@@ -178,7 +176,7 @@ def outreach_status(contacts: DataFrame, campaigns: DataFrame, messages: DataFra
     n_msgs = messages.groupBy("contact_id").agg(F.count(F.lit(1)).alias("messages"))
     n_events = events.groupBy("contact_id").agg(F.count(F.lit(1)).alias("events"))
     latest = top_k(events.select("contact_id", F.col("id").alias("event_id"), "type", "created_at"), ["contact_id"],
-                   [F.col("created_at").desc(), F.col("event_id").desc()], latest_events, "event_rank", spread=["event_id"])
+                   [F.col("created_at").desc(), F.col("event_id").desc()], latest_events, "event_rank", spread=True)
     zero = F.lit(0).cast("long")
     return (contacts.select(F.col("id").alias("contact_id"), "prospect_id", "campaign_id", "status")
             .join(camp, "campaign_id", "left").join(n_msgs, "contact_id", "left").join(n_events, "contact_id", "left")
@@ -304,23 +302,20 @@ def email_send_gate(messages: DataFrame, contacts: DataFrame, rate: DataFrame, p
 def email_send_apply(results: DataFrame, messages: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
     """Sent mails -> messages, contacts, the two events each and the next follow-up.
 
-    ``results``: message_id, provider_message_id, thread_id, sent_at.
+    ``results``: message_id, provider_message_id, thread_id, sent_at; the first of a message counts. Mails sent before keep
+    their ids and time and bring no second events; contacts that ended stay so.
     """
-    r = results.select(F.col("message_id").alias("id"), F.col("provider_message_id").alias("__pid"),
-                       F.col("thread_id").alias("__th"), F.col("sent_at").alias("__at"))
-    m = messages.join(r, "id", "left").withColumns({
-        "status": F.when(F.col("__at").isNotNull(), "SENT").otherwise(F.col("status")),
-        "provider_message_id": F.col("__pid"), "thread_id": F.coalesce("__th", "thread_id"), "sent_at": F.col("__at"),
-    }).drop("__pid", "__th", "__at")
-    sent = results.join(messages.select(F.col("id").alias("message_id"), "contact_id"), "message_id")
-    last = sent.groupBy("contact_id").agg(F.max("sent_at").alias("__at"))
-    c = contacts.join(last.withColumnRenamed("contact_id", "id"), "id", "left").withColumns({
-        "status": F.when(F.col("__at").isNotNull(), "SENT").otherwise(F.col("status")),
-        "sent_at": F.col("__at")}).drop("__at")
+    once = results.groupBy("message_id").agg(F.min(F.struct("sent_at", "provider_message_id", "thread_id")).alias("r"))
+    news = once.select("message_id", "r.*").join(
+        messages.filter(F.coalesce(F.col("status") != "SENT", F.lit(True))).select(F.col("id").alias("message_id"), "contact_id"), "message_id")
+    said = news.drop("contact_id").withColumnRenamed("message_id", "id").withColumn("status", F.lit("SENT"))
+    m = merge(messages, said, ["id"], MAIL, take=("provider_message_id", "thread_id"), fill=("sent_at",))
+    last = news.groupBy(F.col("contact_id").alias("id")).agg(F.max("sent_at").alias("sent_at")).withColumn("status", F.lit("SENT"))
+    c = merge(contacts, last, ["id"], OUTREACH, last=("sent_at",))
     kinds = F.array(F.struct(F.lit("email_sent").alias("type"), F.lit("sent").alias("status")),
                     F.struct(F.lit("email_delivered_inferred").alias("type"), F.lit("delivered").alias("status")))
-    events = sent.select("contact_id", "message_id", F.col("sent_at").alias("created_at"), F.inline(kinds))
-    return {"messages": m, "contacts": c, "events": events, "followups": followup_plan(c, sent.select("contact_id", "sent_at"))}
+    events = news.select("contact_id", "message_id", F.col("sent_at").alias("created_at"), F.inline(kinds))
+    return {"messages": m, "contacts": c, "events": events, "followups": followup_plan(c, news.select("contact_id", "sent_at"))}
 
 
 def suppression_exclude(recipients: DataFrame, suppression: DataFrame) -> DataFrame:
