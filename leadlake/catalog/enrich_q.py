@@ -55,15 +55,20 @@ def _(fx):
         "cnpj", "legal_name", "state", "cnae")
 
 
-KEYS = """SELECT concat(substr(cnpj, 1, 8), '/', substr(cnpj, 9)) AS cnpj FROM {fx_prospect} p WHERE employees > 300
-UNION ALL SELECT concat('9', substr(cnpj, 2)) FROM {fx_prospect} q WHERE employees > 600"""
+KEYS = """
+SELECT CASE WHEN employees > 300 THEN concat(substr(cnpj, 1, 8), '/', substr(cnpj, 9)) WHEN employees IS NULL THEN substr(cnpj, 3) ELSE concat('77', substr(cnpj, 3)) END AS cnpj FROM {fx_prospect} p
+UNION ALL SELECT CASE WHEN employees > 600 THEN concat('9', substr(cnpj, 2)) ELSE '' END FROM {fx_prospect} q"""
+# The registry with rows that have no whole key, and with second rows of some keys.
+REGISTRY = """
+SELECT cnpj, legal_name, email FROM {fx_registry} a UNION ALL SELECT CASE WHEN email IS NULL THEN '' ELSE substr(cnpj, 3) END, legal_name, email FROM {fx_registry} b
+UNION ALL SELECT concat(substr(cnpj, 1, 8), '/', substr(cnpj, 9)), concat('~', legal_name), NULL FROM {fx_registry} c WHERE cnae < '1020'"""
 
 
 @query("registry_lookup", f"""
 SELECT k.d AS cnpj_digits, r.legal_name, r.email FROM (SELECT DISTINCT regexp_replace(cnpj, '[^0-9]', '', 'g') AS d FROM ({KEYS})) k
 LEFT JOIN {{fx_registry}} r ON r.cnpj = k.d""")
 def _(fx):
-    return E.registry_lookup(fx.sql(KEYS), fx("registry")).select("cnpj_digits", "legal_name", "email")
+    return E.registry_lookup(fx.sql(KEYS), fx.sql(REGISTRY)).select("cnpj_digits", "legal_name", "email")
 
 
 STATUS = "CASE WHEN upper(registration_status) IN ('ATIVA', 'ATIVO', 'ACTIVE') THEN 'ATIVA' ELSE 'BAIXADA' END"

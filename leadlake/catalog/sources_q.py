@@ -170,16 +170,20 @@ CURSORS = "SELECT user_id % 7 AS account_id, CASE WHEN user_id % 7 < 5 THEN cast
 FRESH = f"SELECT m.* FROM ({MAILBOX}) m LEFT JOIN ({CURSORS}) c ON c.account_id = m.account_id WHERE c.last_history_id IS NULL OR m.history_id > c.last_history_id"
 
 
-@query("mailbox_increment", f"""
+MAILBOX_MESSAGES = f"""
 SELECT account_id, history_id, 'added' AS kind, messages->>'$.added[0].message.id' AS message_id FROM ({FRESH}) WHERE messages LIKE '%"added"%'
-UNION ALL SELECT account_id, history_id, 'updated', messages->>'$.updated[0].message.id' FROM ({FRESH}) WHERE messages LIKE '%"updated"%'""")
+UNION ALL SELECT account_id, history_id, 'updated', messages->>'$.updated[0].message.id' FROM ({FRESH}) WHERE messages LIKE '%"updated"%'"""
+MAILBOX_CURSORS = f"""
+SELECT coalesce(c.account_id, f.account_id) AS account_id, greatest(coalesce(c.last_history_id, 0), coalesce(f.h, 0)) AS last_history_id
+FROM ({CURSORS}) c FULL JOIN (SELECT account_id, max(history_id) AS h FROM ({FRESH}) GROUP BY 1) f ON f.account_id = c.account_id"""
+
+
+@query("mailbox_increment", MAILBOX_MESSAGES)
 def _(fx):
     return P.mailbox_increment(fx.sql(MAILBOX), fx.sql(CURSORS))[0]
 
 
-@query("mailbox_cursors", f"""
-SELECT coalesce(c.account_id, f.account_id) AS account_id, greatest(coalesce(c.last_history_id, 0), coalesce(f.h, 0)) AS last_history_id
-FROM ({CURSORS}) c FULL JOIN (SELECT account_id, max(history_id) AS h FROM ({FRESH}) GROUP BY 1) f ON f.account_id = c.account_id""")
+@query("mailbox_cursors", MAILBOX_CURSORS)
 def _(fx):
     return P.mailbox_increment(fx.sql(MAILBOX), fx.sql(CURSORS))[1]
 

@@ -14,9 +14,11 @@ from leadlake.operators import outreach as O
 from leadlake.plans.scratch import new_dir
 from leadlake.sources import payloads as P
 from leadlake.streaming import appliers as A
+from leadlake.streaming import delivery as D
 from leadlake.streaming import readers as R
 
 LEAST_FILES = 6
+ROWS_PER_FILE = 1_000_000
 
 
 def ddl(df) -> str:
@@ -26,7 +28,7 @@ def ddl(df) -> str:
 def stage(df, name: str, order: str | None = None) -> str:
     """Rows as several files; with ``order`` each file covers one range, as a log would."""
     path = new_dir(df.sparkSession, f"stage-{name}")
-    files = max(LEAST_FILES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    files = max(LEAST_FILES, df.count() // ROWS_PER_FILE)
     (df.repartitionByRange(files, order) if order else df.repartition(files)).write.parquet(path)
     return path
 
@@ -76,14 +78,75 @@ def _(fx):
     return A.read_batches(fx.spark, out).select(*cols)
 
 
-@query("enrichment_request_stream", f"SELECT change_id AS event_id, prospect_id, lpad(cast(prospect_id AS string), 14, '0') AS cnpj, changed_at AS requested_at FROM ({enrich_q.ENTRY})")
+# Rows that fail so many times before they are dealt with; above the budget, for good.
+FAILS = "CASE {0} % 7 WHEN 3 THEN 1 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 99 ELSE 0 END"
+
+
+def failing(key: str):
+    """A handler that fails each row as often as its key says."""
+    def handle(rows):
+        fails = F.expr(FAILS.format(key))
+        return rows.withColumn("error", F.when(F.col("attempt") <= fails, F.concat(F.lit("attempt "), F.col("attempt").cast("string"))))
+
+    return handle
+
+
+def redelivered(fx, rows, key: str, name: str):
+    """(done, dead) after the stream and the rounds that follow it."""
+    path, schema, handle = new_dir(fx.spark, f"ledger-{name}"), rows.schema, failing(key)
+    D.deliver(rows, [key], handle, new_dir(fx.spark, f"ck-{name}"), path).awaitTermination()
+    D.redeliver(fx.spark, schema, handle, path)
+    done, dead = D.delivered(fx.spark, schema, path)
+    return done.withColumn("outcome", F.lit("done")).unionByName(dead.withColumn("outcome", F.lit("dead")), allowMissingColumns=True)
+
+
+def delivery_sql(body: str, key: str, cols: str) -> str:
+    fails = FAILS.format(key)
+    return f"""SELECT {cols}, cast(least({fails} + 1, 5) AS int) AS attempt, CASE WHEN {fails} < 5 THEN 'done' ELSE 'dead' END AS outcome,
+  CASE WHEN {fails} >= 5 THEN 'attempt 5' END AS error FROM ({body}) b"""
+
+
+@query("src_enrichment_stream redelivery", delivery_sql(sources_q.GOOD, "raw_id", "raw_id, cnpj, enrichment_version, status"))
+def _(fx):
+    rows = R.read_results(fx.spark, stage(fx.sql(sources_q.RESULT_RAW), "results"), files=2)[0]
+    return redelivered(fx, rows.select("raw_id", "cnpj", "enrichment_version", "status"), "raw_id", "results")
+
+
+@query("src_message_stream redelivery", delivery_sql(
+    f"SELECT event_id, body->>'$.event' AS event, body->>'$.session' AS session FROM ({sources_q.WA_RAW}) w", "event_id", "event_id, event, session"))
+def _(fx):
+    rows = R.read_wa_events(fx.spark, stage(fx.sql(sources_q.WA_RAW), "events"), files=2)
+    return redelivered(fx, rows.select("event_id", "event", "session"), "event_id", "events")
+
+
+KEYED = "SELECT id, concat(' 9', substr(cnpj, 2, 7), '/', substr(cnpj, 9)) AS cnpj, company_name, CASE WHEN id % 3 = 0 THEN ' ' ELSE trade_name END AS trade_name FROM {fx_prospect} p"
+REQUESTS = f"""
+SELECT e.change_id AS event_id, e.prospect_id, regexp_replace(p.cnpj, '[^0-9]', '', 'g') AS cnpj, p.company_name, nullif(trim(p.trade_name), '') AS trade_name, e.changed_at AS requested_at
+FROM ({enrich_q.ENTRY}) e JOIN ({KEYED}) p ON p.id = e.prospect_id"""
+
+
+@query("enrichment_requests", REQUESTS)
+def _(fx):
+    return E.enrichment_requests(E.stage_entry(fx("stage_change")), fx.sql(KEYED)).drop("company_id")
+
+
+@query("enrichment_request_stream", f"""
+SELECT * FROM ({REQUESTS}) UNION ALL SELECT event_id, prospect_id, cnpj, company_name, trade_name, requested_at + INTERVAL 3 MINUTE FROM ({REQUESTS}) WHERE event_id % 4 = 0""")
 def _(fx):
-    requests = E.enrichment_requests(E.stage_entry(fx("stage_change")))
-    again = doubled(requests, "requested_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'")
-    once = A.dedupe_stream(replay(fx, again, "requests", "event_id"), ["event_id"], "2 minutes")
+    """Each request comes again a minute later, some of them three minutes later, files in no order of time.
+
+    The watermark waits for the whole span of the log, so no row is late; a last row beyond it lets all others out.
+    """
+    requests = E.enrichment_requests(E.stage_entry(fx("stage_change")), fx.sql(KEYED))
+    later = lambda m: requests.withColumn("requested_at", F.col("requested_at") + F.make_interval(mins=F.lit(m)))
+    rows = requests.unionByName(requests).unionByName(later(1)).unionByName(later(3).filter("event_id % 4 = 0"))
+    end = requests.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "requested_at": F.lit("2060-01-01 00:00:00").cast("timestamp_ntz")})
+    path = stage(rows, "requests")
+    end.write.mode("append").parquet(path)
+    once = A.dedupe_by_time(R.read_stream(fx.spark, path, ddl(rows), files=3), ["event_id"], "requested_at", "2 MINUTES", "20000 days")
     out = new_dir(fx.spark, "requests")
     A.write_rows(once, new_dir(fx.spark, "ck-requests"), out).awaitTermination()
-    return fx.spark.read.schema(once.schema).parquet(out).select("event_id", "prospect_id", "cnpj", "requested_at")
+    return fx.spark.read.schema(once.schema).parquet(out).drop("company_id")
 
 
 @query("enrichment_apply_stream", enrich_q.APPLY)
@@ -132,12 +195,19 @@ def _(fx):
     return O.first_open(A.read_fold(fx.spark, log, fold), fx("outreach_message"), fx("outreach_contact"), folded=True)
 
 
-@query("mailbox_increment_stream", """
-SELECT account_id, history_id, 'added' AS kind, messages->>'$.added[0].message.id' AS message_id FROM (@) WHERE messages LIKE '%"added"%'
-UNION ALL SELECT account_id, history_id, 'updated', messages->>'$.updated[0].message.id' FROM (@) WHERE messages LIKE '%"updated"%'
-""".replace("@", sources_q.MAILBOX))
+def mailbox(fx):
+    """Changes in no order, some of them in two files, past stored cursors."""
+    changes, cursors = doubled(fx.sql(sources_q.MAILBOX), "history_id % 3 = 0"), fx.sql(sources_q.CURSORS)
+    path = new_dir(fx.spark, "mailbox")
+    A.mailbox_stream(replay(fx, changes, "mailbox"), cursors, new_dir(fx.spark, "ck-mailbox"), path).awaitTermination()
+    return A.read_mailbox(fx.spark, cursors, path)
+
+
+@query("mailbox_increment_stream", sources_q.MAILBOX_MESSAGES)
 def _(fx):
-    stream = P.explode_mailbox(replay(fx, fx.sql(sources_q.MAILBOX), "mailbox", "history_id"))
-    out = new_dir(fx.spark, "mailbox")
-    A.append_batches(stream, new_dir(fx.spark, "ck-mailbox"), out).awaitTermination()
-    return A.read_batches(fx.spark, out)
+    return mailbox(fx)[0]
+
+
+@query("mailbox_cursors_stream", sources_q.MAILBOX_CURSORS)
+def _(fx):
+    return mailbox(fx)[1]

@@ -16,6 +16,12 @@ HOUR = 3_600_000_000
 REGISTRY_FIELDS = ["legal_name", "trade_name", "cnae_description", "city", "state", "email"]
 
 
+def _own_key(prospects: DataFrame) -> Column:
+    """The lead's 14-digit key; a lead without one gets a key of its own, which nothing else has."""
+    own = F.concat(F.lit("!"), F.xxhash64("id" if "id" in prospects.columns else "company_name").cast("string"))
+    return F.when(cnpj_valid("cnpj"), digits("cnpj")).otherwise(own)
+
+
 def _with_registry(prospects: DataFrame, registry: DataFrame) -> DataFrame:
     """Left join on the 14-digit key; registry columns get an ``r_`` prefix.
 
@@ -26,9 +32,7 @@ def _with_registry(prospects: DataFrame, registry: DataFrame) -> DataFrame:
     r = (registry.filter(cnpj_valid("cnpj")).groupBy(digits("cnpj").alias("__key"))
          .agg(F.min(F.struct(*cols)).alias("__r"))
          .select("__key", F.lit(True).alias("__found"), *[F.col(f"__r.{c}").alias(f"r_{c}") for c in cols]))
-    own = F.concat(F.lit("!"), F.xxhash64("id" if "id" in prospects.columns else "company_name").cast("string"))
-    key = F.when(cnpj_valid("cnpj"), digits("cnpj")).otherwise(own)
-    return prospects.withColumn("__key", key).join(r, "__key", "left")
+    return prospects.withColumn("__key", _own_key(prospects)).join(r, "__key", "left")
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -111,8 +115,14 @@ def registry_filter(registry: DataFrame, state: str | None = None, city: str | N
 
 
 def registry_lookup(keys: DataFrame, registry: DataFrame) -> DataFrame:
-    """Requested keys, each with its company where the registry has one."""
-    r = registry.withColumn("cnpj_digits", digits("cnpj")).drop("cnpj")
+    """Requested keys, each with its company where the registry has one.
+
+    A key without 14 digits has none. Registry rows without a whole key match nothing, and of several rows
+    of one key the first in column order counts.
+    """
+    cols = [c for c in registry.columns if c != "cnpj"]
+    r = (registry.filter(cnpj_valid("cnpj")).groupBy(digits("cnpj").alias("cnpj_digits")).agg(F.min(F.struct(*cols)).alias("__r"))
+         .select("cnpj_digits", "__r.*"))
     return keys.select(digits("cnpj").alias("cnpj_digits")).distinct().join(r, "cnpj_digits", "left")
 
 
@@ -159,10 +169,10 @@ def enrichment_latest(results: DataFrame) -> DataFrame:
 
 def enrichment_history(prospects: DataFrame, results: DataFrame) -> DataFrame:
     """Every lead with its results, newest version first; one row per result."""
-    p = prospects.select(F.col("id").alias("prospect_id"), "org_id", digits("cnpj").alias("cnpj"))
-    r = results.select("cnpj", "enrichment_version", F.col("status").alias("result_status"), "commercial_potential",
+    p = prospects.select(F.col("id").alias("prospect_id"), "org_id", _own_key(prospects).alias("__key"), digits("cnpj").alias("cnpj"))
+    r = results.select(F.col("cnpj").alias("__key"), "enrichment_version", F.col("status").alias("result_status"), "commercial_potential",
                        "event_ts", "event_id")
-    return attach_rows(p, r, ["cnpj"]).orderBy(
+    return attach_rows(p, r, ["__key"]).drop("__key").orderBy(
         "org_id", "prospect_id", F.col("enrichment_version").desc_nulls_last(), F.col("event_ts").desc_nulls_last(), "event_id")
 
 
@@ -181,7 +191,7 @@ def enrichment_apply(prospects: DataFrame, results: DataFrame) -> DataFrame:
     Results up to the version a lead already has are left out before anything is chosen.
     """
     seen = F.coalesce(F.col("enrichment_version"), F.lit(0)) if "enrichment_version" in prospects.columns else F.lit(0)
-    p = prospects.withColumns({"__key": digits("cnpj"), "__seen": seen.cast("long")})
+    p = prospects.withColumns({"__key": _own_key(prospects), "__seen": seen.cast("long")})
     kept = _kept_results(results).filter(F.col("status") != "DISCARDED").withColumnRenamed("cnpj", "__key")
     due = kept.join(p.select("__key", "__seen").distinct(), "__key").filter(F.col("enrichment_version") > F.col("__seen"))
     j = p.join(_outcome(due, ["__key", "__seen"]), ["__key", "__seen"], "left")
@@ -202,11 +212,15 @@ def stage_entry(changes: DataFrame, stage: str = "prospect") -> DataFrame:
     return with_prev.filter((F.col("status") == stage) & (F.coalesce("previous", F.lit("")) != stage))
 
 
-def enrichment_requests(entries: DataFrame) -> DataFrame:
-    """Stage entries -> request events with a name-based company id."""
-    cnpj = F.lpad(F.col("prospect_id").cast("string"), 14, "0")
-    return entries.select(
-        F.col("change_id").alias("event_id"), "prospect_id", cnpj.alias("cnpj"), name_uuid(cnpj).alias("company_id"),
+def enrichment_requests(entries: DataFrame, leads: DataFrame) -> DataFrame:
+    """Stage entries of known leads -> request events with the lead's own key and names, and a company id named by the key.
+
+    An unusable key is sent on as it is (its digits), for the worker to refuse.
+    """
+    p = leads.select(F.col("id").alias("prospect_id"), F.coalesce(digits("cnpj"), F.lit("")).alias("cnpj"), present("company_name").alias("company_name"),
+                     present("trade_name").alias("trade_name"))
+    return join_hot(entries, p, ["prospect_id"], "inner").select(
+        F.col("change_id").alias("event_id"), "prospect_id", "cnpj", name_uuid("cnpj").alias("company_id"), "company_name", "trade_name",
         F.col("changed_at").alias("requested_at"))
 
 
