@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.encoders import ChunkCache, PieceCache, text_runs
+from leadlake.llm.encoders import ChunkCache, PieceCache, byte_letters, text_runs
 from leadlake.plans.scratch import cut
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -22,13 +22,6 @@ JOIN_PAIRS = 1 << 21
 FEW = 64
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def byte_level_entries(path: str) -> list[bytes]:
     """Bytes of each id of a byte-level tokenizer file."""
     letters = byte_letters()
@@ -67,9 +60,8 @@ class Pair:
         """Ids of both tokenizers as Arrow lists, one list a text."""
         spaced, out = [b" " + t if t else b"" for t in texts], []
         for cache in (self.a, self.b):
-            ids = cache.encode(spaced)
-            ends = np.cumsum([0, *(len(x) >> 2 for x in ids)], dtype=np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            ids, first = cache.encode(spaced)
+            out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
         return out
 
 
@@ -151,10 +143,10 @@ def linked(a: Side, b: Side, width: int, height: int) -> pa.Table:
     return out[0]
 
 
-def align(pair: Pair, texts: list[bytes]) -> tuple[pa.Table, pa.Table]:
-    """For a run of texts: (n_a, n_b, n_groups, n_links, groups) by text, and (doc, pair, links) of their distinct pairs.
+def align(pair: Pair, texts: list[bytes], keep_groups: bool = False) -> tuple[pa.Table, pa.Table]:
+    """For a run of texts: (n_a, n_b, n_groups, n_links, groups_sha256) by text, and (doc, pair, links) of their distinct pairs.
 
-    ``groups`` spells the ids: ``a1,a2|b1;a3|b2,b3``. A pair is a * (size of B) + b. A text takes part if both tokenizers'
+    The digest is of the ids spelt ``a1,a2|b1;a3|b2,b3``; with ``keep_groups`` there is a column of these, too. A pair is a * (size of B) + b. A text takes part if both tokenizers'
     bytes are a blank and the text.
     """
     a, b = (Side(ids, entries) for ids, entries in zip(pair.encode(texts), pair.entries))
@@ -172,10 +164,13 @@ def align(pair: Pair, texts: list[bytes]) -> tuple[pa.Table, pa.Table]:
     one = pc.binary_join_element_wise(a.spelt(pair.names[0]), b.spelt(pair.names[1]), "|")
     at = np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)
     spelt = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), one), ";")
+    sums = [hashlib.sha256(g.as_buffer()).hexdigest() if n else "" for g, n in zip(spelt, n_groups)]
     n_links = np.zeros(len(texts), np.int64)
     np.add.at(n_links, doc, links)
-    rows = pa.table({"n_a": a.counts.astype(np.int64), "n_b": b.counts.astype(np.int64), "n_groups": n_groups.astype(np.int64), "n_links": n_links, "groups": spelt})
-    return rows, pa.table({"doc": doc, "pair": id_pair, "links": links})
+    rows = pa.table({"n_a": a.counts.astype(np.int64), "n_b": b.counts.astype(np.int64), "n_groups": n_groups.astype(np.int64), "n_links": n_links, "groups_sha256": sums})
+    if keep_groups:
+        rows = rows.append_column("groups", spelt)
+    return rows, pa.table({"doc": doc.astype(np.int32), "pair": id_pair, "links": links})
 
 
 # ---- over Spark -----------------------------------------------------------------------------------
@@ -202,7 +197,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
         pair, unit, row, held, size = Pair.of(a_path, b_path), TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
             for at, texts in text_runs(batch.column(1)):
-                rows, found = align(pair, texts)
+                rows, found = align(pair, texts, keep_groups)
                 held.append((batch.column(0).slice(at, len(texts)), rows, found))
                 size += sum(map(len, texts))
                 if size >= unit_bytes:
@@ -225,10 +220,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             doc, links = found["doc"].to_numpy(), found["links"].to_numpy()
             place = np.searchsorted(pairs, found["pair"].to_numpy())
             order = np.lexsort((place, doc))
-            spelt = rows["groups"].to_pylist()
-            sums = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in spelt])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, unit)), pa.array(np.arange(row, row + n)), ids, *(rows[c].combine_chunks() for c in FIGURES), sums, *[pa.array(spelt)] * keep_groups,
+                [pa.array(np.full(n, unit)), pa.array(np.arange(row, row + n)), ids, *(rows[c].combine_chunks() for c in rows.column_names),
                  lists(doc[order], place[order], n, pa.int32()), lists(doc[order], links[order], n, pa.int64()),
                  pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
             row += n

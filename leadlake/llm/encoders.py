@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZERS = "/opt/tokenizers"
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: What a text counts besides its bytes, so that a run has at most RUN_BYTES / TEXT_BYTES of them.
 TEXT_BYTES = 64
-#: Distinct words a worker remembers before it starts afresh, and the longest that it remembers.
-WORDS, WORD_BYTES = 1 << 19, 128
+#: Longest word that a worker remembers.
+WORD_CHARS = 128
+#: Signs that such tokenizers cut off a letter before them, and the letters.
+TRAILING, LETTERS = set(".,;:!?"), set(string.ascii_letters)
 _caches: dict[tuple, WordCache] = {}
 
 
@@ -24,6 +30,13 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def text_runs(column, limit: int = RUN_BYTES):
     """(first row, texts as bytes) over runs of an Arrow text column of about ``limit`` bytes; null reads as empty."""
     first, held, size = 0, [], 0
@@ -39,11 +52,21 @@ def text_runs(column, limit: int = RUN_BYTES):
 
 
 class WordCache(dict):
-    """Ids of texts whose tokens never cross ASCII white space, which itself gives none: each distinct word is encoded once."""
+    """Ids of texts by a lower-casing tokenizer whose tokens never cross ASCII white space, which itself gives none.
+
+    Each distinct word is encoded once, without the sign that may end it. ASCII letters are lowered beforehand where that
+    changes nothing: not beside combining marks, with which they may compose, nor inside the names of special tokens.
+    """
+
+    #: Distinct words a worker remembers of late, and once more from before.
+    KEPT = 1 << 19
+    #: Words that are one piece to the tokenizer's pattern and that its normaliser leaves alone; they go to its merges at once.
+    ONE = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         super().__init__()
-        self.model = tokenizer(path)
+        self.model, self.old = tokenizer(path), {}
+        self.spelling = {b: c for c, b in byte_letters().items()}
 
     @classmethod
     def of(cls, path: str) -> WordCache:
@@ -52,25 +75,50 @@ class WordCache(dict):
             _caches[cls, path] = cls(path)
         return _caches[cls, path]
 
-    def split(self, text: bytes) -> list:
-        return text.split()
-
-    def look_up(self, words: list) -> list[bytes]:
-        found = self.model.encode_batch_fast([w if isinstance(w, str) else w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def split(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """(words of all texts, index of each text's first word and one more)."""
+        plain = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string(), safe=False))
+        return lists.values, lists.offsets.to_numpy()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as unsigned 32-bit numbers, little-endian."""
-        words = [self.split(t) for t in texts]
-        if len(self) > WORDS:
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of new words; of those that end with a sign behind a letter, the ids of the rest and of the sign."""
+        ends = [w[-1:] in TRAILING and len(w) > 1 and w[-2] in LETTERS for w in words]
+        ask = {w[:-1] if e else w for w, e in zip(words, ends)} | TRAILING
+        ask = [w for w in ask if w not in self and w not in self.old]
+        whole = [w for w in ask if self.ONE.fullmatch(w)]
+        spell, bpe = self.spelling, self.model.model.tokenize
+        new = {w: array("I", [t.id for t in bpe(w.encode().decode("latin-1").translate(spell))]).tobytes() for w in whole}
+        rest = [w for w in ask if w not in new]
+        found = self.model.encode_batch_fast(rest, add_special_tokens=False)
+        new.update(zip(rest, (array("I", e.ids).tobytes() for e in found)))
+        get = lambda w: new[w] if w in new else self[w] if w in self else self.old[w]
+        self.update((w, get(w)) for w in TRAILING)
+        return [get(w[:-1]) + self[w[-1]] if e else get(w) for w, e in zip(words, ends)]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, index of each text's first id and one more)."""
+        words, first = self.split(texts)
+        coded = words.dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self) > self.KEPT:
+            self.old = dict(self)
             self.clear()
-        new = list(set().union(*words).difference(self))
-        self.update(zip(new, self.look_up(new)))
-        out = [b"".join(map(self.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > WORD_BYTES:
-                del self[w]
-        return out
+        ids = list(map(self.get, distinct))
+        new = [k for k, v in enumerate(ids) if v is None]
+        for k in new:
+            ids[k] = self.old.get(distinct[k])
+        unknown = [k for k in new if ids[k] is None]
+        for k, v in zip(unknown, self.look_up([distinct[k] for k in unknown])):
+            ids[k] = v
+        self.update((distinct[k], ids[k]) for k in new if len(distinct[k]) <= WORD_CHARS)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        blob, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[place]
+        upto = np.concatenate(([0], np.cumsum(many)))
+        at = np.repeat(start[place] - upto[:-1], many)
+        at += np.arange(len(at))
+        return blob[at], upto[first]
 
 
 class ChunkCache(WordCache):
@@ -80,6 +128,8 @@ class ChunkCache(WordCache):
     word, and never joins two words; so the chunks below are encoded alone as they are inside the text.
     """
 
+    KEPT = 1 << 17
+    ONE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
     #: White space as the tokenizer's pattern has it.
     WHITE = "\t-\r \x85\xa0  -     　"
     CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
@@ -88,11 +138,12 @@ class ChunkCache(WordCache):
         super().__init__(path)
         self.model.encode_special_tokens = True
 
-    def split(self, text: bytes) -> list[str]:
-        return self.CHUNK.findall(text.decode("utf-8", "replace"))
+    def split(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        found = [self.CHUNK.findall(t.decode("utf-8", "replace")) for t in texts]
+        return pa.array([c for f in found for c in f], pa.string()), np.cumsum([0, *map(len, found)])
 
 
-class PieceCache(WordCache):
+class PieceCache(ChunkCache):
     """Ids of texts by a model whose pieces have blanks at their beginning only (``of`` refuses others).
 
     Such pieces never reach from a word into the blanks behind it, so blanks and the word that follows are encoded alone as
@@ -105,12 +156,9 @@ class PieceCache(WordCache):
         from sentencepiece import SentencePieceProcessor
 
         dict.__init__(self)
-        self.model = SentencePieceProcessor(model_file=path)
+        self.model, self.old = SentencePieceProcessor(model_file=path), {}
         if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
             raise ValueError(f"{path} has pieces with blanks inside")
 
-    def split(self, text: bytes) -> list[str]:
-        return self.CHUNK.findall(text.decode("utf-8", "replace"))
-
     def look_up(self, words: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self.model.encode([w[1:] for w in words], num_threads=1)]
+        return [array("I", x).tobytes() for x in self.model.encode([w[1:] for w in words], num_threads=1)]

@@ -17,6 +17,8 @@ from leadlake.plans.scratch import cut
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
+#: Text bytes encoded at a time.
+RUN_BYTES = 4 << 20
 
 
 # ---- the plan, from counts per length alone -------------------------------------------------------
@@ -145,21 +147,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     def run(batches):
         words, part, seen = WordCache.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at, texts in text_runs(batch.column(1)):
-                ids = words.encode(texts)
+            for at, texts in text_runs(batch.column(1), RUN_BYTES):
+                ids, first = words.encode(texts)
                 rows, out, kept = [], [], []
-                for i, data in enumerate(ids):
-                    data += end
-                    for piece, start in enumerate(range(0, len(data), 4 * capacity)):
-                        one = data[start:start + 4 * capacity]
-                        n = len(one) >> 2
+                for i in range(len(texts)):
+                    data = np.append(ids[first[i]:first[i + 1]], np.uint32(END))
+                    for piece, start in enumerate(range(0, len(data), capacity)):
+                        one = data[start:start + capacity]
+                        n = len(one)
                         rows.append(at + i)
-                        out.append((piece, start >> 2, n, zlib.crc32(one), part, int(seen[n])))
+                        out.append((piece, start, n, zlib.crc32(one), part, int(seen[n])))
                         seen[n] += 1
                         if keep_ids:
-                            kept.append(np.frombuffer(one, "<u4").astype(np.int32))
+                            kept.append(one.astype(np.int32))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *cols, *([pa.array(kept, pa.list_(pa.int32()))] * keep_ids)], names=names)
 
