@@ -11,10 +11,12 @@ from leadlake.catalog.core import query
 from leadlake.operators import enrich as E
 from leadlake.operators import messaging as M
 from leadlake.operators import outreach as O
+from leadlake.operators.rates import EMAIL, MESSAGING, RateConfig
 from leadlake.plans.scratch import new_dir
 from leadlake.sources import payloads as P
 from leadlake.streaming import appliers as A
 from leadlake.streaming import delivery as D
+from leadlake.streaming import limits as L
 from leadlake.streaming import readers as R
 
 LEAST_FILES = 6
@@ -195,6 +197,31 @@ def _(fx):
     return O.first_open(A.read_fold(fx.spark, log, fold), fx("outreach_message"), fx("outreach_contact"), folded=True)
 
 
+def rate_stream(fx, account, cfg: RateConfig):
+    """Sends in no order of time; the watermark waits for the whole log, a last send beyond it lets all others out."""
+    sends = fx.sql(outreach_q.SENDS).withColumn("account_id", account)
+    end = sends.limit(1).withColumns({"send_id": F.lit(-1).cast("long"), "sent_at": F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")})
+    path = stage(sends, "sends")
+    end.write.mode("append").parquet(path)
+    counts = []
+    for key in ["account_id"] + ["recipient_id"] * (cfg.recipient_daily is not None):
+        out, stream = new_dir(fx.spark, f"counts-{key}"), R.read_stream(fx.spark, path, ddl(sends), files=4)
+        rows = L.running_counts(stream, key, cfg.zone, "20000 days")
+        A.write_rows(rows, new_dir(fx.spark, "ck-counts"), out).awaitTermination()
+        counts.append(fx.spark.read.schema(rows.schema).parquet(out))
+    return L.audited(sends, counts[0], counts[1] if len(counts) > 1 else None, cfg).drop("recipient_id", "sent_at")
+
+
+@query("email_rate_audit_stream", outreach_q.audit_sql(EMAIL, "recipient_id"))
+def _(fx):
+    return rate_stream(fx, F.col("recipient_id"), EMAIL)
+
+
+@query("wa_rate_audit_stream", outreach_q.audit_sql(MESSAGING, "recipient_id % 40"))
+def _(fx):
+    return rate_stream(fx, F.col("recipient_id") % 40, MESSAGING)
+
+
 def mailbox(fx):
     """Changes in no order, some of them in two files, past stored cursors."""
     changes, cursors = doubled(fx.sql(sources_q.MAILBOX), "history_id % 3 = 0"), fx.sql(sources_q.CURSORS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.columns import half_up, micros
-from leadlake.plans.balance import DAY, HOT_ROWS, running_before, split_hot
+from leadlake.plans.balance import DAY, running_before
 
 HOUR = 3_600_000_000
 
@@ -39,56 +39,55 @@ def _local_day(t, zone: str):
     return F.floor(_local(t, zone) / F.lit(DAY)).cast("long")
 
 
-def _account_counts(s: DataFrame, hot_rows: int, zone: str) -> DataFrame:
-    """Adds sent_today, sent_last_hour and __prev.
+def _key(c: str):
+    """The key as text with a sign before it, so that rows without one are a group of their own in joins, too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
 
-    Ordinary accounts use windows of one account. Crowded ones use prefixes built over minutes
-    and days; there a send counts into the rolling hour at its instant and out one hour later.
+
+def timed(sends: DataFrame, zone: str) -> DataFrame:
+    """Adds the instant, its local time and local day."""
+    s = sends.withColumn("__t", micros("sent_at"))
+    return s.withColumns({"__local": _local(F.col("__t"), zone), "__day": _local_day(F.col("__t"), zone)})
+
+
+def _account_counts(s: DataFrame, zone: str) -> DataFrame:
+    """Adds sent_today, sent_last_hour and __prev, by prefixes over the minutes and days of each account.
+
+    A send counts into the rolling hour at its instant and out one hour later, so no task sees more than the
+    sends of a minute, the minutes of a day or the days of an account.
     """
-    cold, hot = split_hot(s, ["account_id"], hot_rows)
-    timeline = Window.partitionBy("account_id").orderBy("__t")
-    out = cold.withColumns({
-        "sent_today": F.count(F.lit(1)).over(
-            Window.partitionBy("account_id", "__day").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)),
-        "sent_last_hour": F.count(F.lit(1)).over(timeline.rangeBetween(-HOUR, -1)),
-        "__prev": F.max("__t").over(timeline.rangeBetween(Window.unboundedPreceding, -1))})
-    enter = hot.select("account_id", "__t", "__day", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
+    s = s.withColumn("__account", _key("account_id"))
+    enter = s.select("__account", "__t", "__day", F.lit(1).alias("n"), F.lit(1).alias("hour"), F.lit(True).alias("__real"))
     later = F.col("__t") + F.lit(HOUR)
-    leave = hot.select("account_id", later.alias("__t"), _local_day(later, zone).alias("__day"),
-                       F.lit(0).alias("n"), F.lit(-1).alias("hour"), F.lit(False).alias("__real"))
-    counts = running_before(enter.unionByName(leave), ["account_id"], "__t", "__day", ["n", "hour"], "__real").select(
-        "account_id", "__t", "__day", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
+    leave = s.select("__account", later.alias("__t"), _local_day(later, zone).alias("__day"),
+                     F.lit(0).alias("n"), F.lit(-1).alias("hour"), F.lit(False).alias("__real"))
+    counts = running_before(enter.unionByName(leave), ["__account"], "__t", "__day", ["n", "hour"], "__real").select(
+        "__account", "__t", "__day", F.col("n_in_scope").alias("sent_today"), F.col("hour_before").alias("sent_last_hour"),
         F.col("previous_at").alias("__prev"))
-    return out.unionByName(hot.join(counts, ["account_id", "__t", "__day"]))
+    return s.join(counts, ["__account", "__t", "__day"]).drop("__account")
 
 
-def _recipient_counts(s: DataFrame, hot_rows: int) -> DataFrame:
-    """recipient_today per (recipient, day, instant), from the sends alone."""
-    rows = s.select("recipient_id", "__t", "__day", F.lit(1).alias("n"))
-    cold, hot = split_hot(rows, ["recipient_id"], hot_rows)
-    day = Window.partitionBy("recipient_id", "__day").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    out = cold.groupBy("recipient_id", "__day", "__t").agg(F.sum("n").alias("n")).select(
-        "recipient_id", "__day", "__t", F.coalesce(F.sum("n").over(day), F.lit(0)).alias("recipient_today"))
-    counts = running_before(hot, ["recipient_id"], "__t", "__day", ["n"], across=False)
-    return out.unionByName(counts.withColumnRenamed("n_in_scope", "recipient_today"))
+def _recipient_counts(s: DataFrame) -> DataFrame:
+    """Adds recipient_today; a send without recipient has sent nothing to it before and keeps a key of its own."""
+    nobody = F.concat(F.lit("!"), F.xxhash64("account_id", "__t").cast("string"))
+    s = s.withColumn("__to", F.when(F.col("recipient_id").isNull(), nobody).otherwise(_key("recipient_id")))
+    rows = s.filter(F.col("recipient_id").isNotNull()).select("__to", "__t", "__day", F.lit(1).alias("n"))
+    counts = running_before(rows, ["__to"], "__t", "__day", ["n"], across=False).withColumnRenamed("n_in_scope", "recipient_today")
+    out = s.join(counts, ["__to", "__day", "__t"], "left")
+    return out.withColumn("recipient_today", F.coalesce("recipient_today", F.lit(0).cast("long"))).drop("__to")
 
 
-def rate_audit(sends: DataFrame, cfg: RateConfig, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rate_audit(sends: DataFrame, cfg: RateConfig) -> DataFrame:
     """Earlier sends that local day and hour, gap to the last one, first failing rule, retry delay.
 
-    ``sends``: send_id, account_id, recipient_id, sent_at (UTC).
+    ``sends``: send_id, account_id, recipient_id, sent_at (UTC). Sends without account count as one account's.
     """
-    s = sends.withColumn("__t", micros("sent_at")).withColumn(
-        "__local", _local(F.col("__t"), cfg.zone))
-    s = s.withColumn("__day", _local_day(F.col("__t"), cfg.zone))
-    out = _account_counts(s, hot_rows, cfg.zone)
-    if cfg.recipient_daily is not None:
-        # A send without recipient has sent nothing to it before; a key of its own keeps such sends apart.
-        nobody = F.concat(F.lit("!"), F.xxhash64("account_id", "__t").cast("string"))
-        counts = _recipient_counts(s.filter(F.col("recipient_id").isNotNull()), hot_rows).withColumn(
-            "__to", F.col("recipient_id").cast("string")).drop("recipient_id")
-        out = out.withColumn("__to", F.coalesce(F.col("recipient_id").cast("string"), nobody)).join(counts, ["__to", "__day", "__t"], "left")
-        out = out.withColumn("recipient_today", F.coalesce("recipient_today", F.lit(0).cast("long"))).drop("__to")
+    out = _account_counts(timed(sends, cfg.zone), cfg.zone)
+    return judged(_recipient_counts(out) if cfg.recipient_daily is not None else out, cfg)
+
+
+def judged(out: DataFrame, cfg: RateConfig) -> DataFrame:
+    """Sends with their counts -> first failing rule and retry delay."""
     gap_ms = F.floor((F.col("__t") - F.col("__prev")) / F.lit(1000)).cast("long")
     of_day = F.pmod(F.col("__local"), F.lit(DAY))
     opens, closes = cfg.opens * HOUR, cfg.closes * HOUR

@@ -32,12 +32,6 @@ def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Da
             .select(*keys, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")))
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of crowded ones."""
-    hot = F.broadcast(hot_keys(row_counts(df, keys), keys, hot_rows).select(*keys))
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
 def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, counts: DataFrame,
                  hot_rows: int) -> DataFrame:
     """Join after salting the crowded keys of ``left``.

@@ -102,12 +102,19 @@ def test_near_pairs(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_rate_audit_paths_agree(spark):
+def test_rate_audit_against_plain_counts(spark):
     rng = random.Random(4)
-    rows = [(i, 0 if rng.random() < 0.4 else rng.randrange(1, 6), rng.randrange(0, 9), 1704067200 + rng.randrange(0, 3 * 86400)) for i in range(1500)]
+    rows = [(i, 0 if rng.random() < 0.4 else None if rng.random() < 0.3 else rng.randrange(1, 6), rng.choice([None, *range(9)]), 1704067200 + rng.randrange(0, 3 * 86400))
+            for i in range(900)]
+    rows += [(900 + i, 0, 1, 1704067200 + 60 * i) for i in range(40)] + [(950 + i, None, 2, 1704067200) for i in range(5)]
     s = spark.createDataFrame(rows, "send_id int, account_id int, recipient_id int, e long").select(
         "send_id", "account_id", "recipient_id", F.timestamp_seconds("e").cast("timestamp_ntz").alias("sent_at"))
-    for cfg in (rates.EMAIL, rates.MESSAGING):
-        plain, spread = rates.rate_audit(s, cfg), rates.rate_audit(s, cfg, hot_rows=150)
-        assert plain.count() == len(rows)
-        assert plain.exceptAll(spread.select(plain.columns)).count() == 0
+    got = {r.send_id: r for r in rates.rate_audit(s, rates.MESSAGING).collect()}
+    assert len(got) == len(rows)
+    day = lambda e: (e - 3 * 3600) // 86400
+    for i, a, r, e in rows:
+        before = [x for x in rows if x[1] == a and x[3] < e]
+        assert got[i].sent_today == sum(day(x[3]) == day(e) for x in before)
+        assert got[i].sent_last_hour == sum(x[3] >= e - 3600 for x in before)
+        assert got[i].gap_ms == (1000 * (e - max(x[3] for x in before)) if before else None)
+        assert got[i].recipient_today == (0 if r is None else sum(x[2] == r and x[3] < e and day(x[3]) == day(e) for x in rows))
