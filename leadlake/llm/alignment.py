@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.encoders import ChunkCache, PieceCache, byte_letters, text_runs
+from leadlake.llm.encoders import PairCache, byte_letters, text_runs
 from leadlake.plans.scratch import cut
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -45,8 +45,8 @@ class Pair:
     known: dict[tuple[str, str], Pair] = {}
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ChunkCache(a_path), PieceCache(b_path)
-        self.entries = [pa.array(e, pa.binary()) for e in (byte_level_entries(a_path), piece_entries(self.b.model))]
+        self.cache = PairCache(a_path, b_path)
+        self.entries = [pa.array(e, pa.binary()) for e in (byte_level_entries(a_path), piece_entries(self.cache.pieces))]
         self.names = [pa.array([str(i) for i in range(len(e))]) for e in self.entries]
 
     @classmethod
@@ -58,11 +58,8 @@ class Pair:
 
     def encode(self, texts: list[bytes]) -> list[pa.ListArray]:
         """Ids of both tokenizers as Arrow lists, one list a text."""
-        spaced, out = [b" " + t if t else b"" for t in texts], []
-        for cache in (self.a, self.b):
-            ids, first = cache.encode(spaced)
-            out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
-        return out
+        sides = self.cache.encode([b" " + t if t else b"" for t in texts])
+        return [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))) for ids, first in sides]
 
 
 class Side:

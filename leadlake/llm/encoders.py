@@ -112,53 +112,81 @@ class WordCache(dict):
         for k, v in zip(unknown, self.look_up([distinct[k] for k in unknown])):
             ids[k] = v
         self.update((distinct[k], ids[k]) for k in new if len(distinct[k]) <= WORD_CHARS)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        blob, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        many = sizes[place]
-        upto = np.concatenate(([0], np.cumsum(many)))
-        at = np.repeat(start[place] - upto[:-1], many)
-        at += np.arange(len(at))
-        return blob[at], upto[first]
+        return laid_out(ids, place, first)
 
 
-class ChunkCache(WordCache):
-    """Ids of texts by a byte-level tokenizer that cuts before a blank and between white space and what follows.
+class PairCache(dict):
+    """Ids of texts by a byte-level tokenizer and by a model of pieces, each distinct chunk encoded once by both.
 
-    Such a tokenizer takes one blank with the word behind it, leaves the last sign of a longer run of white space for that
-    word, and never joins two words; so the chunks below are encoded alone as they are inside the text.
+    Texts are cut before a blank that follows something else than white space. The byte-level tokenizer's pattern takes one
+    blank with the word behind it, and of a longer run of white space leaves the last sign to that word, so no pre-token
+    reaches across such a cut. Pieces have blanks at their beginning only (others are refused), so no merge does.
     """
 
-    KEPT = 1 << 17
+    #: Distinct chunks a worker remembers of late, and once more from before.
+    KEPT = 1 << 18
+    #: White space as the pattern has it.
+    WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
+    #: Chunks that are one pre-token.
     ONE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    #: White space as the tokenizer's pattern has it.
-    WHITE = "\t-\r \x85\xa0  -     　"
-    CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.model.encode_special_tokens = True
-
-    def split(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-        found = [self.CHUNK.findall(t.decode("utf-8", "replace")) for t in texts]
-        return pa.array([c for f in found for c in f], pa.string()), np.cumsum([0, *map(len, found)])
-
-
-class PieceCache(ChunkCache):
-    """Ids of texts by a model whose pieces have blanks at their beginning only (``of`` refuses others).
-
-    Such pieces never reach from a word into the blanks behind it, so blanks and the word that follows are encoded alone as
-    inside the text. The model adds the blank before a text; here it stands in the text and is taken off each chunk instead.
-    """
-
-    CHUNK = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")
-
-    def __init__(self, path: str):
+    def __init__(self, byte_level: str, pieces: str):
         from sentencepiece import SentencePieceProcessor
 
-        dict.__init__(self)
-        self.model, self.old = SentencePieceProcessor(model_file=path), {}
-        if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
-            raise ValueError(f"{path} has pieces with blanks inside")
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        return [array("I", x).tobytes() for x in self.model.encode([w[1:] for w in words], num_threads=1)]
+        super().__init__()
+        self.old, self.bytes, self.pieces = {}, tokenizer(byte_level), SentencePieceProcessor(model_file=pieces)
+        self.bytes.encode_special_tokens = True
+        self.spelling = {b: c for c, b in byte_letters().items()}
+        if any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in range(self.pieces.get_piece_size())):
+            raise ValueError(f"{pieces} has pieces with blanks inside")
+
+    def look_up(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        one, bpe, spell = self.ONE.fullmatch, self.bytes.model.tokenize, self.spelling
+        ids = lambda w: array("I", [t.id for t in bpe(w.encode().decode("latin-1").translate(spell))]).tobytes()
+        sign = {c: ids(c) for c in TRAILING}
+        left, rest = [], []
+        for k, c in enumerate(chunks):
+            if one(c):
+                left.append(ids(c))
+            elif c[-1] in TRAILING and one(c[:-1]):
+                left.append(ids(c[:-1]) + sign[c[-1]])
+            else:
+                left.append(b"")
+                rest.append(k)
+        for k, e in zip(rest, self.bytes.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
+            left[k] = array("I", e.ids).tobytes()
+        # The model adds the blank before a text; here it stands there and is taken off. It adds none to nothing.
+        right = [array("I", x if c != " " else [self.pieces.piece_to_id("▁")]).tobytes()
+                 for c, x in zip(chunks, self.pieces.encode([c[1:] for c in chunks], num_threads=1))]
+        return list(zip(left, right))
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side (ids of all texts, index of each text's first id and one more); a text begins with a blank or is empty."""
+        found = [self.CUT.split(t.decode("utf-8", "replace")) if t else [] for t in texts]
+        first = np.cumsum([0, *map(len, found)])
+        coded = pa.array([c for f in found for c in f], pa.string()).dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self) > self.KEPT:
+            self.old = dict(self)
+            self.clear()
+        ids = list(map(self.get, distinct))
+        new = [k for k, v in enumerate(ids) if v is None]
+        for k in new:
+            ids[k] = self.old.get(distinct[k])
+        unknown = [k for k in new if ids[k] is None]
+        for k, v in zip(unknown, self.look_up([distinct[k] for k in unknown])):
+            ids[k] = v
+        self.update((distinct[k], ids[k]) for k in new if len(distinct[k]) <= WORD_CHARS)
+        return [laid_out(x, place, first) for x in (zip(*ids) if ids else ((), ()))]
+
+
+def laid_out(ids: list[bytes], place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words (``place`` into ``ids``) in a row, and where those of the words numbered ``first`` begin."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    blob, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+    many = sizes[place]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    at = np.repeat(start[place] - upto[:-1], many)
+    at += np.arange(len(at))
+    return blob[at], upto[first]

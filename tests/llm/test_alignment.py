@@ -81,7 +81,7 @@ def test_query(spark, models):
 
 
 ODD = [" ", "  two  blanks ", "tab\tand\nline\n\n end \n", "a  b　 c　", "▁ lower block", "été ééé 中文字 \U0001d4d0\U0001f600", "<|endoftext|> <s> </s> <unk>",
-       "x" * 3000, "ab" * 2000, "日本語" * 300, "\x00\x01\x1c\x85 \x0b", "don't 'tis 1234567890 ...!!! ''", "Word, it's. DON'T! a,b.. (x). e.g., Ω. 5! é. 'll. ''s,", "\ufeffbom", "½ ﬁ ①"]
+       "x" * 3000, "ab" * 2000, "日本語" * 300, "\x00\x01\x1c\x85 \x0b", "don't 'tis 1234567890 ...!!! ''", " ", "a ", "  ", "a\n b\n", "Word, it's. DON'T! a,b.. (x). e.g., Ω. 5! é. 'll. ''s,", "\ufeffbom", "½ ﬁ ①"]
 
 
 @pytest.mark.parametrize("unit,join", [(1, 7), (4000, 1 << 21), (1 << 24, 1 << 21)])
@@ -101,7 +101,8 @@ def test_groups_are_kept_on_request(spark, models):
 
 
 def test_chunks_encode_as_whole_texts(models):
-    cache = encoders.ChunkCache(A)
-    ids, first = cache.encode([t.encode() for t in ODD])
-    got = [ids[i:j].tolist() for i, j in zip(first, first[1:])]
-    assert got == [e.ids for e in models[0].encode_batch(ODD, add_special_tokens=False)]
+    texts = [t for t in ODD] + ["a\n  b", "a \n b", "a \t", "x\u3000 y  \u3000 z", "end  ", "end ", "\n\n  lead", "tab\t two"]
+    sides = encoders.PairCache(A, B).encode([b" " + t.encode() for t in texts] + [b""])
+    a, b = ([ids[i:j].tolist() for i, j in zip(first, first[1:])] for ids, first in sides)
+    assert a == [e.ids for e in models[0].encode_batch([" " + t for t in texts], add_special_tokens=False)] + [[]]
+    assert b == models[1].encode(texts) + [[]]
