@@ -121,3 +121,17 @@ w AS (SELECT *, bool_or(sm) OVER (PARTITION BY q, section) AS s_any FROM m)
 SELECT q, section, division, code FROM w WHERE s_any OR (NOT s_any AND (dm OR am))""")
 def _(fx):
     return T.taxonomy_search(fx("tax_query"), cut(T.taxonomy_flatten(fx("tree")), "taxonomy"))
+
+
+@query("taxonomy_match", """
+WITH qs AS (SELECT DISTINCT lower(trim(q)) AS q FROM {fx_tax_query} x), f AS (SELECT * FROM {fx_flat} y),
+n AS (SELECT section, division, code, row_number() OVER (ORDER BY section, division, code) AS place FROM (SELECT DISTINCT section, division, code FROM f)),
+s AS (SELECT section, min(place) AS low, max(place) AS high FROM n GROUP BY 1), d AS (SELECT section, division, min(place) AS low, max(place) AS high FROM n GROUP BY 1, 2),
+m AS (SELECT qs.q, f.section, f.division, f.code, contains(lower(section_name), qs.q) OR contains(lower(section_official), qs.q) OR lower(section) = qs.q AS sm,
+  contains(lower(division_name), qs.q) OR division = qs.q AS dm, contains(lower(activity), qs.q) OR contains(dotted, qs.q) OR contains(code, qs.q) AS am FROM qs CROSS JOIN f),
+w AS (SELECT *, bool_or(sm) OVER (PARTITION BY q, section) AS s_any, bool_or(dm) OVER (PARTITION BY q, section, division) AS d_any FROM m)
+SELECT DISTINCT q, 'section' AS level, section, NULL AS division, NULL AS code, low, high FROM w JOIN s USING (section) WHERE s_any
+UNION ALL SELECT DISTINCT q, 'division', section, division, NULL, low, high FROM w JOIN d USING (section, division) WHERE d_any AND NOT s_any
+UNION ALL SELECT DISTINCT q, 'activity', section, division, code, place, place FROM w JOIN n USING (section, division, code) WHERE am AND NOT s_any AND NOT d_any""")
+def _(fx):
+    return T.taxonomy_match(fx("tax_query"), cut(T.taxonomy_flatten(fx("tree")), "taxonomy"))

@@ -126,13 +126,39 @@ def registry_lookup(keys: DataFrame, registry: DataFrame) -> DataFrame:
     return keys.select(digits("cnpj").alias("cnpj_digits")).distinct().join(r, "cnpj_digits", "left")
 
 
-def registry_stats(registry: DataFrame, exact: bool = False) -> DataFrame:
-    """Companies by state, status and activity with subtotals, and distinct cities."""
+STATS = ["state", "status", "cnae"]
+#: Registers of a distinct-count sketch, as a power of two: its estimates have a relative standard error of about 1.04 / 2 ** 6 = 1.6 %.
+SKETCH_BITS = 12
+
+
+def _stats_rows(registry: DataFrame) -> DataFrame:
     reg = F.upper(F.coalesce("registration_status", F.lit("")))
-    base = registry.select("state", lookup(fixed.REGISTRATION_STATUS, reg, reg).alias("status"), "cnae", "city")
-    distinct = F.countDistinct("city") if exact else F.approx_count_distinct("city")
-    return base.rollup("state", "status", "cnae").agg(
-        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("companies"), distinct.alias("cities"))
+    return registry.select("state", lookup(fixed.REGISTRATION_STATUS, reg, reg).alias("status"), "cnae", "city")
+
+
+def registry_stats(registry: DataFrame, exact: bool = False) -> DataFrame:
+    """Companies by state, status and activity with subtotals, and distinct cities: counted, or estimated from sketches."""
+    if not exact:
+        return registry_stats_report(registry_stats_leaves(registry))
+    return _stats_rows(registry).rollup(*STATS).agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("companies"), F.countDistinct("city").alias("cities"))
+
+
+def registry_stats_leaves(registry: DataFrame) -> DataFrame:
+    """One row per state, status and activity to be stored: companies and a mergeable sketch of their cities (null: none known)."""
+    return _stats_rows(registry).groupBy(*STATS).agg(F.count(F.lit(1)).alias("companies"), F.hll_sketch_agg("city", SKETCH_BITS).alias("cities"))
+
+
+def registry_stats_merge(stored: DataFrame, increment: DataFrame) -> DataFrame:
+    """Stored leaves and those of new companies; the registry itself is not read again."""
+    return stored.unionByName(increment).groupBy(*STATS).agg(F.sum("companies").alias("companies"), F.hll_union_agg("cities").alias("cities"))
+
+
+def registry_stats_report(leaves: DataFrame) -> DataFrame:
+    """Subtotals by union of the sketches; distinct cities within the error of SKETCH_BITS."""
+    return leaves.rollup(*STATS).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("companies").alias("companies"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("cities")), F.lit(0)).cast("long").alias("cities"))
 
 
 def company_name_resolve(names: DataFrame, prospects: DataFrame) -> DataFrame:
