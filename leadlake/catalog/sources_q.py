@@ -1,5 +1,7 @@
 """Payload mapping, routing, exports and stored tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadlake.catalog.core import query, values
@@ -25,6 +27,24 @@ def _(fx):
     return t["prospect"].join(orgs, "org_id", "left").select("id", "cnpj", "status", "revenue_estimate", "opportunity_score", "org_name")
 
 
+def bucketed(fx):
+    """(leads, phones, places of leads in the messaging channel), bucketed by tenant and lead."""
+    root, by, tag = new_dir(fx.spark, "buckets"), ["org_id", "prospect_id"], uuid.uuid4().hex[:8]
+    leads = fx("prospect").withColumnRenamed("id", "prospect_id").select("org_id", "prospect_id", "company_name", "status")
+    state = fx("channel_state").join(fx("prospect").select("org_id", F.col("id").alias("prospect_id")), "prospect_id").select("org_id", "prospect_id", F.col("status").alias("channel_status"))
+    phones = fx("phone").select("org_id", "prospect_id", "pos", "raw_phone")
+    return [T.save_bucketed(df, f"{root}/{n}", f"{n}_{tag}", by, 8) for n, df in (("leads", leads), ("phones", phones), ("state", state))]
+
+
+@query("src_tables bucketed", """
+SELECT p.org_id, p.id AS prospect_id, p.company_name, p.status, f.pos, f.raw_phone, s.status AS channel_status FROM {fx_prospect} p
+LEFT JOIN {fx_phone} f ON f.org_id = p.org_id AND f.prospect_id = p.id LEFT JOIN {fx_channel_state} s ON s.prospect_id = p.id""")
+def _(fx):
+    leads, phones, state = bucketed(fx)
+    by = ["org_id", "prospect_id"]
+    return leads.join(phones.hint("merge"), by, "left").join(state.hint("merge"), by, "left")
+
+
 JSON_COLUMNS = """
 SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"a":1}' WHEN 2 THEN '[]' ELSE concat('["11 ', cast(c_custkey AS string), '","x"]') END AS cnpj_phones,
   CASE c_custkey % 3 WHEN 0 THEN 'oops' WHEN 1 THEN concat('[{"name":"', c_name, '","qualification":"Q"},{"name":"B"}]') END AS cnpj_partners FROM {customer}

@@ -56,3 +56,25 @@ def test_untouched_files_stay(spark, tmp_path):
     gone = spark.createDataFrame([(o, i) for o, i, _, _ in want if o == "org_7"], "org_id string, id long")
     U.delete_from(spark, path, gone, "org_id", 16)
     assert rows(U.read_table(spark, path)) == [r for r in want if r[0] != "org_7"]
+
+
+def test_tenant_joins_need_no_exchange(spark):
+    from leadlake.catalog import QUERIES
+
+    df = QUERIES["src_tables bucketed"](spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin") == 2 and "Exchange" not in text and "Bucketed: true" in text
+
+
+def test_one_bucket_is_read(spark, tmp_path):
+    from leadlake.sources import tables as T
+
+    rows = spark.createDataFrame([(f"org_{i % 5}", i, "x") for i in range(500)], "org_id string, id long, name string")
+    held = T.save_bucketed(rows, str(tmp_path / "t"), "held_rows", ["id"], 16)
+    one = held.filter("org_id = 'org_3' AND id = 33")
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 16" in text and [tuple(r) for r in one.collect()] == [("org_3", 33, "x")]
+    again = T.open_bucketed(spark, rows, str(tmp_path / "t"), "held_again", ["id"], 16)
+    assert again.count() == 500 and "SelectedBucketsCount: 1 out of 16" in again.filter("org_id = 'org_3' AND id = 33")._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE held_again")
+    spark.sql("DROP TABLE held_rows")
