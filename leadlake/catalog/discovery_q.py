@@ -61,10 +61,16 @@ def _(fx):
     return D.candidate_union(*[fx.sql(p) for p in POOLS])
 
 
+POOL = """
+SELECT concat('org_', cast(o_custkey % 20 AS string)) AS org_id, concat(CASE WHEN o_orderstatus = 'O' THEN '0' ELSE '6' END, lpad(cast(o_custkey + o_orderkey % 2 AS string), 13, '0')) AS cnpj,
+  cast(o_orderkey AS int) AS pos FROM {orders}
+"""
+
+
 @query("exclude_existing_leads", f"""
-SELECT x.* FROM ({POOLS[1]}) x WHERE NOT EXISTS (SELECT 1 FROM {{fx_prospect}} p WHERE p.org_id = x.org_id AND p.cnpj = x.cnpj)""")
+SELECT x.* FROM ({POOL}) x WHERE NOT EXISTS (SELECT 1 FROM {{fx_prospect}} p WHERE p.org_id = x.org_id AND p.cnpj = x.cnpj)""")
 def _(fx):
-    return D.exclude_existing_leads(fx.sql(POOLS[1]), fx("prospect"))
+    return D.exclude_existing_leads(fx.sql(POOL), fx("prospect"))
 
 
 # --- places ---------------------------------------------------------------------------------

@@ -113,9 +113,9 @@ def _(fx):
 
 CUSTOMER_ORGS = "SELECT concat('org_', cast(c_custkey AS string)) AS id, c_name AS name FROM {customer}"
 STORED_PROFILE = """
-SELECT concat('org_', cast(c_custkey AS string)) AS org_id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('Cia ', c_name) END AS company_name,
+SELECT concat(CASE WHEN c_acctbal > 0 THEN 'org_' ELSE 'left_' END, cast(c_custkey AS string)) AS org_id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('Cia ', c_name) END AS company_name,
   CASE c_custkey % 2 WHEN 0 THEN '' ELSE 'active,inactive' END AS company_statuses, c_mktsegment AS target_segments, cast(c_custkey % 5 AS int) AS onboarding_step
-FROM {customer} WHERE c_acctbal > 0
+FROM {customer}
 """
 
 
@@ -222,11 +222,11 @@ def _(fx):
 
 # --- keyed writes ---------------------------------------------------------------------------
 
-TARGET = "SELECT org_id, cnpj, company_name, trade_name, opportunity_score FROM {fx_prospect} p WHERE employees IS NOT NULL"
+TARGET = "SELECT org_id, concat(CASE WHEN employees IS NULL THEN '8' ELSE '0' END, substr(cnpj, 2)) AS cnpj, company_name, trade_name, opportunity_score FROM {fx_prospect} p"
 UPDATES = """
-SELECT concat('org_', cast(c_custkey % 20 AS string)) AS org_id, lpad(cast(c_custkey AS string), 14, '0') AS cnpj,
+SELECT concat('org_', cast(c_custkey % 20 AS string)) AS org_id, concat(CASE WHEN c_acctbal > 2000 THEN '0' ELSE '7' END, lpad(cast(c_custkey AS string), 13, '0')) AS cnpj,
   CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('New ', c_name) END AS company_name, 'T' AS trade_name, 7 AS opportunity_score
-FROM {customer} WHERE c_acctbal > 2000
+FROM {customer}
 """
 
 
@@ -257,7 +257,7 @@ query("sink_upsert_keep_first", _upsert_sql(
     f"CASE WHEN {OLD} THEN u.company_name ELSE t.company_name END",
     f"CASE WHEN {OLD} THEN u.opportunity_score ELSE t.opportunity_score END"))(_modes("keep_first"))
 
-MOVE = "SELECT concat('org_', cast(o_custkey % 21 AS string)) AS org_id, o_custkey AS id FROM {orders} WHERE o_orderpriority = '1-URGENT'"
+MOVE = "SELECT concat('org_', cast(o_custkey % 21 AS string)) AS org_id, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE o_custkey + 1000000000 END AS id FROM {orders}"
 
 
 @query("bulk_move", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import fixed
-from leadlake.plans.balance import join_hot, top_k, with_totals
+from leadlake.plans.balance import top_k, with_totals
 
 LIST_COLUMNS = [
     "id", "cnpj", "company_name", "status", "opportunity_score", "revenue_estimate", "employees", "industry", "city",
@@ -47,10 +47,11 @@ def prospect_list_by_score(prospects: DataFrame) -> DataFrame:
 
 def plan_redact(df: DataFrame, orgs: DataFrame, org_col: str = "org_id") -> DataFrame:
     """Null the withheld fields of rows whose tenant is not premium, and say so."""
-    plans = orgs.select(F.col("id").alias(org_col), F.col("plan").alias("__plan"))
-    premium = F.coalesce(F.col("__plan") == "premium", F.lit(False))
+    # A plain join: Spark sends a small list of tenants to every task by its size, and splits crowded tenants otherwise.
+    plans = orgs.filter(F.col("plan") == "premium").select(F.col("id").alias(org_col), F.lit(True).alias("__plan"))
+    premium = F.coalesce("__plan", F.lit(False))
     hidden = {c: F.when(F.col("__premium"), F.col(c)) for c in fixed.RESTRICTED_FIELDS if c in df.columns}
-    return (join_hot(df, plans, [org_col]).withColumn("__premium", premium)
+    return (df.join(plans, org_col, "left").withColumn("__premium", premium)
             .withColumns({**hidden, "data_restricted": ~F.col("__premium")})
             .drop("__plan", "__premium"))
 

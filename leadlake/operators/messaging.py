@@ -10,11 +10,10 @@ from leadlake.functions.columns import is_opt_out, lookup, phone_normalise, phon
 from leadlake.operators.fold import Fold
 from leadlake.operators.outreach import campaign_stagger
 from leadlake.operators.state import MESSAGE, SEQUENCE, merge
-from leadlake.plans.balance import first_row, join_hot, running_number
+from leadlake.plans.balance import first_row, join_hot
 from leadlake.sources.upsert import upsert
 
 CHANNEL = "whatsapp"
-STEP_BLOCK = 1024
 
 
 # --- recoding, matching and text ------------------------------------------------------------
@@ -307,11 +306,9 @@ def automation_stop(handoffs: DataFrame, contacts: DataFrame, reason: str = "rep
 
 # --- campaigns and sequences ----------------------------------------------------------------
 
-def numbered_steps(steps: DataFrame) -> DataFrame:
-    """Steps with their 0-based place in the campaign's order."""
-    block = F.floor(F.col("order_index") / F.lit(STEP_BLOCK))
-    return running_number(steps, ["campaign_id"], ["order_index"], "__no", block).withColumn(
-        "step_index", (F.col("__no") - 1).cast("int")).drop("__no")
+def step_lists(steps: DataFrame) -> DataFrame:
+    """One row per campaign with its steps in order; a campaign has few, so its list travels beside its account."""
+    return steps.groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "message_template", "delay_minutes"))).alias("__list"))
 
 
 def campaign_list(campaigns: DataFrame, steps: DataFrame, accounts: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -398,15 +395,13 @@ def sequence_decide(due: DataFrame, contacts: DataFrame, campaigns: DataFrame, p
     a = accounts.select(F.col("id").alias("wa_account_id"), F.col("status").alias("__ac"))
     p = prospects.select(F.col("id").alias("prospect_id"), "company_name", "trade_name", "city", "industry", "partner_name",
                          "partner_role", F.lit(True).alias("__lead"))
-    s = numbered_steps(steps).select("campaign_id", "step_index", "message_template")
-    n = steps.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("__steps"))
     done = messages.select(F.col("campaign_contact_id").alias("contact_id"), "step_index", F.lit(True).alias("__done")).distinct()
     r = rate.select("contact_id", F.col("allowed").alias("__ok"), "retry_ms")
-    tenant = k.join(a, "wa_account_id", "left").join(n, "campaign_id", "left")
+    tenant = k.join(a, "wa_account_id", "left").join(step_lists(steps), "campaign_id", "left")
     j = due.join(c, "contact_id", "left").join(done, ["contact_id", "step_index"], "left").join(r, "contact_id", "left")
     crowd = contacts.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("__n"))
-    j = (join_hot(j, tenant, ["campaign_id"], counts=crowd).join(s, ["campaign_id", "step_index"], "left")
-         .join(p, "prospect_id", "left"))
+    j = join_hot(j, tenant, ["campaign_id"], counts=crowd).join(p, "prospect_id", "left").withColumns({
+        "__steps": F.coalesce(F.size("__list"), F.lit(0)), "message_template": F.get("__list", F.col("step_index"))["message_template"]}).drop("__list")
     j = contactable(j, state, "prospect_id")
     j = j.withColumns({"content": render(F.col("message_template"), _lead_values(), longest), "phone": phone_normalise("phone_number")})
 
@@ -425,7 +420,7 @@ def sequence_decide(due: DataFrame, contacts: DataFrame, campaigns: DataFrame, p
         .when(ct.isin(fixed.TERMINAL_SEQUENCE), outcome(F.concat(F.lit("contact_"), ct)))
         .when(~F.col("contactable"), outcome("do_not_contact", "CANCELLED", "do_not_contact"))
         .when(F.coalesce("__ac", F.lit("")) != "CONNECTED", outcome("account_not_connected"))
-        .when(F.col("step_index") >= F.coalesce("__steps", F.lit(0)), outcome("completed", "COMPLETED"))
+        .when(F.col("step_index") >= F.col("__steps"), outcome("completed", "COMPLETED"))
         .when(F.col("phone").isNull(), outcome("no_phone", "CANCELLED", "no_phone"))
         .when(F.col("__done"), outcome("already_exists"))
         .when(~F.coalesce("__ok", F.lit(True)), outcome("rate_limited", wait=F.col("retry_ms")))
@@ -466,9 +461,9 @@ def sequence_next_step(sent: DataFrame, steps: DataFrame) -> DataFrame:
 
     ``sent``: contact_id, campaign_id, step_index, sent_at.
     """
-    nxt = numbered_steps(steps).select("campaign_id", (F.col("step_index") - 1).alias("step_index"), "delay_minutes")
+    j = join_hot(sent, step_lists(steps), ["campaign_id"]).withColumn("__next", F.get("__list", F.col("step_index") + 1))
+    j = j.withColumns({"__more": F.col("__next").isNotNull(), "delay_minutes": F.col("__next.delay_minutes")})
     wait = F.greatest(F.lit(1), F.coalesce("delay_minutes", F.lit(0)) * 60)
-    j = sent.join(nxt.withColumn("__more", F.lit(True)), ["campaign_id", "step_index"], "left")
     more = F.coalesce("__more", F.lit(False))
     return j.select(
         "contact_id", "campaign_id", "step_index", F.when(more, F.col("step_index") + 1).alias("next_step_index"),
