@@ -83,3 +83,18 @@ ACTIVE_SEQUENCE = ["QUEUED", "SENDING", "SENT"]
 OPENABLE = ["SENT", "SCHEDULED", "DELIVERED_INFERRED", "OPENED_INFERRED"]
 FOLLOWUP_DAYS = [3, 5, 7]
 MAX_EMAILS = 4
+
+# Texts of the outreach e-mail.
+MAIL_SUBJECT = "Uma oportunidade para "
+MAIL_GREETING = "Olá,"
+MAIL_HOPE = "Espero que esteja bem!"
+MAIL_KNOWN = "Conheço a "
+MAIL_SEGMENT = " e sei que empresas do segmento "
+MAIL_NO_SEGMENT = "de negócios"
+MAIL_CLAIM = " costumam enfrentar desafios na identificação de oportunidades."
+MAIL_HELP = "Nossa plataforma de inteligência de dados ajuda times comerciais a "
+MAIL_PROPOSITION = "encontrar e qualificar leads com mais eficiência"
+MAIL_ASK = "Gostaria de agendar uma conversa rápida de 15 min para apresentar como funciona?"
+MAIL_CLOSE, MAIL_CLOSE_HTML = "Abs.,", "Abraços,"
+MAIL_SENDER = "Equipe comercial"
+MAIL_FACTS = ["Referência a ", "Segmento: ", "geral"]

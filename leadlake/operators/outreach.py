@@ -21,33 +21,30 @@ def _is_terminal(c="status") -> Column:
     return F.col(c).isin(fixed.TERMINAL_OUTREACH)
 
 
-def email_draft_render(leads: DataFrame, settings: DataFrame | None = None, sender: str = "Equipe comercial",
+def email_draft_render(leads: DataFrame, settings: DataFrame | None = None, sender: str = fixed.MAIL_SENDER,
                        pixel_base: str = "https://example.com/t/o/") -> DataFrame:
     """Deterministic e-mail per lead; ``leads`` carries contact_id and sequence for the token."""
-    vp_default = F.lit("encontrar e qualificar leads com mais eficiência")
+    vp = F.lit(fixed.MAIL_PROPOSITION)
     if settings is not None:
         leads = leads.join(settings.select("org_id", F.col("value_proposition").alias("__vp")), "org_id", "left")
-        vp = F.coalesce(present("__vp"), vp_default)
-    else:
-        vp = vp_default
-    name, segment = F.coalesce("company_name", F.lit("")), F.coalesce(present("industry"), F.lit("de negócios"))
+        vp = F.coalesce(present("__vp"), vp)
+    name, segment = F.coalesce("company_name", F.lit("")), F.coalesce(present("industry"), F.lit(fixed.MAIL_NO_SEGMENT))
     token = short_key("contact_id", "sequence")
-    ask = "Gostaria de agendar uma conversa rápida de 15 min para apresentar como funciona?"
-    claim = " costumam enfrentar desafios na identificação de oportunidades."
-    help_ = "Nossa plataforma de inteligência de dados ajuda times comerciais a "
-    body = F.concat(
-        F.lit("Olá,\n\nEspero que esteja bem!\n\nConheço a "), name, F.lit(" e sei que empresas do segmento "), segment,
-        F.lit(claim + "\n\n" + help_), vp, F.lit(f".\n\n{ask}\n\nAbs.,\n{sender}"))
-    html = F.concat(
-        F.lit("<p>Olá,</p><p>Espero que esteja bem!</p><p>Conheço a <strong>"), name,
-        F.lit("</strong> e sei que empresas do segmento <em>"), segment, F.lit(f"</em>{claim}</p><p>{help_}"), vp,
-        F.lit(f".</p><p>{ask}</p><p>Abraços,<br/>{sender}</p><img src=\"{pixel_base}"), token,
-        F.lit('.gif" width="1" height="1" alt="" />'))
+
+    def text(gap, known, about, close, end=""):
+        """The paragraphs with ``gap`` between them; ``known`` and ``about`` hold the name and the segment."""
+        return F.concat(F.lit(f"{fixed.MAIL_GREETING}{gap}{fixed.MAIL_HOPE}{gap}{fixed.MAIL_KNOWN}"), known, F.lit(fixed.MAIL_SEGMENT), about,
+                        F.lit(fixed.MAIL_CLAIM + gap + fixed.MAIL_HELP), vp,
+                        F.lit(f".{gap}{fixed.MAIL_ASK}{gap}{close}{sender}{end}"))
+
+    body = text("\n\n", name, segment, f"{fixed.MAIL_CLOSE}\n")
+    strong, em = F.concat(F.lit("<strong>"), name, F.lit("</strong>")), F.concat(F.lit("<em>"), segment, F.lit("</em>"))
+    html = F.concat(F.lit("<p>"), text("</p><p>", strong, em, f"{fixed.MAIL_CLOSE_HTML}<br/>", "</p>"), F.lit(f'<img src="{pixel_base}'), token,
+                    F.lit('.gif" width="1" height="1" alt="" />'))
+    about, segments, general = fixed.MAIL_FACTS
     return leads.withColumns({
-        "subject": F.concat(F.lit("Uma oportunidade para "), name), "body": body, "html_body": html,
-        "tracking_token": token,
-        "reasoning_facts": F.array(F.concat(F.lit("Referência a "), name),
-                                   F.concat(F.lit("Segmento: "), F.coalesce(present("industry"), F.lit("geral")))),
+        "subject": F.concat(F.lit(fixed.MAIL_SUBJECT), name), "body": body, "html_body": html, "tracking_token": token,
+        "reasoning_facts": F.array(F.concat(F.lit(about), name), F.concat(F.lit(segments), F.coalesce(present("industry"), F.lit(general)))),
     }).drop("__vp")
 
 
