@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm.common import U64, components, gram_hashes, mix, shuffle_parts, spans, stream, text_bytes, text_slices, units_for, within, word_hashes
-from leadlake.plans.scratch import cut
+from leadlake.plans.scratch import cut, drop
 
 SHINGLE = 3
 #: Two sets link at a similarity of SIMILAR / 100 or more.
@@ -44,8 +44,17 @@ def bands(sizes: np.ndarray, similar: int) -> np.ndarray:
 
 
 def segments(band: np.ndarray | int, similar: int):
-    """One more than the largest symmetric difference two linked sets of a band can have."""
-    return most_apart(2 * _EDGES[similar][band], similar) + 1
+    """More than the largest symmetric difference two linked sets of a band can have: one more, and spare ones."""
+    apart = most_apart(2 * _EDGES[similar][band], similar)
+    return apart + 1 + spare(apart)
+
+
+def spare(apart):
+    """How many segments a set may leave empty without sending keys for them.
+
+    Linked sets agree in more segments than that, so in one that is not empty.
+    """
+    return 2 + apart // 20
 
 
 def most_apart(both, similar: int):
@@ -95,11 +104,16 @@ def sketch(grams: np.ndarray, parts: np.ndarray | int) -> tuple[np.ndarray, np.n
 
 
 def _signatures(s: _Sets, similar: int, sids: np.ndarray, new: np.ndarray, next_band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set) for each segment of the sketches for the sets' own band or the next one."""
+    """(key, set) for each segment of the sketches for the sets' own band or the next one.
+
+    The key holds the segment's parity bits and the XOR of the whole hashes of its shingles, so segments of unlike sets
+    hardly ever meet. Empty segments, which would, are sent only by sets that have more than the spare ones.
+    """
     some = np.flatnonzero((s.sizes > 0) & new)
     band = bands(s.sizes[some], similar) + next_band
     parts = segments(band, similar)
-    some, band, parts = some[parts > 1], band[parts > 1], parts[parts > 1]
+    apart = most_apart(2 * _EDGES[similar][band], similar)
+    some, band, parts, apart = some[apart > 0], band[apart > 0], parts[apart > 0], apart[apart > 0]  # others link with equal sets only
     if not len(some):
         return np.empty(0, U64), np.empty(0, np.int64)
     count = np.zeros(len(s.sizes), np.int64)
@@ -107,11 +121,16 @@ def _signatures(s: _Sets, similar: int, sids: np.ndarray, new: np.ndarray, next_
     base = np.concatenate(([0], np.cumsum(count)))
     use = count[s.rows] > 0
     seg, bit = sketch(s.grams[use], count[s.rows[use]])
-    words = np.zeros(base[-1], U64)
-    np.bitwise_xor.at(words, base[s.rows[use]] + seg, bit)
+    at = base[s.rows[use]] + seg
+    words, whole, held = np.zeros(base[-1], U64), np.zeros(base[-1], U64), np.zeros(base[-1], bool)
+    np.bitwise_xor.at(words, at, bit)
+    np.bitwise_xor.at(whole, at, mix(s.grams[use] + stream(1, 53)[0]))
+    held[at] = True
     place = np.arange(base[-1]) - np.repeat(base[some], parts)
     salt = mix(np.repeat(band, parts).astype(U64) * U64(1 << 32) + place.astype(U64))
-    return mix(words ^ salt), np.repeat(sids[some] | next_band, parts)
+    empty = np.add.reduceat((~held).astype(np.int64), base[some])
+    send = held | np.repeat(empty > spare(apart), parts)
+    return mix(mix(words ^ salt) + whole)[send], np.repeat(sids[some] | next_band, parts)[send]
 
 
 def fold(grams: np.ndarray, band: int, similar: int) -> bytes:
@@ -379,6 +398,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = cut(small, "pairs")
     packs = shuffle_parts(spark)
     members = cut(_members(found.filter("kind = 'key'")), "members")
+    drop(found)
 
     wanted = small.select(F.col("a").alias("sid")).union(small.select(F.col("b").alias("sid"))).union(members.select("sid")).distinct()
     chosen = classes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -402,16 +422,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = cut(kept.mapInArrow(load, "sid long, n long, grams binary, fold0 binary, fold1 binary"), "grams")
     folds = sets.select("sid", "n", "fold0", "fold1")
     near = cut(_close(small, folds, similar), "near")
+    drop(small)
 
     pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
+    listed = members
     members = members.join(folds.hint("merge"), "sid").select(pack.alias("pack"), "key", "unit", "sid", "n", F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold"))
     members = cut(members, "crowded")
+    drop(listed)
     offered = cut(_edges_in(members, None, similar, 0), "forest")
     pairs = near.unionByName(offered.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     # Every set with a partner within the bound is in the first forest, so later turns need no other sets.
-    sets = cut(sets.select("sid", "grams").join(wanted.hint("merge"), "sid", "left_semi"), "verified")
+    loaded, sets = sets, cut(sets.select("sid", "grams").join(wanted.hint("merge"), "sid", "left_semi"), "verified")
+    drop(loaded)
     links = cut(_verify(pairs.distinct(), sets, similar), "links")
+    drop(near)
     tested = offered.join(links, ["a", "b"]).withColumn("pack", pack)
     links = links.filter("linked").select("a", "b")
     known, turn = None, 0
@@ -440,9 +465,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each shingle flips one bit of a parity sketch, so sketches differ in at most as many bits as sets
     differ in shingles. Sizes fall into bands such that linked sets lie in one band or in neighbours;
-    a set takes part in its own band and the next. There its sketch has d + 1 segments of 64 bits, d
-    taken at the largest sizes, so two linked sets agree in one whole segment (pigeonhole): the hash
-    of band, place and segment is the join key. Up to 8 sets of one key name all their pairs, and pairs
+    a set takes part in its own band and the next. There its sketch has d + 1 segments of 64 bits and a
+    few spare ones, d taken at the largest sizes, so two linked sets agree in whole segments (pigeonhole), of
+    which one at least is not empty, or both sets have more empty ones than spare: the hash of band, place,
+    segment and the XOR of its shingles' hashes is the join key. Up to 8 sets of one key name all their pairs, and pairs
     whose folded sketches are too far apart fall out. The sets of a more crowded key meet in blocks of
     at most 1,024, where of the pairs within the bound a spanning forest is offered. Every offered pair
     is verified on the exact sets; where one fails, its block offers further pairs until none is left
