@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlake.plans.balance import join_hot
 from leadlake.plans.scratch import cut
 
 #: Fewest tokens of an item -> types in its template windows, a third of them at most; and the fewest words an item must have.
@@ -14,8 +15,8 @@ FEWEST = 6
 WINDOW = 8
 #: Share of an item's tokens that must agree with the document.
 AGREE = 0.5
-#: Template windows of the benchmark that are broadcast, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bits of the sieve that tells which neighbouring types may stand in an item; a power of two.
+SIEVE = 1 << 19
 BLANK = r"\x20\x09-\x0D"
 #: Behind a token's type; between the words of one value; before a word that begins a sentence; behind a name while marking.
 MARK, JOIN, START, END = "\x01", "\x02", "\x03", "\x04"
@@ -34,12 +35,14 @@ def marked(text: Column) -> Column:
     within a sentence; a number is digits with separators inside and the unit behind it, spaced or not. The
     rest is lower-cased and loses its signs.
     """
-    out = F.regexp_replace(text, f"[{MARK}-{END}]+", "")
+    out = text
+    for sign in (MARK, JOIN, START, END):
+        out = F.replace(out, F.lit(sign), F.lit(""))
     out = F.regexp_replace(out, rf"(^[{BLANK}]*|[.!?:][^\p{{L}}\p{{N}}{BLANK}]*[{BLANK}]+)(?=\p{{Lu}}\p{{Ll}})", f"$1{START}")
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{BLANK}.,:/%{START}]+", "")
     out = F.regexp_replace(out, rf"{START}?\p{{Lu}}\p{{Ll}}+", f"<name>{MARK}$0{END}")
     out = F.regexp_replace(out, rf"{END}[{BLANK}]*<name>{MARK}(?!{START})", JOIN)
-    out = F.regexp_replace(out, END, "")
+    out = F.replace(out, F.lit(END), F.lit(""))
     out = F.regexp_replace(out, rf"[.,:/%]+([{BLANK}]|$)", "$1")
     out = F.regexp_replace(out, rf"(^|[{BLANK}])[.,:/%]+", "$1")
     out = F.regexp_replace(out, r"[0-9](?:[0-9.,:/]*[0-9])?", f"<num>{MARK}$0")
@@ -57,22 +60,48 @@ def _hashes(types: Column) -> Column:
     return F.transform(types, lambda t: F.xxhash64(t))
 
 
-def _places(hashes: Column, width: Column | int) -> Column:
-    """(at, hash) of each window of ``width`` types."""
-    width = F.lit(width) if isinstance(width, int) else width
-    last = F.size(hashes) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(width, F.slice(hashes, i + 1, width)).alias("hash")))
+def _neighbours(hashes: Column) -> Column:
+    """A hash of each type and the one behind it."""
+    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + 1)))
+
+
+def _alone(hash_: Column) -> Column:
+    """The same for items of one token."""
+    return F.xxhash64(hash_, F.lit("alone"))
+
+
+def _anchored(keys: DataFrame) -> DataFrame:
+    """Item windows (item, i_at, w, hashes, plain) with the pair of neighbouring types by which documents are searched.
+
+    The pair is the rarest of the window: with fewest placeholders, then in fewest windows, then by its hash.
+    """
+    own = F.when(F.col("w") > 1, F.transform(F.slice(_neighbours(F.col("hashes")), 1, F.greatest(F.col("w") - 1, F.lit(1))), lambda p, k: F.struct(
+        (F.get("plain", k) + F.get("plain", k + 1)).alias("holders"), k.alias("k"), p.alias("pair")))).otherwise(
+        F.array(F.struct(F.get("plain", F.lit(0)).alias("holders"), F.lit(0).alias("k"), _alone(F.get("hashes", F.lit(0))).alias("pair"))))
+    rows = keys.select("item", "i_at", "w", F.xxhash64("w", "hashes").alias("hash"), F.explode(own).alias("p")).select("*", "p.*").drop("p")
+    used = rows.groupBy("pair").agg(F.count("*").alias("used"))
+    best = rows.join(used, "pair").groupBy("item", "i_at", "w", "hash").agg(F.min(F.struct("holders", "used", "pair", "k")).alias("p"))
+    return best.select("item", "i_at", "w", "hash", "p.pair", "p.k")
+
+
+def _sieve(keys: DataFrame) -> Column:
+    """The pairs of ``keys`` as a bit set of fixed size: an array of SIEVE / 32 numbers, whatever the benchmark."""
+    at = F.col("pair").bitwiseAND(SIEVE - 1)
+    words = keys.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pair & 31 AS int))")).alias("bits"))
+    bits = {r.word: r.bits for r in words.collect()}  # at most SIEVE / 32 rows
+    return F.expr(f"array({', '.join(f'{bits.get(k, 0)}L' for k in range(SIEVE >> 5))})")
 
 
 def _agreeing() -> Column:
     """(i, d, edge, firm) for each item token that agrees with the document along ``at`` or another alignment of ``near``.
 
+    ``tokens`` are those of the document from ``low`` on, as many as any of the alignments reaches.
+
     Along another alignment a token agrees only beside one that does too. A token is ``firm`` if both beside it
     agree or are outside the item or the document. ``edge`` is -1 for the item's first token and 1 for its last.
     """
     n, at = F.col("n_tokens"), F.col("at")
-    i, d = (lambda j: F.get("i_tokens", j)), (lambda s, j: F.get("tokens", s + j))
+    i, d = (lambda j: F.get("i_tokens", j)), (lambda s, j: F.get("tokens", s + j - F.col("low")))
     same = lambda s, j: F.coalesce(_type(i(j)) == _type(d(s, j)), F.lit(False))
     fits = lambda s, j: (j < 0) | (j >= n) | d(s, j).isNull() | same(s, j)
 
@@ -100,14 +129,15 @@ def _slots(x: Column) -> Column:
     return F.when(~i.startswith("<"), F.array().cast("array<struct<i:string,d:string,firm:boolean>>")).when(alike, each).otherwise(whole)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE, fewest: int = FEWEST) -> DataFrame:
     """(doc_id, item_id, at, n_tokens, n_agree, n_slots, n_changed, row): one row per document row and item found in it.
 
     Texts become templates (:func:`marked`). An item of n tokens has windows of 8 types (5 below 24
     tokens, 3 below 15) at every token, of which those about half of words are taken, or all if there are
     none; a document has windows at every token, so an item standing in it whole, or from 9 tokens in
     thirds with words between, is met.
-    Windows meet by hash; each hit fixes an alignment, and the item's tokens are compared along it and
+    Each item window is searched by its rarest pair of neighbouring types: a sieve of fixed size leaves the places of a
+    document where such a pair may stand, and only there windows are built. Windows meet by hash; each hit fixes an alignment, and the item's tokens are compared along it and
     along those within n / 2 tokens of it, the nearest first, so that agreement before and behind inserted or left-out words
     adds up. A leak needs ``agree`` of the tokens equal in type and word, of which as many as half a window
     of min(8, (n + 1) / 2) tokens are words or values that did not change. Slots must be consistent: each
@@ -117,48 +147,70 @@ def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFr
     0, the question was re-parameterised. Of several alignments the one with most agreement counts, then
     the first.
 
-    Items of fewer than FEWEST words are not looked for. Null and empty texts hold nothing. ``row`` hashes
+    Items of less than ``fewest`` words are not looked for. Null and empty texts hold nothing. ``row`` is a 128-bit digest of
     id and text, so rows with a null or a repeated id are told apart; equal rows are found alike, once.
-    Null item ids are kept. Other columns are not looked at. Benchmark windows are broadcast if counted to
-    be at most BROADCAST_ROWS.
+    Null item ids are kept. Other columns are not looked at.
     """
     items = benchmark.select("item_id", marked(F.col("text")).alias("i_tokens"), F.xxhash64("item_id", "text").alias("item")).dropDuplicates(["item"])
     words = F.size(F.flatten(F.transform("i_tokens", lambda t: F.split(t, JOIN))))
-    items = items.withColumn("n_tokens", F.size("i_tokens")).filter(words >= FEWEST)
+    items = items.withColumn("n_tokens", F.size("i_tokens")).filter(words >= fewest)
     width = F.lit(WIDTHS[0])
     for least in sorted(WIDTHS)[1:]:
         width = F.when(F.col("n_tokens") >= least, WIDTHS[least]).otherwise(width)
     items = cut(items.withColumn("w", F.least("n_tokens", width)), "items")
-    cuts = items.select("item", "w", F.transform("i_tokens", _type).alias("types"))
-    cuts = cuts.select("item", "w", "types", F.explode(_places(_hashes(F.col("types")), F.col("w"))).alias("x"))
-    some = F.size(F.filter(F.slice("types", F.col("x.at") + 1, F.col("w")), lambda t: ~t.startswith("<"))) * 2 >= F.col("w") - 1
-    keys = cut(cuts.select("item", "w", F.col("x.at").alias("i_at"), "x.hash", some.alias("some")), "item-windows")
+    cuts = items.select("item", "w", F.transform("i_tokens", _type).alias("types")).withColumn("hashes", _hashes(F.col("types")))
+    cuts = cuts.select("item", "w", F.transform("types", lambda t: t.startswith("<").cast("int")).alias("plain"), "hashes",
+                       F.explode(F.sequence(F.lit(0), F.size("types") - F.col("w"))).alias("i_at"))
+    part = lambda c: F.slice(c, F.col("i_at") + 1, F.col("w"))
+    cuts = cuts.select("item", "w", "i_at", part("plain").alias("plain"), part("hashes").alias("hashes"))
+    some = (F.col("w") - F.aggregate("plain", F.lit(0), lambda a, x: a + x)) * 2 >= F.col("w") - 1
+    keys = cut(cuts.withColumn("some", some), "item-windows")
     wordy = keys.filter("some").select("item").distinct()
-    keys = cut(keys.filter("some").unionByName(keys.join(wordy, "item", "left_anti")).drop("some"), "item-keys")
-    widths = sorted(r.w for r in keys.select("w").distinct().collect())  # at most those of WIDTHS, and 1 and 2
-    row = F.xxhash64("doc_id", "text")
-    empty = "doc_id {}, item_id {}, at int, n_tokens int, n_agree int, n_slots int, n_changed int, row long".format(dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
+    keys = cut(_anchored(keys.filter("some").unionByName(keys.join(wordy, "item", "left_anti")).drop("some")), "item-keys")
+    widths = [r.w for r in keys.select("w").distinct().collect()]  # at most those of WIDTHS, and 1 and 2
+    row = _row()
+    empty = "doc_id {}, item_id {}, at int, n_tokens int, n_agree int, n_slots int, n_changed int, row string".format(dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
     if not widths:
         return docs.sparkSession.createDataFrame([], empty)
-    few = keys.count() <= BROADCAST_ROWS
+    sieve, most = _sieve(keys), max(widths)
+
+    def may(pair: Column) -> Column:
+        word = F.get(sieve, F.shiftright(pair.bitwiseAND(SIEVE - 1), 5).cast("int"))
+        return F.getbit(word, pair.bitwiseAND(31).cast("int")) == 1
+
+    # Of each place that the sieve leaves: the hashes of the types around it, as far as a window reaches.
+    h = F.col("hashes")
+    marks = F.transform(_neighbours(h), lambda p, i: F.struct(i.alias("i"), p.alias("pair")))
+    if 1 in widths:
+        marks = F.concat(marks, F.transform(h, lambda x, i: F.struct(i.alias("i"), _alone(x).alias("pair"))))
+    left = F.transform(F.filter(marks, lambda m: may(m["pair"])), lambda m: F.struct(
+        m["i"].alias("i"), m["pair"].alias("pair"), F.greatest(m["i"] - (most - 1), F.lit(0)).alias("low"),
+        F.slice(h, F.greatest(m["i"] - (most - 1), F.lit(0)) + 1, F.lit(2 * most)).alias("around")))
     pages = docs.select(row.alias("row"), _hashes(F.transform(marked(F.col("text")), _type)).alias("hashes"))
-    seen = pages.select("row", F.explode(F.concat(*[_places(F.col("hashes"), w) for w in widths])).alias("x")).select("row", F.col("x.at").alias("at"), "x.hash")
-    own = keys.drop("w")
-    found = seen.join(F.broadcast(own) if few else own, "hash").select("row", "item", (F.col("at") - F.col("i_at")).alias("at"))
-    hits = cut(found.distinct(), "hits")
+    seen = cut(pages.select("row", F.explode(left).alias("x")).select("row", "x.*"), "sieved")
+    met = join_hot(seen, keys, ["pair"], "inner").withColumn("start", F.col("i") - F.col("k")).filter("start >= 0")
+    met = met.filter(F.xxhash64("w", F.slice("around", F.col("start") - F.col("low") + 1, F.col("w"))) == F.col("hash"))
+    hits = cut(met.select("row", "item", (F.col("start") - F.col("i_at")).alias("at")).distinct(), "hits")
     per_row = hits.groupBy("row", "item").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # at most one per item window and document window
     texts = docs.select("doc_id", row.alias("row"), "text").join(hits.select("row").distinct().hint("merge"), "row", "left_semi")
     texts = texts.dropDuplicates(["row"]).select("row", "doc_id", marked(F.col("text")).alias("tokens"))
-    items = F.broadcast(items) if few else items
-    pairs = per_row.join(texts, "row").join(items, "item")
+    pairs = per_row.join(texts, "row").join(items, "item").withColumn("half", F.expr("n_tokens div 2"))
 
-    def near(at: Column) -> Column:
-        others = F.filter("ats", lambda s: F.abs(s - at) <= F.expr("n_tokens div 2"))
+    def near(at: Column, k: Column) -> Column:
+        # Starts are distinct and sorted, so those within half an item are among so many before and behind.
+        some = F.slice("ats", F.greatest(k - F.col("half"), F.lit(0)) + 1, 2 * F.col("half") + 1)
+        others = F.filter(some, lambda s: F.abs(s - at) <= F.col("half"))
         return F.transform(F.array_sort(F.transform(others, lambda s: F.struct(F.abs(s - at).alias("far"), s.alias("s")))), lambda x: x["s"])
 
-    pairs = pairs.withColumn("x", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), near(at).alias("near"))))).select("*", "x.at", "x.near").drop("x")
-    pairs = pairs.withColumn("same", _agreeing()).filter(F.size("same") >= F.lit(agree) * F.col("n_tokens"))
-    pairs = pairs.drop("tokens", "i_tokens", "ats", "near").withColumn("slots", F.transform("same", _slots)).withColumn("all", F.array_distinct(F.flatten("slots")))
+    def view(at: Column, k: Column) -> Column:
+        low = F.greatest(at - F.col("half") - 1, F.lit(0))
+        return F.struct(at.alias("at"), near(at, k).alias("near"), low.alias("low"),
+                        F.slice("tokens", low + 1, F.greatest(at + F.col("n_tokens") + F.col("half") + 2 - low, F.lit(0))).alias("tokens"))
+
+    pairs = pairs.select("row", "doc_id", "item_id", "item", "n_tokens", "i_tokens", F.explode(F.transform("ats", view)).alias("x")).select("*", "x.*").drop("x")
+    # Each step is written, as the filters would else evaluate it anew.
+    pairs = cut(pairs.withColumn("same", _agreeing()).drop("tokens", "i_tokens", "near", "low"), "alignments").filter(F.size("same") >= F.lit(agree) * F.col("n_tokens"))
+    pairs = cut(pairs.withColumn("slots", F.transform("same", _slots)), "slots").withColumn("all", F.array_distinct(F.flatten("slots")))
     against = lambda p, q: (p["i"] == q["i"]) != (p["d"] == q["d"])
     pairs = pairs.filter(~F.exists("all", lambda p: p["firm"] & F.exists("all", lambda q: q["firm"] & against(p, q))))
     pairs = pairs.withColumn("off", F.filter("all", lambda p: ~p["firm"] & (p["i"] != p["d"]) & F.exists("all", lambda q: against(p, q))))
@@ -173,7 +225,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFr
     return top.select("doc_id", "item_id", (-F.col("x.back")).alias("at"), "n_tokens", "x.n_agree", "x.n_slots", "x.n_changed", "row")
 
 
+def _row() -> Column:
+    """Two hashes of id and text."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit("row"), "text", "doc_id")))
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents in which no item was found, with their own columns."""
-    bad = leaks(docs, benchmark, **how).select(F.col("row").alias("_row")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti")
+    name = "leak"
+    while name in docs.columns:
+        name += "_"
+    bad = leaks(docs, benchmark, **how).select(F.col("row").alias(name)).distinct()
+    return docs.join(bad, _row() == F.col(name), "left_anti")
