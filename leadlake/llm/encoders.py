@@ -124,7 +124,7 @@ class PairCache(dict):
     """
 
     #: Distinct chunks a worker remembers of late, and once more from before.
-    KEPT = 1 << 18
+    KEPT = 1 << 17
     #: White space as the pattern has it.
     WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
