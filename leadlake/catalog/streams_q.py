@@ -12,7 +12,7 @@ from leadlake.operators import enrich as E
 from leadlake.operators import messaging as M
 from leadlake.operators import outreach as O
 from leadlake.operators.rates import EMAIL, MESSAGING, RateConfig
-from leadlake.plans.scratch import new_dir
+from leadlake.plans.scratch import cut, new_dir
 from leadlake.sources import payloads as P
 from leadlake.streaming import appliers as A
 from leadlake.streaming import delivery as D
@@ -139,7 +139,7 @@ def _(fx):
 
     The watermark waits for the whole span of the log, so no row is late; a last row beyond it lets all others out.
     """
-    requests = E.enrichment_requests(E.stage_entry(fx("stage_change")), fx.sql(KEYED))
+    requests = cut(E.enrichment_requests(E.stage_entry(fx("stage_change")), fx.sql(KEYED)), "requests")
     later = lambda m: requests.withColumn("requested_at", F.col("requested_at") + F.make_interval(mins=F.lit(m)))
     rows = requests.unionByName(requests).unionByName(later(1)).unionByName(later(3).filter("event_id % 4 = 0"))
     end = requests.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "requested_at": F.lit("2060-01-01 00:00:00").cast("timestamp_ntz")})

@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState
 
 from leadlake.operators.fold import Fold
 from leadlake.sources.payloads import advance_cursors, explode_mailbox
+from leadlake.streaming.waiting import STATE as WAITING
+from leadlake.streaming.waiting import bucket_of, take_due
 
 BATCH = "__batch"
 GENERATION = "__generation"
@@ -87,37 +89,41 @@ def dedupe_by_time(stream: DataFrame, keys: list[str], at: str, window: str, del
     slowly they come. Rows that come when the watermark has passed them are dropped, as are rows without a
     time; of rows of equal key and time the first in column order stays. The state of a key is
     dropped when its window has passed.
+
+    The keys fall into groups that share a state (``waiting.BUCKETS``), so Python is called for groups and not for keys.
     """
     rest = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"})
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     rows = stream.withColumn("__at", F.col(at).cast("timestamp")).filter("__at IS NOT NULL").withWatermark("__at", delay)
-    rows = rows.select(F.xxhash64(*keys).alias("__k"), F.to_json(F.struct(*keys)).alias("__key"), "__at", micros.alias("__t"), rest.alias("__row"))
+    rows = rows.select(F.to_json(F.struct(*keys)).alias("key"), "__at", micros.alias("t"), rest.alias("row"))
     wide = int(stream.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {window})").first()[0])
 
-    def judge(key, frames, state: GroupState):
-        opened, waiting = state.get if state.exists else (None, [])
-        waiting = [tuple(w) for w in waiting]
-        for frame in frames:
-            waiting += zip(frame["__t"].tolist(), frame["__row"].tolist())
-        passed, left, out = state.getCurrentWatermarkMs() * 1000, [], []
-        for t, row in sorted(set(waiting)):
-            if t >= passed:
-                left.append((t, row))
-            elif opened is None or t >= opened + wide:
-                opened = t
-                out.append(row)
-        if left or opened is not None and opened + wide > passed:
-            state.update((opened, left))
-            due = left[0][0] if left else opened + wide
-            state.setTimeoutTimestamp(max(due, passed) // 1000 + 1)
+    def judge(_, frames, state: GroupState):
+        keys, times, waiting, soonest = state.get if state.exists else ([], [], [], None)
+        opened, passed, let = dict(zip(keys, times)), state.getCurrentWatermarkMs() * 1000, {}
+        due, waiting, soonest = take_due(frames, ["key", "t", "row"], waiting, soonest, passed)
+        if due is not None:
+            due = due.sort_values("t")
+            for key, t, row in zip(due["key"], due["t"].tolist(), due["row"]):
+                last = opened.get(key)
+                if last is None or t >= last + wide:
+                    opened[key] = t
+                    let[key, t] = row
+                elif t == last and (key, t) in let and row < let[key, t]:
+                    let[key, t] = row
+        opened = {k: t for k, t in opened.items() if t + wide > passed}
+        if waiting or opened:
+            state.update((list(opened), list(opened.values()), waiting, soonest))
+            next_due = min([t + wide for t in opened.values()] + ([] if soonest is None else [soonest]))
+            state.setTimeoutTimestamp(max(next_due, passed) // 1000 + 1)
         else:
             state.remove()
-        if out:
-            yield pd.DataFrame({"__row": out})
+        if let:
+            yield pd.DataFrame({"row": list(let.values())})
 
-    kept = rows.groupBy("__k", "__key").applyInPandasWithState(
-        judge, "__row string", "opened long, waiting array<struct<t:long,row:string>>", "append", "EventTimeTimeout")
-    return kept.select(F.from_json("__row", stream.schema).alias("r")).select("r.*")
+    kept = rows.withColumn("bucket", bucket_of("key")).groupBy("bucket").applyInPandasWithState(
+        judge, "row string", f"keys array<string>, opened array<long>, {WAITING}", "append", "EventTimeTimeout")
+    return kept.select(F.from_json("row", stream.schema).alias("r")).select("r.*")
 
 
 def write_rows(stream: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
