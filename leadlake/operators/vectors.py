@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BLOCK = 1024
 PIVOTS = 64
 #: Blocks of its own cell that a query meets first, to learn how near its k-th neighbour is at most.
 HOME = 2
+#: Queries whose products with a block are held at once.
+MEET = 128
 FILTERS = ("state", "city", "code")
 #: Angles are compared with this much room for rounding.
 ROOM = 1e-6
@@ -133,12 +136,14 @@ def _scored(pairs: DataFrame, blocks: DataFrame, k: int, filters: list[str], q_t
     packed = packed.select("block", F.col("q.query_id").alias("ids"), F.flatten("q.unit").alias("units"), *[F.col(f"q.{c}").alias(f"q{c}") for c in filters])
 
     def score(batches):
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                ids, keys = np.asarray(r["ids"]), np.asarray(r["keys"])
-                q, v = np.asarray(r["units"]).reshape(len(ids), -1), np.asarray(r["flat"]).reshape(len(keys), -1)
-                asked = list(zip(*(r[f"q{c}"] for c in filters))) if filters else [()] * len(ids)
-                held = [np.asarray(r[f"v{c}"], dtype=object) for c in filters]
+        for batch in batches:  # read row by row where Arrow has it, so a task holds the products of MEET queries and a block beside it
+            at = {c: batch.column(c) for c in batch.schema.names}
+            shape = pa.schema([("query_id", at["ids"].type.value_type), ("vec_id", at["keys"].type.value_type), ("similarity", pa.float64())])
+            for i in range(batch.num_rows):
+                ids, units, keys, flat = (at[c][i].values.to_numpy(zero_copy_only=False) for c in ("ids", "units", "keys", "flat"))
+                q, v = units.reshape(len(ids), -1), flat.reshape(len(keys), -1)
+                asked = list(zip(*(at[f"q{c}"][i].as_py() for c in filters))) if filters else [()] * len(ids)
+                held = [np.asarray(at[f"v{c}"][i].as_py(), dtype=object) for c in filters]
                 for want in set(asked):  # queries that name the same values meet the rows that have them
                     mine = np.flatnonzero([a == want for a in asked])
                     fits = np.ones(len(keys), dtype=bool)
@@ -148,12 +153,15 @@ def _scored(pairs: DataFrame, blocks: DataFrame, k: int, filters: list[str], q_t
                     fits = np.flatnonzero(fits)
                     if not len(fits):
                         continue
-                    sims = q[mine] @ v[fits].T
-                    sims, best = _keep(sims, np.broadcast_to(keys[fits], sims.shape), k)
-                    yield pd.DataFrame({"query_id": np.repeat(ids[mine], best.shape[1]), "vec_id": best.ravel(), "similarity": sims.ravel()})
+                    rows = v[fits].T
+                    for some in np.split(mine, range(MEET, len(mine), MEET)):
+                        sims = q[some] @ rows
+                        sims, best = _keep(sims, np.broadcast_to(keys[fits], sims.shape), k)
+                        found = pd.DataFrame({"query_id": np.repeat(ids[some], best.shape[1]), "vec_id": best.ravel(), "similarity": sims.ravel()})
+                        yield pa.RecordBatch.from_pandas(found, shape, preserve_index=False)
 
     cols = ["block", "keys", "flat", *[f"v{c}" for c in filters]]
-    return packed.join(blocks.select(*cols), "block").mapInPandas(score, f"query_id {q_type}, vec_id {id_type}, similarity double")
+    return packed.join(blocks.select(*cols), "block").mapInArrow(score, f"query_id {q_type}, vec_id {id_type}, similarity double")
 
 
 def registry_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
