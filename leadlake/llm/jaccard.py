@@ -21,7 +21,7 @@ BLOCK = 1024
 HELD = 1 << 21
 SEEN = 1 << 16
 #: Bits of the folded sketch per segment.
-FOLD = 16
+FOLD = 8
 
 
 def band_edges(similar: int, upto: int) -> np.ndarray:
@@ -133,15 +133,32 @@ def _signatures(s: _Sets, similar: int, sids: np.ndarray, new: np.ndarray, next_
     return mix(mix(words ^ salt) + whole)[send], np.repeat(sids[some] | next_band, parts)[send]
 
 
+def needed(s: _Sets, similar: int, next_band: int) -> np.ndarray:
+    """How many keys of its own or the next band a set shares at least with any set that it links with there.
+
+    Linked sets agree in more segments than the spare ones, and of these only the empty ones can be without a key.
+    """
+    band = bands(s.sizes, similar) + next_band
+    parts = segments(band, similar)
+    base = np.concatenate(([0], np.cumsum(parts)))
+    held = np.zeros(base[-1], np.int64)
+    seg, _ = sketch(s.grams, parts[s.rows])
+    held[base[s.rows] + seg] = 1
+    empty = parts - np.add.reduceat(held, base[:-1]) if len(parts) else parts
+    unsent = spare(most_apart(2 * _EDGES[similar][band], similar))
+    return 1 + unsent - np.minimum(empty, unsent)
+
+
 def fold(grams: np.ndarray, band: int, similar: int) -> bytes:
     """A set's parity sketch in a band, its bits folded by XOR to FOLD per segment; still a lower bound of differences."""
     parts = int(segments(band, similar))
     seg, bit = sketch(grams, parts)
-    words = np.zeros(-(-parts // 4) * 4, U64)
+    words = np.zeros(-(-parts // 8) * 8, U64)
     np.bitwise_xor.at(words, seg, bit)
     words ^= words >> U64(32)
     words ^= words >> U64(16)
-    return (words & U64(0xFFFF)).astype(np.uint16).tobytes()
+    words ^= words >> U64(8)
+    return (words & U64(0xFF)).astype(np.uint8).tobytes()
 
 
 def _col(column, dtype) -> np.ndarray:
@@ -153,21 +170,31 @@ def _splits(values: np.ndarray):
     return np.split(np.arange(len(values)), np.flatnonzero(np.diff(values)) + 1) if len(values) else []
 
 
-def _sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+def _sets_of(texts: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Size, digests, needed keys and folded sketches (own band, next band) of each row's set."""
     def scan(batches):
         for batch in batches:
-            parts = []
+            parts, folds = [], [[], []]
             for _, data, offsets in text_slices(batch.column("text")):
                 s = _Sets(data, offsets, shingle)
-                parts.append((s.sizes.astype(np.int64), *s.ids()))
-            n, a, b = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["doc_id", "n", "sid", "sid2"])
-    return texts.mapInArrow(scan, "doc_id long, n long, sid long, sid2 long")
+                parts.append((s.sizes.astype(np.int64), *s.ids(), needed(s, similar, 0), needed(s, similar, 1)))
+                own = bands(s.sizes, similar)
+                for i, band in enumerate(own):
+                    g = s.grams[s.first[i]:s.first[i + 1]]
+                    for k in (0, 1):
+                        folds[k].append(fold(g, band + k, similar) if len(g) else None)
+            numbers = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in numbers), *(pa.array(c, pa.binary()) for c in folds)],
+                                             names=["doc_id", "n", "sid", "sid2", "need0", "need1", "fold0", "fold1"])
+    return texts.mapInArrow(scan, "doc_id long, n long, sid long, sid2 long, need0 long, need1 long, fold0 binary, fold1 binary")
 
 
 def _candidates(texts: DataFrame, shingle: int, similar: int, buckets: int) -> DataFrame:
-    """Rows of kind ``pairs`` (a, b in binary columns) and of kind ``key`` (a key of many sets with its members)."""
+    """Rows of kind ``pairs`` (a, b in binary columns), of kind ``key`` (a key of many sets with its members) and of kind ``star``.
+
+    One member of a crowded key, the same for as many keys as it can be, stands for it: the key is written as that set with
+    the band it is in, and a star holds the pairs of the other members with it.
+    """
     def rows(found):
         keys, sets = (np.concatenate(x) for x in zip(*found))
         part = (keys >> U64(40)) % U64(buckets)
@@ -203,6 +230,16 @@ def _candidates(texts: DataFrame, shingle: int, similar: int, buckets: int) -> D
         keys, sets = keys[new], sets[new]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.concatenate((first, [len(keys)])))
+        def dealt(kind, low, high):
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            new = low != high
+            new[1:] &= (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            low, high = low[new], high[new]
+            part = (mix(low.astype(U64) ^ mix(high.astype(U64))) % U64(buckets)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            return [(kind, int(part[order[r[0]]]), 0, low[order[r]].tobytes(), high[order[r]].tobytes()) for r in _splits(part[order])]
+
         lows, highs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for m in range(2, SMALL + 1):
             group = first[size == m]
@@ -212,16 +249,15 @@ def _candidates(texts: DataFrame, shingle: int, similar: int, buckets: int) -> D
                 x, y = members[:, i].ravel(), members[:, j].ravel()
                 lows.append(np.minimum(x, y))
                 highs.append(np.maximum(x, y))
-        low, high = np.concatenate(lows), np.concatenate(highs)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = low != high
-        new[1:] &= (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        low, high = low[new], high[new]
-        part = (mix(low.astype(U64) ^ mix(high.astype(U64))) % U64(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rows = [("pairs", int(part[order[r[0]]]), 0, low[order[r]].tobytes(), high[order[r]].tobytes()) for r in _splits(part[order])]
-        rows += [("key", 0, int(keys[f].astype(np.int64)), sets[f:f + m].tobytes(), b"") for f, m in zip(first[size > SMALL], size[size > SMALL])]
+        rows = dealt("pairs", np.concatenate(lows), np.concatenate(highs))
+        lows, highs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for f, m in zip(first[size > SMALL], size[size > SMALL]):
+            members = sets[f:f + m] & ~1
+            hub = mix(members.astype(U64)).argmin()
+            lows.append(np.minimum(members, members[hub]))
+            highs.append(np.maximum(members, members[hub]))
+            rows.append(("key", 0, int(sets[f + hub]), sets[f:f + m].tobytes(), b""))
+        rows += dealt("star", np.concatenate(lows), np.concatenate(highs))
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                         names=["kind", "bucket", "key", "a", "b"])
@@ -241,35 +277,77 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("bucket").applyInArrow(merge, "a long, b long")
 
 
+def _listed(keys: DataFrame) -> DataFrame:
+    """(key, sid, next): the members of crowded keys, a row for each key, though several are written alike."""
+    def spread(batches):
+        for batch in batches:
+            sets = [np.frombuffer(blob, np.int64) for blob in batch.column("a").to_pylist()]
+            key = np.repeat(batch.column("key").to_numpy(), [len(x) for x in sets])
+            sets = np.concatenate([np.empty(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets & ~1), pa.array((sets & 1).astype(np.int32))], names=["key", "sid", "next"])
+    return keys.select("key", "a").mapInArrow(spread, "key long, sid long, next int")
+
+
+def block_pairs(comp: np.ndarray):
+    """(unit, places) of members sorted by component: two blocks, so all pairs of members that are not joined yet meet in a unit."""
+    starts = np.arange(0, len(comp), BLOCK)
+    ends = np.minimum(starts + BLOCK, len(comp))
+    if len(starts) == 1:
+        yield 0, np.arange(len(comp))
+    for i in range(len(starts)):
+        for j in range(i + 1, len(starts)):
+            if comp[starts[i]] != comp[ends[j] - 1]:
+                yield i * len(starts) + j, np.concatenate((np.arange(starts[i], ends[i]), np.arange(starts[j], ends[j])))
+
+
+def _open_keys(listed: DataFrame, folds: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, sets): for each set that stands for crowded keys, the members of all of them, in the order of their components.
+
+    ``joined`` holds the (node, component) known so far. Where all hang together, the keys are done. So is a member of fewer
+    keys than it needs: it links with no set with which it shares crowded keys alone.
+    """
+    need = F.when(F.col("next") == 1, F.col("need1")).otherwise(F.col("need0"))
+    sets = listed.groupBy("sid", "next").agg(F.collect_list("key").alias("keys"))
+    sets = sets.join(folds.select("sid", "need0", "need1").hint("merge"), "sid").filter(F.size("keys") >= need)
+    sets = sets.join(joined.hint("merge"), F.col("sid") == F.col("node"), "left")
+    rows = sets.select(F.coalesce("component", "sid").alias("comp"), "sid", "next", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sort_array(F.collect_list(F.struct("comp", "sid", "next"))).alias("sets"))
+    return cut(keys.filter("low <> high").select("key", "sets"), "open")
+
+
 def _members(keys: DataFrame) -> DataFrame:
-    """(unit, key, sid, next): the members of crowded keys, dealt into pairs of blocks of bounded size."""
+    """(unit, key, sid, next, comp): the members of open keys, dealt into pairs of blocks of bounded size.
+
+    Two blocks that are both of one and the same component are not paired, so a large class costs rows in proportion to its size.
+    """
+    names = ["key", "unit", "sid", "next", "comp"]
+
     def spread(batches):
         for batch in batches:
-            out = []
-            for key, blob in zip(batch.column("key").to_pylist(), batch.column("a").to_pylist()):
-                sets = np.frombuffer(blob, np.int64)
-                blocks = -(-len(sets) // BLOCK)
-                mine = np.arange(len(sets)) % blocks
-                for other in range(blocks):  # a unit holds two blocks, so all pairs of members meet in one
-                    unit = np.minimum(mine, other) * blocks + np.maximum(mine, other)
-                    use = (mine != other) | (blocks == 1)
-                    out.append((np.full(use.sum(), key), unit[use], sets[use]))
+            out, held = [], 0
+            for key, sets in zip(batch.column("key").to_pylist(), batch.column("sets")):
+                comp, sid, later = (sets.values.field(c).to_numpy() for c in ("comp", "sid", "next"))
+                for unit, at in block_pairs(comp):
+                    out.append((np.full(len(at), key), np.full(len(at), unit), sid[at], later[at], comp[at]))
+                    held += len(at)
+                    if held > SEEN:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+                        out, held = [], 0
             if out:
-                key, unit, sets = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(unit), pa.array(sets & ~1), pa.array((sets & 1).astype(np.int32))],
-                                                 names=["key", "unit", "sid", "next"])
-    return keys.select("key", "a").mapInArrow(spread, "key long, unit long, sid long, next int")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+    return keys.mapInArrow(spread, "key long, unit long, sid long, next int, comp long")
 
 
 def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int, turn: int) -> list[tuple[int, int]]:
     """Pairs within the Hamming bound that join parts of a unit not known to hang together: the nearest of each part.
 
-    ``tested`` holds pairs verified before; those that failed are left out, the others already join.
-    Later turns offer four times as many pairs for each part, so the number of turns stays small.
+    Sets of one component (``comp``) hang together. ``tested`` holds pairs verified before; those that failed are left out, the others already join.
+    Later turns offer sixteen times as many pairs for each part, so the number of turns stays small.
+    The first turn also names, paired with itself, each set that any turn can offer.
     """
-    sid, n = members.column("sid").to_numpy(), members.column("n").to_numpy()
+    sid, n, comp = (members.column(c).to_numpy() for c in ("sid", "n", "comp"))
     order = np.unique(sid, return_index=True)[1]
-    sid, n = sid[order], n[order]
+    sid, n, comp = sid[order], n[order], comp[order]
     bits = np.frombuffer(b"".join(members.column("fold")[int(i)].as_py() for i in order), U64).reshape(len(order), -1)
     m = len(sid)
     apart = np.full((m, m), np.iinfo(np.int32).max, dtype=np.int32)
@@ -281,7 +359,8 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
         apart[i:i + 64][fits] = d[fits]
     none = np.iinfo(np.int32).max
     np.fill_diagonal(apart, none)
-    label = np.arange(m)
+    _, label, part = np.unique(comp, return_index=True, return_inverse=True)
+    label = label[part]
 
     def join(i, j):
         a, b = label[i], label[j]
@@ -302,13 +381,15 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
         near = cross[np.arange(m), best]
         if (near == none).all():
             break
+        if first and not turn:
+            out.update((x, x) for x in sid[near < none])
         picked = []
         for part in np.unique(label[near < none]):
             rows = np.flatnonzero((label == part) & (near < none))
             i = rows[near[rows].argmin()]
             picked.append((i, best[i]))
             if turn and first:
-                spots = np.argsort(cross[rows], axis=None, kind="stable")[:4 ** turn]
+                spots = np.argsort(cross[rows], axis=None, kind="stable")[:16 ** turn]
                 spots = spots[cross[rows].ravel()[spots] < none]
                 out.update((min(sid[rows[p // m]], sid[p % m]), max(sid[rows[p // m]], sid[p % m])) for p in spots)
         first = False
@@ -347,23 +428,31 @@ def _edges_in(members: DataFrame, tested: DataFrame | None, similar: int, turn:
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose folded sketches are not too far apart, compared in the band of the larger set."""
+    """The pairs whose folded sketches are not too far apart, compared in the band of the larger set, with the thousandths of the bound they are apart."""
     def test(batches):
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             size = [batch.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1")]
             x_band, y_band = bands(n, similar), bands(m, similar)
-            keep = np.zeros(len(n), dtype=bool)
+            keep, far = np.zeros(len(n), dtype=bool), np.zeros(len(n), np.int64)
             for i, (x0, x1, y0, y1) in enumerate(zip(*size)):
                 x, y = (x0, y0) if x_band[i] == y_band[i] else (x1, y0) if x_band[i] < y_band[i] else (x0, y1)
                 if len(x) == len(y):
                     d = int(np.bitwise_count(np.frombuffer(x, U64) ^ np.frombuffer(y, U64)).sum())
-                    keep[i] = d <= most_apart(n[i] + m[i], similar)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+                    most = most_apart(n[i] + m[i], similar)
+                    keep[i], far[i] = d <= most, d * 1000 // (most + 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "must")), pa.array(far[keep])], names=["a", "b", "must", "far"])
 
     x = sketches.select(F.col("sid").alias("a"), "n", F.col("fold0").alias("x0"), F.col("fold1").alias("x1"))
     y = sketches.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("fold0").alias("y0"), F.col("fold1").alias("y1"))
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "n", "m", "x0", "x1", "y0", "y1").mapInArrow(test, "a long, b long")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "must", "n", "m", "x0", "x1", "y0", "y1").mapInArrow(test, "a long, b long, must boolean, far long")
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """For each set, its pair with the smallest distance."""
+    ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
+    best = ends.groupBy("x").agg(F.min(F.struct("far", "y")).alias("p"))
+    return best.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -392,16 +481,23 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = text_bytes(docs, text_col)
     buckets = units_for(spark, total)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = cut(_sets_of(texts, shingle), "sets")
-    found = cut(_candidates(texts.select("text"), shingle, similar, buckets), "candidates")
-    small = _distinct_pairs(found.filter("kind = 'pairs'"))
-    small = cut(small, "pairs")
+    named = texts.filter("doc_id IS NOT NULL")
+    classes = cut(_sets_of(texts, shingle, similar), "sets")
+    found = cut(_candidates(named.select("text"), shingle, similar, buckets), "candidates")
+    small, star = (cut(_distinct_pairs(found.filter(F.col("kind") == kind)), kind) for kind in ("pairs", "star"))
     packs = shuffle_parts(spark)
-    members = cut(_members(found.filter("kind = 'key'")), "members")
+    listed = cut(_listed(found.filter("kind = 'key'")), "listed")
     drop(found)
 
-    wanted = small.select(F.col("a").alias("sid")).union(small.select(F.col("b").alias("sid"))).union(members.select("sid")).distinct()
-    chosen = classes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    def sets_in(pairs):
+        return pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+
+    # Texts, sketches and sets are exchanged at every size (the hints), so that the plan does not change with the input.
+    pairs = small.withColumn("must", F.lit(True)).union(star.withColumn("must", F.lit(False)))
+    folds = classes.filter("n > 0 AND doc_id IS NOT NULL").join(sets_in(pairs).hint("merge"), "sid", "left_semi")
+    folds = cut(folds.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "need0", "need1", "fold0", "fold1")).alias("x")).select("sid", "x.*"), "folds")
+    near = cut(_close(pairs, folds, similar), "near")
+    drop(small, star)
 
     def load(batches):
         for batch in batches:
@@ -409,51 +505,64 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sid = batch.column("sid").to_numpy()
             for first, data, offsets in text_slices(batch.column("text")):
                 s = _Sets(data, offsets, shingle)
-                own = bands(s.sizes, similar)
                 for i in np.flatnonzero(s.ids()[0] == sid[first:first + len(s.sizes)]):  # other texts of the same id are not meant
-                    g = s.grams[s.first[i]:s.first[i + 1]]
-                    rows.append((int(sid[first + i]), len(g), g.tobytes(), fold(g, own[i], similar), fold(g, own[i] + 1, similar)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                                             names=["sid", "n", "grams", "fold0", "fold1"])
-
-    # Texts, sketches and sets are exchanged at every size (the hints), so that the plan does not change with the input.
-    kept = texts.join(chosen.hint("merge"), "doc_id").select("sid", "text")
-    sets = cut(kept.mapInArrow(load, "sid long, n long, grams binary, fold0 binary, fold1 binary"), "grams")
-    folds = sets.select("sid", "n", "fold0", "fold1")
-    near = cut(_close(small, folds, similar), "near")
-    drop(small)
-
-    pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
-    listed = members
-    members = members.join(folds.hint("merge"), "sid").select(pack.alias("pack"), "key", "unit", "sid", "n", F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold"))
-    members = cut(members, "crowded")
+                    rows.append((int(sid[first + i]), s.grams[s.first[i]:s.first[i + 1]].tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["sid", "grams"])
+
+    def loaded(chosen):
+        kept = named.join(chosen, "doc_id").select("sid", "text")
+        return cut(kept.mapInArrow(load, "sid long, grams binary"), "grams")
+
+    # Of the pairs in stars one for each set is enough to find what hangs together; what they leave apart meets in blocks.
+    pairs = cut(near.filter("must").select("a", "b").union(_nearest(near.filter("NOT must"))).distinct(), "pairs")
+    which = folds.select("sid", "doc_id")
+    sets = loaded(which.join(sets_in(pairs), "sid", "left_semi").hint("merge"))
+    links = cut(_verify(pairs, sets, similar), "links").filter("linked").select("a", "b")
+    drop(near, pairs)
+    joined = cut(components(links), "joined")
+
+    opened = _open_keys(listed, folds, joined)
     drop(listed)
-    offered = cut(_edges_in(members, None, similar, 0), "forest")
-    pairs = near.unionByName(offered.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    # Every set with a partner within the bound is in the first forest, so later turns need no other sets.
-    loaded, sets = sets, cut(sets.select("sid", "grams").join(wanted.hint("merge"), "sid", "left_semi"), "verified")
-    drop(loaded)
-    links = cut(_verify(pairs.distinct(), sets, similar), "links")
-    drop(near)
-    tested = offered.join(links, ["a", "b"]).withColumn("pack", pack)
-    links = links.filter("linked").select("a", "b")
+    members = cut(_members(opened), "members")
+    drop(opened)
+    pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
+    folded = F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold")
+
+    def sketched(some):
+        return cut(some.join(folds.hint("merge"), "sid").select(pack.alias("pack"), "key", "unit", "sid", "comp", "n", folded), "crowded")
+
+    crowded = sketched(members)
+    offered = cut(_edges_in(crowded, None, similar, 0), "forest")
+    # The sets that this turn or a later one offers: what hangs together is known by now, so they are few, and sent to the texts if they are.
+    chosen = cut(which.join(sets_in(offered), "sid", "left_semi"), "chosen")
+    before, sets = sets, loaded(chosen)
+    drop(before)
+    offered = offered.filter("a <> b")
+    pairs = offered.select("a", "b").distinct()
+    tested = cut(_verify(pairs, sets, similar), "tested")
+    links = links.union(tested.filter("linked").select("a", "b"))
+    tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
     known, turn = None, 0
     while True:
         failed = tested.filter("not linked").select("key", "unit").distinct()
+        if not failed.limit(1).count():
+            break
+        if not turn:  # the units that have to offer more, less those that links found elsewhere have closed; later turns leave out those that are done
+            joined = cut(components(links), "joined")
+            rest = members.join(failed, ["key", "unit"], "left_semi").join(joined.hint("merge"), F.col("sid") == F.col("node"), "left")
+            before, members = members, cut(rest.select("key", "unit", "sid", "next", F.coalesce("component", "sid").alias("comp")), "members")
+            drop(before, crowded)
+            failed = members.groupBy("key", "unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "unit")
+            crowded = sketched(members)
         known = tested if known is None else known.unionByName(tested)
         known = cut(known.join(failed, ["key", "unit"], "left_semi"), "known")
-        if not known.limit(1).count():
-            break
         turn += 1
-        if turn == 1:  # the units that have to offer more; later turns leave out those that are done
-            members = cut(members.join(failed, ["key", "unit"], "left_semi"), "crowded")
-        offered = cut(_edges_in(members, known, similar, turn), "forest")
+        offered = cut(_edges_in(crowded, known, similar, turn), "forest")
         tested = cut(_verify(offered.select("a", "b").distinct(), sets, similar), "tested")
         links = links.union(tested.filter("linked").select("a", "b"))
         tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
-    return classes, links
+    return classes.select("doc_id", "n", "sid", "sid2"), links
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
