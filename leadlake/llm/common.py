@@ -139,31 +139,64 @@ def within(first_word: np.ndarray, n: int) -> np.ndarray:
 
 # ---- connected components --------------------------------------------------------------------
 
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as (node, smallest node that they reach from it), for each node but the smallest ones."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    i, j = at[:len(u)], at[len(u):]
+    low = np.arange(len(nodes))
+    while True:
+        was = low.copy()
+        np.minimum.at(low, was[i], was[j])
+        np.minimum.at(low, was[j], was[i])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == was).all():
+            break
+    leaf = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[leaf], nodes[low[leaf]]
+
+
+def _contract(batches):
+    """The edges of each chunk of a task, as stars."""
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*(np.concatenate(x) for x in zip(*held)))], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        n += batch.num_rows
+        if n > EDGES:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge ``a``-``b``.
 
-    Alternates large-star and small-star steps, each one group-by minimum and one join, until the
-    edges are stars. Nulls and loops are ignored; repeated edges count once.
+    Tasks first contract the edges they read. Then large-star and small-star steps alternate, each one group-by minimum and
+    one join, until the edges are stars: no node has a smaller neighbour and another one. Nulls and loops are ignored;
+    repeated edges count once.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "cc")
+    e = cut(e.mapInArrow(_contract, "u long, v long"), "cc")
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter("u <> v").distinct(), "cc")
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        low = cut(low.select("u", F.least("u", "low").alias("m"), F.expr("low < u AND low < high").alias("open")), "cc")
+        if not low.filter("open").limit(1).count():
+            return low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        large = cut(both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                             F.col("m").alias("v"))
-        small = cut(small.filter("u <> v").distinct(), "cc")
-        changed = small.exceptAll(e).limit(1).count() + e.exceptAll(small).limit(1).count()
-        e = small
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    star = e.groupBy("u").agg(F.min("v").alias("component"))
-    return star.select(F.col("u").alias("node"), "component").unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e = cut(small.filter("u <> v").distinct(), "cc")
+    raise RuntimeError("components did not settle")
 
 
 # ---- bounded samples of labelled rows ---------------------------------------------------------

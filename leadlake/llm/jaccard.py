@@ -267,14 +267,16 @@ def _candidates(texts: DataFrame, shingle: int, similar: int, buckets: int) -> D
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, must): the pairs of small keys, which must be verified, and those of stars."""
     def merge(table: pa.Table) -> pa.Table:
         a, b = _col(table.column("a"), np.int64), _col(table.column("b"), np.int64)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        must = np.repeat([x.as_py() == "pairs" for x in table.column("kind")], [len(x.as_py()) // 8 for x in table.column("a")])
+        order = np.lexsort((b, a, must))
+        a, b, must = a[order], b[order], must[order]
         new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.table({"a": a[new], "b": b[new]})
-    return pairs.groupBy("bucket").applyInArrow(merge, "a long, b long")
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (must[1:] != must[:-1])
+        return pa.table({"a": a[new], "b": b[new], "must": must[new]})
+    return pairs.groupBy("bucket").applyInArrow(merge, "a long, b long, must boolean")
 
 
 def _listed(keys: DataFrame) -> DataFrame:
@@ -338,8 +340,8 @@ def _members(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(spread, "key long, unit long, sid long, next int, comp long")
 
 
-def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int, turn: int) -> list[tuple[int, int]]:
-    """Pairs within the Hamming bound that join parts of a unit not known to hang together: the nearest of each part.
+def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int, turn: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs within the Hamming bound that join parts of a unit not known to hang together (the nearest of each part), and whether there are more.
 
     Sets of one component (``comp``) hang together. ``tested`` holds pairs verified before; those that failed are left out, the others already join.
     Later turns offer sixteen times as many pairs for each part, so the number of turns stays small.
@@ -348,6 +350,8 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
     sid, n, comp = (members.column(c).to_numpy() for c in ("sid", "n", "comp"))
     order = np.unique(sid, return_index=True)[1]
     sid, n, comp = sid[order], n[order], comp[order]
+    if comp.min() == comp.max():
+        return [], False
     bits = np.frombuffer(b"".join(members.column("fold")[int(i)].as_py() for i in order), U64).reshape(len(order), -1)
     m = len(sid)
     apart = np.full((m, m), np.iinfo(np.int32).max, dtype=np.int32)
@@ -374,13 +378,15 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
             apart[i, j] = apart[j, i] = none
             if linked:
                 join(i, j)
-    out, first = set(), True
+    out, first, open_pairs = set(), True, 0
     while True:
         cross = np.where(label[:, None] != label[None, :], apart, none)
         best = cross.argmin(axis=1)
         near = cross[np.arange(m), best]
         if (near == none).all():
             break
+        if first:
+            open_pairs = int((cross < none).sum()) // 2
         if first and not turn:
             out.update((x, x) for x in sid[near < none])
         picked = []
@@ -397,17 +403,21 @@ def _forest(members: pa.Table, tested: dict[tuple[int, int], bool], similar: int
             if label[i] != label[j]:
                 out.add((min(sid[i], sid[j]), max(sid[i], sid[j])))
                 join(i, j)
-    return [(int(a), int(b)) for a, b in out]
+    return [(int(a), int(b)) for a, b in out], sum(a != b for a, b in out) < open_pairs
 
 
 def _edges_in(members: DataFrame, tested: DataFrame | None, similar: int, turn: int) -> DataFrame:
-    schema = "key long, unit long, a long, b long"
+    """(key, unit, a, b, more): the pairs that units offer in a turn; after the first those that had one fail and have more."""
+    schema = "key long, unit long, a long, b long, more boolean"
 
     def solve(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
         pairs: dict = {}
+        again = set()
         if known is not None:
-            for key, unit, a, b, linked in zip(*(known.column(c).to_pylist() for c in ("key", "unit", "a", "b", "linked"))):
+            for key, unit, a, b, linked, more, at in zip(*(known.column(c).to_pylist() for c in ("key", "unit", "a", "b", "linked", "more", "turn"))):
                 pairs.setdefault((key, unit), {})[(a, b)] = linked
+                if more and not linked and at == turn - 1:
+                    again.add((key, unit))
         key, unit = (table.column(c).to_numpy() for c in ("key", "unit")) if table.num_rows else (np.empty(0), np.empty(0))
         order = np.lexsort((unit, key))
         change = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(unit[order]) != 0)) + 1
@@ -415,12 +425,13 @@ def _edges_in(members: DataFrame, tested: DataFrame | None, similar: int, turn:
         width = np.array([len(x.as_py()) for x in table.column("fold")])
         for r in np.split(order, change) if len(order) else []:
             k, u = int(key[r[0]]), int(unit[r[0]])
-            if turn and (k, u) not in pairs:
+            if turn and (k, u) not in again:
                 continue
             for w in np.unique(width[r]):  # more than one only where keys of two bands collide
-                rows += [(k, u, a, b) for a, b in _forest(table.take(pa.array(r[width[r] == w])), pairs.get((k, u), {}), similar, turn)]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["key", "unit", "a", "b"])
+                some, more = _forest(table.take(pa.array(r[width[r] == w])), pairs.get((k, u), {}), similar, turn)
+                rows += [(k, u, a, b, more) for a, b in some]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        return pa.table([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["key", "unit", "a", "b", "more"])
 
     if tested is None:
         return members.groupBy("pack").applyInArrow(lambda t: solve(t), schema)
@@ -472,10 +483,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR):
-    """(classes, links): ``classes`` has a row (doc_id, n, sid) per document, ``links`` the verified pairs (a, b) of ``sid``.
+    """(classes, links): ``classes`` has a row (doc_id, n, sid) per document, ``links`` pairs (a, b) of ``sid`` that verified pairs connect.
 
     A document's set holds its distinct shingles; ``sid`` digests the set, so copies share one. Sets are
-    compared once each. ``links`` names enough of the links to connect all that any links connect.
+    compared once each. ``links`` names enough pairs to connect all that any links connect.
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -484,7 +495,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = texts.filter("doc_id IS NOT NULL")
     classes = cut(_sets_of(texts, shingle, similar), "sets")
     found = cut(_candidates(named.select("text"), shingle, similar, buckets), "candidates")
-    small, star = (cut(_distinct_pairs(found.filter(F.col("kind") == kind)), kind) for kind in ("pairs", "star"))
+    pairs = cut(_distinct_pairs(found.filter("kind <> 'key'").select("kind", "bucket", "a", "b")), "pairs")
     packs = shuffle_parts(spark)
     listed = cut(_listed(found.filter("kind = 'key'")), "listed")
     drop(found)
@@ -493,11 +504,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
 
     # Texts, sketches and sets are exchanged at every size (the hints), so that the plan does not change with the input.
-    pairs = small.withColumn("must", F.lit(True)).union(star.withColumn("must", F.lit(False)))
     folds = classes.filter("n > 0 AND doc_id IS NOT NULL").join(sets_in(pairs).hint("merge"), "sid", "left_semi")
     folds = cut(folds.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "need0", "need1", "fold0", "fold1")).alias("x")).select("sid", "x.*"), "folds")
     near = cut(_close(pairs, folds, similar), "near")
-    drop(small, star)
+    drop(pairs)
 
     def load(batches):
         for batch in batches:
@@ -518,50 +528,41 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = cut(near.filter("must").select("a", "b").union(_nearest(near.filter("NOT must"))).distinct(), "pairs")
     which = folds.select("sid", "doc_id")
     sets = loaded(which.join(sets_in(pairs), "sid", "left_semi").hint("merge"))
-    links = cut(_verify(pairs, sets, similar), "links").filter("linked").select("a", "b")
+    joined = components(_verify(pairs, sets, similar).filter("linked"))
     drop(near, pairs)
-    joined = cut(components(links), "joined")
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     opened = _open_keys(listed, folds, joined)
     drop(listed)
     members = cut(_members(opened), "members")
     drop(opened)
-    pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int")
+    pack = F.pmod(F.xxhash64("key", "unit"), F.lit(packs * 4)).cast("int").alias("pack")
     folded = F.when(F.col("next") == 1, F.col("fold1")).otherwise(F.col("fold0")).alias("fold")
-
-    def sketched(some):
-        return cut(some.join(folds.hint("merge"), "sid").select(pack.alias("pack"), "key", "unit", "sid", "comp", "n", folded), "crowded")
-
-    crowded = sketched(members)
+    crowded = cut(members.join(folds.hint("merge"), "sid").select(pack, "key", "unit", "sid", "comp", "n", folded), "crowded")
+    drop(members)
     offered = cut(_edges_in(crowded, None, similar, 0), "forest")
     # The sets that this turn or a later one offers: what hangs together is known by now, so they are few, and sent to the texts if they are.
     chosen = cut(which.join(sets_in(offered), "sid", "left_semi"), "chosen")
     before, sets = sets, loaded(chosen)
     drop(before)
-    offered = offered.filter("a <> b")
-    pairs = offered.select("a", "b").distinct()
-    tested = cut(_verify(pairs, sets, similar), "tested")
-    links = links.union(tested.filter("linked").select("a", "b"))
-    tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
     known, turn = None, 0
     while True:
-        failed = tested.filter("not linked").select("key", "unit").distinct()
+        offered = offered.filter("a <> b")
+        tested = _verify(offered.select("a", "b").distinct(), sets, similar)
+        tested = cut(offered.join(tested, ["a", "b"]).select(pack, "key", "unit", "a", "b", "linked", "more", F.lit(turn).alias("turn")), "tested")
+        links = links.union(tested.filter("linked").select("a", "b"))
+        failed = tested.filter("more AND NOT linked").select("key", "unit")
         if not failed.limit(1).count():
             break
-        if not turn:  # the units that have to offer more, less those that links found elsewhere have closed; later turns leave out those that are done
-            joined = cut(components(links), "joined")
-            rest = members.join(failed, ["key", "unit"], "left_semi").join(joined.hint("merge"), F.col("sid") == F.col("node"), "left")
-            before, members = members, cut(rest.select("key", "unit", "sid", "next", F.coalesce("component", "sid").alias("comp")), "members")
-            drop(before, crowded)
-            failed = members.groupBy("key", "unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "unit")
-            crowded = sketched(members)
+        if not turn:  # only these units can offer more, and links found elsewhere may have closed them
+            joined = components(links)
+            links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            rest = crowded.join(failed.distinct(), ["key", "unit"], "left_semi").join(joined.hint("merge"), F.col("sid") == F.col("node"), "left")
+            before, crowded = crowded, cut(rest.select("pack", "key", "unit", "sid", F.coalesce("component", "sid").alias("comp"), "n", "fold"), "crowded")
+            drop(before)
         known = tested if known is None else known.unionByName(tested)
-        known = cut(known.join(failed, ["key", "unit"], "left_semi"), "known")
         turn += 1
         offered = cut(_edges_in(crowded, known, similar, turn), "forest")
-        tested = cut(_verify(offered.select("a", "b").distinct(), sets, similar), "tested")
-        links = links.union(tested.filter("linked").select("a", "b"))
-        tested = offered.join(tested, ["a", "b"]).withColumn("pack", pack)
     return classes.select("doc_id", "n", "sid", "sid2"), links
 
 
@@ -591,7 +592,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes, links = similar_sets(docs, id_col, text_col, shingle, similar)
     full = classes.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = cut(full.groupBy("sid").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = links.distinct().join(nodes.select(F.col("sid").alias("a"), F.col("node").alias("na")), "a")
+    edges = links.join(nodes.select(F.col("sid").alias("a"), F.col("node").alias("na")), "a")
     edges = edges.join(nodes.select(F.col("sid").alias("b"), F.col("node").alias("nb")), "b")
     joined = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     nodes = nodes.join(joined, "node", "left").select("sid", F.coalesce("component", "node").alias("component_id"))
